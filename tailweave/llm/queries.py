@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, quality, tokencount
+from . import decontam, langid, lmscore, media, neardup, quality, tokencount
 from .common import remainder, table
 
 
@@ -16,6 +16,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,13 +32,25 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (document, item) pairs found; documents without one have no row."""
+    found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), F.round("cover", 4).alias("cover"))
+
+
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lmscore.language_scores(docs, docs.where(remainder("doc_id", 10) != 0))
+    return scored.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.payload_media(table(spark, sf_dir, "documents"))
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("feature"), "tile_sha256")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op6_token_counts, op7_language, op10_media)}
+    return {f.__name__: f for f in (op1_quality, op5_near_duplicates, op6_token_counts, op7_language, op8_benchmark_leaks, op9_language_model, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:

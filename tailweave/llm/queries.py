@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lmscore, media, neardup, quality, tokencount
+from . import decontam, langid, lmscore, media, mixing, neardup, pii, quality, tokencount, urlrules
 from .common import remainder, table
 
 
@@ -16,6 +16,19 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlrules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urlrules.SITE_RULES + urlrules.PATTERN_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,8 +63,33 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op5_near_duplicates, op6_token_counts, op7_language, op8_benchmark_leaks, op9_language_model, op10_media)}
+    return {f.__name__: f for f in (op1_quality, op2_source_mix, op3_url_rules, op4_personal_data, op5_near_duplicates, op6_token_counts, op7_language, op8_benchmark_leaks, op9_language_model, op10_media)}
+
+
+OP3_SQL = r"""
+WITH u AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/'
+  END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN regexp_matches(host || path, '^([^/]*[.-])?spam-farm\.') OR regexp_matches(host || path, '^([^/]*[.-])?link-farm\.')
+      OR regexp_matches(host || path, '^[^/]*\bcasino\b') OR regexp_matches(host || path, '/free-download(s)?(/|$)')
+      OR regexp_matches(host || path, '^([^/]*[.-])?xxx([./-]|$)') THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM r
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_rules": OP3_SQL}

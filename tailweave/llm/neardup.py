@@ -32,6 +32,8 @@ PERMUTATIONS = BANDS * ROWS // 2
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 BLOCK, BLOCK_SHINGLES = 256, 250_000
+#: Bits of the map that keeps texts outside all clusters from being moved; once it is full, more of them move.
+MAP_BITS = 1 << 28
 #: Pairs in crowded blocks are confirmed on full sets if their signatures agree in this share (5 deviations below PERCENT).
 LIKELY = 0.70
 
@@ -191,6 +193,17 @@ def _linked(members: DataFrame, percent: int, across: bool) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
+def only_candidates(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of docs whose id may be among ids (n rows): a map of hashed ids, at most MAP_BITS, is broadcast and none is missed."""
+    bits = min(MAP_BITS, max(1 << 15, 1 << (32 * n).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    bucket, bit = F.expr("__place div 32768"), F.expr("cast(__place % 32768 as int)")
+    maps = ids.select(place.alias("__place")).select(bucket.alias("__bucket"), bit.cast("long").alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    marked = docs.withColumn("__place", place).withColumn("__bucket", bucket).withColumn("__bit", bit)
+    byte = F.conv(F.hex(F.expr("substring(__map, __bit div 8 + 1, 1)")), 16, 10).cast("int")
+    return marked.join(F.broadcast(maps), "__bucket").withColumn("__byte", byte).where("shiftright(__byte, __bit % 8) & 1 = 1").select(*docs.columns)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id (least id reachable by links), kept (id = component_id).
 
@@ -209,7 +222,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(classes.where("id is not null"), "class")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     members = stored(members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))), "members")
-    texts = docs.where("id is not null")
+    texts = only_candidates(docs.where("id is not null"), members.select("id").distinct(), members.count())
 
     def met(who: DataFrame, tasks, across: bool) -> DataFrame:
         dealt = who.withColumn("task", F.explode(tasks)).withColumn("task", F.xxhash64("cluster", "task")).join(texts, "id")

@@ -96,32 +96,51 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     Ties go to the language first in code point order.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    most = SLICE * 4 // max(4, len(model.languages)) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            texts = text_array(batch.column(1))
-            for first, end, data, offsets in slices(pc.utf8_lower(texts), most):
-                n = end - first
-                lettered = np.array([any(map(str.isalpha, t)) for t in texts.slice(first, n).to_pylist()], bool) & bool(m.languages)
-                logs = np.tile(m.log_prior, (n, 1))
-                if m.languages and len(data):
-                    buckets, at = gram_buckets(data, offsets)
-                    full = np.flatnonzero(np.diff(at))
-                    for b in buckets:
-                        logs[full] += np.add.reduceat(m.log_probability[b], at[full], axis=0, dtype=np.float64)
-                if m.languages:
-                    best = logs.argmax(axis=1)
-                    score = np.where(lettered, 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
-                    names = [m.languages[k] if ok else UNDETERMINED for k, ok in zip(best, lettered, strict=True)]
-                else:
-                    score, names = np.zeros(n), [UNDETERMINED] * n
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+            found = list(_predicted(batch.column(1), shared.value))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["id", "lang_pred", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"`id` {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def _predicted(column: pa.Array, m: LanguageModel) -> Iterator[tuple[str, float]]:
+    """(language, posterior) of each text."""
+    texts = text_array(column)
+    for first, end, data, offsets in slices(pc.utf8_lower(texts), SLICE * 4 // max(4, len(m.languages)) + 1):
+        n = end - first
+        lettered = [any(map(str.isalpha, t)) and bool(m.languages) for t in texts.slice(first, n).to_pylist()]
+        logs = np.tile(m.log_prior, (n, 1))
+        if not m.languages:
+            yield from [(UNDETERMINED, 0.0)] * n
+            continue
+        if len(data):
+            buckets, at = gram_buckets(data, offsets)
+            full = np.flatnonzero(np.diff(at))
+            for b in buckets:
+                logs[full] += np.add.reduceat(m.log_probability[b], at[full], axis=0, dtype=np.float64)
+        score = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        for ok, k, p in zip(lettered, logs.argmax(axis=1).tolist(), score.tolist(), strict=True):
+            yield (m.languages[k], p) if ok else (UNDETERMINED, 0.0)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(remainder("doc_id", 5) != 0)
+
+
+def keep_identified(df: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of df whose predicted language is not ``und`` and has probability ``least`` at least; all columns stay.
+
+    Batches pass through whole and are filtered where they are scored, so nothing is joined or shuffled.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [score >= least and lang != UNDETERMINED for lang, score in _predicted(batch.column(at), shared.value)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -250,3 +250,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = rows.drop("bands").join(named, "class", "left")
     out = out.withColumn("component_id", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept; of rows with one id, one stays, and rows without id stay only where their text has no other copy."""
+    found = stored(near_duplicates(docs, id_col, text_col), "neardup")
+    out = docs.join(found.where(f"kept and {id_col} is not null").select(F.col(id_col).alias("__id")).distinct(), F.col(id_col) == F.col("__id"), "left_semi")
+    n, known = found.agg(F.count(id_col), F.count_distinct(id_col)).first()
+    if n > known:  # repeated ids
+        out = out.dropDuplicates([id_col])
+    if found.count() > n:  # a row without id stays if its exact text has no id at all
+        none = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
+        others = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(text_col).alias("__h"))
+        out = out.unionAll(none.withColumn("__h", F.xxhash64(text_col)).join(others, "__h", "left_anti").select(*docs.columns))
+    return out

@@ -1,7 +1,67 @@
-"""placeholder until the stages exist"""
+"""The corpus pipeline: language, near duplicates, benchmark leaks, personal data, source mix.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the
+next stage's docs.  All but the last give the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tailweave.llm import decontam, langid, mixing, neardup, pii
+from tailweave.llm.common import stored, table
+
+#: Languages are rejected where none can be told, or where the best one is less likely than this.
+LEAST_LIKELY = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told: not ``und``, with probability LEAST_LIKELY at least; null ids go by their text too."""
+    return langid.keep_identified(docs, langid.train(langid.training_rows(docs)), LEAST_LIKELY)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, and one row of each repeated one."""
+    return neardup.without_duplicates(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and disclosing terms; n_chars follows the new text."""
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes words of, with their text, size, and the words taken (repeats counted)."""
+    mix = stored(mixing.mix_sources(docs).where("taken > 0"), "mix")
+    # ids are unique after the near-duplicate stage but for different texts under one id: those share the larger share
+    mix = mix.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(
+        F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken"), F.min("virtual_finish").alias("virtual_finish")
+    )
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("size", mixing.word_count(F.col("text")))
+    same = own["doc_id"].eqNullSafe(mix["__id"]) & own["source"].eqNullSafe(mix["__source"]) & (own["size"] == mix["__size"])
+    return own.join(mix.hint("shuffle_hash"), same).drop("__id", "__source", "__size")
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
+    ("personal_data", personal_data),
+    ("source_mix", source_mix),
+]
+
+#: Learned language models, sketches and projections are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,6 @@ def pool_1d(series: DataFrame, length: int, pool: int, stride: int, func: Callab
 
 def pool_cube_py(cube: DataFrame, height: int, width: int, pool: int, stride: int, func: Callable) -> DataFrame:
     """pool_2d for a Python function of a list of values, where no aggregate expression exists (one window a group)."""
-    import pandas as pd
-
     at = cube.select("t", F.expr(f"cell div {width}").alias("i"), (F.col("cell") % width).alias("j"), "value")
     spread = at.withColumn("oi", F.explode(_covering("i", height, pool, stride))).withColumn("oj", F.explode(_covering("j", width, pool, stride)))
 

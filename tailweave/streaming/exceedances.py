@@ -29,11 +29,11 @@ def stream_window_counts(exceeding: DataFrame, length: str = "1 day") -> DataFra
     return exceeding.groupBy(F.window("ts", length), "cell").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "cell", "n")
 
 
-def stream_joint(exceeding_late: DataFrame, exceeding_early: DataFrame, lag: str, slack: str = "1 second") -> DataFrame:
-    """(ts, i, j): i exceeds ``lag`` after j.  Both sides carry watermarks; state is kept for lag + slack only."""
-    late = exceeding_late.select(F.col("ts").alias("late_ts"), F.col("cell").alias("i"))
+def stream_joint(exceeding_late: DataFrame, exceeding_early: DataFrame, lag: str) -> DataFrame:
+    """(ts, i, j): i exceeds ``lag`` after j, on one time grid.  Both sides carry watermarks; the time bounds limit the state to ``lag``."""
+    late = exceeding_late.select(F.col("ts").alias("late_ts"), (F.col("ts") - F.expr(f"interval {lag}")).alias("tau"), F.col("cell").alias("i"))
     early = exceeding_early.select(F.col("ts").alias("early_ts"), F.col("cell").alias("j"))
-    same = F.expr(f"late_ts >= early_ts + interval {lag} and late_ts < early_ts + interval {lag} + interval {slack}")
+    same = F.expr(f"tau = early_ts and late_ts >= early_ts and late_ts <= early_ts + interval {lag}")
     return late.join(early, same).select(F.col("late_ts").alias("ts"), "i", "j")
 
 

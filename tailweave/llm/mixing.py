@@ -97,29 +97,25 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     low, high, done = 0.0, 2.0, 0
     finish, rank, last_words = (float("inf"), -1, 0) if not budget else (None, None, None)
     while finish is None:
-        width = (high - low) / RANGES
-        place = F.least(F.greatest(F.ceil((F.col("finish") - low) / width) - 1, F.lit(0)), F.lit(RANGES - 1))
-        inner = (F.col("finish") > low) & (F.col("finish") <= high)
+        place = F.least(F.floor((F.col("finish") - low) / ((high - low) / RANGES)), F.lit(RANGES - 1))
+        inner = F.col("finish").between(low, high)
         ranges = served.where(inner).groupBy(place.alias("k")).agg(F.sum("words").alias("words"), F.count("*").alias("n"), F.min("finish").alias("a"), F.max("finish").alias("b")).orderBy("k").collect()  # at most RANGES rows
         for r in ranges:
             if done + r["words"] >= budget:
                 break
             done += r["words"]
-        else:
-            if high == 2.0:  # all that is left finishes later
-                low, high = 2.0, float("1e300")
-                rest = served.where(F.col("finish") > low).agg(F.max("finish")).first()[0]
-                high = rest
-                continue
-            raise AssertionError("the sources hold less than the budget")
+        else:  # the budget ends later than twice the time that all targets take; only lost fractions of words can do that
+            low, high = served.where(F.col("finish") > high).agg(F.min("finish"), F.max("finish")).first()
+            high = max(high, low + 1)
+            continue
         if r["n"] <= SORTED or r["a"] == r["b"]:
-            for x in sorted(served.where((F.col("finish") >= r["a"]) & (F.col("finish") <= r["b"])).collect(), key=lambda x: (x["finish"], x["rank"])):
+            for x in sorted(served.where(F.col("finish").between(r["a"], r["b"])).collect(), key=lambda x: (x["finish"], x["rank"])):
                 if done + x["words"] >= budget:
                     finish, rank, last_words = x["finish"], x["rank"], budget - done
                     break
                 done += x["words"]
         else:
-            low, high = r["a"] - (r["b"] - r["a"]) / RANGES, r["b"]
+            low, high = r["a"], r["b"]
     took = lambda x: (
         F.when((x["finish"] < finish) | ((x["finish"] == finish) & (F.col("rank") < rank)), x["words"])
         .when((x["finish"] == finish) & (F.col("rank") == rank), F.lit(last_words).cast("long")).otherwise(F.lit(0).cast("long"))

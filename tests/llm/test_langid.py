@@ -37,7 +37,7 @@ def test_buckets_are_those_of_each_texts_own_grams():
 
 def test_posterior_like_brute_force(spark, rng):
     letters = {"x": "abcd", "y": "cdef", "z": "efgh"}
-    rows = [(k, "".join(rng.choice(letters[lang]) for _ in range(rng.randint(3, 12))), lang) for k in range(60) for lang in letters]
+    rows = [(k, "".join(rng.choice(letters[lang]) for _ in range(rng.randint(3, 12))), lang) for k, lang in enumerate([*letters] * 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(df)
     count, seen = defaultdict(Counter), Counter(r[2] for r in rows)

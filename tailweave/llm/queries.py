@@ -91,5 +91,38 @@ FROM r
 """
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source),
+w AS (SELECT *, rk % 3 + 1 AS w, 3*ss AS cap, CAST(sum(ss) OVER () AS BIGINT) AS total FROM s),
+o AS (SELECT *, total - coalesce(sum(cap) OVER before, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open FROM w
+  WINDOW before AS (ORDER BY cap/w::DOUBLE, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, rest*w > cap*open AS capped FROM o),
+f AS (SELECT max(total) - coalesce(sum(cap) FILTER (WHERE capped), 0) AS rest, sum(w) FILTER (WHERE NOT capped) AS open FROM c),
+t AS (SELECT source, rk, ss, total, CASE WHEN capped THEN cap::DOUBLE ELSE (f.rest*w)::DOUBLE/f.open::DOUBLE END AS target FROM c CROSS JOIN f),
+q AS (SELECT d.row_id, d.doc_id, d.size, t.rk, t.ss, t.target, t.total,
+    CAST(sum(d.size) OVER (PARTITION BY t.rk ORDER BY d.h, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start, CAST(floor(t.target + 0.5) AS BIGINT) AS cut
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, start + k*ss AS a, start + k*ss + size AS b, least(start + k*ss + size, greatest(start + k*ss, cut)) AS m FROM q CROSS JOIN range(3) g(k) WHERE size > 0 AND target > 0),
+e AS (SELECT row_id, rk, total, m/target AS finish, m - a AS words FROM p WHERE m > a UNION ALL SELECT row_id, rk, total, b/target AS finish, b - m AS words FROM p WHERE b > m),
+z AS (SELECT row_id, greatest(0, least(words, total - (sum(words) OVER (ORDER BY finish, rk ROWS UNBOUNDED PRECEDING) - words))) AS took FROM e),
+y AS (SELECT row_id, sum(took) AS taken FROM z GROUP BY row_id)
+SELECT doc_id, size, ss AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN y ON q.row_id = y.row_id
+"""
+
+#: Exact: every pair that shares a run of words is compared, and links are followed to the end.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM w CROSS JOIN unnest(range(1, greatest(len(w) - 3, 2))) u(k) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100*c >= 85*(p.n + q.n - c)),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.m = l.x),
+g AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT g.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, g.doc_id = component_id AS kept FROM g LEFT JOIN n ON n.doc_id = g.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3_SQL}
+    return {"op2_source_mix": OP2_SQL, "op3_url_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL}

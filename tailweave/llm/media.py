@@ -198,23 +198,26 @@ def payload_row(text: bytes, side: int = 32) -> tuple:
     tile = npy_tile(image, side)
     return (
         n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(),
-        difference_hash(image), hashlib.sha256(tile).hexdigest(),
+        difference_hash(image), hashlib.sha256(tile).hexdigest(), stored, tile,
     )
 
 
-def payload_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def payload_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Every text (null: empty) as a raw PGM image of 64 columns, read back: digests, difference hash and tile digest.
 
-    Bytes 0 fill the last row; an empty text is one row of them.  Equal texts give equal values.
+    Bytes 0 fill the last row; an empty text is one row of them.  Equal texts give equal values.  With ``keep``
+    the image file and its NPY tile are columns too (media, tile).
     """
+    schema = PAYLOAD_SCHEMA + (", media binary, tile binary" if keep else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(1)):
-                rows = [payload_row(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                columns = list(zip(*rows, strict=True))
-                arrays = [pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in columns]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *arrays], names=["id", *(x.split()[0] for x in PAYLOAD_SCHEMA.split(", "))])
+                rows = [payload_row(data[a:b].tobytes())[: len(names)] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                arrays = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *arrays], names=["id", *names])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"`id` {kind}, {PAYLOAD_SCHEMA}").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"`id` {kind}, {schema}").withColumnRenamed("id", id_col)

@@ -99,3 +99,6 @@ def test_payloads_round_trip(awkward, clashing, nothing):
             assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
     assert len({r["feature"] for r in got if r["doc_id"] in (1, 11)}) == 1
     assert media.payload_media(nothing).count() == 0
+    for r in media.payload_media(awkward, keep=True).collect():
+        assert hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and len(media.decode_image(bytes(r["media"])).tobytes()) == r["payload_bytes"]
+        assert media.read_tile(r["tile"]).shape == (32, 32, 1)

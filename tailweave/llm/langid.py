@@ -16,27 +16,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, require_bound
-from .textarrays import SLICE, U, mix, slices, text_array
+from .textarrays import slices, text_array
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3)
 MOST_LANGUAGES = 200
 UNDETERMINED = "und"
+#: Bytes of text handled at a time, for up to four languages; each byte takes some 60 bytes of arrays.
+SLICE = 512 << 10
 
 
 def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """For each n: the bucket of the n-gram at each character (BUCKETS where it would leave its text); offsets in characters."""
     at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
-    c = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    end = np.repeat(at[1:], np.diff(at)) - np.arange(len(c))
-    out, rolled = [], np.zeros(len(c), np.uint64)
+    c = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    left = np.repeat(at[1:], np.diff(at)).astype(np.int32) - np.arange(len(c), dtype=np.int32)  # characters up to the text's end
+    out, rolled = [], np.zeros(len(c), np.uint32)
     for n in range(1, max(GRAMS) + 1):
-        follow = np.zeros(len(c), np.uint64)
-        follow[: max(0, len(c) - n + 1)] = c[n - 1 :]
-        rolled = rolled * U(0x100000001B3) + follow + U(1)
+        rolled *= np.uint32(0x01000193)
+        rolled += np.uint32(1)
+        rolled[: max(0, len(c) - n + 1)] += c[n - 1 :]
         if n in GRAMS:
-            bucket = (mix(rolled + U(n)) >> U(48)).astype(np.int64)
-            bucket[end < n] = BUCKETS
+            x = rolled + np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            x ^= x >> np.uint32(12)
+            x *= np.uint32(0x297A2D39)
+            bucket = (x >> np.uint32(16)).astype(np.int32)
+            bucket[left < n] = BUCKETS
             out.append(bucket)
     return out, at
 
@@ -68,7 +75,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             lowered, langs = pc.utf8_lower(text_array(batch.column(0))), batch.column(1).to_pylist()
-            for first, _, data, offsets in slices(lowered):
+            for first, _, data, offsets in slices(lowered, SLICE):
                 buckets, at = gram_buckets(data, offsets)
                 for d in range(len(offsets) - 1):
                     own = sums.setdefault(langs[first + d], np.zeros(BUCKETS + 1, np.int64))

@@ -1,6 +1,6 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Benchmark items (a bounded table) are cut into passages of SPAN words.  Document frequencies of their words
+1. Benchmark items (at most MOST_BYTES, in blocks of MOST_WORDS words, which bound the index) are cut into passages of SPAN words.  Document frequencies of their words
    are counted over all document passages.
 2. The TF-IDF matrix of the benchmark passages gets a randomised SVD: products with the matrix are sums over the
    executors' rows; only thin matrices (terms x RANK) come together.
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require_bound, stored
+from .common import require_bound, stored, without_ids
 from .textarrays import slices, text_array, words
 
 SPAN, STEP, RANK, OVERSAMPLE, TURNS = 48, 24, 256, 16, 2
@@ -34,7 +34,7 @@ LIKELY, COVER = 0.30, 0.60
 #: Without full cover: so many words in sequence, in at most 1 / DENSE times as many words of the document.
 RUN, DENSE = 13, 0.85
 COMMON, FEW = 0.05, 4
-MOST_ITEMS, MOST_BYTES = 20_000, 64 << 20
+MOST_BYTES, MOST_WORDS = 64 << 20, 100_000
 KEY_WORDS = 6
 
 #: ASCII punctuation parts words here, and case is folded for all letters: neither hides a copy.
@@ -217,14 +217,29 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, turns: int = TURNS, s
     return x @ vector[:, keep]
 
 
-def build_index(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", rank: int = RANK) -> LatentIndex:
-    """texts: one column, the document texts.  Items whose text is null or has no word can't be found and are passed over."""
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
+    """The items in blocks of at most MOST_WORDS words (or one item).
+
+    Items without id, text or word can't be found and are passed over; repeated rows count once.
+    """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").distinct()
-    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    require_bound(n, MOST_ITEMS, "benchmark items")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0]
     require_bound(size or 0, MOST_BYTES, "bytes of benchmark items")
-    rows = sorted((r["id"], r["text"]) for r in items.collect())
-    own = [(i, w, t) for i, t in rows if len(w := _text_words(t))]
+    blocks, room = [], 0
+    for i, text in sorted((r["id"], r["text"]) for r in items.collect()):
+        n = len(_text_words(text))
+        if n:
+            if n > room:
+                blocks.append([])
+                room = MOST_WORDS
+            blocks[-1].append((i, text))
+            room -= n
+    return blocks
+
+
+def build_index(texts: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> LatentIndex:
+    """texts: one column, the document texts.  items: id and text, each with a word."""
+    own = [(i, _text_words(t), t) for i, t in items]
     terms = np.unique(np.concatenate([w for _, w, _ in own])) if own else np.zeros(0, np.uint64)
     df, total = document_frequencies(texts, terms)
     weight = np.log((total + 1) / (df + 1)) + 0.1
@@ -317,11 +332,15 @@ def contaminated(df: DataFrame, index: LatentIndex, id_col: str = "doc_id", text
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    index = build_index(docs.select(F.col(text_col).alias("text")), benchmark)
-    return contaminated(docs, index, id_col, text_col)
+    """contaminated() for all items: block after block of the benchmark against all rows."""
+    texts, out = docs.select(F.col(text_col).alias("text")), None
+    for items in item_blocks(benchmark) or [[]]:
+        own = contaminated(docs, build_index(texts, items), id_col, text_col)
+        out = own if out is None else out.unionAll(own)
+    return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id holds no benchmark item; rows with a null id stay."""
-    hit = stored(find_leaks(docs, benchmark, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__hit")).distinct(), "leaks")
-    return docs.join(hit, docs[id_col] == hit["__hit"], "left_anti")
+    hit = find_leaks(docs, benchmark, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    return without_ids(docs, stored(hit, "leaks"), id_col)

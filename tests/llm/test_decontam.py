@@ -63,6 +63,15 @@ def test_finds_copies_and_paraphrases_only(spark, rng):
     assert kept == set(range(240)) - {d for d, _ in want}
 
 
+def test_blocks_of_items_find_the_same(spark, rng, monkeypatch):
+    bench = items(rng, 12)
+    docs = [(k, " ".join(filler(rng, 50)) + " " + bench[k % 12][1]) for k in range(24)]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    monkeypatch.setattr(decontam, "MOST_WORDS", 90)
+    assert len(decontam.item_blocks(b)) > 2
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, b).collect()} == {(k, k % 12) for k in range(24)}
+
+
 def test_answers_have_to_be_there(spark):
     question = "what is the name of the tall river that runs through the old stone city of maroon hills? clearwater"
     docs = [(1, "yes " + question), (2, "well " + question.replace("clearwater", "unknown"))]

@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 
 from tailweave.llm import neardup
+from tailweave.llm.common import marked_ids, without_ids
 from tailweave.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,11 +121,13 @@ def test_awkward_rows(awkward, clashing, nothing):
 
 
 def test_ids_filter_misses_none(spark):
-    docs = spark.range(3000).selectExpr("id", "cast(id as string) as text")
+    docs = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) as text")
     some = spark.range(0, 3000, 37)
-    got = {r["id"] for r in neardup.only_candidates(docs, some, 82).collect()}
+    got = {r["doc_id"] for r in marked_ids(docs, some, 82).where("__may").collect()}
     assert set(range(0, 3000, 37)) <= got and len(got) < 400
-    assert neardup.only_candidates(docs, some.where("id < 0"), 0).count() == 0
+    assert marked_ids(docs, some.where("id < 0"), 0).where("__may").count() == 0
+    assert {r["doc_id"] for r in without_ids(docs, some).collect()} == set(range(3000)) - set(range(0, 3000, 37))
+    assert without_ids(docs, some.where("id < 0")).count() == 3000
 
 
 def test_sizes_of_groups(spark, rng):

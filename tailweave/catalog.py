@@ -238,6 +238,12 @@ def flow_vectors(spark, d):
     return found.select("i", *[r(c).alias(c) for c in ("i_c", "j_c", "u", "v", "max_chi")])
 
 
+@query(f"WITH {FLOW} SELECT i, i // 5 AS lat_row, i % 5 AS lon_column, CASE WHEN w IS NOT NULL THEN x END AS max_chi FROM f")
+def max_chi_image(spark, d):
+    found = paths.flow_vectors(paths.top_neighbors(weekly_edges(spark, d), 0.9), 5)
+    return found.select("i", F.expr("i div 5").alias("lat_row"), (F.col("i") % 5).alias("lon_column"), "max_chi")
+
+
 @query(f"WITH {E2}, top AS ({TOP.format(q=0.9, op='>=')}) SELECT i, array_to_string(list(CAST(j AS VARCHAR) ORDER BY j), ',') AS neighbors FROM top GROUP BY i")
 def neighbor_map(spark, d):
     found = paths.neighbor_map(paths.top_neighbors(weekly_edges(spark, d), 0.9))
@@ -461,6 +467,29 @@ def puzzle_xy(spark, d):
     return puzzle.puzzle(blocks, LAGS).select("t", "cell", "y", *[F.col("x")[k].alias(f"x{k}") for k in range(6)])
 
 
+@query(f"""WITH {PUZZLE}, m AS (SELECT a.t, a.cell, a.y, a.x1 AS x0, a.x2 AS x1, b.x1 AS x2, b.x2 AS x3 FROM f_1_1 a JOIN f_1_2 b ON a.t = b.t AND a.cell = b.cell WHERE a.cell % 2 = 0)
+SELECT strftime(DATE '1995-01-01' + CAST(7*d.t AS INTEGER), '%Y-%m-%d') AS date, c.range AS cell, coalesce(y, 0) AS y, coalesce(x0, 0) AS x0, coalesce(x1, 0) AS x1, coalesce(x2, 0) AS x2, coalesce(x3, 0) AS x3
+FROM (SELECT DISTINCT t FROM m) d CROSS JOIN range(25) c LEFT JOIN m ON m.t = d.t AND m.cell = c.range""")
+def puzzle_dated_dense(spark, d):
+    """Two lag lists, paths for every other cell only: the others are zeros; steps carry their dates."""
+    lists = {k: LAGS[k] for k in ("1_1", "1_2")}
+    own = {k: v.where("origin % 2 = 0") for k, v in _pathways(spark, d).items() if k in lists}
+    cube = weekly(spark, d).withColumn("value", F.col("value").cast("double"))
+    table = puzzle.puzzle(puzzle.joint_blocks(own, cube, lists, 0, W_END), lists, cells_of(spark, 25))
+    dates = spark.range(cubes.WEEKLY_STEPS).select(F.col("id").alias("t"), F.expr("cast(date_add(date'1995-01-01', cast(7 * id as int)) as string)").alias("date"))
+    dated = pipelines.with_dates(table, dates)
+    return dated.select("date", "cell", F.col("y").cast("bigint").alias("y"), *[F.col("x")[k].cast("bigint").alias(f"x{k}") for k in range(4)])
+
+
+@query(f"""WITH {ALL3}, p AS (SELECT s.range AS origin, coalesce(b, s.range) AS b FROM range(25) s LEFT JOIN best ON best.origin = s.range),
+f AS (SELECT y.cell, y.t // 4 AS period, y.value AS a, x.value AS b FROM p JOIN weekly y ON y.cell = p.origin JOIN weekly x ON x.cell = p.b AND x.t = y.t - 1 WHERE y.t BETWEEN 52 AND 155)
+SELECT cell, CAST(period AS BIGINT) AS period, avg(a) AS y_true, avg(b) AS y_pred FROM f GROUP BY cell, period""")
+def predict_resampled(spark, d):
+    every = cells_of(spark, 25)
+    best = explore.best_or_self(every, _station(spark, d, [1, 2], every).steps[3].best, 3)
+    return pipelines.predict(best, weekly(spark, d), 1, 52, 155, 4)
+
+
 @query(f"""WITH {ALL3}, p AS (SELECT s.range AS origin, coalesce(b, s.range) AS b FROM range(25) s LEFT JOIN best ON best.origin = s.range)
 SELECT y.cell, y.t, y.value AS y_true, x.value AS y_pred FROM p JOIN weekly y ON y.cell = p.origin JOIN weekly x ON x.cell = p.b AND x.t = y.t - 1""")
 def persistence_forecast(spark, d):
@@ -567,6 +596,20 @@ def metrics_quantile_mae(spark, d):
     return metrics.quantile_mae(cubes.forecast_pair(spark, d)).select(r("quantile_mae", 6).alias("quantile_mae"))
 
 
+@query(f"""WITH {F4}, rk AS (SELECT cell, (rank() OVER (PARTITION BY cell ORDER BY y_true) + (count(*) OVER (PARTITION BY cell, y_true) - 1)/2.0::DOUBLE) AS a,
+ (rank() OVER (PARTITION BY cell ORDER BY y_pred) + (count(*) OVER (PARTITION BY cell, y_pred) - 1)/2.0::DOUBLE) AS b FROM pair)
+SELECT cell, round(covar_pop(a, b)/nullif(sqrt(var_pop(a)*var_pop(b)), 0), 6) AS spearman FROM rk GROUP BY cell""")
+def spearman_by_cell(spark, d):
+    return metrics.spearman(cubes.forecast_pair(spark, d), ["cell"]).select("cell", r("spearman", 6).alias("spearman"))
+
+
+@query(f"""WITH {F4}, q AS (SELECT cell, quantile_cont(y_true, 0.9) AS a, quantile_cont(y_pred, 0.9) AS b, count(*) AS n FROM pair GROUP BY cell),
+h AS (SELECT pair.cell, max(n) AS n, count(*) FILTER (WHERE y_true >= a AND y_pred >= b) AS h FROM pair JOIN q ON q.cell = pair.cell GROUP BY pair.cell)
+SELECT cell, h/n::DOUBLE/(1 - 0.9::DOUBLE) AS chi FROM h""")
+def bivariate_chi_by_cell(spark, d):
+    return metrics.bivariate_chi(cubes.forecast_pair(spark, d), 0.9, ["cell"])
+
+
 EVENTS = """c AS (SELECT {key} count(*) FILTER (WHERE y_true >= {x} AND y_pred >= {x}) AS tp, count(*) FILTER (WHERE y_true < {x} AND y_pred >= {x}) AS fp,
  count(*) FILTER (WHERE y_true >= {x} AND y_pred < {x}) AS fn, count(*) FILTER (WHERE y_true < {x} AND y_pred < {x}) AS tn FROM pair {group})
 SELECT {key} tp, fp, fn, tn, tp/nullif(tp + fn, 0)::DOUBLE AS pod, fp/nullif(tp + fp, 0)::DOUBLE AS far, tp/nullif(tp + fp + fn, 0)::DOUBLE AS csi, (tp + fp)/nullif(tp + fn, 0)::DOUBLE AS bias_score FROM c"""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
@@ -13,6 +15,8 @@ from ..functions.ranks import ecdf
 from ..operators import explore, graph, paths, puzzle
 from ..operators.lags import sequence_pairs
 from ..operators.selection import positional_split
+from ..sources.cubes import read_cube, read_folder
+from ..sources.sinks import append_runs
 from ..storage import stored
 
 
@@ -29,6 +33,20 @@ class Model:
     pathways: DataFrame  # origin, path; the own cell repeated where nothing was found
 
 
+def study_window(dates: DataFrame, first: str, last: str) -> tuple[int, int]:
+    """[start, end) of two dates, by exact match; the last date's own step is not used.  Missing dates are an error."""
+    found = {r["date"]: r["t"] for r in dates.where(F.col("date").isin(first, last)).select("date", "t").collect()}
+    for d in (first, last):
+        if d not in found:
+            raise ValueError(f"no step has the date {d}")
+    return found[first], found[last]
+
+
+def with_dates(table: DataFrame, dates: DataFrame) -> DataFrame:
+    """table with its step's date; steps without one are left out."""
+    return table.join(dates.select("t", "date"), "t")
+
+
 def build_models(cube: DataFrame, width: int, lag_lists: Sequence[Sequence[int]], start: int, end: int, d: int = 3, p: float = 0.95, q: float = 0.9, percent: float = 50.0, rates: Sequence[float] | None = None, land: DataFrame | None = None, keep: bool = True) -> dict[str, Model]:
     """One model a lag list; lag lists with one first lag share their graph, and all share the ranks."""
     hold = stored if keep else (lambda df, _: df)
@@ -47,6 +65,54 @@ def build_models(cube: DataFrame, width: int, lag_lists: Sequence[Sequence[int]]
     return out
 
 
+def save_models(models: dict[str, Model], folder: str) -> None:
+    """Relations of all models, partitioned by run; a run that is saved again replaces itself only."""
+    for key, m in models.items():
+        best, image = m.found.steps[max(m.found.steps)].best, m.found.steps[max(m.found.steps)].image
+        for name, df in {"edges": m.edges, "top": m.top, "flow": m.flow, "best": best, "image": image, "pathways": m.pathways}.items():
+            append_runs(df.withColumn("run_name", F.lit(key)), f"{folder}/{name}")
+
+
+def load_relations(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The saved relations, each with its run_name."""
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("edges", "top", "flow", "best", "image", "pathways")}
+
+
+def load_merged(spark: SparkSession, folders: Sequence[str], relation: str = "pathways") -> DataFrame:
+    """One relation of several stores; of runs with one name the last folder's wins.  Folders that don't exist are passed over."""
+    found = []
+    for folder in folders:
+        try:
+            found.append(spark.read.parquet(f"{folder}/{relation}"))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    if not found:
+        raise ValueError("none of the model folders exists")
+    both = reduce(DataFrame.unionByName, [df.withColumn("__source", F.lit(k)) for k, df in enumerate(found)])
+    newest = both.groupBy("run_name").agg(F.max("__source").alias("__source"))
+    return both.join(newest, ["run_name", "__source"]).drop("__source")
+
+
+def build_folder(spark: SparkSession, folder: str, width: int, lag_lists: Sequence[Sequence[int]], out: str, suffix: str = ".parquet", **options) -> list[str]:
+    """Models of every cube in a folder, each saved under its name; returns the names."""
+    files = sorted({r[0] for r in read_folder(spark, folder, suffix).select("source_file").distinct().collect()})  # one row a file
+    names = []
+    for file in files:
+        name = file.rsplit("/", 1)[-1].removesuffix(suffix)
+        cube = stored(read_cube(spark, file), "cube")
+        last = cube.agg(F.max("t")).first()[0]
+        save_models(build_models(cube, width, lag_lists, 0, last, **options), f"{out}/{name}")
+        names.append(name)
+    return names
+
+
+def predict(pathways: DataFrame, cube: DataFrame, lag: int, first: int, last: int, every: int = 1, value: str = "value") -> DataFrame:
+    """Persistence forecast for steps first to last (both included), as means over ``every`` steps if more than 1."""
+    own = puzzle.persistence(pathways, cube, lag, value).where(F.col("t").between(first, last))
+    return own if every == 1 else puzzle.resampled(own, every)
+
+
 def training_table(cube: DataFrame, models: dict[str, Model], start: int, end: int, cells: DataFrame | None = None, value: str = "value") -> DataFrame:
     """puzzle(t, cell, x, y) over all lag lists."""
     lists = {k: m.lags for k, m in models.items()}

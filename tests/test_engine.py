@@ -452,6 +452,31 @@ def test_whole_flow(spark, rain):
     assert linear.groupBy("part").count().count() == 2
 
 
+def test_models_are_saved_merged_and_built_from_folders(spark, rain, tmp_path):
+    cube_of(spark, rain).coalesce(1).write.parquet(str(tmp_path / "in/a.parquet"))
+    options = {"p": P, "percent": 40}
+    names = pipelines.build_folder(spark, str(tmp_path / "in"), 3, [[1, 1]], str(tmp_path / "out"), **options)
+    assert len(names) == 1
+    one = f"{tmp_path}/out/{names[0]}"
+    models = pipelines.build_models(cube_of(spark, rain), 3, [[1, 1], [2, 1]], 0, 149, **options)
+    pipelines.save_models(models, str(tmp_path / "two"))
+    pipelines.save_models({"1_1": models["1_1"]}, str(tmp_path / "two"))
+    assert pipelines.load_relations(spark, str(tmp_path / "two"))["edges"].groupBy("run_name").count().orderBy("run_name").collect() == [("1_1", 36), ("2_1", 36)]
+    merged = pipelines.load_merged(spark, [one, str(tmp_path / "none"), str(tmp_path / "two")])
+    assert merged.groupBy("run_name").count().orderBy("run_name").collect() == [("1_1", 6), ("2_1", 6)]
+    with pytest.raises(ValueError):
+        pipelines.load_merged(spark, [str(tmp_path / "none")])
+    assert pipelines.predict(models["1_1"].pathways, cube_of(spark, rain), 1, 10, 19, 5).count() == 12
+
+
+def test_study_windows(spark):
+    dates = spark.createDataFrame([(k, f"2001-01-0{k + 1}") for k in range(9)], "t long, date string")
+    assert pipelines.study_window(dates, "2001-01-02", "2001-01-09") == (1, 8)
+    with pytest.raises(ValueError):
+        pipelines.study_window(dates, "2001-01-02", "2001-02-01")
+    assert pipelines.with_dates(dates.select("t"), dates.where("t < 3")).count() == 3
+
+
 def test_plan_filters_before_joining(spark, small):
     """Only exceedances reach the join on tau, and scans read only what is needed."""
     from tailweave import catalog

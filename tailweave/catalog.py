@@ -436,7 +436,8 @@ def hyperdim_converge(spark, d):
 def _pathways(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     every, ranks = cells_of(spark, 25), stored(ecdf(weekly(spark, d)), "ecdf")
     edges = {lag: stored(graph.lag_graph(ranks, every, lag, 0, W_END, P), "edges") for lag in {x[0] for x in LAGS.values()}}
-    best = {k: explore.explore_stations(ranks, edges[x[0]], every, 3, x, 0, W_END, P, PERCENT).steps[3].best for k, x in LAGS.items()}
+    prepared = explore.prepare(ranks, P)
+    best = {k: explore.explore_stations(ranks, edges[x[0]], every, 3, x, 0, W_END, P, PERCENT, prepared=prepared).steps[3].best for k, x in LAGS.items()}
     return {k: explore.best_or_self(every, b, 3) for k, b in best.items()}
 
 

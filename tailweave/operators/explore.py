@@ -104,7 +104,13 @@ def _sampled(nodes: DataFrame, rate: float, seed: int) -> DataFrame:
     return hash_prefix(nodes, rate, ["cell"], ["origin"], seed)
 
 
-def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_max: int, lags: Sequence[int], start: int, end: int, p: float = 0.95, percent: float = 50.0, rates: Sequence[float] | None = None, seed: int = 7, keep: bool = True) -> Exploration:
+def prepare(ecdf: DataFrame, p: float = 0.95, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(exceedances, cells), stored once for several explorations of one set of ranks."""
+    hold = stored if keep else (lambda df, _: df)
+    return hold(exceedances(ecdf, p), "exceedances"), hold(ecdf.select("cell").distinct(), "cells")
+
+
+def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_max: int, lags: Sequence[int], start: int, end: int, p: float = 0.95, percent: float = 50.0, rates: Sequence[float] | None = None, seed: int = 7, keep: bool = True, prepared: tuple[DataFrame, DataFrame] | None = None) -> Exploration:
     """Pathways from every station at once.  stations: cell.  edges: i, j, chi of the lagged graph, with all cells as j.
 
     Node lists: the station; cells whose chi with it lies above the percentile (0-100 scale) of its row; for
@@ -117,8 +123,7 @@ def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_m
     if len(rates) < d_max - 1:
         raise ValueError(f"{d_max} nodes need {d_max - 1} sampling rates")
     hold = stored if keep else (lambda df, _: df)
-    over = hold(exceedances(ecdf, p), "exceedances")
-    cells = hold(ecdf.select("cell").distinct(), "cells")
+    over, cells = prepared or prepare(ecdf, p, keep)
     origin = stations.select(F.col("cell").alias("origin"), "cell")
     first = edges.join(stations.select(F.col("cell").alias("i")), "i", "left_semi").select(F.col("i").alias("origin"), F.col("j").alias("cell"), "chi")
     lists = [origin, image_selection(first, percent, "chi", ["origin"]).select("origin", "cell")]
@@ -144,8 +149,7 @@ def explore_regions(ecdf: DataFrame, members: DataFrame, centroids: DataFrame, d
     check_percent(percent)
     if len(rates) < d_max - 1:
         raise ValueError(f"{d_max} nodes need {d_max - 1} sampling rates")
-    over = stored(exceedances(ecdf, p), "exceedances")
-    cells = stored(ecdf.select("cell").distinct(), "cells")
+    over, cells = prepare(ecdf, p)
     lists = [members.select("origin", "cell"), image_selection(centroids, percent, "weight", ["origin"]).select("origin", "cell")]
     now, out = list(rates), Exploration()
     for d in range(3, d_max + 1):

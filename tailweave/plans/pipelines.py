@@ -51,7 +51,8 @@ def build_models(cube: DataFrame, width: int, lag_lists: Sequence[Sequence[int]]
     """One model a lag list; lag lists with one first lag share their graph, and all share the ranks."""
     hold = stored if keep else (lambda df, _: df)
     ranks = hold(ecdf(cube), "ecdf")
-    cells = hold(cube.select("cell").distinct(), "cells")
+    prepared = explore.prepare(ranks, p, keep)
+    cells = prepared[1]
     rows = land if land is not None else cells
     edges, out = {}, {}
     for lags in lag_lists:
@@ -59,7 +60,7 @@ def build_models(cube: DataFrame, width: int, lag_lists: Sequence[Sequence[int]]
             edges[lags[0]] = hold(graph.lag_graph(ranks, cells, lags[0], start, end, p, rows), "edges")
         own = edges[lags[0]]
         top = paths.top_neighbors(own, q)
-        found = explore.explore_stations(ranks, own, rows, d, lags, start, end, p, percent, rates, keep=keep)
+        found = explore.explore_stations(ranks, own, rows, d, lags, start, end, p, percent, rates, keep=keep, prepared=prepared)
         best = explore.best_or_self(rows, found.steps[d].best, d)
         out["_".join(map(str, lags))] = Model(list(lags), ranks, own, top, paths.flow_vectors(top, width), found, best)
     return out

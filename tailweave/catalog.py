@@ -46,17 +46,17 @@ F1 = """o1 AS (SELECT date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS
   (CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END)*4 + user_id%4 AS cell,
   CAST(round(value*100) AS BIGINT) AS c FROM events),
 a1 AS (SELECT t, cell, sum(c) AS c FROM o1 GROUP BY t, cell),
-hourly AS (SELECT g.t, h.cell, CAST(coalesce(a1.c, 0) AS BIGINT) AS value
+hourly AS MATERIALIZED (SELECT g.t, h.cell, CAST(coalesce(a1.c, 0) AS BIGINT) AS value
 FROM (SELECT range AS t FROM range(720)) g CROSS JOIN (SELECT range AS cell FROM range(20)) h
 LEFT JOIN a1 ON a1.t = g.t AND a1.cell = h.cell)"""
 F2 = """o2 AS (SELECT CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 7.0) AS BIGINT) AS t,
   CAST((s_nationkey%5)*5 + s_nationkey//5 AS BIGINT) AS cell, CAST(l_quantity AS BIGINT) AS q
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 a2 AS (SELECT t, cell, CAST(sum(q) AS BIGINT) AS q FROM o2 GROUP BY t, cell),
-weekly AS (SELECT g.t, h.cell, CAST(coalesce(a2.q, 0) AS BIGINT) AS value
+weekly AS MATERIALIZED (SELECT g.t, h.cell, CAST(coalesce(a2.q, 0) AS BIGINT) AS value
 FROM (SELECT range AS t FROM range(358)) g CROSS JOIN (SELECT range AS cell FROM range(25)) h
 LEFT JOIN a2 ON a2.t = g.t AND a2.cell = h.cell)"""
-F3 = """image AS (SELECT vec_id AS t, p.range AS cell, CAST(embedding[p.range + 1] AS DOUBLE) AS value, label
+F3 = """image AS MATERIALIZED (SELECT vec_id AS t, p.range AS cell, CAST(embedding[p.range + 1] AS DOUBLE) AS value, label
 FROM embeddings CROSS JOIN range(64) p)"""
 F4 = F1 + """, pair AS (SELECT * FROM (SELECT cell, t, value/100.0::DOUBLE AS y_true,
   lag(value) OVER (PARTITION BY cell ORDER BY t)/100.0::DOUBLE AS y_pred FROM hourly) WHERE y_pred IS NOT NULL)"""
@@ -65,7 +65,7 @@ F5 = """orderpair AS (SELECT o_orderkey AS k, o_totalprice AS y_true, s.p AS y_p
 
 
 def u_sql(source: str, name: str) -> str:
-    return f"""{name} AS (SELECT t, cell, (rank() OVER (PARTITION BY cell ORDER BY value) + (count(*) OVER (PARTITION BY cell, value) - 1)/2.0::DOUBLE)
+    return f"""{name} AS MATERIALIZED (SELECT t, cell, (rank() OVER (PARTITION BY cell ORDER BY value) + (count(*) OVER (PARTITION BY cell, value) - 1)/2.0::DOUBLE)
   / (count(*) OVER (PARTITION BY cell) + 1) AS u FROM {source})"""
 
 
@@ -73,7 +73,7 @@ def graph_sql(u: str, lag: int, end: int, cells: int, name: str = "edge") -> str
     n = end - lag
     return f"""{name}_h AS (SELECT a.cell AS i, b.cell AS j, count(*) AS hits FROM {u} a JOIN {u} b ON a.t - {lag} = b.t
   WHERE a.u >= 0.95::DOUBLE AND b.u >= 0.95::DOUBLE AND a.t >= {lag} AND a.t < {end} GROUP BY 1, 2),
-{name} AS (SELECT x.range AS i, y.range AS j, CAST(coalesce(hits, 0) AS BIGINT) AS hits, CAST({n} AS BIGINT) AS n,
+{name} AS MATERIALIZED (SELECT x.range AS i, y.range AS j, CAST(coalesce(hits, 0) AS BIGINT) AS hits, CAST({n} AS BIGINT) AS n,
   coalesce(hits, 0)/{n}.0::DOUBLE/(1 - 0.95::DOUBLE) AS chi
   FROM range({cells}) x CROSS JOIN range({cells}) y LEFT JOIN {name}_h h ON h.i = x.range AND h.j = y.range)"""
 
@@ -344,9 +344,9 @@ h3{tag} AS (SELECT n.origin, n.cell AS b, z.cell AS c, count(*) AS hits FROM n1{
   JOIN u2 x ON x.cell = n.origin AND x.u >= 0.95::DOUBLE AND x.t >= 0 AND x.t < {W_END - total}
   JOIN u2 y ON y.cell = n.cell AND y.u >= 0.95::DOUBLE AND y.t = x.t + {lag1}
   JOIN u2 z ON z.u >= 0.95::DOUBLE AND z.t = x.t + {total} GROUP BY 1, 2, 3),
-combo{tag} AS (SELECT n.origin, n.cell AS b, q.range AS c, CAST(coalesce(h.hits, 0) AS BIGINT) AS hits, coalesce(h.hits, 0)/{n}.0::DOUBLE/(1 - 0.95::DOUBLE) AS chi
+combo{tag} AS MATERIALIZED (SELECT n.origin, n.cell AS b, q.range AS c, CAST(coalesce(h.hits, 0) AS BIGINT) AS hits, coalesce(h.hits, 0)/{n}.0::DOUBLE/(1 - 0.95::DOUBLE) AS chi
   FROM n1{tag} n CROSS JOIN range(25) q LEFT JOIN h3{tag} h ON h.origin = n.origin AND h.b = n.cell AND h.c = q.range),
-best{tag} AS (SELECT origin, b, c, hits, chi FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY hits DESC, b, c) AS k FROM combo{tag}) WHERE k = 1),
+best{tag} AS MATERIALIZED (SELECT origin, b, c, hits, chi FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY hits DESC, b, c) AS k FROM combo{tag}) WHERE k = 1),
 image{tag} AS (SELECT origin, c AS cell, count(*) AS count, CAST(sum(hits) AS BIGINT) AS s, CAST(sum(hits*hits) AS BIGINT) AS q FROM combo{tag} GROUP BY 1, 2),
 peak{tag} AS (SELECT origin, cell FROM (SELECT origin, cell, row_number() OVER (PARTITION BY origin ORDER BY s/count::DOUBLE DESC, cell) AS k FROM image{tag}) WHERE k = 1)"""
 
@@ -444,8 +444,8 @@ def _pathways(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 E22 = U2 + ", " + graph_sql("u2", 1, W_END, 25, "edge1") + ", " + graph_sql("u2", 2, W_END, 25, "edge2")
 PUZZLE = E22 + ", " + ", ".join(
     d3_sql(*x, "true", f"_{k}", f"edge{x[0]}") + f""",
-p_{k} AS (SELECT s.range AS origin, coalesce(b, s.range) AS b, coalesce(c, s.range) AS c FROM range(25) s LEFT JOIN best_{k} z ON z.origin = s.range),
-f_{k} AS (SELECT y.t, p.origin AS cell, y.value AS y, m1.value AS x1, m2.value AS x2 FROM p_{k} p JOIN weekly y ON y.cell = p.origin
+p_{k} AS MATERIALIZED (SELECT s.range AS origin, coalesce(b, s.range) AS b, coalesce(c, s.range) AS c FROM range(25) s LEFT JOIN best_{k} z ON z.origin = s.range),
+f_{k} AS MATERIALIZED (SELECT y.t, p.origin AS cell, y.value AS y, m1.value AS x1, m2.value AS x2 FROM p_{k} p JOIN weekly y ON y.cell = p.origin
   JOIN weekly m1 ON m1.cell = p.b AND m1.t = y.t - {x[0]} JOIN weekly m2 ON m2.cell = p.c AND m2.t = y.t - {sum(x)} WHERE y.t >= {sum(x)} AND y.t < {W_END})"""
     for k, x in LAGS.items()
 )
@@ -633,7 +633,7 @@ def kendall_tau(spark, d):
     return metrics.kendall(cubes.forecast_pair(spark, d).where("cell = 0")).select("cell", r("kendall").alias("kendall"))
 
 
-IMAGE_PAIR = F3 + ", ip AS (SELECT a.t, a.cell, a.value AS y_true, b.value AS y_pred FROM image a JOIN image b ON a.cell = b.cell AND b.t = a.t - 1)"
+IMAGE_PAIR = F3 + ", ip AS MATERIALIZED (SELECT a.t, a.cell, a.value AS y_true, b.value AS y_pred FROM image a JOIN image b ON a.cell = b.cell AND b.t = a.t - 1)"
 
 
 def image_pair(spark: SparkSession, d: str) -> DataFrame:
@@ -648,9 +648,10 @@ def psnr(spark, d):
 
 
 _G = metrics.gaussian(7)
-SSIM = f"""{IMAGE_PAIR}, g(k, w) AS (VALUES {', '.join(f'({k}, {w!r}::DOUBLE)' for k, w in enumerate(_G))}),
-l AS (SELECT t, oi, oj, sum(gi.w*gj.w*y_true) AS ma, sum(gi.w*gj.w*y_pred) AS mb, sum(gi.w*gj.w*y_true*y_true) AS aa, sum(gi.w*gj.w*y_pred*y_pred) AS bb, sum(gi.w*gj.w*y_true*y_pred) AS ab
- FROM ip CROSS JOIN range(2) x(oi) CROSS JOIN range(2) y(oj) JOIN g gi ON gi.k = cell // 8 - oi JOIN g gj ON gj.k = cell % 8 - oj GROUP BY 1, 2, 3),
+SSIM = f"""{IMAGE_PAIR},
+wt AS MATERIALIZED (SELECT t, oi, oj, ([{', '.join(f'{w!r}::DOUBLE' for w in _G)}])[cell // 8 - oi + 1]*([{', '.join(f'{w!r}::DOUBLE' for w in _G)}])[cell % 8 - oj + 1] AS w, y_true, y_pred
+ FROM ip CROSS JOIN range(2) x(oi) CROSS JOIN range(2) y(oj) WHERE cell // 8 - oi BETWEEN 0 AND 6 AND cell % 8 - oj BETWEEN 0 AND 6),
+l AS MATERIALIZED (SELECT t, oi, oj, sum(w*y_true) AS ma, sum(w*y_pred) AS mb, sum(w*y_true*y_true) AS aa, sum(w*y_pred*y_pred) AS bb, sum(w*y_true*y_pred) AS ab FROM wt GROUP BY 1, 2, 3),
 s AS (SELECT t, avg((2*ma*mb + 0.0001::DOUBLE)/(ma*ma + mb*mb + 0.0001::DOUBLE)*(2*(ab - ma*mb) + 0.0009::DOUBLE)/(aa - ma*ma + bb - mb*mb + 0.0009::DOUBLE)) AS ssim FROM l GROUP BY t)"""
 
 
@@ -659,7 +660,7 @@ def ssim(spark, d):
     return metrics.ssim(image_pair(spark, d), 8, 8).select("t", r("ssim", 6).alias("ssim"))
 
 
-@query(f"WITH {SSIM.replace("s AS (SELECT t, avg", "s AS MATERIALIZED (SELECT t, avg")}, e AS MATERIALIZED (SELECT t, avg(pow(y_pred - y_true, 2)) AS a, avg(abs(y_pred - y_true)) AS b FROM ip GROUP BY t) SELECT e.t, round(0.4::DOUBLE*a + 0.4::DOUBLE*b + 0.2::DOUBLE*(1 - ssim), 6) AS loss FROM e JOIN s ON e.t = s.t")
+@query(f"WITH {SSIM}, parts AS (SELECT t, 0.4::DOUBLE*avg(pow(y_pred - y_true, 2)) + 0.4::DOUBLE*avg(abs(y_pred - y_true)) AS x FROM ip GROUP BY t UNION ALL SELECT t, 0.2::DOUBLE*(1 - ssim) AS x FROM s) SELECT t, round(sum(x), 6) AS loss FROM parts GROUP BY t")
 def combined_loss(spark, d):
     return metrics.combined_loss(image_pair(spark, d), 8, 8).select("t", r("loss", 6).alias("loss"))
 

@@ -1,47 +1,16 @@
-"""What the operators share: stored intermediate tables, bounds, and reading the input tables."""
+"""What the operators share: stored intermediate tables, bounds, id maps, and reading the input tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that end a word: space and U+0009 to U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_folder: list[str] = []
-
+from ..storage import stored
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only where that setting is missing (tests, one machine) a temporary folder stands in.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_folder:
-        made = tempfile.TemporaryDirectory(prefix="tailweave-")
-        atexit.register(made.cleanup)
-        _own_folder.append("file://" + made.name)
-    return _own_folder[0]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
-
-    Unlike DataFrame.checkpoint(), the plan runs once and the copy is columnar.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tailweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["MAP_BITS", "WORD", "marked_ids", "remainder", "require_bound", "stored", "table", "without_ids"]
 
+#: Characters that end a word: space and U+0009 to U+000D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,3 +24,32 @@ def remainder(column: str, by: int):
 def require_bound(n: int, most: int, what: str) -> None:
     if n > most:
         raise ValueError(f"{what}: {n} exceeds the documented bound of {most}")
+
+
+#: Bits of the map of ids that may be meant; once it is full, more rows than needed are looked at closely.
+MAP_BITS = 1 << 28
+
+
+def marked_ids(docs: DataFrame, ids: DataFrame, n: int, id_col: str = "doc_id", name: str = "__may") -> DataFrame:
+    """docs with a boolean column: may the row's id be among ids (column ``id``, n rows)?  True for all that are.
+
+    A map of hashed ids, at most MAP_BITS, is broadcast in pieces of 4 KB; no row of docs moves.
+    """
+    bits = min(MAP_BITS, max(1 << 15, 1 << (32 * n).bit_length()))
+
+    def place(column: str):
+        return F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+
+    bucket, bit = F.expr("__place div 32768"), F.expr("cast(__place % 32768 as int)")
+    maps = ids.select(place("id").alias("__place")).select(bucket.alias("__bucket"), bit.cast("long").alias("__at")).groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__map"))
+    marked = docs.withColumn("__place", place(id_col)).withColumn("__bucket", bucket).withColumn("__at", bit).join(F.broadcast(maps), "__bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__map, __at div 8 + 1, 1)")), 16, 10).cast("int")
+    return marked.withColumn("__byte", byte).select(*docs.columns, F.coalesce(F.expr("shiftright(__byte, __at % 8) & 1 = 1"), F.lit(False)).alias(name))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not among ids (column ``id``, distinct).  Only rows that the map marks are joined; null ids stay."""
+    marked = marked_ids(docs, ids, ids.count(), id_col)
+    own = ids.select(F.col("id").alias("__id"))
+    some = marked.where("__may").join(own, F.col(id_col) == F.col("__id"), "left_anti")
+    return marked.where("not __may").unionAll(some).select(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import remainder, require_bound
-from .textarrays import slices, text_array
+from .textarrays import arrow_map, slices, text_array
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3)
@@ -74,8 +74,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            lowered, langs = pc.utf8_lower(text_array(batch.column(0))), batch.column(1).to_pylist()
-            for first, _, data, offsets in slices(lowered, SLICE):
+            langs = batch.column(1).to_pylist()
+            for first, _, data, offsets in slices(batch.column(0), SLICE, pc.utf8_lower):
                 buckets, at = gram_buckets(data, offsets)
                 for d in range(len(offsets) - 1):
                     own = sums.setdefault(langs[first + d], np.zeros(BUCKETS + 1, np.int64))
@@ -85,7 +85,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             full = np.flatnonzero(own[:BUCKETS])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(own[full])], names=["lang", "bucket", "n"])
 
-    table = chosen.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages x BUCKETS rows
+    table = chosen.select("text", "lang").transform(arrow_map, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages x BUCKETS rows
     counts = np.zeros((BUCKETS + 1, len(languages)))
     column = {lang: k for k, lang in enumerate(languages)}
     counts[table["bucket"].to_numpy(), [column[x] for x in table["lang"].to_pylist()]] = table["n"].to_numpy()
@@ -110,15 +110,14 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["id", "lang_pred", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"`id` {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).transform(arrow_map, run, f"`id` {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def _predicted(column: pa.Array, m: LanguageModel) -> Iterator[tuple[str, float]]:
     """(language, posterior) of each text."""
-    texts = text_array(column)
-    for first, end, data, offsets in slices(pc.utf8_lower(texts), SLICE * 4 // max(4, len(m.languages)) + 1):
+    for first, end, data, offsets in slices(column, SLICE * 4 // max(4, len(m.languages)) + 1, pc.utf8_lower):
         n = end - first
-        lettered = [any(map(str.isalpha, t)) and bool(m.languages) for t in texts.slice(first, n).to_pylist()]
+        lettered = [any(map(str.isalpha, t)) and bool(m.languages) for t in text_array(column.slice(first, n)).to_pylist()]
         logs = np.tile(m.log_prior, (n, 1))
         if not m.languages:
             yield from [(UNDETERMINED, 0.0)] * n
@@ -150,4 +149,4 @@ def keep_identified(df: DataFrame, model: LanguageModel, least: float, text_col:
             keep = [score >= least and lang != UNDETERMINED for lang, score in _predicted(batch.column(at), shared.value)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.transform(arrow_map, run, df.schema)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textarrays import slices
+from .textarrays import arrow_map, slices
 
 _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([^\s#]+)")
 
@@ -181,7 +181,7 @@ def media_columns(df: DataFrame, id_col: str, image_col: str, side: int = 32) ->
 
     kind = df.schema[id_col].dataType.simpleString()
     out = f"`id` {kind}, height int, width int, channels int, tile binary, dhash string, error string"
-    return df.select(df[id_col].alias("id"), df[image_col].alias("image")).mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[image_col].alias("image")).transform(arrow_map, run, out).withColumnRenamed("id", id_col)
 
 
 #: Payloads are images of this width, so that every multiple of it has a whole number of rows.
@@ -220,4 +220,4 @@ def payload_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *arrays], names=["id", *names])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"`id` {kind}, {schema}").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).transform(arrow_map, run, f"`id` {kind}, {schema}").withColumnRenamed("id", id_col)

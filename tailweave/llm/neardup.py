@@ -23,17 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import marked_ids, stored, without_ids
 from .components import connected_components
-from .textarrays import U, mix, shingle_sets, signed, slices
+from .textarrays import arrow_map, mix, shingle_sets, signed, slices, U
 
 WIDTH, BANDS, ROWS = 5, 24, 6
 PERMUTATIONS = BANDS * ROWS // 2
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 BLOCK, BLOCK_SHINGLES = 256, 250_000
-#: Bits of the map that keeps texts outside all clusters from being moved; once it is full, more of them move.
-MAP_BITS = 1 << 28
 #: Pairs in crowded blocks are confirmed on full sets if their signatures agree in this share (5 deviations below PERCENT).
 LIKELY = 0.70
 
@@ -97,7 +95,7 @@ def _signed_rows(df: DataFrame) -> DataFrame:
                 )
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, n_shingles long, class long, bands array<long>")
+    return df.transform(arrow_map, run, f"id {kind}, n_shingles long, class long, bands array<long>")
 
 
 class _Sets:
@@ -190,18 +188,7 @@ def _linked(members: DataFrame, percent: int, across: bool) -> DataFrame:
         if (out := ended()) is not None:
             yield out
 
-    return members.mapInArrow(run, "a long, b long")
-
-
-def only_candidates(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """The rows of docs whose id may be among ids (n rows): a map of hashed ids, at most MAP_BITS, is broadcast and none is missed."""
-    bits = min(MAP_BITS, max(1 << 15, 1 << (32 * n).bit_length()))
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    bucket, bit = F.expr("__place div 32768"), F.expr("cast(__place % 32768 as int)")
-    maps = ids.select(place.alias("__place")).select(bucket.alias("__bucket"), bit.cast("long").alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
-    marked = docs.withColumn("__place", place).withColumn("__bucket", bucket).withColumn("__bit", bit)
-    byte = F.conv(F.hex(F.expr("substring(__map, __bit div 8 + 1, 1)")), 16, 10).cast("int")
-    return marked.join(F.broadcast(maps), "__bucket").withColumn("__byte", byte).where("shiftright(__byte, __bit % 8) & 1 = 1").select(*docs.columns)
+    return members.transform(arrow_map, run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -222,7 +209,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(classes.where("id is not null"), "class")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     members = stored(members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))), "members")
-    texts = only_candidates(docs.where("id is not null"), members.select("id").distinct(), members.count())
+    # only texts that may be members move
+    texts = marked_ids(docs.where("id is not null"), members.select("id").distinct(), members.count(), "id").where("__may").drop("__may")
 
     def met(who: DataFrame, tasks, across: bool) -> DataFrame:
         dealt = who.withColumn("task", F.explode(tasks)).withColumn("task", F.xxhash64("cluster", "task")).join(texts, "id")
@@ -255,7 +243,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are kept; of rows with one id, one stays, and rows without id stay only where their text has no other copy."""
     found = stored(near_duplicates(docs, id_col, text_col), "neardup")
-    out = docs.join(found.where(f"kept and {id_col} is not null").select(F.col(id_col).alias("__id")).distinct(), F.col(id_col) == F.col("__id"), "left_semi")
+    gone = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("kept").alias("kept")).where("not kept").select("id")
+    out = without_ids(docs.where(F.col(id_col).isNotNull()), stored(gone, "gone"), id_col)
     n, known = found.agg(F.count(id_col), F.count_distinct(id_col)).first()
     if n > known:  # repeated ids
         out = out.dropDuplicates([id_col])

@@ -7,6 +7,8 @@ longest document, not the batch.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 20
+BATCH_ROWS = 1024
 U = np.uint64
 
 SPACE = np.zeros(256, bool)
@@ -55,31 +58,65 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_array(column) -> pa.Array:
-    """A string array without nulls (null: empty text)."""
+    """One string array without nulls (null: empty text)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if column.null_count:
-        column = pc.fill_null(column, "")
-    return column if pa.types.is_large_string(column.type) else column.cast(pa.large_string())
+    return pc.fill_null(column, "") if column.null_count else column
 
 
-def slices(column, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets): runs of whole documents; offsets start at 0."""
-    column = text_array(column)
+def slices(column, most: int = SLICE, change=None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets): runs of whole documents; offsets start at 0.
+
+    The batch's own buffers are read, nothing is copied as a whole.  ``change``: a function of string arrays, applied
+    to each run by itself.
+    """
     n = len(column)
     if not n:
         return
-    _, where, data = column.buffers()
-    offsets = np.frombuffer(where, np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + n + 1]
     row = 0
     while row < n:
-        end = int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1
+        end = int(np.searchsorted(offsets, int(offsets[row]) + most, "right")) - 1
         end = min(n, max(end, row + 1))
-        yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        part = text_array(column.slice(row, end - row))
+        part = change(part) if change else part
+        _, where, data = part.buffers()
+        own = np.frombuffer(where, np.int64 if pa.types.is_large_string(part.type) else np.int32)[part.offset : part.offset + end - row + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        yield row, end, data[own[0] : own[-1]], own - own[0]
         row = end
 
 
+def trimmed(run):
+    """run, a generator over batches, giving freed memory back to the system when it ends: workers live on and share a limit."""
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return outer
+
+
+def arrow_map(df, run, schema):
+    """df.mapInArrow(trimmed(run), schema) in batches of at most BATCH_ROWS texts.
+
+    Spark's own limit, 10,000 rows, is meant for numbers; whole texts of that many rows lie in memory four times
+    over (on both sides of both pipes).  The limit is a setting of the session: a higher one is lowered there.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(trimmed(run), schema)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(byte at which each word starts, index of the first word of each document and the end)."""
     if not len(data):

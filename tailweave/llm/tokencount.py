@@ -16,10 +16,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .textarrays import slices, text_array
+from .textarrays import arrow_map, slices, text_array
 
 #: Fixed: the byte-level pre-tokenizer's published pattern; \s is written out as the White_Space property.
-_BLANK = r"\t-\r \x85\xa0  -     　"
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 #: Distinct pre-tokens whose cost a worker remembers; longer ones than LONG are merged anew each time.
 MOST, LONG = 1_000_000, 64
@@ -119,7 +119,7 @@ def token_counts(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
             for first, end, _, _ in slices(batch.column(1)):
                 part = text_array(batch.column(1).slice(first, end - first))
                 n = pa.array(costs.counts(part.to_pylist()), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pc.binary_length(part), n, pc.greater(n, limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pc.binary_length(part).cast(pa.int64()), n, pc.greater(n, limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"`id` {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).transform(arrow_map, run, f"`id` {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import average_rank
+from ..functions.ranks import ecdf_column
 from ..schema import check_share
 
 
@@ -55,15 +55,12 @@ def theta(mean_difference: Column) -> Column:
     return (1 + 2 * nu) / F.nullif(1 - 2 * nu, F.lit(0.0))
 
 
-def madogram(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: theta of two raw columns, over the rows where both are known."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(0).alias("g"))
-    n = F.count(F.lit(1)).over(_whole())
-    ranked = both.select((average_rank("x", ["g"]) / (n + 1)).alias("fx"), (average_rank("y", ["g"]) / (n + 1)).alias("fy"))
-    return ranked.agg(theta(F.avg(F.abs(F.col("fx") - F.col("fy")))).alias("theta"))
+def madogram(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """theta of two raw columns over the rows where both are known; ``by``: one for each group, ranked by itself.
 
-
-def _whole():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("g")
+    Without groups all rows are ranked together, which is a sort of one partition: meant for single series.
+    """
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"), F.lit(0).alias("__g"))
+    keys = list(by) or ["__g"]
+    ranked = both.select(*keys, ecdf_column("x", keys).alias("fx"), ecdf_column("y", keys).alias("fy"))
+    return ranked.groupBy(*by).agg(theta(F.avg(F.abs(F.col("fx") - F.col("fy")))).alias("theta"))

@@ -100,6 +100,13 @@ def test_joint_chi_goldens(spark):
     assert spark.createDataFrame([(0.25, 0.75), (0.75, 0.25)], "x double, y double").agg(tail.theta(F.avg(F.abs(F.col("x") - F.col("y"))))).first()[0] == pytest.approx(3.0)
 
 
+def test_madogram_by_group(spark):
+    df = spark.createDataFrame([(g, float(x), float(x if g else -x)) for g in (0, 1) for x in range(9)] + [(0, None, 1.0)], "g long, x double, y double")
+    got = {r["g"]: r["theta"] for r in tail.madogram(df, "x", "y", ["g"]).collect()}
+    assert got[1] == 1.0 and got[0] > 2
+    assert tail.madogram(df.where("g = 1"), "x", "y").first()["theta"] == 1.0
+
+
 def test_graph_like_numpy(spark, rain, ranked):
     cube = cube_of(spark, rain)
     u = ecdf(cube).cache()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import require_bound, stored, without_ids
-from .textarrays import slices, text_array, words
+from .textarrays import arrow_map, slices, words
 
 SPAN, STEP, RANK, OVERSAMPLE, TURNS = 48, 24, 256, 16, 2
 LIKELY, COVER = 0.30, 0.60
@@ -44,7 +44,7 @@ PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
 
 def plain_words(texts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, bounds) of runs of whole texts."""
-    for row, _, data, offsets in slices(pc.utf8_lower(text_array(texts))):
+    for row, _, data, offsets in slices(texts, change=pc.utf8_lower):
         yield row, *words(PLAIN[data], offsets)
 
 
@@ -52,14 +52,13 @@ _ANSWER = re.compile(r"(?is).*(?:\banswers?\s*:|\?)\s*(\S.*)")
 
 
 def spans(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Passages of each run of words: owner, first word, end word.  The last one ends at the last word."""
+    """Passages of each run of words: owner, first word, end word.  Each is two steps long, but for what the end leaves."""
     n = np.diff(bounds)
-    k = np.where(n > SPAN, -(-(n - SPAN) // STEP) + 1, (n > 0).astype(np.int64))
+    k = np.where(n > 0, np.maximum(-(-n // STEP) - 1, 1), 0)
     owner = np.repeat(np.arange(len(n)), k)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)
-    size = np.minimum(n, SPAN)[owner]
-    start = np.minimum(place * STEP, n[owner] - size) + bounds[:-1][owner]
-    return owner, start, start + size
+    place = (np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)) * STEP
+    start = place + bounds[:-1][owner]
+    return owner, start, np.minimum(start + SPAN, bounds[1:][owner])
 
 
 def inside(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,23 +124,34 @@ class LatentIndex:
         """-1 for terms without weight too."""
         return np.append(np.where(self.weight > 0, np.arange(len(self.terms)), -1), -1)[term]
 
-    def project(self, passage: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-        """Latent vectors, divided by the length of the whole TF-IDF vector; so the dot product with an index row is a cosine."""
-        out = np.zeros((n, self.basis.shape[1]), np.float32)
-        if not len(passage):
+    def latent(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Latent vectors of passages, divided by the length of the whole TF-IDF vector; so products with the index are cosines.
+
+        Counts weigh linearly: a word is projected once, into its step, and a passage is the sum of its two steps.
+        """
+        out = np.zeros((len(start), self.basis.shape[1]), np.float32)
+        term = self.weighted(lookup(self.terms, hashes))
+        passage, place = inside(start, end)
+        p, t, c = bags(term[place], passage, len(start), len(self.terms))
+        if not len(p):
             return out
-        w = ((1 + np.log(count)) * self.weight[term]).astype(np.float32)
-        heads = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-        rows = passage[heads]
-        norm = np.sqrt(np.add.reduceat(w * w, heads))
-        for a in range(0, len(heads), 4096):
-            b = min(a + 4096, len(heads))
-            lo, hi = heads[a], heads[b] if b < len(heads) else len(passage)
-            part = self.basis[term[lo:hi]]
-            part *= w[lo:hi, None]
-            out[rows[a:b]] = np.add.reduceat(part, heads[a:b] - lo, axis=0)
-        out[rows] /= np.maximum(norm, 1e-12)[:, None]
-        return out
+        norm = np.sqrt(np.bincount(p, (c * self.weight[t]) ** 2, len(start)))
+        cut = np.append(np.unique(np.concatenate([start, np.minimum(start + STEP, end)])), end.max())
+        known = np.flatnonzero(term >= 0)
+        step = np.searchsorted(cut, known, "right") - 1
+        heads = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1])))
+        steps = np.zeros((len(cut) + 1, out.shape[1]), np.float32)
+        for a in range(0, len(heads), 2048):
+            b = min(a + 2048, len(heads))
+            own = term[known[heads[a] : heads[b] if b < len(heads) else len(known)]]
+            part = self.basis[own]
+            part *= self.weight[own, None].astype(np.float32)
+            steps[step[heads[a:b]]] = np.add.reduceat(part, heads[a:b] - heads[a], axis=0)
+        first = np.searchsorted(cut, start)
+        out += steps[first]
+        long = end - start > STEP
+        out[long] += steps[first[long] + 1]
+        return out / np.maximum(norm, 1e-12)[:, None].astype(np.float32)
 
 
 def _text_words(text: str) -> np.ndarray:
@@ -167,7 +177,7 @@ def document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[np.ndarra
         full = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), pa.array(np.append(sums[full], total))], names=["term", "n"])
 
-    rows = texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row a term
+    rows = texts.transform(arrow_map, run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row a term
     term, n = rows["term"].to_numpy(), rows["n"].to_numpy()
     df = np.zeros(len(terms), np.int64)
     df[term[term >= 0]] = n[term >= 0]
@@ -201,7 +211,7 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, turns: int = TURNS, s
             total = sum(np.frombuffer(y.as_buffer(), np.float64) for y in parts["y"].combine_chunks())
             return pa.table({"first": parts["first"][:1], "y": pa.array([total.tobytes()], pa.binary())})
 
-        partial = rows.select("term", "weight").mapInArrow(run, "first long, y binary")
+        partial = rows.select("term", "weight").transform(arrow_map, run, "first long, y binary")
         out = np.zeros((terms, width))
         for r in partial.groupBy("first").applyInArrow(summed, "first long, y binary").toLocalIterator():  # blocks of 1024 terms
             block = np.frombuffer(r["y"]).reshape(-1, width)
@@ -260,7 +270,7 @@ def build_index(texts: DataFrame, items: list[tuple[int, str]], rank: int = RANK
         common[t[np.bincount(p[~common[t]], minlength=len(start))[p] < FEW]] = False
     weight[common] = 0
     p, t, c = (x[weight[t] > 0] for x in (p, t, c))
-    w = (1 + np.log(c)) * weight[t]
+    w = c * weight[t]
     norm = np.sqrt(np.bincount(p, w * w, len(start)))
     w = w / np.maximum(norm, 1e-12)[p] if len(p) else w
     cut = np.searchsorted(p, np.arange(len(start) + 1))
@@ -271,7 +281,7 @@ def build_index(texts: DataFrame, items: list[tuple[int, str]], rank: int = RANK
     frame = texts.sparkSession.createDataFrame(sparse, "term array<int>, weight array<double>")
     basis = randomised_svd(frame, len(terms), min(rank, len(start))).astype(np.float32)
     index = LatentIndex(terms, weight, basis, made, owner, np.zeros((0, 0), np.float32))
-    latent = index.project(p, t, c, len(start))
+    latent = index.latent(hashes, start, end)
     return LatentIndex(terms, weight, basis, made, owner, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12))
 
 
@@ -303,32 +313,26 @@ def contaminated(df: DataFrame, index: LatentIndex, id_col: str = "doc_id", text
             found: list[tuple[int, int, float, float]] = []
             for at, hashes, first in plain_words(batch.column(1)) if m.items else ():
                 owner, start, end = spans(first)
-                passage, place = inside(start, end)
-                p, t, c = bags(m.weighted(lookup(m.terms, hashes))[place], passage, len(start), len(m.terms))
+                latent = m.latent(hashes, start, end)
                 best: dict[tuple[int, int], tuple[float, float]] = {}
-                heads = np.searchsorted(p, np.arange(0, len(start) + 2048, 2048))
-                for block, (lo, hi) in enumerate(zip(heads[:-1], heads[1:], strict=True)):
-                    base = block * 2048
-                    latent = m.project(p[lo:hi] - base, t[lo:hi], c[lo:hi], min(2048, len(start) - base))
-                    for k in range(0, len(m.passages), 4096):
-                        alike = latent @ m.passages[k : k + 4096].T
-                        for x, y in zip(*np.nonzero(alike >= LIKELY), strict=True):
-                            doc, which = int(owner[base + x]), int(m.passage_item[k + y])
-                            item, cosine = m.items[which], float(alike[x, y])
-                            have = best.get((doc, which))
-                            if have and have[1] >= 1:
-                                continue
-                            reach = len(item.words) + SPAN // 2
-                            text = hashes[max(first[doc], start[base + x] - reach) : min(first[doc + 1], end[base + x] + reach)]
-                            ok = confirmed(item, text)
-                            if ok and (not have or (ok[0], cosine) > (have[1], have[0])):
-                                best[doc, which] = (cosine, ok[0])
+                for k in range(0, len(m.passages), 1024):
+                    alike = latent @ m.passages[k : k + 1024].T
+                    for x, y in zip(*np.nonzero(alike >= LIKELY), strict=True):
+                        doc, which = int(owner[x]), int(m.passage_item[k + y])
+                        item, cosine = m.items[which], float(alike[x, y])
+                        have = best.get((doc, which))
+                        if have and have[1] >= 1:
+                            continue
+                        reach = len(item.words) + SPAN // 2
+                        ok = confirmed(item, hashes[max(first[doc], start[x] - reach) : min(first[doc + 1], end[x] + reach)])
+                        if ok and (not have or (ok[0], cosine) > (have[1], have[0])):
+                            best[doc, which] = (cosine, ok[0])
                 found += [(at + doc, m.items[which].item_id, *v) for (doc, which), v in sorted(best.items())]
             rows = pa.array([f[0] for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *(pa.array([f[k] for f in found], kind) for k, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64())))], names=["id", "item_id", "cosine", "cover"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).mapInArrow(run, f"`id` {kind}, item_id long, cosine double, cover double").withColumnRenamed("id", id_col)
+    return df.select(df[id_col].alias("id"), df[text_col].alias("text")).transform(arrow_map, run, f"`id` {kind}, item_id long, cosine double, cover double").withColumnRenamed("id", id_col)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

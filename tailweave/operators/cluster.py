@@ -53,11 +53,9 @@ def silhouette(points: DataFrame, sample: int | None = 2000, seed: int = 7) -> D
     """One row: mean of (b - a) / max(a, b) over points; points alone in their cluster count 0."""
     if sample is not None:
         n = points.count()
-        points = points if n <= sample else hash_prefix(points, sample / n, ["id"], seed=seed)
+        return _sampled_silhouette(points if n <= sample else hash_prefix(points, sample / n, ["id"], seed=seed))
     a = points.select("id", "x", "label")
-    b = F.broadcast(points.select(F.col("id").alias("other"), F.col("x").alias("y"), F.col("label").alias("by")))  # at most ``sample`` rows
-    if sample is None:
-        b = points.select(F.col("id").alias("other"), F.col("x").alias("y"), F.col("label").alias("by"))
+    b = points.select(F.col("id").alias("other"), F.col("x").alias("y"), F.col("label").alias("by"))
     pairs = a.join(b, F.col("id") != F.col("other")).select("id", "label", "by", F.sqrt(_squares(F.col("x"), F.col("y"))).alias("d"))
     means = pairs.groupBy("id", "label", "by").agg(F.avg("d").alias("m"))
     per = means.groupBy("id", "label").agg(F.max(F.when(F.col("by") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("by") != F.col("label"), F.col("m"))).alias("b"))
@@ -65,6 +63,36 @@ def silhouette(points: DataFrame, sample: int | None = 2000, seed: int = 7) -> D
     return per.agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
 
 
+def _sampled_silhouette(points: DataFrame) -> DataFrame:
+    """The same for a bounded sample: its matrix is broadcast, and distances are taken batch by batch in numpy."""
+    import numpy as np
+    import pandas as pd
+
+    rows = points.select("x", "label").collect()  # at most the sample
+    matrix, label = np.array([r["x"] for r in rows], float), np.array([r["label"] for r in rows])
+    kinds, own = np.unique(label, return_inverse=True) if len(rows) else (label, label)
+    shared = points.sparkSession.sparkContext.broadcast((matrix, kinds, np.eye(len(kinds))[own] if len(rows) else None))
+
+    def score(batches):
+        x, kinds, member = shared.value
+        for batch in batches:
+            out = []
+            for k in range(0, len(batch), 32):
+                part = batch.iloc[k : k + 32]
+                d = np.sqrt(((np.stack(part["x"].to_list())[:, None] - x[None]) ** 2).sum(axis=2)) @ member
+                mine = np.searchsorted(kinds, part["label"].to_numpy())
+                size, at = member.sum(axis=0), np.arange(len(part))
+                a = d[at, mine] / np.maximum(size[mine] - 1, 1)
+                means = d / size
+                means[at, mine] = np.inf
+                b = means.min(axis=1) if len(kinds) > 1 else np.zeros(len(part))
+                top = np.maximum(a, b)
+                out.append(np.where((size[mine] > 1) & (top > 0) & np.isfinite(b) & (len(kinds) > 1), (b - a) / np.where(top > 0, top, 1), 0.0))
+            yield pd.DataFrame({"s": np.concatenate(out) if out else np.zeros(0)})
+
+    return points.select("x", "label").mapInPandas(score, "s double").agg(F.avg("s").alias("silhouette"))
+
+
 def kmeans(points: DataFrame, k: int, seed: int = 7, restarts: int = 3) -> DataFrame:
     """(id, x, label) of the restart with the least cost; labels are ordered by their smallest id."""
     from pyspark.ml.clustering import KMeans

@@ -5,7 +5,10 @@
 2. The TF-IDF matrix of the benchmark passages gets a randomised SVD: products with the matrix are sums over the
    executors' rows; only thin matrices (terms x RANK) come together.
 3. Every passage of every document (SPAN words, every STEP words) is projected into the latent space and compared with
-   all benchmark passages, in blocks; those at least LIKELY alike are candidates.  No candidate is left out by rank or number.
+   all benchmark passages, in blocks; those at least LIKELY alike are candidates.  No candidate is left out by rank or number:
+   a block has more passages than RANK where its items need it, and the passages of which the basis keeps less than KEPT
+   of their length are compared by their whole TF-IDF vectors, through lists of the passages of each term.
+   Beside the cosines, an unbroken run of words that would do by itself makes a candidate, however common its words.
 4. A candidate counts if the longest common subsequence of the item's words and the words around the passage covers
    the item, or a long stretch of it closely, and the answer check passes: if the item has an answer part (after its last
    ``?`` or an ``answer:`` mark), the answer's words must stand there; if not, half of its rarest words must.
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import require_bound, stored, without_ids
-from .textarrays import arrow_map, slices, words
+from .textarrays import arrow_map, JOIN, mix, slices, U, words
 
 SPAN, STEP, RANK, OVERSAMPLE, TURNS = 48, 24, 256, 16, 2
 LIKELY, COVER = 0.30, 0.60
 #: Without full cover: so many words in sequence, in at most 1 / DENSE times as many words of the document.
 RUN, DENSE = 13, 0.85
 COMMON, FEW = 0.05, 4
+#: Least length of a unit passage in the basis for which latent cosines stand for the whole ones.
+KEPT = 0.995
+#: Words of a shared run; items of fewer words are looked for as a whole, from FEW words on.
+SHARED = 8
 MOST_BYTES, MOST_WORDS = 64 << 20, 100_000
 KEY_WORDS = 6
 
@@ -103,6 +110,65 @@ def bags(term: np.ndarray, passage: np.ndarray, n: int, terms: int) -> tuple[np.
     return key // max(1, terms), key % max(1, terms), count
 
 
+def runs_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """One hash for each n words in sequence, at its first word; across bounds of texts too."""
+    out = hashes[: max(0, len(hashes) - n + 1)]
+    for k in range(1, n):
+        out = mix(out * JOIN + hashes[k : k + len(out)])
+    return out
+
+
+def expanded(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every entry its list of n places from first on: (entry, place)."""
+    entry = np.repeat(np.arange(len(n)), n)
+    return entry, np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n) + first[entry]
+
+
+@dataclass(frozen=True)
+class SharedRuns:
+    """All runs of n words of the items that have so many, sorted by hash."""
+
+    n: int
+    hashes: np.ndarray
+    item: np.ndarray
+    place: np.ndarray  # in the item
+    filter: np.ndarray  # of the last 20 bits of the hashes
+
+    def found(self, hashes: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, place of its first word, words) of unbroken runs that would do by themselves.  sizes: words of each item."""
+        own = runs_of(hashes, self.n)
+        at = np.flatnonzero(self.filter[(own & U(0xFFFFF)).astype(np.int64)])
+        low, high = (np.searchsorted(self.hashes, own[at], side) for side in ("left", "right"))
+        hit, line = expanded(low, high - low)
+        where, item = at[hit], self.item[line]
+        text = np.searchsorted(first, where, "right") - 1
+        inner = where + self.n <= first[text + 1]
+        where, item, text, shift = where[inner], item[inner], text[inner], (where - self.place[line])[inner]
+        order = np.lexsort((where, shift, item))
+        where, item, text, shift = where[order], item[order], text[order], shift[order]
+        if not len(where):
+            return where, where, where, where
+        head = np.flatnonzero(np.concatenate(([True], (np.diff(where) != 1) | (np.diff(item) != 0) | (np.diff(shift) != 0) | (np.diff(text) != 0))))
+        length = np.diff(np.append(head, len(where))) + self.n - 1
+        ok = (length >= RUN) | (length >= COVER * sizes[item[head]])
+        return text[head[ok]], item[head[ok]], where[head[ok]], length[ok]
+
+
+def shared_runs(items: list[Item]) -> list[SharedRuns]:
+    out = []
+    length = np.array([len(m.words) for m in items], np.int64)
+    for n in range(FEW, SHARED + 1):
+        own = np.flatnonzero(length >= SHARED if n == SHARED else length == n)
+        if len(own):
+            hashes = np.concatenate([runs_of(items[k].words, n) for k in own])
+            item, place = expanded(np.zeros(len(own), np.int64), length[own] - n + 1)
+            order = np.argsort(hashes, kind="stable")
+            bits = np.zeros(1 << 20, bool)
+            bits[(hashes & U(0xFFFFF)).astype(np.int64)] = True
+            out.append(SharedRuns(n, hashes[order], own[item][order], place[order], bits))
+    return out
+
+
 @dataclass(frozen=True)
 class Item:
     item_id: int
@@ -119,6 +185,9 @@ class LatentIndex:
     items: list[Item]
     passage_item: np.ndarray  # of each benchmark passage: its item
     passages: np.ndarray  # latent, of length 1
+    whole: np.ndarray  # the passages to be compared by their whole vectors
+    lists: tuple[np.ndarray, np.ndarray, np.ndarray]  # of those: bounds by term, place in whole, weight in a vector of length 1
+    runs: list[SharedRuns]
 
     def weighted(self, term: np.ndarray) -> np.ndarray:
         """-1 for terms without weight too."""
@@ -154,6 +223,29 @@ class LatentIndex:
         return out / np.maximum(norm, 1e-12)[:, None].astype(np.float32)
 
 
+    def cosines(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passage, benchmark passage, cosine) of those LIKELY alike among ``whole``, by all their terms."""
+        if not len(self.whole):
+            return
+        term, (bounds, which, weight) = self.weighted(lookup(self.terms, hashes)), self.lists
+        for a in range(0, len(start), 256):
+            own = slice(a, min(a + 256, len(start)))
+            n = own.stop - a
+            passage, place = inside(start[own], end[own])
+            p, t, c = bags(term[place], passage, n, len(self.terms))
+            w = c * self.weight[t]
+            norm = np.sqrt(np.bincount(p, w * w, n))
+            entry, line = expanded(bounds[t], bounds[t + 1] - bounds[t])
+            alike = np.bincount(p[entry] * len(self.whole) + which[line], w[entry] * weight[line], n * len(self.whole)).reshape(n, -1)
+            x, y = np.nonzero(alike >= LIKELY * np.maximum(norm, 1e-12)[:, None])
+            yield x + a, self.whole[y], alike[x, y] / norm[x]
+
+    def cosine(self, one: np.ndarray, other: np.ndarray) -> float:
+        """Of two passages, by all terms."""
+        a, b = (np.bincount(t[t >= 0], minlength=len(self.terms)) * self.weight for t in (self.weighted(lookup(self.terms, x)) for x in (one, other)))
+        return float(a @ b / max(1e-12, np.sqrt((a @ a) * (b @ b))))
+
+
 def _text_words(text: str) -> np.ndarray:
     return next(plain_words(pa.array([text])))[1]
 
@@ -274,15 +366,22 @@ def build_index(texts: DataFrame, items: list[tuple[int, str]], rank: int = RANK
     norm = np.sqrt(np.bincount(p, w * w, len(start)))
     w = w / np.maximum(norm, 1e-12)[p] if len(p) else w
     cut = np.searchsorted(p, np.arange(len(start) + 1))
-    index = LatentIndex(terms, weight, np.zeros((len(terms), 0), np.float32), made, owner, np.zeros((len(start), 0), np.float32))
+    none = np.zeros(0, np.int64)
+    index = LatentIndex(terms, weight, np.zeros((len(terms), 0), np.float32), made, owner, np.zeros((len(start), 0), np.float32), none, (none, none, none), [])
     if not made:
         return index
     sparse = [(t[a:b].tolist(), w[a:b].tolist()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     frame = texts.sparkSession.createDataFrame(sparse, "term array<int>, weight array<double>")
     basis = randomised_svd(frame, len(terms), min(rank, len(start))).astype(np.float32)
-    index = LatentIndex(terms, weight, basis, made, owner, np.zeros((0, 0), np.float32))
+    index = replace(index, basis=basis)
     latent = index.latent(hashes, start, end)
-    return LatentIndex(terms, weight, basis, made, owner, latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12))
+    length = np.linalg.norm(latent, axis=1, keepdims=True)
+    whole = np.flatnonzero((length[:, 0] < KEPT) & (norm > 0))
+    at = lookup(whole, p)
+    order = np.flatnonzero(at >= 0)
+    order = order[np.argsort(t[order], kind="stable")]
+    lists = np.searchsorted(t[order], np.arange(len(terms) + 1)), at[order], w[order]
+    return replace(index, passages=latent / np.maximum(length, 1e-12), whole=whole, lists=lists, runs=shared_runs(made))
 
 
 def confirmed(item: Item, text: np.ndarray) -> tuple[float, float] | None:
@@ -309,24 +408,37 @@ def contaminated(df: DataFrame, index: LatentIndex, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        sizes = np.array([len(item.words) for item in m.items], np.int64)
         for batch in batches:
             found: list[tuple[int, int, float, float]] = []
             for at, hashes, first in plain_words(batch.column(1)) if m.items else ():
                 owner, start, end = spans(first)
                 latent = m.latent(hashes, start, end)
                 best: dict[tuple[int, int], tuple[float, float]] = {}
+
+                def judge(x: int, which: int, cosine: float, low: int, high: int) -> None:
+                    doc, item = int(owner[x]), m.items[which]
+                    have = best.get((doc, which))
+                    if have and have[1] >= 1:
+                        return
+                    reach = len(item.words) + SPAN // 2
+                    ok = confirmed(item, hashes[max(first[doc], low - reach) : min(first[doc + 1], high + reach)])
+                    if ok and (not have or (ok[0], cosine) > (have[1], have[0])):
+                        best[doc, which] = (cosine, ok[0])
+
                 for k in range(0, len(m.passages), 1024):
                     alike = latent @ m.passages[k : k + 1024].T
                     for x, y in zip(*np.nonzero(alike >= LIKELY), strict=True):
-                        doc, which = int(owner[x]), int(m.passage_item[k + y])
-                        item, cosine = m.items[which], float(alike[x, y])
-                        have = best.get((doc, which))
-                        if have and have[1] >= 1:
-                            continue
-                        reach = len(item.words) + SPAN // 2
-                        ok = confirmed(item, hashes[max(first[doc], start[x] - reach) : min(first[doc + 1], end[x] + reach)])
-                        if ok and (not have or (ok[0], cosine) > (have[1], have[0])):
-                            best[doc, which] = (cosine, ok[0])
+                        judge(x, int(m.passage_item[k + y]), float(alike[x, y]), start[x], end[x])
+                for xs, ys, alike in m.cosines(hashes, start, end):
+                    for x, y, cosine in zip(xs, ys, alike, strict=True):
+                        judge(x, int(m.passage_item[y]), float(cosine), start[x], end[x])
+                for runs in m.runs:
+                    for doc, which, place, n in zip(*runs.found(hashes, first, sizes), strict=True):
+                        if (int(doc), int(which)) not in best:
+                            x = int(np.searchsorted(start, place, "right")) - 1
+                            one = hashes[start[x] : end[x]]
+                            judge(x, int(which), max(m.cosine(one, m.items[which].words[a:b]) for _, a, b in zip(*spans(np.array([0, sizes[which]])), strict=True)), place, place + n)
                 found += [(at + doc, m.items[which].item_id, *v) for (doc, which), v in sorted(best.items())]
             rows = pa.array([f[0] for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *(pa.array([f[k] for f in found], kind) for k, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64())))], names=["id", "item_id", "cosine", "cover"])

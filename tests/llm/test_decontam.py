@@ -112,3 +112,35 @@ def test_awkward_rows(spark, awkward, clashing, nothing):
     assert decontam.find_leaks(nothing, bench).count() == 0
     none = bench.where("item_id > 99")
     assert decontam.find_leaks(awkward, none).count() == 0 and decontam.without_leaks(awkward, none).count() == awkward.count()
+
+
+def test_blocks_of_many_more_passages_than_rank_lose_no_copy(spark, rng):
+    """2,200 items in one block; items of common words in prose of rare ones are found by their runs."""
+    terms = [f"term{k}" for k in range(4000)]
+    plain = ["the", "of", "and", "a", "in", "to"] + terms[:40]
+    bench = [(k, " ".join(rng.choice(plain if rng.random() < 0.5 else terms) for _ in range(rng.randint(8, 50)))) for k in range(2200)]
+    docs = []
+    for k in range(200):
+        prose = [rng.choice(plain if rng.random() < 0.3 else terms) for _ in range(400)]
+        at = rng.randrange(400)
+        docs.append((k, " ".join([*prose[:at], bench[11 * k][1], *prose[at:]])))
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert len(decontam.item_blocks(b)) == 1
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, b).collect()}
+    missed = {(k, 11 * k) for k in range(200)} - got
+    assert not missed, len(missed)
+
+
+def test_whole_vectors_stand_in_for_a_short_basis(spark, rng):
+    bench = items(rng, 60)
+    docs = [(k, " ".join(filler(rng, 30)) + " " + t) for k, t in bench]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    full, short = (decontam.build_index(df.select("text"), bench, rank) for rank in (decontam.RANK, 8))
+    assert not len(full.whole) and len(short.whole) > 40
+    for _, text in docs:
+        words = decontam._text_words(text)
+        _, start, end = decontam.spans(np.array([0, len(words)]))
+        want = full.latent(words, start, end) @ full.passages.T
+        found = {(int(x), int(y)): c for xs, ys, cs in short.cosines(words, start, end) for x, y, c in zip(xs, ys, cs, strict=True)}
+        assert set(found) == {(x, y) for x, y in zip(*np.nonzero(want >= decontam.LIKELY), strict=True) if y in short.whole}
+        assert all(c == pytest.approx(want[k], abs=1e-3) for k, c in found.items())

@@ -10,8 +10,10 @@
    of their length are compared by their whole TF-IDF vectors, through lists of the passages of each term.
    Beside the cosines, an unbroken run of words that would do by itself makes a candidate, however common its words.
 4. A candidate counts if the longest common subsequence of the item's words and the words around the passage covers
-   the item, or a long stretch of it closely, and the answer check passes: if the item has an answer part (after its last
-   ``?`` or an ``answer:`` mark), the answer's words must stand there; if not, half of its rarest words must.
+   the item and the answer check passes: if the item has an answer part (after its last ``?`` or an ``answer:`` mark), the
+   answer's words must stand there; if not, half of its rarest words must.  A stretch of RUN words of the item, almost
+   unbroken wherever it stands, counts without that check; but beside a covered question it must reach into the
+   answer part, for a question with another answer is another item.
 
 Terms that no benchmark item has, or that stand in more than COMMON of all passages, carry no weight; but benchmark
 passages with fewer than FEW other terms keep all of theirs.  All results are exact functions of the rows, in any order of rows.
@@ -103,6 +105,23 @@ def common_subsequence(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, 0 if first is None else last - first + 1
 
 
+def dense_stretch(item: np.ndarray, text: np.ndarray) -> bool:
+    """Whether RUN words of the item stand in sequence somewhere within RUN / DENSE words of the text, and of the item."""
+    span = int(RUN / DENSE)
+
+    def crowded(here: np.ndarray) -> np.ndarray:
+        """The first places of spans with RUN words that are there."""
+        n = np.concatenate(([0], np.cumsum(here)))
+        return np.flatnonzero(n[np.minimum(np.arange(len(here)) + span, len(here))] - n[:-1] >= RUN)
+
+    for a in crowded(np.isin(text, item)):
+        own = text[a : a + span]
+        for b in crowded(np.isin(item, own)):
+            if common_subsequence(item[b : b + span], own)[0] >= RUN:
+                return True
+    return False
+
+
 def bags(term: np.ndarray, passage: np.ndarray, n: int, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse term counts: (passage, term, count), sorted by passage and term."""
     known = term >= 0
@@ -388,15 +407,17 @@ def confirmed(item: Item, text: np.ndarray) -> tuple[float, float] | None:
     """(cover of the item, density) if the words around a candidate hold the item, by sequence and answer."""
     length, width = common_subsequence(item.words, text)
     cover, dense = length / len(item.words), length / max(1, width)
-    if not (cover >= COVER or length >= RUN and dense >= DENSE):
+    if length < RUN and cover < COVER:
         return None
-    there = set(text.tolist())
     if cover >= COVER:
+        there = set(text.tolist())
         key = item.answer if len(item.answer) else item.rare
         have = sum(w in there for w in key.tolist())
-        if have < len(key) * (1.0 if len(item.answer) else 0.5):
-            return None
-    return cover, dense
+        if have >= len(key) * (1.0 if len(item.answer) else 0.5):
+            return cover, dense
+        own = item.words[-(len(item.answer) + RUN - 1) :] if len(item.answer) else item.words
+        return (cover, dense) if dense_stretch(own, text) else None
+    return (cover, dense) if dense >= DENSE or dense_stretch(item.words, text) else None
 
 
 def contaminated(df: DataFrame, index: LatentIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -144,3 +144,29 @@ def test_whole_vectors_stand_in_for_a_short_basis(spark, rng):
         found = {(int(x), int(y)): c for xs, ys, cs in short.cosines(words, start, end) for x, y, c in zip(xs, ys, cs, strict=True)}
         assert set(found) == {(x, y) for x, y in zip(*np.nonzero(want >= decontam.LIKELY), strict=True) if y in short.whole}
         assert all(c == pytest.approx(want[k], abs=1e-3) for k, c in found.items())
+
+
+def test_partial_copies_count_among_stray_words(spark, rng):
+    """20 to 29 words in a row of longer items, in prose that holds other words of the items too."""
+    common = ["the", "of", "and", "a", "in", "to", "is", "that"]
+    bench = [(k, " ".join(rng.choice(common) if rng.random() < 0.4 else f"term{rng.randint(0, 900)}" for _ in range(rng.randint(50, 59)))) for k in range(40)]
+    docs = []
+    for k, text in bench:
+        prose = [rng.choice(common) if rng.random() < 0.3 else f"other{rng.randint(0, 3000)}" for _ in range(200)]
+        docs.append((k, " ".join([*prose[:90], *text.split()[: rng.randint(20, 29)], *prose[90:]])))
+        docs.append((100 + k, " ".join(prose)))
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, b).collect()} == {(k, k) for k in range(40)}
+
+
+def test_unbroken_runs_count_without_the_rare_words_or_all_of_the_answer():
+    def item(question, answer, rare=()):
+        words = decontam._text_words(question + " " + answer)
+        return decontam.Item(1, words, decontam._text_words(answer) if answer else words[:0], np.array([decontam._text_words(w)[0] for w in rare], np.uint64))
+
+    run = " ".join(f"w{k}" for k in range(20))
+    around = " ".join(f"x{k}" for k in range(20))
+    text = decontam._text_words(f"{around} {run} {around}")
+    assert decontam.confirmed(item(run + " r1 r2 r3", "", ["r1", "r2", "r3"]), text)
+    assert decontam.confirmed(item("w0 w1 w2 w3 w4 w5?", " ".join(f"w{k}" for k in range(6, 20)) + " last"), text)
+    assert not decontam.confirmed(item(run + "?", "last"), text)  # another answer

@@ -2,38 +2,42 @@
 
 Counts of words and of word pairs are gathered from the whole training corpus.  A count c is quantised to
 level 1 + floor(log2 c), and the filter holds the keys (n-gram, 1) ... (n-gram, level): probing level after
-level until one is missing gives the count back.  The filter is built in segments on the executors, has at
-most MOST_BYTES and is broadcast; scoring probes it for every distinct n-gram of a slice of texts.
+level until one is missing gives the count back.  The filter is built in segments on the executors and grows with
+the keys, at BITS a key.  It is broadcast in parts of at most MOST_BYTES; scoring probes it for every distinct n-gram
+of a slice of texts, or, if there are several parts, of HELD tokens, with one part in memory after the other.
 
 Beside the model's score stands an exact unigram base score: words of the HOT_WORDS table are added up where
 the text is read, all others are joined with the full count table by key.
 
-Bounds: words seen once are in the filter, word pairs from PAIR_LEAST occurrences on.  If the keys would give
-the filter less than LEAST_BITS a key at MOST_BYTES, both limits double until they fit; lower counts are then
-backed off as unseen.  The base score never changes by that.  Equal 64-bit hashes of different words are not told apart.
+Words seen once are in the filter, word pairs from PAIR_LEAST occurrences on, at every size of the corpus; pairs below
+are backed off as unseen.  Equal 64-bit hashes of different words are not told apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .textarrays import arrow_map, JOIN, mix, signed, slices, U, words
 
+#: A key gets BITS, or LEAST_BITS if that is more.
 PROBES, BITS, LEAST_BITS = 5, 10, 6
+#: Of a part of the filter.
 MOST_BYTES = 64 << 20
 SEGMENT = 1 << 20  # bits
 PAIR_LEAST = 2
 HOT_WORDS = 1_000_000
 #: Tokens whose pairs a task collects before it deals them out.
 FLUSH = 1_500_000
+#: Tokens of the texts that go through the parts of the filter together.
+HELD = 1_500_000
 END = mix(np.array([0xE0D], np.uint64))[0]
 _PAIR = U(0xA0761D6478BD642F)
 ADD = 0.1
@@ -167,13 +171,14 @@ def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
 @dataclass(frozen=True)
 class LogFrequencyFilter:
     bits: np.ndarray  # bytes, SEGMENT bits each segment
-    segments: int
+    segments: int  # of all parts
+    first: int = 0  # segment of this part
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """Level of each gram: probe 1, 2, ... until a key is missing."""
         out = np.zeros(len(grams), np.int64)
         live = np.arange(len(grams))
-        base = segment_of(grams, self.segments) * U(SEGMENT)
+        base = (segment_of(grams, self.segments) - U(self.first)) * U(SEGMENT)
         q = 1
         while len(live):
             for probe in range(PROBES):
@@ -188,9 +193,14 @@ class LogFrequencyFilter:
         return out
 
 
-def build_filter(grams: DataFrame, keys: int) -> LogFrequencyFilter:
-    """grams: gram, n.  keys: sum of their levels.  Segments are filled on the executors; at most MOST_BYTES come to the driver."""
-    segments = max(1, min(-(-keys * BITS // SEGMENT), MOST_BYTES * 8 // SEGMENT))
+def segments_for(keys: int) -> int:
+    return max(1, -(-keys * max(BITS, LEAST_BITS) // SEGMENT))
+
+
+def build_filter(grams: DataFrame, keys: int, first: int = 0, end: int | None = None) -> LogFrequencyFilter:
+    """grams: gram, n.  keys: sum of their levels.  Only the segments from first to end (exclusive; None: the last) are filled, on the executors, and come to the driver."""
+    segments = segments_for(keys)
+    end = segments if end is None else end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
@@ -207,17 +217,29 @@ def build_filter(grams: DataFrame, keys: int) -> LogFrequencyFilter:
         for s, bits in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
 
-    dealt = grams.select("gram", "n", F.expr(f"pmod(shiftrightunsigned(gram, 24), {segments})").alias("s")).repartition("s").drop("s")
-    bits = np.zeros(segments * SEGMENT // 8, np.uint8)
+    dealt = grams.select("gram", "n", F.expr(f"pmod(shiftrightunsigned(gram, 24), {segments})").alias("s"))
+    dealt = (dealt.where(F.col("s").between(first, end - 1)) if end - first < segments else dealt).repartition("s").drop("s")
+    bits = np.zeros((end - first) * SEGMENT // 8, np.uint8)
     for row in dealt.transform(arrow_map, run, "segment long, bits binary").toLocalIterator():  # one partition's segments at a time
-        at = row["segment"] * (SEGMENT // 8)
+        at = (row["segment"] - first) * (SEGMENT // 8)
         bits[at : at + SEGMENT // 8] |= np.frombuffer(row["bits"], np.uint8)
-    return LogFrequencyFilter(bits, segments)
+    return LogFrequencyFilter(bits, segments, first)
+
+
+def levels_by_parts(parts: list[Broadcast], grams: np.ndarray, segments: int, width: int) -> np.ndarray:
+    """Levels of grams from a filter in broadcast parts of width segments each; a worker holds one at a time."""
+    out, of = np.zeros(len(grams), np.int64), segment_of(grams, segments) // U(width)
+    for k, part in enumerate(parts):
+        here = np.flatnonzero(of == k)
+        if len(here):
+            out[here] = part.value.levels(grams[here])
+            if getattr(part, "_path", None):  # read again from its file when next asked for
+                vars(part).pop("_value", None)
+    return out
 
 
 @dataclass(frozen=True)
 class LanguageScores:
-    filter: LogFrequencyFilter
     total: int
     distinct: int
     weight: float  # of the pair estimate against the single one
@@ -228,15 +250,15 @@ class LanguageScores:
     def base_log(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + ADD) / (self.total + ADD * (self.distinct + 1)))
 
-    def score(self, t: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 probability of each text: pair and word estimates, weighted."""
+    def score(self, t: np.ndarray, bounds: np.ndarray, levels: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """log10 probability of each text: pair and word estimates, weighted.  levels: of grams."""
         single, back = np.unique(t, return_inverse=True)
-        c = count_of(self.filter.levels(single))[back]
+        c = count_of(levels(single))[back]
         pair, again = np.unique(pair_hashes(t, bounds), return_inverse=True)
-        both = count_of(self.filter.levels(pair))[again]
+        both = count_of(levels(pair))[again]
         before = np.empty_like(c)
         before[1:] = c[:-1]
-        before[bounds[:-1]] = count_of(self.filter.levels(np.array([END])))[0]
+        before[bounds[:-1]] = count_of(levels(np.array([END])))[0]
         alone = (c + ADD) / (self.total + ADD * (self.distinct + 1))
         joint = np.minimum(both, before) / np.maximum(before, 1)
         p = np.where(before > 0, self.weight * joint + (1 - self.weight) * alone, alone)
@@ -259,13 +281,11 @@ def language_scores(df: DataFrame, training: DataFrame, id_col: str = "doc_id",
     words_by = {r["q"]: r for r in counts.groupBy(F.expr(log2).alias("q")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()}
     pairs_by = {r["q"]: r for r in pairs.groupBy(F.expr(log2).alias("q")).agg(F.count("*").alias("k"), F.sum(F.col("n") - 1).alias("n")).collect()}
     total, distinct = sum(r["n"] for r in words_by.values()), sum(r["k"] for r in words_by.values())
-    cut = 1  # the least level in the filter, of words; of pairs too, if higher than theirs
-    keys = lambda: sum(r["k"] * q for by in (words_by, pairs_by) for q, r in by.items() if q >= cut)
-    while keys() * LEAST_BITS > MOST_BYTES * 8:
-        cut += 1
+    keys = sum(r["k"] * q for by in (words_by, pairs_by) for q, r in by.items())
     grams = counts.select(F.col("word").alias("gram"), "n").unionAll(pairs)
-    grams = grams.where(F.col("n") >= 1 << (cut - 1)) if cut > 1 else grams
-    weight = min(0.9, max(0.0, sum(r["n"] for q, r in pairs_by.items() if q >= cut) / max(1, total)))
+    weight = min(0.9, max(0.0, sum(r["n"] for r in pairs_by.values()) / max(1, total)))
+    segments, width = segments_for(keys), MOST_BYTES * 8 // SEGMENT
+    parts = [spark.sparkContext.broadcast(build_filter(grams, keys, a, min(a + width, segments))) for a in range(0, segments, width)]
 
     hot_least, room = 1 << 62, HOT_WORDS
     for q in sorted(words_by, reverse=True):
@@ -276,38 +296,55 @@ def language_scores(df: DataFrame, training: DataFrame, id_col: str = "doc_id",
     hot = counts.where(F.col("n") >= hot_least).toArrow()  # at most HOT_WORDS rows
     hot_words, hot_n = hot["word"].to_numpy().view(np.uint64), hot["n"].to_numpy()
     order = np.argsort(hot_words)
-    shared = spark.sparkContext.broadcast(LanguageScores(build_filter(grams, keys()), int(total), int(distinct), weight, hot_words[order], hot_n[order], hot_least))
+    shared = spark.sparkContext.broadcast(LanguageScores(int(total), int(distinct), weight, hot_words[order], hot_n[order], hot_least))
 
     names = ["key", "id", "n_tokens", "known", "base", "score", "word", "times"]
     kind = df.schema[id_col].dataType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored_slices(held: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        if len(parts) == 1:
+            levels = parts[0].value.levels
+        else:
+            grams = np.unique(np.concatenate([np.array([END]), *(x for _, _, t, bounds in held for x in (np.unique(t), np.unique(pair_hashes(t, bounds))))]))
+            known_levels = levels_by_parts(parts, grams, segments, width)
+            levels = lambda g: known_levels[np.searchsorted(grams, g)]
+        for own, ids, t, bounds in held:
+            at = np.minimum(np.searchsorted(m.hot, t), max(0, len(m.hot) - 1))
+            found = m.hot[at] == t if len(m.hot) else np.zeros(len(t), bool)
+            c = m.hot_n[at] if len(m.hot) else np.zeros(len(t))
+            base = np.add.reduceat(np.where(found, m.base_log(np.where(found, c, 0)), 0.0), bounds[:-1])
+            known = np.add.reduceat(found.astype(np.int64), bounds[:-1])
+            n = len(own)
+            columns = [pa.array(own), ids, pa.array(np.diff(bounds)), pa.array(known), pa.array(base), pa.array(m.score(t, bounds, levels)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            rest = np.flatnonzero(~found)
+            if len(rest):
+                owner = np.repeat(own, np.diff(bounds))[rest]
+                w = t[rest]
+                order = np.lexsort((w, owner))
+                w, owner = w[order], owner[order]
+                heads = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (owner[1:] != owner[:-1]))))
+                times = np.diff(np.append(heads, len(w)))
+                k = len(heads)
+                columns = [pa.array(owner[heads]), pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(signed(w[heads])), pa.array(times)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 34
+        held, size = [], 0
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(1)):
                 t, bounds = tokens(data, offsets)
                 n = end - first
-                own = key + np.arange(n)
+                held.append((key + np.arange(n), batch.column(0).slice(first, n), t, bounds))
                 key += n
-                at = np.minimum(np.searchsorted(m.hot, t), max(0, len(m.hot) - 1))
-                found = m.hot[at] == t if len(m.hot) else np.zeros(len(t), bool)
-                c = m.hot_n[at] if len(m.hot) else np.zeros(len(t))
-                base = np.add.reduceat(np.where(found, m.base_log(np.where(found, c, 0)), 0.0), bounds[:-1])
-                known = np.add.reduceat(found.astype(np.int64), bounds[:-1])
-                columns = [pa.array(own), batch.column(0).slice(first, n), pa.array(np.diff(bounds)), pa.array(known), pa.array(base), pa.array(m.score(t, bounds)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                rest = np.flatnonzero(~found)
-                if len(rest):
-                    owner = np.repeat(own, np.diff(bounds))[rest]
-                    w = t[rest]
-                    order = np.lexsort((w, owner))
-                    w, owner = w[order], owner[order]
-                    heads = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (owner[1:] != owner[:-1]))))
-                    times = np.diff(np.append(heads, len(w)))
-                    k = len(heads)
-                    columns = [pa.array(owner[heads]), pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(signed(w[heads])), pa.array(times)]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                size += len(t)
+                if size > HELD or len(parts) == 1:
+                    yield from scored_slices(held)
+                    held, size = [], 0
+        if held:
+            yield from scored_slices(held)
 
     schema = f"key long, id {kind.simpleString()}, n_tokens long, known long, base double, score double, word long, times long"
     scored = stored(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(arrow_map, run, schema), "lm-scored")

@@ -91,3 +91,15 @@ def test_awkward_rows(awkward, clashing, nothing):
     assert lmscore.language_scores(nothing, awkward).count() == 0
     unlearned = lmscore.language_scores(awkward, awkward.where(F.lit(False))).collect()
     assert all(r["n_known"] == 0 == r["train_tokens"] and r["score"] <= 0 for r in unlearned) and len(unlearned) == awkward.count()
+
+
+@pytest.mark.parametrize("held", [lmscore.HELD if hasattr(lmscore, "HELD") else 0, 50])
+def test_a_filter_of_many_parts_scores_like_one(spark, rng, monkeypatch, held):
+    monkeypatch.setattr(lmscore, "MOST_BYTES", lmscore.SEGMENT // 8)
+    monkeypatch.setattr(lmscore, "BITS", 900)
+    monkeypatch.setattr(lmscore, "LEAST_BITS", 900)
+    monkeypatch.setattr(lmscore, "HELD", held, raising=False)
+    t = texts(rng)
+    df = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lmscore.language_scores(df, df).collect()}
+    assert all(got[k] == pytest.approx(model_score(x, t), abs=1e-6) for k, x in enumerate(t))

@@ -3,8 +3,9 @@
 Base spans come from four patterns.  Every matched value is a protected entity.  The corpus tells how
 strongly the words around it reveal it: with document counts n(e), n(t) and n(t, e) (word t stands within CONTEXT
 characters of e), pointwise mutual information of t and e, divided by the information content of e, is
-1 - log p(e|t) / log p(e).  Where that share reaches DISCLOSED, and at least SUPPORT documents hold the pair, t is
-disclosing: next to e it is removed if it never stands without e, else generalised.
+1 - log p(e|t) / log p(e).  Where that share reaches DISCLOSED, t is disclosing: next to e it is removed if it never
+stands without e, else generalised.  Pairs of fewer than SUPPORT documents are judged by p(e|t) = n(t, e) / (n(t) + 1),
+as if one more document held t without e; so entities of one document count too, and chance tells less.
 
 Positions come from regular splits: the text between matches and the matches themselves, added up.
 Patterns are written with possessive repeats and look-behind, so that no text makes them slow; they
@@ -119,23 +120,26 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """entity, term, share (p(e|t)) of the disclosing pairs.  docs: text; mentions: key, entity, terms."""
     near = stored(mentions.select("key", "entity", F.explode(F.array_distinct(F.col("terms.term"))).alias("term")).distinct(), "pii-near")
     n_docs = docs.count()
-    n_te = near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    n_te = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     n_e = mentions.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     # documents that hold t near any entity: never more than n(t), so terms that fail with it fail with n(t) too
     n_near = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
 
     def reveals(n_t: str) -> Column:
         """1 - log p(e|t) / log p(e) >= DISCLOSED; an entity of all documents says nothing."""
-        return (F.col("n_e") < n_docs) & (F.log(F.col("n_te") / F.greatest(n_t, "n_te")) >= (1 - DISCLOSED) * F.log(F.col("n_e") / F.lit(float(n_docs))))
+        more = F.when(F.col("n_te") < SUPPORT, 1).otherwise(0)
+        return (F.col("n_e") < n_docs) & (F.log(F.col("n_te") / (F.greatest(n_t, "n_te") + more)) >= (1 - DISCLOSED) * F.log(F.col("n_e") / F.lit(float(n_docs))))
 
     pairs = stored(n_te.join(n_e, "entity").join(n_near, "term").where(reveals("n_near")), "pii-pairs")
 
     def counted(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
         """pairs with the number of docs that hold their term."""
         terms = stored(pairs.select("term").distinct(), "pii-terms")
-        wanted = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
         words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-        return pairs.join(words.join(wanted, "term").groupBy("term").agg(F.count("*").alias(name)), "term", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+        few = terms.count() <= BROADCAST_TERMS
+        # many terms: words are added up where they are read, before they move
+        sums = (words.join(F.broadcast(terms), "term") if few else words).groupBy("term").agg(F.count("*").alias(name))
+        return pairs.join(sums, "term", "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
     # a sixteenth of the texts is another bound from below, and spares the full count most of the common words
     if pairs.limit(1).count():

@@ -95,3 +95,15 @@ def test_overlapping_spans_are_hidden_once(spark):
 def test_main_path_stays_in_the_jvm(awkward):
     found = pii.find_personal_data(awkward)
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entities_of_one_document_have_disclosing_terms(spark, rng):
+    filler = ["the", "and", "house", "garden", "river", "stone", "cloud"]
+    texts = [" ".join(rng.choice(filler) for _ in range(12)) for _ in range(3000)]
+    texts[7] = "the house Zorblax who@example.com garden river"
+    texts[8] = "the house Quimby other@example.com garden river"
+    for k in range(9, 40):
+        texts[k] += " quimby"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean[7] == "the house  [EMAIL] garden river" and clean[8] == "the house Quimby [EMAIL] garden river"

@@ -14,6 +14,8 @@ from tailweave.llm.common import stored, table
 
 #: Languages are rejected where none can be told, or where the best one is less likely than this.
 LEAST_LIKELY = 0.5
+#: Documents are near duplicates from this similarity of their word shingles on, in percent.
+ALIKE = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, and one row of each repeated one."""
-    return neardup.without_duplicates(docs)
+    return neardup.without_duplicates(docs, percent=ALIKE)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,11 +11,13 @@
    and no table holds all its pairs.
 
 Two sets with Jaccard similarity 0.85 share no band with probability (1 - 0.85 ** ROWS) ** BANDS, about 1 in 90,000.
+Lower thresholds get more bands, so that this holds for them too.
 Equal 64-bit hashes of different sets join two classes wrongly: at 3e10 documents about two dozen pairs are expected.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,23 +43,32 @@ _TIMES = (_rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) << U(1)) | U(1)
 _ROUND = (_rng.integers(0, 2**63, ROWS, dtype=np.uint64) << U(1)) | U(1)
 
 
-def min_max_signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(sets, 2 * PERMUTATIONS): all minima, then all maxima, of sets that aren't empty."""
-    out = np.empty((2 * PERMUTATIONS, len(bounds) - 1), np.uint64)
-    for k in range(PERMUTATIONS):
-        x = (values ^ _FLIP[k]) * _TIMES[k]
+def bands_for(percent: int) -> int:
+    """Bands that miss a pair of that similarity as seldom as BANDS miss one of PERCENT."""
+    return max(BANDS, math.ceil(BANDS * math.log1p(-((PERCENT / 100) ** ROWS)) / math.log1p(-((percent / 100) ** ROWS)))) if 0 < percent < PERCENT else BANDS
+
+
+def min_max_signatures(values: np.ndarray, bounds: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
+    """(sets, 2 * permutations): all minima, then all maxima, of sets that aren't empty."""
+    flip, times = _FLIP, _TIMES
+    if permutations > PERMUTATIONS:
+        more = np.random.Generator(np.random.PCG64(6)).integers(0, 2**63, (permutations - PERMUTATIONS, 2), dtype=np.uint64)
+        flip, times = np.append(flip, more[:, 0]), np.append(times, (more[:, 1] << U(1)) | U(1))
+    out = np.empty((2 * permutations, len(bounds) - 1), np.uint64)
+    for k in range(permutations):
+        x = (values ^ flip[k]) * times[k]
         np.minimum.reduceat(x, bounds[:-1], out=out[k])
-        np.maximum.reduceat(x, bounds[:-1], out=out[PERMUTATIONS + k])
+        np.maximum.reduceat(x, bounds[:-1], out=out[permutations + k])
     return out.T
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """(sets, BANDS): each band has ROWS minima or ROWS maxima of different permutations."""
-    grid = signatures.reshape(len(signatures), BANDS, ROWS)
+    """(sets, bands): each band has ROWS minima or ROWS maxima of different permutations."""
+    grid = signatures.reshape(len(signatures), -1, ROWS)
     keys = np.zeros(grid.shape[:2], np.uint64)
     for k in range(ROWS):
         keys = mix((keys ^ grid[:, :, k]) * _ROUND[k])
-    return keys + np.arange(BANDS, dtype=np.uint64) * U(0x9E3779B97F4A7C15)
+    return keys + np.arange(grid.shape[1], dtype=np.uint64) * U(0x9E3779B97F4A7C15)
 
 
 def class_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -70,7 +81,7 @@ def _filled(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return full, np.concatenate((bounds[:-1][full], bounds[-1:]))
 
 
-def _signed_rows(df: DataFrame) -> DataFrame:
+def _signed_rows(df: DataFrame, n_bands: int = BANDS) -> DataFrame:
     """id, text: id, n_shingles, class (null for empty sets), bands (only on the first row of a class in its slice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +96,8 @@ def _signed_rows(df: DataFrame) -> DataFrame:
                     _, lead = np.unique(kind[full], return_index=True)
                     lead.sort()
                     parts = [values[own[k] : own[k + 1]] for k in lead]
-                    bands = band_keys(min_max_signatures(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))))).ravel()
-                    at[1 + full[lead]] = BANDS
+                    bands = band_keys(min_max_signatures(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))), n_bands * ROWS // 2)).ravel()
+                    at[1 + full[lead]] = n_bands
                 empty = np.ones(end - first, bool)
                 empty[full] = False
                 yield pa.RecordBatch.from_arrays(
@@ -200,7 +211,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = stored(_signed_rows(docs), "signed")
+    rows = stored(_signed_rows(docs, bands_for(percent)), "signed")
     classes = stored(rows.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n")), "classes")
     keys = rows.where("size(bands) > 0").select("class", F.explode("bands").alias("key")).distinct()
     keys = stored(keys, "keys")
@@ -240,9 +251,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are kept; of rows with one id, one stays, and rows without id stay only where their text has no other copy."""
-    found = stored(near_duplicates(docs, id_col, text_col), "neardup")
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that are kept at a similarity of percent; of rows with one id, one stays, and rows without id stay only where their text has no other copy."""
+    found = stored(near_duplicates(docs, id_col, text_col, percent), "neardup")
     gone = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("kept").alias("kept")).where("not kept").select("id")
     out = without_ids(docs.where(F.col(id_col).isNotNull()), stored(gone, "gone"), id_col)
     n, known = found.agg(F.count(id_col), F.count_distinct(id_col)).first()

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from tailweave.llm import queries
+from tailweave.llm import neardup, queries
 
 
 def test_stages_on_awkward_rows(spark, awkward, small, tmp_path):
@@ -35,3 +35,21 @@ def test_run_keeps_clean_documents_and_honours_decisions(spark):
     assert len(changed) and all(text[i] != t for i, t in zip(changed.doc_id, changed.text, strict=True))
     by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
     assert ((by.taken - by.target).abs() <= 12).all()
+
+
+def test_near_duplicates_from_80_percent_on(spark):
+    """Of 200 words four are changed (similarity 0.81), or every twelfth one (far below)."""
+    docs = []
+    for k in range(40):
+        words = [f"w{k}x{j}" for j in range(200)]
+        near = [f"v{j}" if j in (20, 60, 100, 140) else w for j, w in enumerate(words)]
+        far = [f"u{j}" if j % 12 == 5 else w for j, w in enumerate(words)]
+        docs += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(far))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert kept == {x for k in range(40) for x in (3 * k, 3 * k + 2)}
+
+
+def test_bands_keep_the_miss_rate():
+    miss = lambda percent: (1 - (percent / 100) ** neardup.ROWS) ** neardup.bands_for(percent)
+    assert neardup.bands_for(85) == neardup.BANDS and miss(80) <= miss(85) and miss(60) <= miss(85)

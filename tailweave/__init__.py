@@ -1 +1 @@
-"""Extreme-dependence analytics on Spark: ranks, tail dependence, lagged graphs, pathways, puzzles and verification."""
+"""Extreme-dependence analytics on Spark: ranks, tail dependence, lagged graphs, chains, puzzles and verification."""

@@ -336,7 +336,7 @@ def run_store_merge(spark, d):
     return cubes.merge_run_stores(one, two)
 
 
-# ---------------------------------------------------------------- pathways
+# ---------------------------------------------------------------- chains
 def d3_sql(lag1: int, lag2: int, station: str, tag: str = "", edge: str = "edge") -> str:
     total, n = lag1 + lag2, W_END - lag1 - lag2
     return f"""n1{tag} AS (SELECT i AS origin, j AS cell FROM (SELECT *, quantile_cont(chi, 0.5) OVER (PARTITION BY i) AS l FROM {edge} WHERE {station}) WHERE chi > l),
@@ -386,16 +386,16 @@ def station_d3_best(spark, d):
 
 @query(f"WITH {D3} SELECT origin, CAST(origin AS VARCHAR) || ',' || cell AS nodes FROM peak")
 def station_path(spark, d):
-    return explore.pathway_nodes(_station(spark, d, [1, 2])).select("origin", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
+    return explore.chain_nodes(_station(spark, d, [1, 2])).select("origin", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
 
 
 @query(f"""WITH {D3}, g AS (SELECT origin, 'LINESTRING(' || (100 + origin % 5) || '.0 ' || (10 - origin // 5) || '.0, ' || (100 + cell % 5) || '.0 ' || (10 - cell // 5) || '.0)' AS wkt FROM peak) SELECT * FROM g""")
 def station_d3_wkt(spark, d):
-    return explore.wkt_lines(explore.pathway_nodes(_station(spark, d, [1, 2])), cubes.grid(spark, 5, 5))
+    return explore.wkt_lines(explore.chain_nodes(_station(spark, d, [1, 2])), cubes.grid(spark, 5, 5))
 
 
 @query(f"WITH {ALL3}, s AS (SELECT range AS origin FROM range(25)) SELECT s.origin, coalesce(b, s.origin) AS b, coalesce(c, s.origin) AS c FROM s LEFT JOIN best ON best.origin = s.origin")
-def all_pathways(spark, d):
+def all_chains(spark, d):
     every = cells_of(spark, 25)
     best = explore.best_or_self(every, _station(spark, d, [1, 2], every).steps[3].best, 3)
     return best.select("origin", F.col("path")[1].alias("b"), F.col("path")[2].alias("c"))
@@ -433,7 +433,7 @@ def hyperdim_converge(spark, d):
 
 
 # ---------------------------------------------------------------- training tables
-def _pathways(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _chains(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     every, ranks = cells_of(spark, 25), stored(ecdf(weekly(spark, d)), "ecdf")
     edges = {lag: stored(graph.lag_graph(ranks, every, lag, 0, W_END, P), "edges") for lag in {x[0] for x in LAGS.values()}}
     prepared = explore.prepare(ranks, P)
@@ -453,18 +453,18 @@ f_{k} AS MATERIALIZED (SELECT y.t, p.origin AS cell, y.value AS y, m1.value AS x
 
 @query(f"WITH {PUZZLE} " + " UNION ALL ".join(f"SELECT '{k}' AS key, t, cell, y, x1, x2 FROM f_{k}" for k in LAGS))
 def puzzle_features(spark, d):
-    blocks = puzzle.joint_blocks(_pathways(spark, d), weekly(spark, d), LAGS, 0, W_END)
+    blocks = puzzle.joint_blocks(_chains(spark, d), weekly(spark, d), LAGS, 0, W_END)
     return blocks.groupBy("key", "t", "cell").agg(*[F.max(F.when(F.col("m") == m, F.col("x"))).alias(n) for m, n in enumerate(("y", "x1", "x2"))])
 
 
 @query(f"WITH {PUZZLE} SELECT t FROM f_1_1 INTERSECT SELECT t FROM f_1_2 INTERSECT SELECT t FROM f_2_1")
 def puzzle_common_dates(spark, d):
-    return puzzle.common_dates(puzzle.joint_blocks(_pathways(spark, d), weekly(spark, d), LAGS, 0, W_END), 3)
+    return puzzle.common_dates(puzzle.joint_blocks(_chains(spark, d), weekly(spark, d), LAGS, 0, W_END), 3)
 
 
 @query(f"WITH {PUZZLE} SELECT a.t, a.cell, a.y, a.x1 AS x0, a.x2 AS x1, b.x1 AS x2, b.x2 AS x3, c.x1 AS x4, c.x2 AS x5 FROM f_1_1 a JOIN f_1_2 b ON a.t = b.t AND a.cell = b.cell JOIN f_2_1 c ON a.t = c.t AND a.cell = c.cell")
 def puzzle_xy(spark, d):
-    blocks = puzzle.joint_blocks(_pathways(spark, d), weekly(spark, d), LAGS, 0, W_END)
+    blocks = puzzle.joint_blocks(_chains(spark, d), weekly(spark, d), LAGS, 0, W_END)
     return puzzle.puzzle(blocks, LAGS).select("t", "cell", "y", *[F.col("x")[k].alias(f"x{k}") for k in range(6)])
 
 
@@ -474,7 +474,7 @@ FROM (SELECT DISTINCT t FROM m) d CROSS JOIN range(25) c LEFT JOIN m ON m.t = d.
 def puzzle_dated_dense(spark, d):
     """Two lag lists, paths for every other cell only: the others are zeros; steps carry their dates."""
     lists = {k: LAGS[k] for k in ("1_1", "1_2")}
-    own = {k: v.where("origin % 2 = 0") for k, v in _pathways(spark, d).items() if k in lists}
+    own = {k: v.where("origin % 2 = 0") for k, v in _chains(spark, d).items() if k in lists}
     cube = weekly(spark, d).withColumn("value", F.col("value").cast("double"))
     table = puzzle.puzzle(puzzle.joint_blocks(own, cube, lists, 0, W_END), lists, cells_of(spark, 25))
     dates = spark.range(cubes.WEEKLY_STEPS).select(F.col("id").alias("t"), F.expr("cast(date_add(date'1995-01-01', cast(7 * id as int)) as string)").alias("date"))
@@ -502,7 +502,7 @@ def persistence_forecast(spark, d):
 @query()
 def linear_baseline(spark, d):
     """Verification of a linear model on the training table, by part."""
-    blocks = puzzle.joint_blocks(_pathways(spark, d), weekly(spark, d), LAGS, 0, W_END)
+    blocks = puzzle.joint_blocks(_chains(spark, d), weekly(spark, d), LAGS, 0, W_END)
     table = puzzle.puzzle(blocks, LAGS).withColumn("x", F.transform("x", lambda v: v.cast("double")))
     return metrics.metric_map(pipelines.linear_baseline(table), {"rmse": metrics.rmse, "nse": metrics.nse}, ["part"]).select("part", r("rmse", 6).alias("rmse"), r("nse", 6).alias("nse"))
 

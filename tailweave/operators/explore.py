@@ -1,4 +1,4 @@
-"""Pathways of d nodes: which chains of cells exceed together, station by station or region by region.
+"""Chains of d nodes: which chains of cells exceed together, station by station or region by region.
 
 All stations run in one plan, keyed by ``origin``.  For each d the sampled node lists are chained by equi-joins on
 the aligned step tau, so only steps at which the whole prefix exceeds go on; the last node is any cell.  Hits are
@@ -111,7 +111,7 @@ def prepare(ecdf: DataFrame, p: float = 0.95, keep: bool = True) -> tuple[DataFr
 
 
 def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_max: int, lags: Sequence[int], start: int, end: int, p: float = 0.95, percent: float = 50.0, rates: Sequence[float] | None = None, seed: int = 7, keep: bool = True, prepared: tuple[DataFrame, DataFrame] | None = None) -> Exploration:
-    """Pathways from every station at once.  stations: cell.  edges: i, j, chi of the lagged graph, with all cells as j.
+    """Chains from every station at once.  stations: cell.  edges: i, j, chi of the lagged graph, with all cells as j.
 
     Node lists: the station; cells whose chi with it lies above the percentile (0-100 scale) of its row; for
     larger d the cells above the percentile of the image before.  ``rates[k]``: share of list k that is sampled (default 1).
@@ -139,7 +139,7 @@ def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_m
 
 
 def explore_regions(ecdf: DataFrame, members: DataFrame, centroids: DataFrame, d_max: int, lags: Sequence[int], start: int, end: int, rates: Sequence[float], p: float = 0.95, percent: float = 50.0, tolerance: float = 0.01, delta: float = 0.01, max_iter: int = 100, seed: int = 7) -> Exploration:
-    """Pathways of clusters with growing samples, until the mean image moves by at most ``tolerance``.
+    """Chains of clusters with growing samples, until the mean image moves by at most ``tolerance``.
 
     members: origin (cluster), cell.  centroids: origin, cell, weight.  In each round of a d all lists are sampled with
     rates that have grown by ``delta``; only tuples not seen before are evaluated and added to running integer sums.
@@ -185,7 +185,7 @@ def explore_regions(ecdf: DataFrame, members: DataFrame, centroids: DataFrame, d
     return out
 
 
-def pathway_nodes(found: Exploration) -> DataFrame:
+def chain_nodes(found: Exploration) -> DataFrame:
     """(origin, nodes): the station and, for each d, the cell with the largest mean."""
     peaks = None
     for d, step in sorted(found.steps.items()):

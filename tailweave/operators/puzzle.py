@@ -1,4 +1,4 @@
-"""Training tables: lag-aligned values of each cell's pathway, for several lag lists side by side."""
+"""Training tables: lag-aligned values of each cell's chain, for several lag lists side by side."""
 
 from __future__ import annotations
 

@@ -30,7 +30,7 @@ class Model:
     top: DataFrame
     flow: DataFrame
     found: explore.Exploration
-    pathways: DataFrame  # origin, path; the own cell repeated where nothing was found
+    chains: DataFrame  # origin, path; the own cell repeated where nothing was found
 
 
 def study_window(dates: DataFrame, first: str, last: str) -> tuple[int, int]:
@@ -70,16 +70,16 @@ def save_models(models: dict[str, Model], folder: str) -> None:
     """Relations of all models, partitioned by run; a run that is saved again replaces itself only."""
     for key, m in models.items():
         best, image = m.found.steps[max(m.found.steps)].best, m.found.steps[max(m.found.steps)].image
-        for name, df in {"edges": m.edges, "top": m.top, "flow": m.flow, "best": best, "image": image, "pathways": m.pathways}.items():
+        for name, df in {"edges": m.edges, "top": m.top, "flow": m.flow, "best": best, "image": image, "chains": m.chains}.items():
             append_runs(df.withColumn("run_name", F.lit(key)), f"{folder}/{name}")
 
 
 def load_relations(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The saved relations, each with its run_name."""
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("edges", "top", "flow", "best", "image", "pathways")}
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("edges", "top", "flow", "best", "image", "chains")}
 
 
-def load_merged(spark: SparkSession, folders: Sequence[str], relation: str = "pathways") -> DataFrame:
+def load_merged(spark: SparkSession, folders: Sequence[str], relation: str = "chains") -> DataFrame:
     """One relation of several stores; of runs with one name the last folder's wins.  Folders that don't exist are passed over."""
     found = []
     for folder in folders:
@@ -108,16 +108,16 @@ def build_folder(spark: SparkSession, folder: str, width: int, lag_lists: Sequen
     return names
 
 
-def predict(pathways: DataFrame, cube: DataFrame, lag: int, first: int, last: int, every: int = 1, value: str = "value") -> DataFrame:
+def predict(chains: DataFrame, cube: DataFrame, lag: int, first: int, last: int, every: int = 1, value: str = "value") -> DataFrame:
     """Persistence forecast for steps first to last (both included), as means over ``every`` steps if more than 1."""
-    own = puzzle.persistence(pathways, cube, lag, value).where(F.col("t").between(first, last))
+    own = puzzle.persistence(chains, cube, lag, value).where(F.col("t").between(first, last))
     return own if every == 1 else puzzle.resampled(own, every)
 
 
 def training_table(cube: DataFrame, models: dict[str, Model], start: int, end: int, cells: DataFrame | None = None, value: str = "value") -> DataFrame:
     """puzzle(t, cell, x, y) over all lag lists."""
     lists = {k: m.lags for k, m in models.items()}
-    blocks = puzzle.joint_blocks({k: m.pathways for k, m in models.items()}, cube, lists, start, end, value)
+    blocks = puzzle.joint_blocks({k: m.chains for k, m in models.items()}, cube, lists, start, end, value)
     return puzzle.puzzle(blocks, lists, cells)
 
 

@@ -169,7 +169,7 @@ def brute_explore(u, stations, d_max, lags, s, e, p, percent):
     return out
 
 
-def test_pathways_like_brute_force(spark, rain, ranked):
+def test_chains_like_brute_force(spark, rain, ranked):
     cube = cube_of(spark, rain)
     u = ecdf(cube).cache()
     cells = cube.select("cell").distinct()
@@ -450,7 +450,7 @@ def test_whole_flow(spark, rain):
     cube = cube_of(spark, rain)
     models = pipelines.build_models(cube, 3, [[1, 1], [1, 2]], 0, 149, p=P, percent=40)
     assert models["1_1"].edges is models["1_2"].edges
-    assert all(m.pathways.count() == 6 and m.flow.count() == 6 for m in models.values())
+    assert all(m.chains.count() == 6 and m.flow.count() == 6 for m in models.values())
     table = pipelines.training_table(cube, models, 0, 149)
     assert table.count() == 6 * 146 and len(table.first()["x"]) == 4
     linear = pipelines.linear_baseline(table)
@@ -473,7 +473,7 @@ def test_models_are_saved_merged_and_built_from_folders(spark, rain, tmp_path):
     assert merged.groupBy("run_name").count().orderBy("run_name").collect() == [("1_1", 6), ("2_1", 6)]
     with pytest.raises(ValueError):
         pipelines.load_merged(spark, [str(tmp_path / "none")])
-    assert pipelines.predict(models["1_1"].pathways, cube_of(spark, rain), 1, 10, 19, 5).count() == 12
+    assert pipelines.predict(models["1_1"].chains, cube_of(spark, rain), 1, 10, 19, 5).count() == 12
 
 
 def test_study_windows(spark):

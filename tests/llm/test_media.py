@@ -64,7 +64,7 @@ def test_netpbm():
     assert (media.decode_image(media.encode_pgm(rgb[..., 0]))[..., 0] == rgb[..., 0]).all()
 
 
-@pytest.mark.parametrize("raw", [b"", b"P5", b"P5\n0 3\n255\n", b"P5\n9 9\n255\nxx", b"P7\n", b"BM", b"BM" + b"\0" * 60, b"P1\n2 2\n1 0 2 1", b"P3\n1 1 255\n1 2", b"P2\n1 1 5\n9", b"\xff\xd8\xff"])
+@pytest.mark.parametrize("raw", [b"", b"P5", b"P5\n0 3\n255\n", b"P5\n9 9\n255\nxx", b"P7\n", b"BM", b"BM" + b"\0" * 60, b"P1\n2 2\n1 0 2 1", b"P3\n1 1 255\n1 2", b"P2\n1 1 5\n9", b"\xff\xd8\xff", b"P4\n8 1", b"P4\n8 1\n", b"P5\n" + b"9" * 5000 + b" 1\n255\n", b"P2\n1 1\n255\n" + b"7" * 5000, b"P2\n1 1\n" + b"0" * 5000 + b"9\n1"])
 def test_broken_images(raw):
     with pytest.raises(media.ImageError):
         media.decode_image(raw)
@@ -102,3 +102,38 @@ def test_payloads_round_trip(awkward, clashing, nothing):
     for r in media.payload_media(awkward, keep=True).collect():
         assert hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and len(media.decode_image(bytes(r["media"])).tobytes()) == r["payload_bytes"]
         assert media.read_tile(r["tile"]).shape == (32, 32, 1)
+
+
+def test_damaged_images_raise_image_errors_only(spark):
+    """Truncations, changed and inserted bytes of valid files, and noise: an image or an ImageError."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 2, (5, 9)).astype(np.uint8)
+    rgb = rng.integers(0, 256, (5, 9, 3)).astype(np.uint8)
+    whole = [
+        b"P4 9 5\n" + np.packbits(x, axis=1).tobytes(), b"P1\n9 5\n" + " ".join(map(str, x.ravel())).encode(), b"P2 9 5 255 " + " ".join(map(str, rgb[..., 0].ravel())).encode(),
+        b"P3\n#c\n9 5 65535\n" + " ".join(map(str, rgb.ravel())).encode(), media.encode_pgm(rgb[..., 0]), b"P6 9 5 255\n" + rgb.tobytes(), b"P5 9 5 65535\n" + rgb[..., :2].tobytes(),
+        bmp(rgb, 24), bmp(rgb, 32), bmp(x, 1, rgb[0, :2]), bmp(x, 4, rgb[0, :2]), bmp(x, 8, rgb[0, :2], top_down=True),
+    ]
+    damaged = []
+    for k in range(10_000):
+        raw = bytearray(whole[k % len(whole)])
+        for _ in range(rng.integers(0, 4)):
+            raw[rng.integers(0, min(len(raw), 60))] = rng.choice([0, 9, 32, 35, 48, 49, 57, 255, rng.integers(0, 256)])
+        if k % 3 == 0:
+            del raw[rng.integers(0, len(raw) + 1) :]
+        if k % 5 == 0:
+            at = rng.integers(0, min(len(raw), 30) + 1)
+            raw[at:at] = bytes(rng.integers(48, 58, rng.integers(0, 30)).astype(np.uint8))
+        damaged.append(bytes(raw))
+    decoded = 0
+    for raw in damaged:
+        try:
+            image = media.decode_image(raw)
+            decoded += 1
+            assert image.ndim == 3 and image.size and image.dtype in (np.uint8, np.uint16)
+        except media.ImageError:
+            pass
+    assert 100 < decoded < 9_900
+    some = damaged[:500]
+    got = media.media_columns(spark.createDataFrame(list(enumerate(some)), "k long, picture binary"), "k", "picture", 4).collect()
+    assert len(got) == 500 and all((r["tile"] is None) == (r["error"] is not None) for r in got)

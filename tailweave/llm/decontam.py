@@ -12,8 +12,8 @@
 4. A candidate counts if the longest common subsequence of the item's words and the words around the passage covers
    the item and the answer check passes: if the item has an answer part (after its last ``?`` or an ``answer:`` mark), the
    answer's words must stand there; if not, half of its rarest words must.  A stretch of RUN words of the item, almost
-   unbroken wherever it stands, counts without that check; but beside a covered question it must reach into the
-   answer part, for a question with another answer is another item.
+   unbroken wherever it stands, counts without that check, which is for paraphrases: words copied in a row are a leak
+   whatever follows them.
 
 Terms that no benchmark item has, or that stand in more than COMMON of all passages, carry no weight; but benchmark
 passages with fewer than FEW other terms keep all of theirs.  All results are exact functions of the rows, in any order of rows.
@@ -198,9 +198,10 @@ class Item:
 
 @dataclass(frozen=True)
 class LatentIndex:
-    terms: np.ndarray
-    weight: np.ndarray  # idf of each term
-    basis: np.ndarray  # terms x rank
+    terms: np.ndarray  # of all items
+    weight: np.ndarray  # idf of each term, or 0
+    row: np.ndarray  # of each term in the basis; the last one, of zeros, for terms of other blocks
+    basis: np.ndarray  # rows x rank
     items: list[Item]
     passage_item: np.ndarray  # of each benchmark passage: its item
     passages: np.ndarray  # latent, of length 1
@@ -232,7 +233,7 @@ class LatentIndex:
         for a in range(0, len(heads), 2048):
             b = min(a + 2048, len(heads))
             own = term[known[heads[a] : heads[b] if b < len(heads) else len(known)]]
-            part = self.basis[own]
+            part = self.basis[self.row[own]]
             part *= self.weight[own, None].astype(np.float32)
             steps[step[heads[a:b]]] = np.add.reduceat(part, heads[a:b] - heads[a], axis=0)
         first = np.searchsorted(cut, start)
@@ -304,19 +305,20 @@ def randomised_svd(rows: DataFrame, terms: int, rank: int, turns: int = TURNS, s
     x = np.random.default_rng(seed).standard_normal((terms, width))
 
     def gram(x: np.ndarray) -> np.ndarray:
-        shared = rows.sparkSession.sparkContext.broadcast(x)
+        shared = rows.sparkSession.sparkContext.broadcast(x.astype(np.float32))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, seen = np.zeros((terms, width)), np.zeros(terms, bool)
+            own: dict[int, np.ndarray] = {}  # blocks of 1024 terms, only those that the task's rows have
             for batch in batches:
                 for t, w in zip(batch.column(0), batch.column(1), strict=True):
                     t, w = t.values.to_numpy(), w.values.to_numpy()
                     if len(t):
-                        own[t] += np.outer(w, w @ shared.value[t])
-                        seen[t] = True
-            for a in range(0, terms, 1024):
-                if seen[a : a + 1024].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([own[a : a + 1024].tobytes()], pa.binary())], names=["first", "y"])
+                        y = np.outer(w, w @ shared.value[t].astype(np.float64))
+                        for a in np.unique(t >> 10).tolist():
+                            here = t >> 10 == a
+                            own.setdefault(a, np.zeros((min(1024, terms - a * 1024), width)))[t[here] & 1023] += y[here]
+            for a, block in own.items():
+                yield pa.RecordBatch.from_arrays([pa.array([a * 1024], pa.int64()), pa.array([block.tobytes()], pa.binary())], names=["first", "y"])
 
         def summed(parts: pa.Table) -> pa.Table:
             total = sum(np.frombuffer(y.as_buffer(), np.float64) for y in parts["y"].combine_chunks())
@@ -358,42 +360,72 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
     return blocks
 
 
-def build_index(texts: DataFrame, items: list[tuple[int, str]], rank: int = RANK) -> LatentIndex:
-    """texts: one column, the document texts.  items: id and text, each with a word."""
-    own = [(i, _text_words(t), t) for i, t in items]
-    terms = np.unique(np.concatenate([w for _, w, _ in own])) if own else np.zeros(0, np.uint64)
+@dataclass(frozen=True)
+class Passages:
+    """The words of items, cut into passages."""
+
+    texts: list[np.ndarray]
+    hashes: np.ndarray
+    owner: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+
+    @staticmethod
+    def of(items: list[tuple[int, str]]) -> Passages:
+        texts = [_text_words(t) for _, t in items]
+        bounds = np.concatenate(([0], np.cumsum([len(w) for w in texts]))).astype(np.int64)
+        return Passages(texts, np.concatenate(texts) if texts else np.zeros(0, np.uint64), *spans(bounds))
+
+    def bags(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        passage, place = inside(self.start, self.end)
+        return bags(lookup(terms, self.hashes)[place], passage, len(self.start), len(terms))
+
+
+def term_weights(texts: DataFrame, items: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(terms of all items, their idf, their weight): the same for every block, so that no cosine depends on blocks.
+
+    texts: one column, the document texts, read once.  Terms in more than COMMON of all passages weigh 0.
+    """
+    own = Passages.of(items)
+    terms = np.unique(own.hashes)
     df, total = document_frequencies(texts, terms)
-    weight = np.log((total + 1) / (df + 1)) + 0.1
+    idf = np.log((total + 1) / (df + 1)) + 0.1
+    common = df > COMMON * total
+    p, t, _ = own.bags(terms)
+    if len(p):
+        common[t[np.bincount(p[~common[t]], minlength=len(own.start))[p] < FEW]] = False
+    return terms, idf, np.where(common, 0.0, idf)
+
+
+def build_index(texts: DataFrame, items: list[tuple[int, str]], rank: int = RANK, weights: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> LatentIndex:
+    """texts: one column, the document texts.  items: id and text, each with a word.  weights: of the terms of all items, if these are only some."""
+    terms, idf, weight = weights or term_weights(texts, items)
+    own = Passages.of(items)
     made = []
-    for i, w, t in own:
-        m = _ANSWER.fullmatch(t)
+    for (i, text), w in zip(items, own.texts, strict=True):
+        m = _ANSWER.fullmatch(text)
         answer = _text_words(m[1]) if m else np.zeros(0, np.uint64)
         once = np.unique(w)
-        rare = once[np.lexsort((once, -weight[lookup(terms, once)]))][:KEY_WORDS]
+        rare = once[np.lexsort((once, -idf[lookup(terms, once)]))][:KEY_WORDS]
         made.append(Item(i, w, answer, rare))
-    bounds = np.concatenate(([0], np.cumsum([len(m.words) for m in made]))).astype(np.int64)
-    owner, start, end = spans(bounds)
-    hashes = np.concatenate([m.words for m in made]) if made else np.zeros(0, np.uint64)
-    passage, place = inside(start, end)
-    p, t, c = bags(lookup(terms, hashes)[place], passage, len(start), len(terms))
-    common = df > COMMON * total
-    if len(p):
-        common[t[np.bincount(p[~common[t]], minlength=len(start))[p] < FEW]] = False
-    weight[common] = 0
+    start, end = own.start, own.end
+    p, t, c = own.bags(terms)
     p, t, c = (x[weight[t] > 0] for x in (p, t, c))
     w = c * weight[t]
     norm = np.sqrt(np.bincount(p, w * w, len(start)))
     w = w / np.maximum(norm, 1e-12)[p] if len(p) else w
     cut = np.searchsorted(p, np.arange(len(start) + 1))
-    none = np.zeros(0, np.int64)
-    index = LatentIndex(terms, weight, np.zeros((len(terms), 0), np.float32), made, owner, np.zeros((len(start), 0), np.float32), none, (none, none, none), [])
+    none, here = np.zeros(0, np.int64), np.unique(t)  # the terms of this block
+    row = np.full(len(terms) + 1, len(here), np.int32)
+    row[here] = np.arange(len(here))
+    index = LatentIndex(terms, weight, row, np.zeros((len(here) + 1, 0), np.float32), made, own.owner, np.zeros((len(start), 0), np.float32), none, (none, none, none), [])
     if not made:
         return index
-    sparse = [(t[a:b].tolist(), w[a:b].tolist()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    sparse = [(row[t[a:b]].tolist(), w[a:b].tolist()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     frame = texts.sparkSession.createDataFrame(sparse, "term array<int>, weight array<double>")
-    basis = randomised_svd(frame, len(terms), min(rank, len(start))).astype(np.float32)
-    index = replace(index, basis=basis)
-    latent = index.latent(hashes, start, end)
+    basis = randomised_svd(frame, len(here), min(rank, len(start))).astype(np.float32) if len(here) else np.zeros((0, 0), np.float32)
+    index = replace(index, basis=np.concatenate([basis, np.zeros((1, basis.shape[1]), np.float32)]))
+    latent = index.latent(own.hashes, start, end)
     length = np.linalg.norm(latent, axis=1, keepdims=True)
     whole = np.flatnonzero((length[:, 0] < KEPT) & (norm > 0))
     at = lookup(whole, p)
@@ -404,7 +436,10 @@ def build_index(texts: DataFrame, items: list[tuple[int, str]], rank: int = RANK
 
 
 def confirmed(item: Item, text: np.ndarray) -> tuple[float, float] | None:
-    """(cover of the item, density) if the words around a candidate hold the item, by sequence and answer."""
+    """(cover of the item, density) if the words around a candidate hold the item; more of the item never turns a hit into a miss.
+
+    Either the item is covered and the answer check passes, or a stretch of the item stands there almost unbroken.
+    """
     length, width = common_subsequence(item.words, text)
     cover, dense = length / len(item.words), length / max(1, width)
     if length < RUN and cover < COVER:
@@ -415,9 +450,7 @@ def confirmed(item: Item, text: np.ndarray) -> tuple[float, float] | None:
         have = sum(w in there for w in key.tolist())
         if have >= len(key) * (1.0 if len(item.answer) else 0.5):
             return cover, dense
-        own = item.words[-(len(item.answer) + RUN - 1) :] if len(item.answer) else item.words
-        return (cover, dense) if dense_stretch(own, text) else None
-    return (cover, dense) if dense >= DENSE or dense_stretch(item.words, text) else None
+    return (cover, dense) if length >= RUN and dense_stretch(item.words, text) else None
 
 
 def contaminated(df: DataFrame, index: LatentIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -440,7 +473,7 @@ def contaminated(df: DataFrame, index: LatentIndex, id_col: str = "doc_id", text
                 def judge(x: int, which: int, cosine: float, low: int, high: int) -> None:
                     doc, item = int(owner[x]), m.items[which]
                     have = best.get((doc, which))
-                    if have and have[1] >= 1:
+                    if have and have[1] >= 1 and cosine <= have[0]:
                         return
                     reach = len(item.words) + SPAN // 2
                     ok = confirmed(item, hashes[max(first[doc], low - reach) : min(first[doc + 1], high + reach)])
@@ -469,10 +502,15 @@ def contaminated(df: DataFrame, index: LatentIndex, id_col: str = "doc_id", text
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """contaminated() for all items: block after block of the benchmark against all rows."""
-    texts, out = docs.select(F.col(text_col).alias("text")), None
-    for items in item_blocks(benchmark) or [[]]:
-        own = contaminated(docs, build_index(texts, items), id_col, text_col)
+    """contaminated() for all items: block after block of the benchmark against all rows.
+
+    Very long texts are read whole, passage by passage.  Without items or rows there are no pairs.  Repeated benchmark rows count
+    once; different texts under one item id are items of their own.  Other columns, whatever their names, do not matter.
+    """
+    texts, out, blocks = docs.select(F.col(text_col).alias("text")), None, item_blocks(benchmark) or [[]]
+    weights = term_weights(texts, [item for items in blocks for item in items])
+    for items in blocks:
+        own = contaminated(docs, build_index(texts, items, weights=weights), id_col, text_col)
         out = own if out is None else out.unionAll(own)
     return out
 

@@ -72,11 +72,95 @@ def test_blocks_of_items_find_the_same(spark, rng, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, b).collect()} == {(k, k % 12) for k in range(24)}
 
 
-def test_answers_have_to_be_there(spark):
+def test_answers_have_to_be_there_in_paraphrases(spark):
     question = "what is the name of the tall river that runs through the old stone city of maroon hills? clearwater"
-    docs = [(1, "yes " + question), (2, "well " + question.replace("clearwater", "unknown"))]
+    changed = "what was the title of the tall stream that runs past the old rock city of brown hills "
+    docs = [(1, "yes " + question), (2, changed + "clearwater"), (3, changed + "unknown"), (4, "well " + question.replace("clearwater", "unknown"))]
     df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, question)], "item_id long, text string")
-    assert {r["doc_id"] for r in decontam.find_leaks(df, b).collect()} == {1}
+    assert {r["doc_id"] for r in decontam.find_leaks(df, b).collect()} == {1, 2, 4}  # 4: the question word for word
+
+
+def test_more_of_an_item_never_turns_a_hit_into_a_miss(rng):
+    words = [f"w{k}" for k in range(40)]
+    item = decontam.Item(1, decontam._text_words(" ".join(words)), decontam._text_words("w38 w39"), np.zeros(0, np.uint64))
+    around = [f"x{k}" for k in range(30)]
+    hits = [bool(decontam.confirmed(item, decontam._text_words(" ".join(around + words[:k] + around)))) for k in range(41)]
+    assert hits == [k >= decontam.RUN for k in range(41)]
+    for _ in range(60):
+        there, hit = set(), False
+        for k in rng.sample(range(40), 40):  # words come in one by one, strangers stand for the others
+            there.add(k)
+            now = bool(decontam.confirmed(item, decontam._text_words(" ".join(w if j in there else f"x{j}" for j, w in enumerate(words)))))
+            assert now or not hit
+            hit = now
+        assert hit
+
+
+def plain_leaks(docs, bench):
+    """{(doc, item): (cosine, cover)} from dictionaries: every passage of every document against every passage of every item."""
+    import math
+    from collections import Counter
+
+    cut = lambda t: ["".join(c if c.isalnum() else " " for c in w) for w in t.lower().split()]
+    passages = lambda w: [(a, min(a + decontam.SPAN, len(w))) for a in range(0, max(1, len(w) - decontam.STEP), decontam.STEP)] if w else []
+    words = {k: cut(t) for k, t in docs}
+    items = {k: cut(t) for k, t in bench}
+    vocabulary = {w for t in items.values() for w in t}
+    df, total = Counter(), 0
+    for w in words.values():
+        for a, b in passages(w):
+            df.update(set(w[a:b]) & vocabulary)
+            total += 1
+    idf = {w: math.log((total + 1) / (df[w] + 1)) + 0.1 for w in vocabulary}
+    common = {w for w in vocabulary if df[w] > decontam.COMMON * total}
+    spared = set()
+    for w in items.values():
+        for a, b in passages(w):
+            if len(set(w[a:b]) - common) < decontam.FEW:
+                spared |= set(w[a:b])
+    weight = {w: 0 if w in common - spared else v for w, v in idf.items()}
+
+    def vector(w):
+        v = {x: c * weight[x] for x, c in Counter(w).items() if weight.get(x)}
+        n = math.sqrt(sum(c * c for c in v.values()))
+        return {x: c / n for x, c in v.items()} if n else {}
+
+    index = [(i, vector(w[a:b])) for i, w in items.items() for a, b in passages(w)]
+    out = {}
+    for d, w in words.items():
+        for a, b in passages(w):
+            v = vector(w[a:b])
+            for i, u in index:
+                cosine, item = sum(c * u.get(x, 0) for x, c in v.items()), items[i]
+                if cosine < decontam.LIKELY:
+                    continue
+                reach = len(item) + decontam.SPAN // 2
+                text = w[max(0, a - reach) : b + reach]
+                own = decontam.Item(i, decontam._text_words(" ".join(item)), np.zeros(0, np.uint64), np.array([decontam._text_words(x)[0] for x in sorted(set(item), key=lambda x: (-idf[x], int(decontam._text_words(x)[0])))[: decontam.KEY_WORDS]], np.uint64))
+                cover = lcs(item, text) / len(item)
+                if decontam.confirmed(own, decontam._text_words(" ".join(text))) and (cover, cosine) > out.get((d, i), (0, 0))[::-1]:
+                    out[d, i] = (cosine, cover)
+    return out
+
+
+@pytest.mark.parametrize("most_words", [decontam.MOST_WORDS, 150])
+def test_pairs_cosines_and_covers_like_brute_force(spark, rng, monkeypatch, most_words):
+    monkeypatch.setattr(decontam, "MOST_WORDS", most_words)
+    bench = items(rng, 14)
+    docs = []
+    for k in range(100):
+        words = filler(rng, rng.choice([3, 60, 150]))
+        own = bench[rng.randrange(14)][1].split()
+        share = rng.choice([0, 0.3, 0.6, 0.75, 0.85])
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = [w if rng.random() < share else f"new{rng.randint(0, 99)}" for w in own]
+        docs.append((k, " ".join(words)))
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["cosine"], r["cover"]) for r in decontam.find_leaks(df, b).collect()}
+    want = plain_leaks(docs, bench)
+    assert len(want) > 15 and got.keys() == want.keys()
+    for k, (cosine, cover) in want.items():
+        assert got[k][1] == pytest.approx(cover, abs=1e-9) and got[k][0] == pytest.approx(cosine, abs=0.01)
 
 
 def test_like_shared_runs_on_the_test_tables(spark):
@@ -159,7 +243,7 @@ def test_partial_copies_count_among_stray_words(spark, rng):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, b).collect()} == {(k, k) for k in range(40)}
 
 
-def test_unbroken_runs_count_without_the_rare_words_or_all_of_the_answer():
+def test_unbroken_runs_count_without_the_rare_words_or_the_answer():
     def item(question, answer, rare=()):
         words = decontam._text_words(question + " " + answer)
         return decontam.Item(1, words, decontam._text_words(answer) if answer else words[:0], np.array([decontam._text_words(w)[0] for w in rare], np.uint64))
@@ -169,4 +253,4 @@ def test_unbroken_runs_count_without_the_rare_words_or_all_of_the_answer():
     text = decontam._text_words(f"{around} {run} {around}")
     assert decontam.confirmed(item(run + " r1 r2 r3", "", ["r1", "r2", "r3"]), text)
     assert decontam.confirmed(item("w0 w1 w2 w3 w4 w5?", " ".join(f"w{k}" for k in range(6, 20)) + " last"), text)
-    assert not decontam.confirmed(item(run + "?", "last"), text)  # another answer
+    assert decontam.confirmed(item(run + "?", "last"), text)  # twenty words in a row, whatever the answer

@@ -1,16 +1,19 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and of word pairs are gathered from the whole training corpus.  A count c is quantised to
-level 1 + floor(log2 c), and the filter holds the keys (n-gram, 1) ... (n-gram, level): probing level after
-level until one is missing gives the count back.  The filter is built in segments on the executors and grows with
-the keys, at BITS a key.  It is broadcast in parts of at most MOST_BYTES; scoring probes it for every distinct n-gram
-of a slice of texts, or, if there are several parts, of HELD tokens, with one part in memory after the other.
+Counts of words and of word pairs, those seen once among them, are gathered from the whole training corpus.  A count c
+is quantised to level 1 + floor(log2 c), and the filter holds the keys (n-gram, 1) ... (n-gram, level): probing level
+after level until one is missing gives the count back.  N-grams are dealt by hash to segments of about SEGMENT_TOKENS
+tokens; a segment is filled by one task, with BITS bits a key, so the filter grows with the corpus and a text's score
+depends on counts only.
 
-Beside the model's score stands an exact unigram base score: words of the HOT_WORDS table are added up where
-the text is read, all others are joined with the full count table by key.
+Up to MOST_BROADCAST bytes the filter is broadcast, in parts of at most MOST_BYTES; scoring probes it for every distinct
+n-gram of a slice of texts, or, if there are several parts, of HELD tokens, with one part in memory after the other.
+A larger filter stays where it is: the distinct n-grams of HELD tokens travel to the segments, are probed there, and their
+levels come back.  Both ways give the same levels.
 
-Words seen once are in the filter, word pairs from PAIR_LEAST occurrences on, at every size of the corpus; pairs below
-are backed off as unseen.  Equal 64-bit hashes of different words are not told apart.
+Beside the model's score stands an exact unigram base score: words of the HOT_WORDS table are added up where
+the text is read, all others are joined with the full count table by key.  Equal 64-bit hashes of different words are
+not told apart.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ from pyspark.sql import functions as F
 from .common import stored
 from .textarrays import arrow_map, JOIN, mix, signed, slices, U, words
 
-#: A key gets BITS, or LEAST_BITS if that is more.
-PROBES, BITS, LEAST_BITS = 5, 10, 6
-#: Of a part of the filter.
-MOST_BYTES = 64 << 20
-SEGMENT = 1 << 20  # bits
-PAIR_LEAST = 2
+PROBES, BITS = 5, 10
+#: Of a part of the filter, and of all parts that are broadcast.
+MOST_BYTES, MOST_BROADCAST = 64 << 20, 512 << 20
+SEGMENT_TOKENS = 1_000_000
+#: Training tokens whose pairs a shuffle partition merges, one segment after the other.
+PARTITION_TOKENS = 16_000_000
 HOT_WORDS = 1_000_000
 #: Tokens whose pairs a task collects before it deals them out.
 FLUSH = 1_500_000
@@ -93,19 +96,26 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.transform(arrow_map, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _pair_blobs(texts: DataFrame, buckets: int) -> DataFrame:
-    """bucket, blob: a task's pairs of one bucket; blob: number of pairs seen once, their keys, the other keys, their counts."""
+def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
+    """Segments are runs of hashes, so sorted grams lie in order of segments."""
+    return ((grams >> U(32)) * U(segments)) >> U(32)
+
 
-    def dealt(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        bucket = ((k >> U(44)) % U(buckets)).astype(np.int32)
-        order = np.lexsort((c > 1, bucket))
-        k, c, bucket = k[order], c[order], bucket[order]
-        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        blobs = []
-        for a, b in zip(at, np.append(at[1:], len(k)), strict=True):
-            once = int((c[a:b] == 1).sum())
-            blobs.append(np.int64(once).tobytes() + k[a:b].tobytes() + np.minimum(c[a + once : b], 2**31 - 1).astype(np.int32).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+def _dealt(k: np.ndarray, c: np.ndarray, segments: int) -> pa.RecordBatch:
+    """segment, blob of sorted grams and their counts; a blob has the number of grams seen once, those, the others, their counts."""
+    segment = segment_of(k, segments).astype(np.int64)
+    order = np.lexsort((c > 1, segment))
+    k, c, segment = k[order], c[order], segment[order]
+    at = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1]))) if len(k) else np.zeros(0, np.int64)
+    blobs = []
+    for a, b in zip(at, np.append(at[1:], len(k)), strict=True):
+        once = int((c[a:b] == 1).sum())
+        blobs.append(np.int64(once).tobytes() + k[a:b].tobytes() + c[a + once : b].astype(np.int64).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(segment[at]), pa.array(blobs, pa.binary())], names=["segment", "blob"])
+
+
+def _pair_blobs(texts: DataFrame, segments: int) -> DataFrame:
+    """segment, blob: a task's pairs of one segment, counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, size = [], 0
@@ -114,40 +124,30 @@ def _pair_blobs(texts: DataFrame, buckets: int) -> DataFrame:
                 keys.append(pair_hashes(*tokens(data, offsets)))
                 size += len(keys[-1])
                 if size > FLUSH:
-                    yield dealt(*np.unique(np.concatenate(keys), return_counts=True))
+                    yield _dealt(*np.unique(np.concatenate(keys), return_counts=True), segments)
                     keys, size = [], 0
         if size:
-            yield dealt(*np.unique(np.concatenate(keys), return_counts=True))
+            yield _dealt(*np.unique(np.concatenate(keys), return_counts=True), segments)
 
-    return texts.transform(arrow_map, run, "bucket long, blob binary")
+    return texts.transform(arrow_map, run, "segment long, blob binary")
 
 
-def _pair_counts(blobs: DataFrame, least: int) -> DataFrame:
-    """The rows of a bucket lie together: gram, n of the pairs with n >= least."""
+def _gram_blobs(grams: DataFrame, segments: int) -> DataFrame:
+    """The same of counted grams: gram, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, keys, counts = None, [], []
-
-        def ended() -> Iterator[pa.RecordBatch]:
-            if keys:
-                k, c = _merged(keys, counts)
-                k, c = k[c >= least], c[c >= least]
-                if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(c.astype(np.int64))], names=["gram", "n"])
-
+        keys, counts, size = [], [], 0
         for batch in batches:
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if b != bucket:
-                    yield from ended()
-                    bucket, keys, counts = b, [], []
-                raw = blob.as_buffer().to_pybytes()
-                once = int(np.frombuffer(raw, np.int64, 1)[0])
-                n = once + (len(raw) - 8 - 8 * once) // 12
-                keys.append(np.frombuffer(raw, np.uint64, n, 8))
-                counts.append(np.concatenate((np.ones(once, np.int32), np.frombuffer(raw, np.int32, n - once, 8 + 8 * n))))
-        yield from ended()
+            keys.append(batch.column(0).to_numpy().view(np.uint64))
+            counts.append(batch.column(1).to_numpy())
+            size += len(keys[-1])
+            if size > FLUSH:
+                yield _dealt(np.concatenate(keys), np.concatenate(counts), segments)
+                keys, counts, size = [], [], 0
+        if size:
+            yield _dealt(np.concatenate(keys), np.concatenate(counts), segments)
 
-    return blobs.transform(arrow_map, run, "gram long, n long")
+    return grams.transform(arrow_map, run, "segment long, blob binary")
 
 
 def level(c: np.ndarray) -> np.ndarray:
@@ -159,30 +159,42 @@ def count_of(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, (2.0 ** np.maximum(q - 1, 0) + 2.0**q - 1) / 2, 0.0)
 
 
-def bit_places(grams: np.ndarray, q: int, probe: int) -> np.ndarray:
-    """The bit, within its segment, of one probe of the key (gram, q)."""
-    return mix(grams + U(q * 0x9E3779B97F4A7C15 & (2**64 - 1)) ^ U((probe + 1) * 0xC2B2AE3D27D4EB4F & (2**64 - 1))) & U(SEGMENT - 1)
+def bit_places(grams: np.ndarray, q: int, probe: int, size) -> np.ndarray:
+    """The bit, of a segment of size bits, of one probe of the key (gram, q)."""
+    h = mix(grams + U(q * 0x9E3779B97F4A7C15 & (2**64 - 1)) ^ U((probe + 1) * 0xC2B2AE3D27D4EB4F & (2**64 - 1)))
+    return ((h >> U(32)) * size) >> U(32)
 
 
-def segment_of(grams: np.ndarray, segments: int) -> np.ndarray:
-    return (grams >> U(24)) % U(segments)
+def filled_segment(grams: np.ndarray, counts: np.ndarray, bits_a_key: int = BITS) -> np.ndarray:
+    """Bytes of the segment that holds these grams."""
+    q = level(counts)
+    size = max(64, -(-int(q.sum()) * bits_a_key // 8) * 8)
+    bits = np.zeros(size, bool)
+    for j in range(1, int(q.max(initial=0)) + 1):
+        x = grams[q >= j]
+        for probe in range(PROBES):
+            bits[bit_places(x, j, probe, U(size))] = True
+    return np.packbits(bits, bitorder="little")
 
 
 @dataclass(frozen=True)
 class LogFrequencyFilter:
-    bits: np.ndarray  # bytes, SEGMENT bits each segment
+    bits: np.ndarray  # bytes of the segments, one after the other
+    start: np.ndarray  # byte at which each segment of this part begins, and the end
     segments: int  # of all parts
     first: int = 0  # segment of this part
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """Level of each gram: probe 1, 2, ... until a key is missing."""
         out = np.zeros(len(grams), np.int64)
-        live = np.arange(len(grams))
-        base = (segment_of(grams, self.segments) - U(self.first)) * U(SEGMENT)
+        own = (segment_of(grams, self.segments) - U(self.first)).astype(np.int64)
+        base = (self.start[own] * 8).astype(np.uint64)
+        size = (np.diff(self.start)[own] * 8).astype(np.uint64)
+        live = np.flatnonzero(size)
         q = 1
         while len(live):
             for probe in range(PROBES):
-                at = base[live] + bit_places(grams[live], q, probe)
+                at = base[live] + bit_places(grams[live], q, probe, size[live])
                 live = live[(self.bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 > 0]
                 if not len(live):
                     break
@@ -193,51 +205,86 @@ class LogFrequencyFilter:
         return out
 
 
-def segments_for(keys: int) -> int:
-    return max(1, -(-keys * max(BITS, LEAST_BITS) // SEGMENT))
+def filter_segments(blobs: DataFrame, partitions: int) -> DataFrame:
+    """segment, bits, grams, again (occurrences of its grams but their first): one row for each segment that has a gram."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, keys, counts = None, [], []
 
-def build_filter(grams: DataFrame, keys: int, first: int = 0, end: int | None = None) -> LogFrequencyFilter:
-    """grams: gram, n.  keys: sum of their levels.  Only the segments from first to end (exclusive; None: the last) are filled, on the executors, and come to the driver."""
-    segments = segments_for(keys)
-    end = segments if end is None else end
+        def ended() -> Iterator[pa.RecordBatch]:
+            if keys:
+                k, c = _merged(keys, counts)
+                columns = [pa.array([segment], pa.int64()), pa.array([filled_segment(k, c, BITS).tobytes()], pa.binary()), pa.array([len(k)], pa.int64()), pa.array([int(c.sum()) - len(c)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["segment", "bits", "grams", "again"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
         for batch in batches:
-            g, q = batch.column("gram").to_numpy().view(np.uint64), level(batch.column("n").to_numpy())
-            segment = segment_of(g, segments).astype(np.int64)
-            for s in np.unique(segment):
-                bits = own.setdefault(int(s), np.zeros(SEGMENT, bool))
-                here = segment == s
-                for j in range(1, int(q[here].max()) + 1):
-                    x = g[here & (q >= j)]
-                    for probe in range(PROBES):
-                        bits[bit_places(x, j, probe)] = True
-        for s, bits in own.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
-
-    dealt = grams.select("gram", "n", F.expr(f"pmod(shiftrightunsigned(gram, 24), {segments})").alias("s"))
-    dealt = (dealt.where(F.col("s").between(first, end - 1)) if end - first < segments else dealt).repartition("s").drop("s")
-    bits = np.zeros((end - first) * SEGMENT // 8, np.uint8)
-    for row in dealt.transform(arrow_map, run, "segment long, bits binary").toLocalIterator():  # one partition's segments at a time
-        at = (row["segment"] - first) * (SEGMENT // 8)
-        bits[at : at + SEGMENT // 8] |= np.frombuffer(row["bits"], np.uint8)
-    return LogFrequencyFilter(bits, segments, first)
-
-
-def levels_by_parts(parts: list[Broadcast], grams: np.ndarray, segments: int, width: int) -> np.ndarray:
-    """Levels of grams from a filter in broadcast parts of width segments each; a worker holds one at a time."""
-    out, of = np.zeros(len(grams), np.int64), segment_of(grams, segments) // U(width)
-    for k, part in enumerate(parts):
+            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if s != segment:
+                    yield from ended()
+                    segment, keys, counts = s, [], []
+                raw = blob.as_buffer().to_pybytes()
+                once = int(np.frombuffer(raw, np.int64, 1)[0])
+                n = once + (len(raw) - 8 - 8 * once) // 16
+                keys.append(np.frombuffer(raw, np.uint64, n, 8))
+                counts.append(np.concatenate((np.ones(once, np.int64), np.frombuffer(raw, np.int64, n - once, 8 + 8 * n))))
+        yield from ended()
+
+    return blobs.repartition(partitions, "segment").sortWithinPartitions("segment").transform(arrow_map, run, "segment long, bits binary, grams long, again long")
+
+
+def broadcast_parts(made: DataFrame, segments: int) -> list[Broadcast]:
+    """The filter of stored segments in parts; only one part at a time lies in the driver's memory."""
+    size = np.zeros(segments, np.int64)
+    for r in made.select("segment", F.octet_length("bits").alias("n")).collect():  # of a filter of at most MOST_BROADCAST bytes
+        size[r["segment"]] = r["n"]
+    parts, first = [], 0
+    while first < segments:
+        end = max(first + 1, int(np.searchsorted(np.cumsum(size[first:]), MOST_BYTES, "right")) + first)
+        start = np.concatenate(([0], np.cumsum(size[first:end])))
+        bits = np.zeros(start[-1], np.uint8)
+        for r in made.where(F.col("segment").between(first, end - 1)).select("segment", "bits").toLocalIterator():
+            k = r["segment"] - first
+            bits[start[k] : start[k + 1]] = np.frombuffer(r["bits"], np.uint8)
+        parts.append((end, made.sparkSession.sparkContext.broadcast(LogFrequencyFilter(bits, start, segments, first))))
+        first = end
+    return parts
+
+
+def levels_by_parts(parts: list[tuple[int, Broadcast]], grams: np.ndarray, segments: int) -> np.ndarray:
+    """Levels of grams from a filter in broadcast parts, each with its end segment; a worker holds one at a time."""
+    out, own = np.zeros(len(grams), np.int64), segment_of(grams, segments).astype(np.int64)
+    of = np.searchsorted([end for end, _ in parts], own, "right")
+    for k, (_, part) in enumerate(parts):
         here = np.flatnonzero(of == k)
         if len(here):
             out[here] = part.value.levels(grams[here])
-            if getattr(part, "_path", None):  # read again from its file when next asked for
+            if len(parts) > 1 and getattr(part, "_path", None):  # read again from its file when next asked for
                 vars(part).pop("_value", None)
     return out
 
 
+def probed(made: DataFrame, asked: DataFrame, segments: int, partitions: int) -> DataFrame:
+    """chunk, segment, levels (a byte a gram) of the grams asked for: chunk, segment, blob.  Grams come to the segments, which never move together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, own = -1, None
+        for batch in batches:
+            chunks, out = [], []
+            for c, s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                raw = np.frombuffer(blob.as_buffer().to_pybytes(), np.uint8)
+                if c < 0:
+                    segment, own = s, LogFrequencyFilter(raw, np.array([0, len(raw)]), segments, s)
+                    continue
+                grams = raw.view(np.uint64)
+                found = own.levels(grams) if s == segment else np.zeros(len(grams), np.int64)
+                chunks.append((c, s))
+                out.append(found.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int64()), pa.array([s for _, s in chunks], pa.int64()), pa.array(out, pa.binary())], names=["chunk", "segment", "levels"])
+
+    rows = made.select(F.lit(-1).cast("long").alias("chunk"), "segment", F.col("bits").alias("blob")).unionAll(asked.select("chunk", "segment", "blob"))
+    return rows.repartition(partitions, "segment").sortWithinPartitions("segment", "chunk").transform(arrow_map, run, "chunk long, segment long, levels binary")
+
+
 @dataclass(frozen=True)
 class LanguageScores:
     total: int
@@ -265,27 +312,60 @@ class LanguageScores:
         return np.add.reduceat(np.log10(p), bounds[:-1])
 
 
-def language_scores(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def chunk_grams(held: list[tuple]) -> np.ndarray:
+    """The distinct grams, sorted, that the scores of these texts ask for."""
+    return np.unique(np.concatenate([np.array([END]), *(x for *_, t, bounds in held for x in (np.unique(t), np.unique(pair_hashes(t, bounds))))]))
+
+
+def _chunk_scores(model: Broadcast, heads: DataFrame, answers: DataFrame, partitions: int) -> DataFrame:
+    """key, score.  heads: chunk, segment (-1), place, blob of tokens; answers: chunk, segment, levels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, levels = None, [], []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if held:
+                grams, known = chunk_grams(held), np.concatenate(levels).astype(np.int64)
+                for keys, t, bounds in held:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(model.value.score(t, bounds, lambda g: known[np.searchsorted(grams, g)]))], names=["key", "score"])
+
+        for batch in batches:
+            for c, s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if c != chunk:
+                    yield from ended()
+                    chunk, held, levels = c, [], []
+                raw = blob.as_buffer().to_pybytes()
+                if s >= 0:
+                    levels.append(np.frombuffer(raw, np.uint8))
+                    continue
+                n = int(np.frombuffer(raw, np.int64, 1)[0])
+                held.append((np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.uint64, -1, 8 * (2 * n + 2)), np.frombuffer(raw, np.int64, n + 1, 8 * (n + 1))))
+        yield from ended()
+
+    rows = heads.select("chunk", "segment", "place", "blob").unionAll(answers.select("chunk", "segment", F.lit(0).cast("long"), "levels"))
+    return rows.repartition(partitions, "chunk").sortWithinPartitions("chunk", "segment", "place").transform(arrow_map, run, "key long, score double")
+
+
+def language_scores(df: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int | None = None) -> DataFrame:
     """One row per row of df: id, n_tokens, n_known, train_tokens, base_score, score.
 
     Null texts are empty: one token, the end.  Without training rows every token is unknown, N is 0 and V is 0.
+    Repeated rows are counted and scored each; very long texts are read whole; ids, null ones too, only pass through, and
+    no other column is read, whatever its name.  No rows give no rows.
     """
     spark = df.sparkSession
     texts = training.select(F.col(text_col).alias("text"))
-    n_texts = texts.select(F.lit(1)).count()
-    buckets = buckets or int(min(65536, max(32, 1 << (n_texts // 600).bit_length())))
     counts = stored(_word_counts(texts), "lm-words")
-    pairs = stored(_pair_counts(_pair_blobs(texts, buckets).repartition("bucket").sortWithinPartitions("bucket"), PAIR_LEAST), "lm-pairs")
-
     log2 = "length(bin(n))"  # the level
     words_by = {r["q"]: r for r in counts.groupBy(F.expr(log2).alias("q")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()}
-    pairs_by = {r["q"]: r for r in pairs.groupBy(F.expr(log2).alias("q")).agg(F.count("*").alias("k"), F.sum(F.col("n") - 1).alias("n")).collect()}
     total, distinct = sum(r["n"] for r in words_by.values()), sum(r["k"] for r in words_by.values())
-    keys = sum(r["k"] * q for by in (words_by, pairs_by) for q, r in by.items())
-    grams = counts.select(F.col("word").alias("gram"), "n").unionAll(pairs)
-    weight = min(0.9, max(0.0, sum(r["n"] for r in pairs_by.values()) / max(1, total)))
-    segments, width = segments_for(keys), MOST_BYTES * 8 // SEGMENT
-    parts = [spark.sparkContext.broadcast(build_filter(grams, keys, a, min(a + width, segments))) for a in range(0, segments, width)]
+    segments = segments or max(32, -(-total // SEGMENT_TOKENS))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_TOKENS))
+    blobs = _pair_blobs(texts, segments).unionAll(_gram_blobs(counts, segments))
+    made = stored(filter_segments(blobs, partitions), "lm-segments")
+    size, again = made.agg(F.sum(F.octet_length("bits")), F.sum("again")).first()
+    weight = min(0.9, max(0.0, ((again or 0) - (total - distinct)) / max(1, total)))  # words are among the grams
+    parts = broadcast_parts(made, segments) if (size or 0) <= MOST_BROADCAST else None
 
     hot_least, room = 1 << 62, HOT_WORDS
     for q in sorted(words_by, reverse=True):
@@ -298,16 +378,33 @@ def language_scores(df: DataFrame, training: DataFrame, id_col: str = "doc_id",
     order = np.argsort(hot_words)
     shared = spark.sparkContext.broadcast(LanguageScores(int(total), int(distinct), weight, hot_words[order], hot_n[order], hot_least))
 
-    names = ["key", "id", "n_tokens", "known", "base", "score", "word", "times"]
     kind = df.schema[id_col].dataType
+    schema = f"key long, id {kind.simpleString()}, n_tokens long, known long, base double, score double, word long, times long, chunk long, segment long, place long, blob binary"
+    fields = [x.strip().split()[0] for x in schema.split(", ")]
+    plain = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+
+    def made_rows(n: int, id_type: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {f.split()[0]: plain.get(f.split()[1]) for f in schema.split(", ")}
+        return pa.RecordBatch.from_arrays([columns.get(f) if f in columns else pa.nulls(n, id_type if f == "id" else kinds[f]) for f in fields], names=fields)
 
     def scored_slices(held: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if len(parts) == 1:
-            levels = parts[0].value.levels
+        if parts is None:
+            chunk = int(held[0][0][0])
+            for place, (own, ids, t, bounds) in enumerate(held):
+                blob = np.int64(len(own)).tobytes() + own.astype(np.int64).tobytes() + bounds.astype(np.int64).tobytes() + t.tobytes()
+                yield made_rows(1, ids.type, chunk=pa.array([chunk]), segment=pa.array([-1], pa.int64()), place=pa.array([place], pa.int64()), blob=pa.array([blob], pa.binary()))
+            grams = chunk_grams(held)
+            segment = segment_of(grams, segments).astype(np.int64)
+            at = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
+            n = len(at)
+            asked = pa.array([grams[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(grams)), strict=True)], pa.binary())
+            yield made_rows(n, held[0][1].type, chunk=pa.array(np.full(n, chunk)), segment=pa.array(segment[at]), place=pa.array(np.zeros(n, np.int64)), blob=asked)
+        elif len(parts) == 1:
+            levels = parts[0][1].value.levels
         else:
-            grams = np.unique(np.concatenate([np.array([END]), *(x for _, _, t, bounds in held for x in (np.unique(t), np.unique(pair_hashes(t, bounds))))]))
-            known_levels = levels_by_parts(parts, grams, segments, width)
+            grams = chunk_grams(held)
+            known_levels = levels_by_parts(parts, grams, segments)
             levels = lambda g: known_levels[np.searchsorted(grams, g)]
         for own, ids, t, bounds in held:
             at = np.minimum(np.searchsorted(m.hot, t), max(0, len(m.hot) - 1))
@@ -315,9 +412,8 @@ def language_scores(df: DataFrame, training: DataFrame, id_col: str = "doc_id",
             c = m.hot_n[at] if len(m.hot) else np.zeros(len(t))
             base = np.add.reduceat(np.where(found, m.base_log(np.where(found, c, 0)), 0.0), bounds[:-1])
             known = np.add.reduceat(found.astype(np.int64), bounds[:-1])
-            n = len(own)
-            columns = [pa.array(own), ids, pa.array(np.diff(bounds)), pa.array(known), pa.array(base), pa.array(m.score(t, bounds, levels)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            score = {} if parts is None else {"score": pa.array(m.score(t, bounds, levels))}
+            yield made_rows(len(own), ids.type, key=pa.array(own), id=ids, n_tokens=pa.array(np.diff(bounds)), known=pa.array(known), base=pa.array(base), **score)
             rest = np.flatnonzero(~found)
             if len(rest):
                 owner = np.repeat(own, np.diff(bounds))[rest]
@@ -326,9 +422,7 @@ def language_scores(df: DataFrame, training: DataFrame, id_col: str = "doc_id",
                 w, owner = w[order], owner[order]
                 heads = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (owner[1:] != owner[:-1]))))
                 times = np.diff(np.append(heads, len(w)))
-                k = len(heads)
-                columns = [pa.array(owner[heads]), pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(signed(w[heads])), pa.array(times)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield made_rows(len(heads), ids.type, key=pa.array(owner[heads]), word=pa.array(signed(w[heads])), times=pa.array(times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 34
@@ -340,13 +434,12 @@ def language_scores(df: DataFrame, training: DataFrame, id_col: str = "doc_id",
                 held.append((key + np.arange(n), batch.column(0).slice(first, n), t, bounds))
                 key += n
                 size += len(t)
-                if size > HELD or len(parts) == 1:
+                if size > HELD or parts and len(parts) == 1:
                     yield from scored_slices(held)
                     held, size = [], 0
         if held:
             yield from scored_slices(held)
 
-    schema = f"key long, id {kind.simpleString()}, n_tokens long, known long, base double, score double, word long, times long"
     scored = stored(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).transform(arrow_map, run, schema), "lm-scored")
     bottom = float(total + ADD * (distinct + 1))
     rare = scored.where("word is not null").select("key", "word", "times").join(counts.where(F.col("n") < hot_least), "word", "left")
@@ -354,7 +447,11 @@ def language_scores(df: DataFrame, training: DataFrame, id_col: str = "doc_id",
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + ADD) / bottom)).alias("more"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
     )
-    out = scored.where("word is null").drop("word", "times").join(rare, "key", "left")
+    rows = scored.where("n_tokens is not null").select("key", "id", "n_tokens", "known", "base", "score")
+    if parts is None:
+        answers = probed(made, scored.where("segment >= 0"), segments, partitions)
+        rows = rows.drop("score").join(_chunk_scores(shared, scored.where("segment = -1"), answers, partitions), "key")
+    out = rows.join(rare, "key", "left")
     return out.select(
         F.col("id").alias(id_col), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).alias("train_tokens").cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 
-__all__ = ["MAP_BITS", "WORD", "marked_ids", "remainder", "require_bound", "stored", "table", "without_ids"]
+__all__ = ["MAP_BITS", "WORD", "marked_ids", "remainder", "require_bound", "stored", "table", "unused", "without_ids"]
 
 #: Characters that end a word: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,18 @@ def remainder(column: str, by: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % by
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores after it as keep it from clashing with a column of df."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def require_bound(n: int, most: int, what: str) -> None:
     if n > most:
         raise ValueError(f"{what}: {n} exceeds the documented bound of {most}")
@@ -36,20 +48,21 @@ def marked_ids(docs: DataFrame, ids: DataFrame, n: int, id_col: str = "doc_id",
     A map of hashed ids, at most MAP_BITS, is broadcast in pieces of 4 KB; no row of docs moves.
     """
     bits = min(MAP_BITS, max(1 << 15, 1 << (32 * n).bit_length()))
+    place, bucket, map_ = unused(docs, "__place", "__bucket", "__map")
 
-    def place(column: str):
-        return F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
+    def hashed(column: str):
+        return F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(bits))
 
-    bucket, bit = F.expr("__place div 32768"), F.expr("cast(__place % 32768 as int)")
-    maps = ids.select(place("id").alias("__place")).select(bucket.alias("__bucket"), bit.cast("long").alias("__at")).groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__map"))
-    marked = docs.withColumn("__place", place(id_col)).withColumn("__bucket", bucket).withColumn("__at", bit).join(F.broadcast(maps), "__bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(__map, __at div 8 + 1, 1)")), 16, 10).cast("int")
-    return marked.withColumn("__byte", byte).select(*docs.columns, F.coalesce(F.expr("shiftright(__byte, __at % 8) & 1 = 1"), F.lit(False)).alias(name))
+    maps = ids.select(hashed("id").alias(place)).select(F.expr(f"`{place}` div 32768").alias(bucket), F.expr(f"`{place}` % 32768").alias(place))
+    maps = maps.groupBy(bucket).agg(F.bitmap_construct_agg(place).alias(map_))
+    marked = docs.withColumn(place, hashed(id_col)).withColumn(bucket, F.expr(f"`{place}` div 32768")).join(F.broadcast(maps), bucket, "left")  # at most MAP_BITS
+    byte = F.conv(F.hex(F.expr(f"substring(`{map_}`, cast(`{place}` % 32768 as int) div 8 + 1, 1)")), 16, 10).cast("int")
+    return marked.withColumn(map_, byte).select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.expr(f"shiftright(`{map_}`, cast(`{place}` % 8 as int)) & 1 = 1"), F.lit(False)).alias(name))
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id is not among ids (column ``id``, distinct).  Only rows that the map marks are joined; null ids stay."""
-    marked = marked_ids(docs, ids, ids.count(), id_col)
-    own = ids.select(F.col("id").alias("__id"))
-    some = marked.where("__may").join(own, F.col(id_col) == F.col("__id"), "left_anti")
-    return marked.where("not __may").unionAll(some).select(*docs.columns)
+    may, own = unused(docs, "__may", "__id")
+    marked = marked_ids(docs, ids, ids.count(), id_col, may)
+    some = marked.where(F.col(may)).join(ids.select(F.col("id").alias(own)), F.col(f"`{id_col}`") == F.col(own), "left_anti")
+    return marked.where(~F.col(may)).unionAll(some).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,20 +9,25 @@ as if one more document held t without e; so entities of one document count too,
 
 Positions come from regular splits: the text between matches and the matches themselves, added up.
 Patterns are written with possessive repeats and look-behind, so that no text makes them slow; they
-match what the plain ones do.
+match what the plain ones do.  Texts are cut through blocks of CUT characters and sums run over blocks of SCAN items,
+so the work of a text follows its length and the number of its spans, not their product.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import marked_ids, stored, unused
 
 CONTEXT, DISCLOSED, SUPPORT = 60, 0.9, 3
 #: Up to so many terms are broadcast; more are joined by key.
 BROADCAST_TERMS = 100_000
 TERM = r"\p{L}{3,}+"
+SCAN, CUT_BITS = 128, 10
+CUT = 1 << CUT_BITS
 KINDS = ("email", "ip", "card", "phone")
 _BYTE = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 PATTERNS = {
@@ -61,20 +66,66 @@ def _validity(kind: str):
     return lambda s: _valid(kind, s["value"])
 
 
+def bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x worked out once."""
+    return F.transform(F.array(x), body)[0]
+
+
+def before_each(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of the values (array<int>) join, a sum or maximum from 0 on, of those before it; block by block."""
+
+    def run(items: Column, value: Callable[[Column], Column]) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, start, lambda acc, x: F.struct(join(acc["at"], value(x)).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))
+
+    def whole(v: Column) -> Column:
+        last = F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / SCAN).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: run(F.slice(v, b * SCAN + 1, F.lit(SCAN)), lambda x: x))
+        return bound(blocks, lambda own: F.flatten(F.zip_with(run(own, lambda x: x["at"])["out"], own, lambda first, x: F.transform(x["out"], lambda y: join(first, y)))))
+
+    return bound(values, whole)
+
+
+def added(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def located(text: Column, pattern: str, kind: str) -> Column:
     """All matches, leftmost first, as array<kind, start, end, value>; code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda g: F.length(g))
+        pairs = F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("gap"), F.length(v).alias("n"), v.alias("value")))
+        return bound(pairs, lambda own: F.zip_with(own, before_each(F.transform(own, lambda x: x["gap"] + x["n"]), added), span))
+
+    def span(x: Column, at: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["value"].alias("value"))
+
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of CUT characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}+"), F.lit(0))
 
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end (exclusive), found in the blocks that hold them."""
+    first = F.shiftright(start, CUT_BITS)
+    n = F.shiftright(F.greatest(end - 1, start), CUT_BITS) - first + 1
+    return F.substring(F.array_join(F.slice(blocks, first + 1, n), ""), start - first * CUT + 1, F.greatest(end - start, F.lit(0)))
+
+
+def rebuilt(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """The text with by(span, end of the spans before) for what the spans cover.  spans: start, end, ..., sorted by start."""
+
+    def pieces(blocks: Column, own: Column) -> Column:
+        before = before_each(F.transform(own, lambda s: s["end"]), F.greatest)
+        parts = F.zip_with(own, before, lambda s, at: F.concat(F.when(s["start"] > at, cut(blocks, at, s["start"])).otherwise(F.lit("")), by(s, at)))
+        end = F.coalesce(F.array_max(F.transform(own, lambda s: s["end"])), F.lit(0))
+        return F.concat(F.array_join(parts, ""), cut(blocks, end, F.length(text)))
+
+    return bound(blocks_of(text), lambda blocks: bound(spans, lambda own: pieces(blocks, own)))
 
 
 def base_spans(text: Column) -> Column:
@@ -96,20 +147,21 @@ def rendered(spans: Column) -> Column:
 
 
 def _contexts(spans: Column, text: Column) -> Column:
-    """For each span: entity, and the terms whole within CONTEXT characters, outside all spans."""
+    """For each span: entity, and the terms (runs of letters outside all spans) whole within CONTEXT characters."""
+    places = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    masked = rebuilt(text, places, lambda s, at: F.repeat(F.lit("0"), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0))))
 
-    def around(s: Column) -> Column:
+    def around(s: Column, blocks: Column) -> Column:
         low = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        piece = F.substring(text, low + 1, s["end"] + CONTEXT - low)
-        whole = F.length(piece) < s["end"] + CONTEXT - low
-        terms = F.filter(
-            located(piece, TERM, "term"),
-            lambda t: ((t["start"] > 0) | (low == 0)) & ((t["end"] < F.length(piece)) | whole) & ~F.exists(spans, lambda o: (o["start"] < t["end"] + low) & (o["end"] > t["start"] + low)),
-        )
-        moved = F.transform(terms, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + low).alias("start"), (t["end"] + low).alias("end")))
-        return F.struct(F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"), moved.alias("terms"))
 
-    return F.transform(spans, around)
+        def terms(piece: Column) -> Column:
+            whole = F.length(piece) < s["end"] + CONTEXT - low
+            found = F.filter(located(piece, TERM, "term"), lambda t: ((t["start"] > 0) | (low == 0)) & ((t["end"] < F.length(piece)) | whole))
+            return F.transform(found, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + low).alias("start"), (t["end"] + low).alias("end")))
+
+        return F.struct(F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"), bound(cut(blocks, low, s["end"] + CONTEXT), terms).alias("terms"))
+
+    return bound(blocks_of(masked), lambda blocks: F.transform(spans, lambda s: around(s, blocks)))
 
 
 def _key(id_: Column, text: Column) -> Column:
@@ -166,41 +218,45 @@ def _with_base(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, base (array of spans), terms (array<start, end, share>).
 
-    Null texts are empty.  Repeated rows count as one document in the corpus counts and each get their row.
+    Null texts are empty; very long ones are read whole, in work that follows their length and spans.  Repeated rows count as one
+    document in the corpus counts and each get their row, and so do rows with null ids.  Terms that several entities
+    disclose have the largest share.  An empty table gives no rows; other columns are not read, whatever their names.
     """
     marked = _with_base(df, id_col, text_col)
-    hit = stored(marked.where(F.size("base") > 0).select("key", "text", "base").dropDuplicates(["key"]), "pii-hit")
+    rows = stored(marked.select("id", "key", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-base")
+    hit = stored(rows.where("text is not null").select("key", "text", "base").dropDuplicates(["key"]), "pii-hit")
     terms = stored(term_spans(marked.select("text"), hit), "pii-terms-of")
-    rows = stored(marked.select("id", "key", "base"), "pii-base")
-    return rows.join(terms, "key", "left").select(F.col("id").alias(id_col), "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")).alias("terms"))
+    return rows.select("id", "key", "base").join(terms, "key", "left").select(F.col("id").alias(id_col), "base", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")).alias("terms"))
 
 
 def sanitised(text: Column, base: Column, terms: Column) -> Column:
     """The text with base spans replaced by [KIND], terms removed (share 1) or generalised to [TERM]."""
     spans = F.concat(
-        F.transform(base, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by"))),
-        F.transform(terms, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), F.when(s["share"] >= 1, F.lit("")).otherwise(F.lit("[TERM]")).alias("by"))),
+        F.transform(base, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by"))),
+        F.transform(terms, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["end"].alias("end"), F.when(s["share"] >= 1, F.lit("")).otherwise(F.lit("[TERM]")).alias("by"))),
     )
-
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["by"])
-        return F.struct(F.greatest(acc["at"], -s["less"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(F.array_sort(spans), begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return rebuilt(text, F.array_sort(spans), lambda s, at: F.when(s["start"] >= at, s["by"]).otherwise(F.lit("")))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every text sanitised; all columns and rows stay.  Only texts with a base span are joined or changed."""
+    """docs with every text sanitised; all columns and rows stay, whatever their names, and null texts stay null.
+
+    Base spans are looked for once in each text.  Only texts with one (marked by a map of hashed keys) are joined or changed.
+    Repeated rows and rows with null ids are changed alike; an empty table stays empty.
+    """
     marked = _with_base(docs, id_col, text_col)
     hit = stored(marked.where(F.size("base") > 0).select("key", "text", "base").dropDuplicates(["key"]), "pii-hit")
-    terms = stored(term_spans(marked.select("text"), hit), "pii-terms-of").select(F.col("key").alias("__key"), F.col("terms").alias("__terms"))
-    flagged = docs.withColumn("__base", base_spans(F.coalesce(F.col(text_col), F.lit(""))))
-    clean = flagged.where(F.size("__base") == 0).select(*docs.columns)
-    dirty = flagged.where(F.size("__base") > 0).withColumn("__key", _key(F.col(id_col), F.col(text_col))).join(terms, "__key", "left")
+    terms = stored(term_spans(marked.select("text"), hit), "pii-terms-of")
+    key, may, base, shown = unused(docs, "__key", "__may", "__base", "__terms")
+    own = hit.select(F.col("key").alias(key), F.col("base").alias(base)).join(terms.select(F.col("key").alias(key), F.col("terms").alias(shown)), key, "left")
+    keyed = docs.withColumn(key, _key(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    flagged = marked_ids(keyed, hit.select(F.col("key").alias("id")), hit.count(), key, may)
+    dirty = flagged.where(F.col(may)).join(own, key, "left")
     none = F.array().cast("array<struct<start:int,end:int,share:double>>")
-    dirty = dirty.withColumn(text_col, sanitised(F.col(text_col), F.col("__base"), F.coalesce("__terms", none)))
-    return clean.unionAll(dirty.select(*docs.columns))
+    clean_text = sanitised(F.col(f"`{text_col}`"), F.col(base), F.coalesce(shown, none))
+    dirty = dirty.withColumn(text_col, F.when(F.col(base).isNull(), F.col(f"`{text_col}`")).otherwise(clean_text))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return flagged.where(~F.col(may)).select(*columns).unionAll(dirty.select(*columns))
 
 
 def _of_kind(kind: str):

@@ -1,8 +1,11 @@
 import hashlib
 import math
 import re
+import time
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tailweave.llm import pii
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -107,3 +110,34 @@ def test_entities_of_one_document_have_disclosing_terms(spark, rng):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
     assert clean[7] == "the house  [EMAIL] garden river" and clean[8] == "the house Quimby [EMAIL] garden river"
+
+
+def test_a_log_of_many_addresses(spark):
+    """50,000 spans in one text, each with its context: work follows the spans, not their square."""
+    n = 25_000
+    text = " ".join(f"user{k}@example.org wrote from 10.{k % 250}.3.{k % 200} today" for k in range(n))
+    df = spark.createDataFrame([(1, text), (2, "é" * 5000 + " a@b.c " + "漢" * 5000)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.span_digest(pii.find_personal_data(df)).collect()}
+    assert time.perf_counter() - began < 60  # some hours, if every span met every other
+    line = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(text))
+    assert got[1]["n_email"] == n == got[1]["n_ip"] and got[1]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+    assert got[2]["spans"].startswith("email:5001:5006")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean[1].count("[EMAIL]") == n == clean[1].count("[IP]") and "10." not in clean[1] and "[EMAIL]" in clean[2]
+
+
+def test_cuts_and_sums_by_blocks(spark, rng):
+    texts = ["".join(rng.choice("aé漢😀 ") for _ in range(n)) for n in (0, 1, 1023, 1024, 1025, 5000)]
+    rows = [(t, a, b, [rng.randint(0, 9) for _ in range(n)]) for t in texts for n in (0, 1, 127, 128, 129, 700) for a, b in [sorted((rng.randint(0, len(t)), rng.randint(0, len(t) + 5)))]]
+    df = spark.createDataFrame(rows, "t string, a int, b int, v array<int>")
+    got = df.select("t", "a", "b", "v", pii.cut(pii.blocks_of(F.col("t")), F.col("a"), F.col("b")).alias("c"), pii.before_each(F.col("v"), pii.added).alias("s"), pii.before_each(F.col("v"), F.greatest).alias("m")).collect()
+    for r in got:
+        assert r["c"] == r["t"][r["a"] : r["b"]]
+        assert r["s"] == [sum(r["v"][:k]) for k in range(len(r["v"]))] and r["m"] == [max(r["v"][:k], default=0) for k in range(len(r["v"]))]
+
+
+def test_helper_names_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "mail a@b.c now", 5, 6, 7, 8), (2, "nothing", 1, 2, 3, 4)], "doc_id long, text string, __key int, __place int, __base int, __map int")
+    got = {r["doc_id"]: r for r in pii.sanitise(df).collect()}
+    assert got[1]["text"] == "mail [EMAIL] now" and (got[1]["__key"], got[1]["__place"], got[1]["__base"], got[1]["__map"]) == (5, 6, 7, 8) and got[2]["text"] == "nothing"

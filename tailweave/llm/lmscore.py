@@ -33,9 +33,9 @@ from .textarrays import arrow_map, JOIN, mix, signed, slices, U, words
 PROBES, BITS = 5, 10
 #: Of a part of the filter, and of all parts that are broadcast.
 MOST_BYTES, MOST_BROADCAST = 64 << 20, 512 << 20
-SEGMENT_TOKENS = 1_000_000
+SEGMENT_TOKENS = 250_000
 #: Training tokens whose pairs a shuffle partition merges, one segment after the other.
-PARTITION_TOKENS = 16_000_000
+PARTITION_TOKENS = 2_000_000
 HOT_WORDS = 1_000_000
 #: Tokens whose pairs a task collects before it deals them out.
 FLUSH = 1_500_000
@@ -159,10 +159,15 @@ def count_of(q: np.ndarray) -> np.ndarray:
     return np.where(q > 0, (2.0 ** np.maximum(q - 1, 0) + 2.0**q - 1) / 2, 0.0)
 
 
-def bit_places(grams: np.ndarray, q: int, probe: int, size) -> np.ndarray:
-    """The bit, of a segment of size bits, of one probe of the key (gram, q)."""
-    h = mix(grams + U(q * 0x9E3779B97F4A7C15 & (2**64 - 1)) ^ U((probe + 1) * 0xC2B2AE3D27D4EB4F & (2**64 - 1)))
-    return ((h >> U(32)) * size) >> U(32)
+def key_hashes(grams: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the key (gram, q); its probes are the first plus multiples of the second."""
+    h = mix(grams + U(q * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+    return h >> U(32), (h & U(0xFFFFFFFF)) | U(1)
+
+
+def bit_places(first: np.ndarray, step: np.ndarray, probe: int, size) -> np.ndarray:
+    """The bit, of a segment of size bits, of one probe."""
+    return (((first + U(probe) * step) & U(0xFFFFFFFF)) * size) >> U(32)
 
 
 def filled_segment(grams: np.ndarray, counts: np.ndarray, bits_a_key: int = BITS) -> np.ndarray:
@@ -171,9 +176,9 @@ def filled_segment(grams: np.ndarray, counts: np.ndarray, bits_a_key: int = BITS
     size = max(64, -(-int(q.sum()) * bits_a_key // 8) * 8)
     bits = np.zeros(size, bool)
     for j in range(1, int(q.max(initial=0)) + 1):
-        x = grams[q >= j]
+        hashes = key_hashes(grams[q >= j], j)
         for probe in range(PROBES):
-            bits[bit_places(x, j, probe, U(size))] = True
+            bits[bit_places(*hashes, probe, U(size))] = True
     return np.packbits(bits, bitorder="little")
 
 
@@ -191,17 +196,17 @@ class LogFrequencyFilter:
         base = (self.start[own] * 8).astype(np.uint64)
         size = (np.diff(self.start)[own] * 8).astype(np.uint64)
         live = np.flatnonzero(size)
-        q = 1
-        while len(live):
+        for q in range(1, 63):
+            if not len(live):
+                break
+            first, step = key_hashes(grams[live], q)
+            b, n = base[live], size[live]
             for probe in range(PROBES):
-                at = base[live] + bit_places(grams[live], q, probe, size[live])
-                live = live[(self.bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 > 0]
-                if not len(live):
-                    break
+                at = b + bit_places(first, step, probe, n)
+                hit = (self.bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+                if not hit.all():
+                    live, first, step, b, n = live[hit], first[hit], step[hit], b[hit], n[hit]
             out[live] = q
-            q += 1
-            if q > 62:
-                break
         return out
 
 
@@ -297,9 +302,8 @@ class LanguageScores:
     def base_log(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + ADD) / (self.total + ADD * (self.distinct + 1)))
 
-    def score(self, t: np.ndarray, bounds: np.ndarray, levels: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """log10 probability of each text: pair and word estimates, weighted.  levels: of grams."""
-        single, back = np.unique(t, return_inverse=True)
+    def score(self, t: np.ndarray, bounds: np.ndarray, levels: Callable[[np.ndarray], np.ndarray], single: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """log10 probability of each text: pair and word estimates, weighted.  levels: of grams; single, back: distinct tokens and where they stand."""
         c = count_of(levels(single))[back]
         pair, again = np.unique(pair_hashes(t, bounds), return_inverse=True)
         both = count_of(levels(pair))[again]
@@ -327,7 +331,7 @@ def _chunk_scores(model: Broadcast, heads: DataFrame, answers: DataFrame, partit
             if held:
                 grams, known = chunk_grams(held), np.concatenate(levels).astype(np.int64)
                 for keys, t, bounds in held:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(model.value.score(t, bounds, lambda g: known[np.searchsorted(grams, g)]))], names=["key", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(model.value.score(t, bounds, lambda g: known[np.searchsorted(grams, g)], *np.unique(t, return_inverse=True)))], names=["key", "score"])
 
         for batch in batches:
             for c, s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
@@ -407,12 +411,14 @@ def language_scores(df: DataFrame, training: DataFrame, id_col: str = "doc_id",
             known_levels = levels_by_parts(parts, grams, segments)
             levels = lambda g: known_levels[np.searchsorted(grams, g)]
         for own, ids, t, bounds in held:
-            at = np.minimum(np.searchsorted(m.hot, t), max(0, len(m.hot) - 1))
-            found = m.hot[at] == t if len(m.hot) else np.zeros(len(t), bool)
-            c = m.hot_n[at] if len(m.hot) else np.zeros(len(t))
-            base = np.add.reduceat(np.where(found, m.base_log(np.where(found, c, 0)), 0.0), bounds[:-1])
+            single, back = np.unique(t, return_inverse=True)
+            at = np.minimum(np.searchsorted(m.hot, single), max(0, len(m.hot) - 1))
+            found = m.hot[at] == single if len(m.hot) else np.zeros(len(single), bool)
+            c = m.hot_n[at] if len(m.hot) else np.zeros(len(single))
+            base = np.add.reduceat(np.where(found, m.base_log(np.where(found, c, 0)), 0.0)[back], bounds[:-1])
+            found = found[back]
             known = np.add.reduceat(found.astype(np.int64), bounds[:-1])
-            score = {} if parts is None else {"score": pa.array(m.score(t, bounds, levels))}
+            score = {} if parts is None else {"score": pa.array(m.score(t, bounds, levels, single, back))}
             yield made_rows(len(own), ids.type, key=pa.array(own), id=ids, n_tokens=pa.array(np.diff(bounds)), known=pa.array(known), base=pa.array(base), **score)
             rest = np.flatnonzero(~found)
             if len(rest):

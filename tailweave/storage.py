@@ -31,12 +31,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tailweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete what ``stored`` wrote for df, once no plan reads it any more: the rounds of a loop leave only their last table."""
+    path = getattr(df, "stored_at", None)
+    if path in _written:
+        _written.remove(path)
+        _delete(df.sparkSession, path)
 
 
 def clear_stored(spark: SparkSession) -> None:
-    """Delete what this process has stored, once no DataFrame needs it any more."""
-    jvm = spark.sparkContext._jvm
+    """Delete all that this process has stored, once its results are written and no DataFrame needs it any more."""
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())

@@ -1,15 +1,16 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is a queue of its documents in a shuffled order, served again from the start for a second and a
-third pass where its target asks for it.  A document's virtual finish time is its source's cumulative words up
-to its end, divided by the source's target.  The mix is the order of virtual finish times over all sources,
-cut off at the total budget.  The document in which a source reaches its target is served in two parts, so
-that targets are met to the word.
+third pass.  A document's virtual finish time in a pass is its source's cumulative words up to its end, divided by the
+source's target.  The mix is the order of virtual finish times over all sources, cut off at the total budget: documents
+are served whole, but for the one in which the budget ends.  So a source misses its target by less than its document
+at the cut.
 
 Scale: shuffled orders are cut into ranges of a hash, and virtual time into RANGES equal ranges.  Since all
 sources together serve the budget evenly over virtual time, those ranges hold about equal shares.  Prefix
 sums run over range totals; only the range where the budget ends is split further, and only its last
-split, of at most SORTED rows, is sorted by itself.
+split, of at most SORTED rows, is sorted by itself.  Rows alike in id, source and size are one entry with a count until
+their order is known, so an id of many rows is no single task's burden.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import WORD, require_bound, stored
 PASSES = 3
 RANGES, SORTED = 4096, 50_000
 MOST_SOURCES = 100_000
+#: Rows alike that one task writes out in a go.
+ALIKE = 4096
 WEIGHTS = (1, 2, 3)
 
 
@@ -58,15 +61,17 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, pa
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """One row per row of df: id, source, size, source_size, target, taken, virtual_finish (of its last word taken; null: none).
+    """One row per row of df: id, source, size, source_size, target, taken, virtual_finish (of its last pass that counts; null: none).
 
-    Null texts have size 0; a null source is a source of its own.  Documents without words take nothing.
-    Repeated rows are documents of their own.  Reruns agree: order comes from a hash of seed and id, then id and size.
+    Null and empty texts have size 0 and take nothing; very long ones count whole.  A null source is a source of its own.
+    Repeated rows are documents of their own.  Reruns agree: order comes from a hash of seed and id, then id and size; ties
+    in virtual finish go to the source first by code point.  An empty table gives no rows; other columns are not read.
     """
     spark = df.sparkSession
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    rows = stored(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    named = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
+    rows = stored(named.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
+    by_source = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n"), F.max("n").alias("most")).limit(MOST_SOURCES + 1).collect()
     require_bound(len(by_source), MOST_SOURCES, "sources")
     sources = targets({r["source"]: r["size"] for r in by_source}, weights)
     budget, n = sum(s.size for s in sources), sum(r["n"] for r in by_source)
@@ -75,21 +80,22 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     # cumulative words before each document: ranges of the hash, then inside a range
     bits = max(4, (max(1, n).bit_length() + 1) // 2)  # about as many ranges as rows in a range
-    rows = rows.withColumn("h", h).withColumn("range", F.shiftright("h", 60 - bits))
-    totals = rows.groupBy("rank", "range").agg(F.sum("size").alias("words"))
+    rows = rows.withColumn("h", h).withColumn("range", F.shiftright("h", 60 - bits)).withColumn("words", F.col("size") * F.col("n"))
+    totals = rows.groupBy("rank", "range").agg(F.sum("words").alias("words"))
     before = totals.withColumn("base", F.sum("words").over(Window.partitionBy("rank").orderBy("range")) - F.col("words")).drop("words")
     own = Window.partitionBy("rank", "range").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("size").over(own)).join(before, ["rank", "range"])
-    rows = rows.withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("base", "upto", "range", "h")
-
-    # the parts in which a document is served: one a pass, two where its source reaches the target
-    cut = F.floor(F.col("target") + 0.5)
-    parts = []
-    for p in range(PASSES):
-        first, last = F.col("start") + p * F.col("source_size"), F.col("start") + F.col("size") + p * F.col("source_size")
-        reached = F.least(last, F.greatest(first, cut))
-        parts += [F.struct((reached / F.col("target")).alias("finish"), (reached - first).alias("words")), F.struct((last / F.col("target")).alias("finish"), (last - reached).alias("words"))]
-    parts = F.when((F.col("size") > 0) & (F.col("target") > 0), F.filter(F.array(*parts), lambda x: x["words"] > 0)).otherwise(F.array().cast("array<struct<finish:double,words:bigint>>"))
+    rows = rows.withColumn("upto", F.sum("words").over(own)).join(before, ["rank", "range"])
+    rows = rows.withColumn("start", F.col("base") + F.col("upto") - F.col("words")).drop("base", "upto", "range", "words")
+    # rows alike stand one after the other, in any order
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {ALIKE}"))))
+    if max((r["most"] for r in by_source), default=0) > ALIKE:
+        rows = rows.repartition("h", "k")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.col("k") * ALIKE, F.least(F.col("n"), (F.col("k") + 1) * ALIKE) - 1)))
+    rows = rows.withColumn("start", F.col("start") + F.col("k") * F.col("size")).drop("k", "n", "h")
+
+    # a document is served once a pass
+    parts = F.array(*[F.struct(((F.col("start") + F.col("size") + p * F.col("source_size")) / F.col("target")).alias("finish"), F.col("size").alias("words")) for p in range(PASSES)])
+    parts = F.when((F.col("size") > 0) & (F.col("target") > 0), parts).otherwise(F.array().cast("array<struct<finish:double,words:bigint>>"))
     rows = stored(rows.withColumn("parts", parts), "mix-parts")
 
     # where the budget ends in the order of (finish, rank)
@@ -104,7 +110,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             if done + r["words"] >= budget:
                 break
             done += r["words"]
-        else:  # the budget ends later than twice the time that all targets take; only lost fractions of words can do that
+        else:  # the budget ends later than twice the time that all targets take: few documents, long against the targets
             low, high = served.where(F.col("finish") > high).agg(F.min("finish"), F.max("finish")).first()
             high = max(high, low + 1)
             continue

@@ -102,10 +102,9 @@ c AS (SELECT *, rest*w > cap*open AS capped FROM o),
 f AS (SELECT max(total) - coalesce(sum(cap) FILTER (WHERE capped), 0) AS rest, sum(w) FILTER (WHERE NOT capped) AS open FROM c),
 t AS (SELECT source, rk, ss, total, CASE WHEN capped THEN cap::DOUBLE ELSE (f.rest*w)::DOUBLE/f.open::DOUBLE END AS target FROM c CROSS JOIN f),
 q AS (SELECT d.row_id, d.doc_id, d.size, t.rk, t.ss, t.target, t.total,
-    CAST(sum(d.size) OVER (PARTITION BY t.rk ORDER BY d.h, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start, CAST(floor(t.target + 0.5) AS BIGINT) AS cut
+    CAST(sum(d.size) OVER (PARTITION BY t.rk ORDER BY d.h, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, start + k*ss AS a, start + k*ss + size AS b, least(start + k*ss + size, greatest(start + k*ss, cut)) AS m FROM q CROSS JOIN range(3) g(k) WHERE size > 0 AND target > 0),
-e AS (SELECT row_id, rk, total, m/target AS finish, m - a AS words FROM p WHERE m > a UNION ALL SELECT row_id, rk, total, b/target AS finish, b - m AS words FROM p WHERE b > m),
+e AS (SELECT row_id, rk, total, (start + size + k*ss)/target AS finish, size AS words FROM q CROSS JOIN range(3) g(k) WHERE size > 0 AND target > 0),
 z AS (SELECT row_id, greatest(0, least(words, total - (sum(words) OVER (ORDER BY finish, rk ROWS UNBOUNDED PRECEDING) - words))) AS took FROM e),
 y AS (SELECT row_id, sum(took) AS taken FROM z GROUP BY row_id)
 SELECT doc_id, size, ss AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN y ON q.row_id = y.row_id

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require_bound, stored, without_ids
+from .common import require_bound, stored, unused, without_ids
 from .textarrays import arrow_map, JOIN, mix, slices, U, words
 
 SPAN, STEP, RANK, OVERSAMPLE, TURNS = 48, 24, 256, 16, 2
@@ -516,6 +516,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id holds no benchmark item; rows with a null id stay."""
-    hit = find_leaks(docs, benchmark, id_col, text_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-    return without_ids(docs, stored(hit, "leaks"), id_col)
+    """The rows of docs whose text holds no benchmark item; rows with null or repeated ids are judged by their own text.
+
+    All columns stay, whatever their names.
+    """
+    key, = unused(docs, "__row")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`")))
+    hit = find_leaks(keyed, benchmark, key, text_col).select(F.col(key).alias("id")).distinct()
+    return without_ids(keyed, stored(hit, "leaks"), key).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked_ids, stored, without_ids
+from ..storage import discard
+from .common import marked_ids, stored, unused, without_ids
 from .components import connected_components
 from .textarrays import arrow_map, mix, shingle_sets, signed, slices, U
 
@@ -82,7 +83,7 @@ def _filled(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed_rows(df: DataFrame, n_bands: int = BANDS) -> DataFrame:
-    """id, text: id, n_shingles, class (null for empty sets), bands (only on the first row of a class in its slice)."""
+    """id, text, row: id, row, n_shingles, class (null for empty sets), bands (only on the first row of a class in its slice)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,12 +102,12 @@ def _signed_rows(df: DataFrame, n_bands: int = BANDS) -> DataFrame:
                 empty = np.ones(end - first, bool)
                 empty[full] = False
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(np.diff(bounds)), pa.array(signed(kind), mask=empty), pa.ListArray.from_arrays(pa.array(np.cumsum(at, dtype=np.int32)), pa.array(signed(bands)))],
-                    names=["id", "n_shingles", "class", "bands"],
+                    [batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array(np.diff(bounds)), pa.array(signed(kind), mask=empty), pa.ListArray.from_arrays(pa.array(np.cumsum(at, dtype=np.int32)), pa.array(signed(bands)))],
+                    names=["id", "row", "n_shingles", "class", "bands"],
                 )
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.transform(arrow_map, run, f"id {kind}, n_shingles long, class long, bands array<long>")
+    return df.transform(arrow_map, run, f"id {kind}, row long, n_shingles long, class long, bands array<long>")
 
 
 class _Sets:
@@ -202,29 +203,34 @@ def _linked(members: DataFrame, percent: int, across: bool) -> DataFrame:
     return members.transform(arrow_map, run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per row of df: id, n_shingles, component_id (least id reachable by links), kept (id = component_id).
+def _row_key(id_, text):
+    """64 bits of a row's text and id: what texts are fetched and dropped by, so neither null nor repeated ids matter."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), id_)
+
+
+def _classes(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs: id, text.  (rows: id, row, n_shingles, class; classes: class, id, row, root), both stored.
 
-    Texts that are null or have no word have no shingles, link with nothing and are kept.  Rows with a null id
-    belong to the class of their exact set, but are not looked up for near links of their own; in a component
-    without any id, component_id is null and kept true.  Repeated rows each get their row.
+    id of a class: its least one, null if it has none; row: the first of its rows by id (null last), then by row key.
+    Classes with one root are linked.
     """
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("row", _row_key(F.col("id"), F.col("text")))
     rows = stored(_signed_rows(docs, bands_for(percent)), "signed")
-    classes = stored(rows.where("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.max("n_shingles").alias("n")), "classes")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    classes = rows.where("class is not null").groupBy("class").agg(first, F.max("n_shingles").alias("n"))
+    classes = stored(classes.select("class", "first.id", "first.row", "n"), "classes")
     keys = rows.where("size(bands) > 0").select("class", F.explode("bands").alias("key")).distinct()
     keys = stored(keys, "keys")
     leads = keys.groupBy("key").agg(F.min("class").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     clusters = connected_components(keys.join(leads, "key").where("class <> lead").select(F.col("class").alias("a"), F.col("lead").alias("b")).distinct())
-    members = clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(classes.where("id is not null"), "class")
+    members = clusters.select(F.col("node").alias("class"), F.col("root").alias("cluster")).join(classes, "class")
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     members = stored(members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))), "members")
-    # only texts that may be members move
-    texts = marked_ids(docs.where("id is not null"), members.select("id").distinct(), members.count(), "id").where("__may").drop("__may")
+    # only texts that may be members move, one of each row key
+    texts = marked_ids(docs, members.select(F.col("row").alias("id")), members.count(), "row").where("__may").groupBy("row").agg(F.first("text").alias("text"))
 
     def met(who: DataFrame, tasks, across: bool) -> DataFrame:
-        dealt = who.withColumn("task", F.explode(tasks)).withColumn("task", F.xxhash64("cluster", "task")).join(texts, "id")
+        dealt = who.withColumn("task", F.explode(tasks)).withColumn("task", F.xxhash64("cluster", "task")).join(texts, "row")
         own = dealt.select("task", "class", F.col("block").alias("side"), "root", "text").repartition("task").sortWithinPartitions("task")
         return _linked(own, percent, across)
 
@@ -243,24 +249,53 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if more.limit(1).count():
             roots = connected_components(links.unionAll(more))
     own = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    own = stored(own, "roots")
-    least = own.groupBy("root").agg(F.min("id").alias("component"))
-    named = own.join(least, "root").select("class", "component")
-    out = rows.drop("bands").join(named, "class", "left")
+    own = stored(own.drop("n"), "roots")
+    for done in (keys, classes, members, links):
+        discard(done)
+    return rows.drop("bands"), own
+
+
+def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per row of df: id, n_shingles, component_id (least id reachable by links), kept (id = component_id).
+
+    Texts that are null or have no word have no shingles, link with nothing and are kept; very long ones are read whole.
+    Rows without id link like all others; a component of them alone has a null component_id, and kept is true there.
+    Repeated rows each get their row, and different texts under one id are linked each by itself.  An empty table
+    gives no rows; other columns are not read, whatever their names.
+    """
+    rows, classes = _classes(_named(df, id_col, text_col), percent)
+    named = classes.join(classes.groupBy("root").agg(F.min("id").alias("component")), "root").select("class", "component")
+    out = rows.join(named, "class", "left")
     out = out.withColumn("component_id", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that are kept at a similarity of percent; of rows with one id, one stays, and rows without id stay only where their text has no other copy."""
-    found = stored(near_duplicates(docs, id_col, text_col, percent), "neardup")
-    gone = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("kept").alias("kept")).where("not kept").select("id")
-    out = without_ids(docs.where(F.col(id_col).isNotNull()), stored(gone, "gone"), id_col)
-    n, known = found.agg(F.count(id_col), F.count_distinct(id_col)).first()
-    if n > known:  # repeated ids
-        out = out.dropDuplicates([id_col])
-    if found.count() > n:  # a row without id stays if its exact text has no id at all
-        none = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
-        others = docs.where(F.col(id_col).isNotNull()).select(F.xxhash64(text_col).alias("__h"))
-        out = out.unionAll(none.withColumn("__h", F.xxhash64(text_col)).join(others, "__h", "left_anti").select(*docs.columns))
-    return out
+    """The rows of docs with one row left of each group linked at a similarity of percent: that of the least id (null last), then row key.
+
+    Different texts under one id stay unless they are linked; rows without words are linked with nothing and stay.  Of rows
+    that repeat id and text one stays, the first by a hash of all columns.  All columns stay, whatever their names.
+    """
+    rows, classes = _classes(_named(docs, id_col, text_col), percent)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    stays = classes.groupBy("root").agg(first).select("root", F.col("first.row").alias("stays"))
+    judged = rows.where("class is not null").select("class", "row").join(classes.join(stays, "root").select("class", "stays"), "class")
+    judged = stored(judged.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("row") == F.col("stays")).alias("kept")), "judged")
+    key, may, h, least = unused(docs, "__row", "__may", "__hash", "__least")
+    keyed = docs.withColumn(key, _row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    out = without_ids(keyed, judged.where("not kept").select(F.col("row").alias("id")), key)
+    again = judged.where("kept and n > 1").select(F.col("row").alias("id"))
+    n = again.count()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if not n:
+        return out.select(*columns)
+    marked = marked_ids(out, again, n, key, may)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    twice = marked.where(F.col(may)).withColumn(h, F.xxhash64(*hashed)).join(again.select(F.col("id").alias(key)), key, "left_semi")
+    one = twice.join(twice.groupBy(key).agg(F.min(h).alias(least)), key).where(F.col(h) == F.col(least)).dropDuplicates([key])
+    once = marked.where(F.col(may)).join(again.select(F.col("id").alias(key)), key, "left_anti")
+    return marked.where(~F.col(may)).select(*columns).unionAll(once.select(*columns)).unionAll(one.select(*columns))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tailweave.llm import neardup, queries
 
@@ -34,7 +36,8 @@ def test_run_keeps_clean_documents_and_honours_decisions(spark):
     changed = got[got.doc_id.isin(spans)]
     assert len(changed) and all(text[i] != t for i, t in zip(changed.doc_id, changed.text, strict=True))
     by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
-    assert ((by.taken - by.target).abs() <= 12).all()
+    longest = max(len(t.split()) for t in text.values() if t)  # a source misses its target by less than its document at the cut
+    assert ((by.taken - by.target).abs() <= longest).all()
 
 
 def test_near_duplicates_from_80_percent_on(spark):
@@ -53,3 +56,26 @@ def test_near_duplicates_from_80_percent_on(spark):
 def test_bands_keep_the_miss_rate():
     miss = lambda percent: (1 - (percent / 100) ** neardup.ROWS) ** neardup.bands_for(percent)
     assert neardup.bands_for(85) == neardup.BANDS and miss(80) <= miss(85) and miss(60) <= miss(85)
+
+
+def test_stages_keep_columns_that_clash(spark, clashing, small):
+    names = {"__id": 1, "__source": 2, "__size": 3, "__key": 4, "__row": 5, "__may": 6, "__place": 7, "__base": 8, "source_size": 9, "virtual_finish": 10, "word_count": 11}
+    docs = clashing
+    for name, v in names.items():
+        docs = docs.withColumn(name, F.lit(v))
+    docs = docs.cache()
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, small).cache()
+        assert docs.columns[: len(before.columns)] == before.columns and (name == "source_mix" or docs.columns == before.columns)
+        assert docs.count() and all(r[c] == v for r in docs.collect() for c, v in names.items())
+
+
+def test_rows_of_one_id_share_words_once(spark):
+    """Null and repeated ids with equal sizes: what is taken adds up to the budget."""
+    docs = [(None if k % 2 else 7, " ".join(f"w{k}x{j}" for j in range(10)), "en", "s" if k % 3 else "t", 1) for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.source_mix(spark, df, "").toPandas()
+    assert got.taken.sum() == 400 and (got.taken <= 30).all() and not got.text.duplicated().any()
+    again = corpus_pipeline.source_mix(spark, df.repartition(5), "").toPandas()
+    key = ["text", "taken"]
+    assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, again[key].values))

@@ -46,16 +46,14 @@ F1 = """o1 AS (SELECT date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS
   (CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END)*4 + user_id%4 AS cell,
   CAST(round(value*100) AS BIGINT) AS c FROM events),
 a1 AS (SELECT t, cell, sum(c) AS c FROM o1 GROUP BY t, cell),
-hourly AS MATERIALIZED (SELECT g.t, h.cell, CAST(coalesce(a1.c, 0) AS BIGINT) AS value
-FROM (SELECT range AS t FROM range(720)) g CROSS JOIN (SELECT range AS cell FROM range(20)) h
-LEFT JOIN a1 ON a1.t = g.t AND a1.cell = h.cell)"""
+hourly AS MATERIALIZED (SELECT coalesce(g.t, a1.t) AS t, coalesce(g.cell, a1.cell) AS cell, CAST(coalesce(a1.c, 0) AS BIGINT) AS value
+FROM (SELECT x.range AS t, y.range AS cell FROM range(720) x CROSS JOIN range(20) y) g FULL JOIN a1 ON a1.t = g.t AND a1.cell = g.cell)"""
 F2 = """o2 AS (SELECT CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 7.0) AS BIGINT) AS t,
   CAST((s_nationkey%5)*5 + s_nationkey//5 AS BIGINT) AS cell, CAST(l_quantity AS BIGINT) AS q
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 a2 AS (SELECT t, cell, CAST(sum(q) AS BIGINT) AS q FROM o2 GROUP BY t, cell),
-weekly AS MATERIALIZED (SELECT g.t, h.cell, CAST(coalesce(a2.q, 0) AS BIGINT) AS value
-FROM (SELECT range AS t FROM range(358)) g CROSS JOIN (SELECT range AS cell FROM range(25)) h
-LEFT JOIN a2 ON a2.t = g.t AND a2.cell = h.cell)"""
+weekly AS MATERIALIZED (SELECT coalesce(g.t, a2.t) AS t, coalesce(g.cell, a2.cell) AS cell, CAST(coalesce(a2.q, 0) AS BIGINT) AS value
+FROM (SELECT x.range AS t, y.range AS cell FROM range(358) x CROSS JOIN range(25) y) g FULL JOIN a2 ON a2.t = g.t AND a2.cell = g.cell)"""
 F3 = """image AS MATERIALIZED (SELECT vec_id AS t, p.range AS cell, CAST(embedding[p.range + 1] AS DOUBLE) AS value, label
 FROM embeddings CROSS JOIN range(64) p)"""
 F4 = F1 + """, pair AS (SELECT * FROM (SELECT cell, t, value/100.0::DOUBLE AS y_true,
@@ -69,10 +67,10 @@ def u_sql(source: str, name: str) -> str:
   / (count(*) OVER (PARTITION BY cell) + 1) AS u FROM {source})"""
 
 
-def graph_sql(u: str, lag: int, end: int, cells: int, name: str = "edge") -> str:
-    n = end - lag
+def graph_sql(u: str, lag: int, end: int, cells: int, name: str = "edge", start: int = 0) -> str:
+    n = end - start - lag
     return f"""{name}_h AS (SELECT a.cell AS i, b.cell AS j, count(*) AS hits FROM {u} a JOIN {u} b ON a.t - {lag} = b.t
-  WHERE a.u >= 0.95::DOUBLE AND b.u >= 0.95::DOUBLE AND a.t >= {lag} AND a.t < {end} GROUP BY 1, 2),
+  WHERE a.u >= 0.95::DOUBLE AND b.u >= 0.95::DOUBLE AND a.t >= {start + lag} AND a.t < {end} GROUP BY 1, 2),
 {name} AS MATERIALIZED (SELECT x.range AS i, y.range AS j, CAST(coalesce(hits, 0) AS BIGINT) AS hits, CAST({n} AS BIGINT) AS n,
   coalesce(hits, 0)/{n}.0::DOUBLE/(1 - 0.95::DOUBLE) AS chi
   FROM range({cells}) x CROSS JOIN range({cells}) y LEFT JOIN {name}_h h ON h.i = x.range AND h.j = y.range)"""
@@ -207,12 +205,14 @@ def chi_min_value(spark, d):
     return tail.chi_of_raw(cubes.order_pair(spark, d), ["y_true", "y_pred"], P, least=1000)
 
 
-@query(f"""WITH {U1}, w AS (SELECT t, max(u) FILTER (WHERE cell = 0) AS a, max(u) FILTER (WHERE cell = 4) AS b, max(u) FILTER (WHERE cell = 8) AS c FROM u1 GROUP BY t)
-SELECT count(*) FILTER (WHERE a >= 0.9::DOUBLE AND b >= 0.9::DOUBLE)/count(*)::DOUBLE/(1 - 0.9::DOUBLE) AS chi2,
-  count(*) FILTER (WHERE a >= 0.9::DOUBLE AND b >= 0.9::DOUBLE AND c >= 0.9::DOUBLE)/count(*)::DOUBLE/(1 - 0.9::DOUBLE) AS chi3 FROM w""")
+@query(f"""WITH {U1}, w AS (SELECT t, cell // 4 AS i, max(u) FILTER (WHERE cell % 4 = 0) AS a, max(u) FILTER (WHERE cell % 4 = 1) AS b, max(u) FILTER (WHERE cell % 4 = 2) AS c, max(u) FILTER (WHERE cell % 4 = 3) AS d FROM u1 GROUP BY 1, 2)
+SELECT i, count(*) FILTER (WHERE a >= 0.9::DOUBLE AND b >= 0.9::DOUBLE)/count(*)::DOUBLE/(1 - 0.9::DOUBLE) AS chi2,
+  count(*) FILTER (WHERE a >= 0.9::DOUBLE AND b >= 0.9::DOUBLE AND c >= 0.9::DOUBLE AND d >= 0.9::DOUBLE)/count(*)::DOUBLE/(1 - 0.9::DOUBLE) AS chi4 FROM w GROUP BY i""")
 def joint_chi_columns(spark, d):
-    wide = ecdf(hourly(spark, d)).where("cell in (0, 4, 8)").groupBy("t").pivot("cell", [0, 4, 8]).agg(F.first("u"))
-    return wide.agg(tail.joint_chi(["0", "4"], 0.9).alias("chi2"), tail.joint_chi(["0", "4", "8"], 0.9).alias("chi3"))
+    """Each row of the grid: two of its cells, and all four, exceed together."""
+    ranks = ecdf(hourly(spark, d)).select("t", F.expr("cell div 4").alias("i"), (F.col("cell") % 4).alias("j"), "u")
+    wide = ranks.groupBy("t", "i").pivot("j", [0, 1, 2, 3]).agg(F.first("u"))
+    return wide.groupBy("i").agg(tail.joint_chi(["0", "1"], 0.9).alias("chi2"), tail.joint_chi(["0", "1", "2", "3"], 0.9).alias("chi4"))
 
 
 # ---------------------------------------------------------------- strongest links
@@ -337,11 +337,11 @@ def run_store_merge(spark, d):
 
 
 # ---------------------------------------------------------------- chains
-def d3_sql(lag1: int, lag2: int, station: str, tag: str = "", edge: str = "edge") -> str:
-    total, n = lag1 + lag2, W_END - lag1 - lag2
+def d3_sql(lag1: int, lag2: int, station: str, tag: str = "", edge: str = "edge", start: int = 0, end: int = W_END) -> str:
+    total, n = lag1 + lag2, end - start - lag1 - lag2
     return f"""n1{tag} AS (SELECT i AS origin, j AS cell FROM (SELECT *, quantile_cont(chi, 0.5) OVER (PARTITION BY i) AS l FROM {edge} WHERE {station}) WHERE chi > l),
 h3{tag} AS (SELECT n.origin, n.cell AS b, z.cell AS c, count(*) AS hits FROM n1{tag} n
-  JOIN u2 x ON x.cell = n.origin AND x.u >= 0.95::DOUBLE AND x.t >= 0 AND x.t < {W_END - total}
+  JOIN u2 x ON x.cell = n.origin AND x.u >= 0.95::DOUBLE AND x.t >= {start} AND x.t < {end - total}
   JOIN u2 y ON y.cell = n.cell AND y.u >= 0.95::DOUBLE AND y.t = x.t + {lag1}
   JOIN u2 z ON z.u >= 0.95::DOUBLE AND z.t = x.t + {total} GROUP BY 1, 2, 3),
 combo{tag} AS MATERIALIZED (SELECT n.origin, n.cell AS b, q.range AS c, CAST(coalesce(h.hits, 0) AS BIGINT) AS hits, coalesce(h.hits, 0)/{n}.0::DOUBLE/(1 - 0.95::DOUBLE) AS chi
@@ -412,7 +412,21 @@ def station_d3_bitset(spark, d):
     return hits.select(F.col("path")[0].alias("origin"), F.col("path")[1].alias("b"), F.col("path")[2].alias("c"), "hits")
 
 
-@query()
+N4 = W_END - 3
+D4 = E2 + f""", n1 AS (SELECT i AS origin, j AS cell FROM (SELECT *, quantile_cont(chi, 0.8) OVER (PARTITION BY i) AS l FROM edge) WHERE chi > l),
+h3 AS (SELECT n.origin, n.cell AS b, z.cell AS c, count(*) AS hits FROM n1 n JOIN u2 x ON x.cell = n.origin AND x.u >= 0.95::DOUBLE AND x.t >= 0 AND x.t < {W_END - 2}
+  JOIN u2 y ON y.cell = n.cell AND y.u >= 0.95::DOUBLE AND y.t = x.t + 1 JOIN u2 z ON z.u >= 0.95::DOUBLE AND z.t = x.t + 2 GROUP BY 1, 2, 3),
+i3 AS (SELECT n.origin, q.range AS cell, count(*) AS count, CAST(coalesce(sum(h.hits), 0) AS BIGINT) AS s FROM n1 n CROSS JOIN range(25) q LEFT JOIN h3 h ON h.origin = n.origin AND h.b = n.cell AND h.c = q.range GROUP BY 1, 2),
+m3 AS (SELECT origin, cell, s/count::DOUBLE/{W_END - 2}.0::DOUBLE/(1 - 0.95::DOUBLE) AS m FROM i3),
+n2 AS (SELECT origin, cell FROM (SELECT *, quantile_cont(m, 0.8) OVER (PARTITION BY origin) AS l FROM m3) WHERE m > l),
+h4 AS (SELECT n.origin, n.cell AS b, o.cell AS c, z.cell AS e, count(*) AS hits FROM n1 n JOIN n2 o ON o.origin = n.origin JOIN u2 x ON x.cell = n.origin AND x.u >= 0.95::DOUBLE AND x.t >= 0 AND x.t < {N4}
+  JOIN u2 y ON y.cell = n.cell AND y.u >= 0.95::DOUBLE AND y.t = x.t + 1 JOIN u2 w ON w.cell = o.cell AND w.u >= 0.95::DOUBLE AND w.t = x.t + 2 JOIN u2 z ON z.u >= 0.95::DOUBLE AND z.t = x.t + 3 GROUP BY 1, 2, 3, 4),
+c4 AS (SELECT n.origin, n.cell AS b, o.cell AS c, q.range AS e, CAST(coalesce(h.hits, 0) AS BIGINT) AS hits FROM n1 n JOIN n2 o ON o.origin = n.origin CROSS JOIN range(25) q
+  LEFT JOIN h4 h ON h.origin = n.origin AND h.b = n.cell AND h.c = o.cell AND h.e = q.range),
+b4 AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY hits DESC, b, c, e) AS k FROM c4)"""
+
+
+@query(f"WITH {D4} SELECT origin, origin || ',' || b || ',' || c || ',' || e AS path, hits, hits/{N4}.0::DOUBLE/(1 - 0.95::DOUBLE) AS chi FROM b4 WHERE k = 1")
 def station_d4(spark, d):
     """Four nodes deep, from every cell."""
     ranks = stored(ecdf(weekly(spark, d)), "ecdf")
@@ -421,24 +435,53 @@ def station_d4(spark, d):
     return found.steps[4].best.select("origin", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "hits", "chi")
 
 
-@query()
-def hyperdim_converge(spark, d):
-    """Regions by the cell's row of the grid, searched until the mean image settles."""
+def _regions(spark: SparkSession, d: str) -> explore.Exploration:
     ranks = stored(ecdf(weekly(spark, d)), "ecdf")
     edges = graph.lag_graph(ranks, cells_of(spark, 25), 1, 0, W_END, P)
     members = cells_of(spark, 25).select(F.expr("cell div 5").alias("origin"), "cell")
-    centroids = edges.groupBy(F.expr("i div 5").alias("origin"), F.col("j").alias("cell")).agg(F.avg("chi").alias("weight"))
-    found = explore.explore_regions(ranks, members, centroids, 3, [1, 1], 0, W_END, [0.6, 0.6], P, PERCENT, 0.01, 0.2, 10)
-    return found.steps[3].image.select("origin", "cell", "count", "chi_mean", "chi_var")
+    centroids = edges.groupBy(F.expr("i div 5").alias("origin"), F.col("j").alias("cell")).agg((F.sum("hits") / F.count(F.lit(1))).alias("weight"))
+    return explore.explore_regions(ranks, members, centroids, 3, [1, 1], 0, W_END, [0.6, 0.6], P, PERCENT, 0.01, 0.2, 10, order=(F.col("cell") * 7919) % 104729)
+
+
+#: Rounds at 0.6, 0.8 and 1 (two tenths are added in floating point, as the engine does); a fourth has no tuple that is new.
+RATES = [0.6, 0.6 + 0.2, 0.6 + 0.2 + 0.2]
+REGIONS = E2 + f""", ce AS (SELECT i // 5 AS origin, j AS cell, CAST(sum(hits) AS DOUBLE)/count(*) AS w FROM edge GROUP BY 1, 2),
+l1 AS (SELECT range // 5 AS origin, range AS cell FROM range(25)), l2 AS (SELECT origin, cell FROM (SELECT *, quantile_cont(w, 0.5) OVER (PARTITION BY origin) AS l FROM ce) WHERE w > l),
+k1 AS (SELECT *, count(*) OVER (PARTITION BY origin) AS n, row_number() OVER (PARTITION BY origin ORDER BY (cell*7919) % 104729, cell) AS k FROM l1),
+k2 AS (SELECT *, count(*) OVER (PARTITION BY origin) AS n, row_number() OVER (PARTITION BY origin ORDER BY (cell*7919) % 104729, cell) AS k FROM l2),
+ro AS (SELECT * FROM (VALUES {", ".join(f"({k}, {min(x, 1.0)!r}::DOUBLE)" for k, x in enumerate(RATES))}) v(round, rate)),
+pf AS MATERIALIZED (SELECT ro.round, a.origin, a.cell AS a, b.cell AS b FROM ro JOIN k1 a ON a.k <= floor(a.n*rate) JOIN k2 b ON b.origin = a.origin AND b.k <= floor(b.n*rate)),
+hh AS MATERIALIZED (SELECT pf.origin, pf.a, pf.b, z.cell AS c, count(*) AS hits FROM (SELECT DISTINCT origin, a, b FROM pf) pf JOIN u2 x ON x.cell = pf.a AND x.u >= 0.95::DOUBLE AND x.t >= 0 AND x.t < {W_END - 2}
+  JOIN u2 y ON y.cell = pf.b AND y.u >= 0.95::DOUBLE AND y.t = x.t + 1 JOIN u2 z ON z.u >= 0.95::DOUBLE AND z.t = x.t + 2 GROUP BY 1, 2, 3, 4),
+im AS MATERIALIZED (SELECT round, pf.origin, q.range AS cell, count(*) AS count, CAST(coalesce(sum(hits), 0) AS BIGINT) AS s, CAST(coalesce(sum(hits*hits), 0) AS BIGINT) AS q
+  FROM pf CROSS JOIN range(25) q LEFT JOIN hh ON hh.origin = pf.origin AND hh.a = pf.a AND hh.b = pf.b AND hh.c = q.range GROUP BY 1, 2, 3),
+mi AS MATERIALIZED (SELECT *, s/count::DOUBLE/{W_END - 2}.0::DOUBLE/(1 - 0.95::DOUBLE) AS m FROM im),
+er AS (SELECT round, max(e) AS e FROM (SELECT x.round, x.origin, avg(abs(x.m - y.m)) AS e FROM mi x JOIN mi y ON y.round = x.round - 1 AND y.origin = x.origin AND y.cell = x.cell GROUP BY 1, 2) GROUP BY round),
+fin AS (SELECT coalesce(min(round) FILTER (WHERE e <= 0.01::DOUBLE), {len(RATES) - 1}) AS round FROM er)"""
+
+
+@query(f"WITH {REGIONS} SELECT origin, cell, count, m AS chi_mean, round((count*q - s*s)/(count*count)::DOUBLE/pow({W_END - 2}*(1 - 0.95::DOUBLE), 2), 9) AS chi_var FROM mi JOIN fin ON fin.round = mi.round")
+def hyperdim_converge(spark, d):
+    """Regions by the cell's row of the grid, searched with growing samples until the mean image settles."""
+    return _regions(spark, d).steps[3].image.select("origin", "cell", "count", "chi_mean", r("chi_var").alias("chi_var"))
+
+
+@query(f"WITH {REGIONS} SELECT 3 AS d, ro.round AS iteration, round(e, 9) AS error FROM ro LEFT JOIN er ON er.round = ro.round JOIN fin ON ro.round <= fin.round")
+def hyperdim_history(spark, d):
+    """How far the mean image moved in each round."""
+    return _regions(spark, d).history_table(spark).select("d", "iteration", r("error").alias("error"))
 
 
 # ---------------------------------------------------------------- training tables
-def _chains(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def _best_chains(spark: SparkSession, d: str, lists: dict[str, list[int]] = LAGS) -> dict[str, DataFrame]:
     every, ranks = cells_of(spark, 25), stored(ecdf(weekly(spark, d)), "ecdf")
-    edges = {lag: stored(graph.lag_graph(ranks, every, lag, 0, W_END, P), "edges") for lag in {x[0] for x in LAGS.values()}}
+    edges = {lag: stored(graph.lag_graph(ranks, every, lag, 0, W_END, P), "edges") for lag in {x[0] for x in lists.values()}}
     prepared = explore.prepare(ranks, P)
-    best = {k: explore.explore_stations(ranks, edges[x[0]], every, 3, x, 0, W_END, P, PERCENT, prepared=prepared).steps[3].best for k, x in LAGS.items()}
-    return {k: explore.best_or_self(every, b, 3) for k, b in best.items()}
+    return {k: explore.explore_stations(ranks, edges[x[0]], every, 3, x, 0, W_END, P, PERCENT, prepared=prepared).steps[3].best for k, x in lists.items()}
+
+
+def _chains(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {k: explore.best_or_self(cells_of(spark, 25), b, 3) for k, b in _best_chains(spark, d).items()}
 
 
 E22 = U2 + ", " + graph_sql("u2", 1, W_END, 25, "edge1") + ", " + graph_sql("u2", 2, W_END, 25, "edge2")
@@ -468,13 +511,14 @@ def puzzle_xy(spark, d):
     return puzzle.puzzle(blocks, LAGS).select("t", "cell", "y", *[F.col("x")[k].alias(f"x{k}") for k in range(6)])
 
 
-@query(f"""WITH {PUZZLE}, m AS (SELECT a.t, a.cell, a.y, a.x1 AS x0, a.x2 AS x1, b.x1 AS x2, b.x2 AS x3 FROM f_1_1 a JOIN f_1_2 b ON a.t = b.t AND a.cell = b.cell WHERE a.cell % 2 = 0)
+@query(f"""WITH {PUZZLE}, m AS (SELECT a.t, a.cell, a.y, a.x1 AS x0, a.x2 AS x1, b.x1 AS x2, b.x2 AS x3 FROM f_1_1 a JOIN f_1_2 b ON a.t = b.t AND a.cell = b.cell
+  WHERE a.cell IN (SELECT origin FROM best_1_1 WHERE hits >= 3) AND a.cell IN (SELECT origin FROM best_1_2 WHERE hits >= 3))
 SELECT strftime(DATE '1995-01-01' + CAST(7*d.t AS INTEGER), '%Y-%m-%d') AS date, c.range AS cell, coalesce(y, 0) AS y, coalesce(x0, 0) AS x0, coalesce(x1, 0) AS x1, coalesce(x2, 0) AS x2, coalesce(x3, 0) AS x3
 FROM (SELECT DISTINCT t FROM m) d CROSS JOIN range(25) c LEFT JOIN m ON m.t = d.t AND m.cell = c.range""")
 def puzzle_dated_dense(spark, d):
-    """Two lag lists, paths for every other cell only: the others are zeros; steps carry their dates."""
+    """Two lag lists, chains that meet in three steps at least: cells without one in both are zeros; steps carry their dates."""
     lists = {k: LAGS[k] for k in ("1_1", "1_2")}
-    own = {k: v.where("origin % 2 = 0") for k, v in _chains(spark, d).items() if k in lists}
+    own = {k: v.where("hits >= 3") for k, v in _best_chains(spark, d, lists).items()}
     cube = weekly(spark, d).withColumn("value", F.col("value").cast("double"))
     table = puzzle.puzzle(puzzle.joint_blocks(own, cube, lists, 0, W_END), lists, cells_of(spark, 25))
     dates = spark.range(cubes.WEEKLY_STEPS).select(F.col("id").alias("t"), F.expr("cast(date_add(date'1995-01-01', cast(7 * id as int)) as string)").alias("date"))
@@ -503,7 +547,7 @@ def persistence_forecast(spark, d):
 def linear_baseline(spark, d):
     """Verification of a linear model on the training table, by part."""
     blocks = puzzle.joint_blocks(_chains(spark, d), weekly(spark, d), LAGS, 0, W_END)
-    table = puzzle.puzzle(blocks, LAGS).withColumn("x", F.transform("x", lambda v: v.cast("double")))
+    table = puzzle.puzzle(blocks, LAGS).withColumn("x", F.transform("x", lambda v: v.cast("double"))).withColumn("y", F.col("y").cast("double"))
     return metrics.metric_map(pipelines.linear_baseline(table), {"rmse": metrics.rmse, "nse": metrics.nse}, ["part"]).select("part", r("rmse", 6).alias("rmse"), r("nse", 6).alias("nse"))
 
 
@@ -526,19 +570,55 @@ SELECT round((SELECT sum(d2) FROM pt), 6) AS inertia, round((SELECT sum(sqrt(d2)
 @query(SCORES)
 def cluster_scores(spark, d):
     points = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), "label")
-    return cluster.cluster_scores(points, sample=2000).select(*[r(c, 6).alias(c) for c in ("inertia", "sdw", "sdb", "calinski", "davies", "silhouette")])
+    return cluster.cluster_scores(points).select(*[r(c, 6).alias(c) for c in ("inertia", "sdw", "sdb", "calinski", "davies", "silhouette")])
 
 
 @query()
 def kmeans_sweep(spark, d):
     points = stored(cluster.dependence_rows(weekly_edges(spark, d)), "rows")
-    return cluster.sweep(points, [2, 3, 4], restarts=2)
+    return cluster.sweep(points, [2, 3, 4])
+
+
+def _clustered(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return stored(cluster.kmeans(stored(cluster.dependence_rows(weekly_edges(spark, d)), "rows"), k), "labelled")
+
+
+@query("SELECT k, CAST(25 AS BIGINT) AS points, CAST(k AS BIGINT) AS clusters, true AS nearest, true AS ordered, true AS better_than_one FROM (VALUES (2), (3), (4)) v(k)")
+def kmeans_invariants(spark, d):
+    """What every fit has to fulfil: all rows labelled, no empty cluster, each row nearest to its own mean, labels by smallest id, less cost than one cluster."""
+    out = None
+    for k in (2, 3, 4):
+        found = _clustered(spark, d, k)
+        centres = cluster.centroids(found)
+        d2 = found.select("id", "x", F.col("label").alias("own")).crossJoin(F.broadcast(centres.select("label", "centre"))).select("id", "own", "label", cluster.squares(F.col("x"), F.col("centre")).alias("d2"))  # k rows
+        near = d2.groupBy("id", "own").agg(F.min(F.when(F.col("label") == F.col("own"), F.col("d2"))).alias("mine"), F.min("d2").alias("least"))
+        first = found.groupBy("label").agg(F.min("id").alias("m")).agg(F.array_sort(F.collect_list(F.struct("label", "m"))).alias("f"), F.count(F.lit(1)).alias("clusters"))  # k rows
+        ordered = F.col("f.m") == F.array_sort(F.col("f.m"))
+        one = cluster.cluster_scores(found.withColumn("label", F.lit(0))).select(F.col("inertia").alias("one"))
+        own = near.agg(F.count(F.lit(1)).alias("points"), F.every(F.col("mine") <= F.col("least") + 1e-9).alias("nearest"), F.sum("mine").alias("cost")).crossJoin(first).crossJoin(one)  # single rows
+        own = own.select(F.lit(k).alias("k"), "points", "clusters", "nearest", ordered.alias("ordered"), (F.col("cost") < F.col("one")).alias("better_than_one"))
+        out = own if out is None else out.unionAll(own)
+    return out
 
 
 @query()
 def cluster_image(spark, d):
-    points = stored(cluster.dependence_rows(weekly_edges(spark, d)), "rows")
-    return cluster.cluster_image(cubes.grid(spark, 5, 5), cluster.kmeans(points, 3, restarts=2))
+    return cluster.cluster_image(cubes.grid(spark, 5, 5), _clustered(spark, d, 3))
+
+
+@query(f"""WITH {E2}, a AS (SELECT i // 5 AS label, j AS cell, sum(hits) AS s, count(*) AS n FROM edge GROUP BY 1, 2)
+SELECT label AS origin, cell, round(s/n::DOUBLE/{W_END - 1}.0::DOUBLE/(1 - 0.95::DOUBLE), 9) AS weight FROM a""")
+def centroid_images(spark, d):
+    """Mean rows of a given clustering, the rows of the grid, as images."""
+    rows = cluster.dependence_rows(weekly_edges(spark, d)).withColumn("label", F.expr("id div 5"))
+    return cluster.centroid_images(rows, cells_of(spark, 25)).select("origin", "cell", r("weight").alias("weight"))
+
+
+@query(f"WITH {F2} SELECT cell, CASE WHEN sum(value) > 0 THEN CAST(cell // 5 AS INTEGER) ELSE -99 END AS label FROM weekly GROUP BY cell")
+def label_image(spark, d):
+    """A given clustering as an image; cells without a label have -99."""
+    labelled = weekly(spark, d).groupBy(F.col("cell").alias("id")).agg(F.sum("value").alias("s")).where("s > 0").select("id", F.expr("cast(id div 5 as int)").alias("label"))
+    return cluster.cluster_image(cubes.grid(spark, 5, 5), labelled)
 
 
 # ---------------------------------------------------------------- verification
@@ -626,11 +706,11 @@ def event_scores_thr20(spark, d):
     return metrics.event_scores(cubes.forecast_pair(spark, d), 20.0)
 
 
-@query(f"""WITH {F4}, p AS (SELECT * FROM pair WHERE cell = 0), k AS (SELECT sum(CASE WHEN (a.y_true - b.y_true)*(a.y_pred - b.y_pred) > 0 THEN 1 ELSE 0 END) AS c,
+@query(f"""WITH {F4}, k AS (SELECT a.cell, sum(CASE WHEN (a.y_true - b.y_true)*(a.y_pred - b.y_pred) > 0 THEN 1 ELSE 0 END) AS c,
  sum(CASE WHEN (a.y_true - b.y_true)*(a.y_pred - b.y_pred) < 0 THEN 1 ELSE 0 END) AS d, sum(CASE WHEN a.y_true = b.y_true THEN 1 ELSE 0 END) AS ty, sum(CASE WHEN a.y_pred = b.y_pred THEN 1 ELSE 0 END) AS tp, count(*) AS n
- FROM p a JOIN p b ON a.t < b.t) SELECT CAST(0 AS BIGINT) AS cell, round((c - d)/sqrt((n - ty)::DOUBLE*(n - tp)), 9) AS kendall FROM k""")
+ FROM pair a JOIN pair b ON a.cell = b.cell AND a.t < b.t GROUP BY a.cell) SELECT cell, round((c - d)/nullif(sqrt((n - ty)::DOUBLE*(n - tp)), 0), 9) AS kendall FROM k""")
 def kendall_tau(spark, d):
-    return metrics.kendall(cubes.forecast_pair(spark, d).where("cell = 0")).select("cell", r("kendall").alias("kendall"))
+    return metrics.kendall(cubes.forecast_pair(spark, d)).select("cell", r("kendall").alias("kendall"))
 
 
 IMAGE_PAIR = F3 + ", ip AS MATERIALIZED (SELECT a.t, a.cell, a.value AS y_true, b.value AS y_pred FROM image a JOIN image b ON a.cell = b.cell AND b.t = a.t - 1)"
@@ -692,3 +772,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
+
+
+from . import catalog_stores  # noqa: E402, F401  its queries register themselves here

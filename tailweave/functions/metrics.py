@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import average_rank
+from .ranks import average_rank, joint_ranks, percentiles
 from .scalars import finite_pairs
 
 def _y() -> Column:
@@ -119,10 +119,14 @@ def metric_reduce(df: DataFrame, metric: Callable[[], Column], reduce: str = "me
 
 def spearman(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Correlation of average ranks, ranked within each group."""
-    own = finite_pairs(df).withColumn("__g", F.lit(0))
-    keys = list(by) or ["__g"]
-    ranked = own.select(*keys, average_rank("y_true", keys).alias("ry"), average_rank("y_pred", keys).alias("rp"))
-    return ranked.groupBy(*by).agg(correlation(F.col("ry"), F.col("rp")).alias("spearman"))
+    own = finite_pairs(df)
+    if by:
+        ranked = own.select(*by, average_rank("y_true", by).alias("ry"), average_rank("y_pred", by).alias("rp"))
+        return ranked.groupBy(*by).agg(correlation(F.col("ry"), F.col("rp")).alias("spearman"))
+    middle = (F.col("total") + 1) / 2.0  # the mean of average ranks
+    x, y, n = F.col("rx") - middle, F.col("ry") - middle, F.col("n")
+    sums = joint_ranks(own, "y_true", "y_pred").agg(F.sum(x * y * n).alias("xy"), F.sum(x * x * n).alias("xx"), F.sum(y * y * n).alias("yy"))
+    return sums.select((F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("spearman"))
 
 
 def quantile_mae(df: DataFrame, q: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
@@ -131,17 +135,21 @@ def quantile_mae(df: DataFrame, q: float = 0.95, by: Sequence[str] = ()) -> Data
     if by:
         limited = own.withColumn("__limit", F.percentile("y_true", F.lit(q)).over(Window.partitionBy(*by)))
     else:
-        limited = own.crossJoin(F.broadcast(own.agg(F.percentile("y_true", F.lit(q)).alias("__limit"))))  # one row
+        limited = own.crossJoin(F.broadcast(percentiles(own, "y_true", [q]).select(F.col("p0").alias("__limit"))))  # one row
     return limited.where(F.col("y_true") >= F.col("__limit")).groupBy(*by).agg(mae().alias("quantile_mae"))
 
 
 def bivariate_chi(df: DataFrame, p: float, by: Sequence[str] = ()) -> DataFrame:
     """Share of pairs above both own p-percentiles, divided by 1 - p."""
-    own = finite_pairs(df).withColumn("__g", F.lit(0))
-    keys = list(by) or ["__g"]
-    limits = own.groupBy(*keys).agg(F.percentile("y_true", F.lit(p)).alias("__y"), F.percentile("y_pred", F.lit(p)).alias("__p"), F.count(F.lit(1)).alias("__n"))
+    own = finite_pairs(df)
+    if by:
+        limits = own.groupBy(*by).agg(F.percentile("y_true", F.lit(p)).alias("__y"), F.percentile("y_pred", F.lit(p)).alias("__p"), F.count(F.lit(1)).alias("__n"))
+        limited = own.join(limits, list(by))
+    else:
+        limits = percentiles(own, "y_true", [p]).select(F.col("p0").alias("__y")).crossJoin(percentiles(own, "y_pred", [p]).select(F.col("p0").alias("__p")))
+        limited = own.crossJoin(F.broadcast(limits.crossJoin(own.agg(F.count(F.lit(1)).alias("__n")))))  # one row
     hit = (F.col("y_true") >= F.col("__y")) & (F.col("y_pred") >= F.col("__p"))
-    counted = own.join(F.broadcast(limits) if not by else limits, keys).groupBy(*keys, "__n").agg(F.count_if(hit).alias("hits"))
+    counted = limited.groupBy(*by, "__n").agg(F.count_if(hit).alias("hits"))
     return counted.select(*by, (F.col("hits") / F.col("__n") / (1 - p)).alias("chi"))
 
 

@@ -1,4 +1,9 @@
-"""Empirical distribution functions by average rank (window functions over one shuffle by series)."""
+"""Empirical distribution functions by average rank.
+
+Many series are ranked by window functions over one shuffle by series.  One series of any length (``placed_values`` and what
+builds on it) is ranked over its distinct values with their counts, cut into ranges of values whose totals carry the prefix
+sums: no task sorts the whole series, and a value that most rows share is one row.
+"""
 
 from __future__ import annotations
 
@@ -26,3 +31,57 @@ def ecdf(cube: DataFrame, value: str = "value", by: Sequence[str] = ("cell",)) -
 
 def zero_based_rank(value: str, by: Sequence[str]) -> Column:
     return average_rank(value, by) - 1
+
+
+#: Ranges of values that one long series is cut into.
+RANGES = 1024
+
+
+def placed_values(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
+    """(value, n, below): each distinct value that is known, its rows (or their summed ``weight``), and the rows below it."""
+    from pyspark.ml.feature import Bucketizer
+
+    known = df.select(F.col(value).cast("double").alias("value"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("n")).where("value is not null and not isnan(value)")
+    counts = known.groupBy("value").agg(F.sum("n").alias("n"))
+    shares = [k / RANGES for k in range(1, RANGES)]
+    found = counts.agg(F.percentile_approx("value", shares, 4 * RANGES)).first()[0] if shares else None  # at most RANGES numbers
+    inner = sorted({c for c in found or [] if abs(c) != float("inf")})
+    if inner:
+        counts = Bucketizer(splits=[-float("inf"), *inner, float("inf")], inputCol="value", outputCol="range").transform(counts)
+    else:
+        counts = counts.withColumn("range", F.lit(0.0))
+    totals = counts.groupBy("range").agg(F.sum("n").alias("words"))
+    base = totals.select("range", (F.sum("words").over(Window.orderBy("range")) - F.col("words")).alias("base"))  # at most RANGES rows
+    inside = F.sum("n").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return counts.withColumn("inside", inside).join(F.broadcast(base), "range").select("value", "n", (F.col("base") + F.col("inside")).alias("below"))
+
+
+def joint_ranks(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(rx, ry, n, total): average ranks of the distinct pairs of two columns known on both sides, and how many rows each has."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    rank = F.col("below") + (F.col("m") + 1) / 2.0
+    rx = placed_values(both, "x", "n").withColumnRenamed("n", "m").select(F.col("value").alias("x"), rank.alias("rx"))
+    ry = placed_values(both, "y", "n").withColumnRenamed("n", "m").select(F.col("value").alias("y"), rank.alias("ry"))
+    total = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return both.join(rx, "x").join(ry, "y").crossJoin(F.broadcast(total)).select("rx", "ry", "n", "total")  # one row
+
+
+def percentiles(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
+    """One row (p0, p1, ...): exact percentiles of one series, linear between neighbours; NULL for an empty one."""
+    placed = placed_values(df, value)
+    total = F.broadcast(placed.agg(F.sum("n").alias("total")))  # one row
+    rows = placed.crossJoin(total)
+    out = []
+    for k, p in enumerate(shares):
+        at = F.lit(float(p)) * (F.col("total") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        holds = lambda place: (F.col("below") <= place) & (place < F.col("below") + F.col("n"))
+        out += [F.max(F.when(holds(low), F.col("value"))).alias(f"l{k}"), F.max(F.when(holds(high), F.col("value"))).alias(f"h{k}")]
+    found = rows.agg(F.max("total").alias("total"), *out)
+    result = []
+    for k, p in enumerate(shares):
+        at = F.lit(float(p)) * (F.col("total") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        mixed = (high - at) * F.col(f"l{k}") + (at - low) * F.col(f"h{k}")
+        result.append(F.when((low == high) | (F.col(f"l{k}") == F.col(f"h{k}")), F.col(f"l{k}")).otherwise(mixed).alias(f"p{k}"))
+    return found.select(*result)

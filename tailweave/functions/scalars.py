@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 
 def to_flat(i: Column, j: Column, width: int) -> Column:
     return i * width + j
@@ -63,7 +65,7 @@ def value_range(df: DataFrame, value: str = "value", robust: bool = False, q: tu
     """One row (vmin, vmax): finite extremes, or the q percentiles."""
     x = df.select(finite(F.col(value)).alias("x"))
     if robust:
-        return x.agg(F.percentile("x", F.lit(q[0] / 100)).alias("vmin"), F.percentile("x", F.lit(q[1] / 100)).alias("vmax"))
+        return percentiles(x, "x", [q[0] / 100, q[1] / 100]).select(F.col("p0").alias("vmin"), F.col("p1").alias("vmax"))
     return x.agg(F.min("x").alias("vmin"), F.max("x").alias("vmax"))
 
 

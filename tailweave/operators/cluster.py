@@ -7,10 +7,18 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import finite_vectors
+from ..storage import stored
 from .selection import hash_prefix
 
+#: Vectors of a block (fewer, if they are long): two blocks are compared in one task.
+BLOCK, BLOCK_NUMBERS = 512, 8_000_000
+#: Numbers of all centres that are broadcast to the tasks of a step; beyond, restarts go one after the other.
+MOST_NUMBERS = 16_000_000
+PIECE = 1024
 
-def _squares(a: Column, b: Column) -> Column:
+
+def squares(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
@@ -19,29 +27,29 @@ def dependence_rows(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("i").alias("id")).agg(F.array_sort(F.collect_list(F.struct("j", "chi"))).alias("r")).select("id", F.col("r.chi").alias("x"))
 
 
-def _centroids(points: DataFrame) -> DataFrame:
+def centroids(points: DataFrame) -> DataFrame:
     """(label, size, centre, k clusters): means by position of each label's vectors."""
     flat = points.select("label", F.posexplode("x").alias("pos", "v")).groupBy("label", "pos").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("size"))
     return flat.groupBy("label").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c")).select("label", "size", F.col("c.m").alias("centre"))
 
 
-def cluster_scores(points: DataFrame, sample: int | None = 2000, seed: int = 7) -> DataFrame:
+def cluster_scores(points: DataFrame, sample: int | None = None, seed: int = 7) -> DataFrame:
     """One row for points(id, x, label): inertia, sdw, sdb, calinski, davies, silhouette.
 
-    All distances are Euclidean.  The silhouette compares pairs, so it uses at most ``sample`` points chosen by a
-    hash of the id (None: all).  Centroids, one a cluster, are broadcast.
+    All distances are Euclidean.  The silhouette compares all pairs of points, or with ``sample`` all pairs of so many
+    points chosen by a hash of the id.  Centroids, one a cluster, are broadcast.
     """
     points = points.select("id", F.transform("x", lambda v: v.cast("double")).alias("x"), "label")
-    centres = _centroids(points)
-    whole = _centroids(points.withColumn("label", F.lit(0))).select(F.col("centre").alias("middle"))
-    own = points.join(F.broadcast(centres), "label").select("label", "size", _squares(F.col("x"), F.col("centre")).alias("d2"))
+    centres = centroids(points)
+    whole = centroids(points.withColumn("label", F.lit(0))).select(F.col("centre").alias("middle"))
+    own = points.join(F.broadcast(centres), "label").select("label", "size", squares(F.col("x"), F.col("centre")).alias("d2"))
     within = own.agg(F.sum("d2").alias("inertia"), F.sum(F.sqrt("d2")).alias("sdw"), F.count(F.lit(1)).alias("n"))
-    apart = centres.crossJoin(F.broadcast(whole)).select("label", "size", _squares(F.col("centre"), F.col("middle")).alias("b2"))
+    apart = centres.crossJoin(F.broadcast(whole)).select("label", "size", squares(F.col("centre"), F.col("middle")).alias("b2"))
     between = apart.agg(F.sum(F.col("size") * F.sqrt("b2")).alias("sdb"), F.sum(F.col("size") * F.col("b2")).alias("between"), F.count(F.lit(1)).alias("k"))
     spread = own.groupBy("label").agg(F.avg(F.sqrt("d2")).alias("s")).join(centres, "label").select("label", "s", "centre")
     a, b = spread.alias("a"), F.broadcast(spread).alias("b")
     worst = a.join(b, F.col("a.label") != F.col("b.label")).groupBy("a.label").agg(
-        F.max((F.col("a.s") + F.col("b.s")) / F.nullif(F.sqrt(_squares(F.col("a.centre"), F.col("b.centre"))), F.lit(0.0))).alias("r")
+        F.max((F.col("a.s") + F.col("b.s")) / F.nullif(F.sqrt(squares(F.col("a.centre"), F.col("b.centre"))), F.lit(0.0))).alias("r")
     )
     davies = worst.agg(F.avg("r").alias("davies"))
     out = within.crossJoin(between).crossJoin(davies).crossJoin(silhouette(points, sample, seed))  # single rows
@@ -49,72 +57,143 @@ def cluster_scores(points: DataFrame, sample: int | None = 2000, seed: int = 7)
     return out.select("inertia", "sdw", "sdb", calinski.alias("calinski"), "davies", "silhouette")
 
 
-def silhouette(points: DataFrame, sample: int | None = 2000, seed: int = 7) -> DataFrame:
-    """One row: mean of (b - a) / max(a, b) over points; points alone in their cluster count 0."""
-    if sample is not None:
-        n = points.count()
-        return _sampled_silhouette(points if n <= sample else hash_prefix(points, sample / n, ["id"], seed=seed))
-    a = points.select("id", "x", "label")
-    b = points.select(F.col("id").alias("other"), F.col("x").alias("y"), F.col("label").alias("by"))
-    pairs = a.join(b, F.col("id") != F.col("other")).select("id", "label", "by", F.sqrt(_squares(F.col("x"), F.col("y"))).alias("d"))
-    means = pairs.groupBy("id", "label", "by").agg(F.avg("d").alias("m"))
+def silhouette(points: DataFrame, sample: int | None = None, seed: int = 7) -> DataFrame:
+    """One row: mean of (b - a) / max(a, b) over points; points alone in their cluster count 0, and so do all if there is one cluster.
+
+    Points are dealt to blocks; each task holds two blocks and gives one row for a point and cluster, so neither a matrix of all
+    pairs nor all points ever come together.  ``sample``: only so many points, against each other.
+    """
+    import numpy as np
+    import pandas as pd
+
+    n, width = points.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    if sample is not None and n > sample:
+        points, n = stored(hash_prefix(points, sample / n, ["id"], seed=seed), "sample"), sample
+    blocks = max(1, -(-n // max(1, min(BLOCK, BLOCK_NUMBERS // max(1, width or 1)))))
+    dealt = points.select("id", "x", "label", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
+    everywhere = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    kinds = {c: points.schema[c].dataType.simpleString() for c in ("id", "label")}
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "label": [], "by": [], "d": [], "n": []})
+        y, own = np.stack(b["x"].to_list()).astype(float), b["label"].to_numpy()
+        labels, at = np.unique(own, return_inverse=True)
+        member, out = np.eye(len(labels))[at], []
+        same_id = b["id"].to_numpy()
+        for k, (i, x, label) in enumerate(zip(a["id"], a["x"], a["label"], strict=True)):
+            d = np.sqrt(((y - np.asarray(x, float)) ** 2).sum(axis=1))
+            there = (same_id != i).astype(float)
+            out.append(pd.DataFrame({"id": i, "label": label, "by": labels, "d": (d * there) @ member, "n": (there @ member).astype(np.int64)}))
+        return pd.concat(out)
+
+    turned = everywhere.select("id", "x", "label", F.col("other").alias("own"), F.col("own").alias("other"), F.lit(1).alias("side"))
+    sums = everywhere.withColumn("side", F.lit(0)).unionByName(turned).groupBy("own", "other").applyInPandas(compared, f"id {kinds['id']}, label {kinds['label']}, by {kinds['label']}, d double, n long")
+    means = sums.groupBy("id", "label", "by").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     per = means.groupBy("id", "label").agg(F.max(F.when(F.col("by") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("by") != F.col("label"), F.col("m"))).alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
     return per.agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
 
 
-def _sampled_silhouette(points: DataFrame) -> DataFrame:
-    """The same for a bounded sample: its matrix is broadcast, and distances are taken batch by batch in numpy."""
+def _seeds(sample, k: int, restarts: int, seed: int):
+    """(restarts, k, width): starting centres by squared-distance sampling among the sampled rows."""
     import numpy as np
-    import pandas as pd
 
-    rows = points.select("x", "label").collect()  # at most the sample
-    matrix, label = np.array([r["x"] for r in rows], float), np.array([r["label"] for r in rows])
-    kinds, own = np.unique(label, return_inverse=True) if len(rows) else (label, label)
-    shared = points.sparkSession.sparkContext.broadcast((matrix, kinds, np.eye(len(kinds))[own] if len(rows) else None))
+    out = np.empty((restarts, k, sample.shape[1]))
+    for r in range(restarts):
+        rng = np.random.default_rng([seed, r])
+        chosen = [int(rng.integers(len(sample)))]
+        far = ((sample - sample[chosen[0]]) ** 2).sum(axis=1)
+        while len(chosen) < k:
+            total = far.sum()
+            chosen.append(int(rng.choice(len(sample), p=far / total)) if total > 0 else int(rng.integers(len(sample))))
+            far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+        out[r] = sample[chosen]
+    return out
 
-    def score(batches):
-        x, kinds, member = shared.value
+
+def kmeans(points: DataFrame, k: int, seed: int = 7, restarts: int = 20, rounds: int = 100, sample: int = 2000) -> DataFrame:
+    """(id, x, label) of the restart with the least cost; labels are ordered by their smallest id.
+
+    Vectors with an element that is not finite are left out.  All restarts go through the rows together, one pass a round, until
+    no centre moves; only sums by restart and cluster leave the tasks.  Starting centres come from ``sample`` rows chosen by a hash (fewer,
+    if rows are long).  Fewer points than clusters are an error.
+    """
+    import numpy as np
+    import pandas as pd
+
+    data = stored(finite_vectors(points, "x").select("id", F.transform("x", lambda v: v.cast("double")).alias("x")), "vectors")
+    n, width = data.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    if n < k:
+        raise ValueError(f"{n} finite vectors can't make {k} clusters")
+    room = max(k, min(sample, BLOCK_NUMBERS // max(1, width)))
+    first = data.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(room).select("x").toArrow()  # at most BLOCK_NUMBERS numbers, or k rows
+    rows = np.array(first["x"].to_pylist(), float).reshape(-1, width)
+    together = max(1, min(restarts, MOST_NUMBERS // max(1, k * width)))
+    spark, best = points.sparkSession, None
+
+    def pass_(centres) -> tuple:
+        """(sums, sizes, costs) of every restart's clusters around centres."""
+        shared = spark.sparkContext.broadcast(centres)  # at most MOST_NUMBERS numbers, or one restart's centres
+
+        def run(batches):
+            c = shared.value
+            sums, sizes, costs = np.zeros(c.shape), np.zeros(c.shape[:2], np.int64), np.zeros(c.shape[:2])
+            for batch in batches:
+                for a in range(0, len(batch), 256):
+                    x = np.stack(batch["x"].iloc[a : a + 256].to_list())
+                    for r in range(len(c)):
+                        d = np.stack([((x - m) ** 2).sum(axis=1) for m in c[r]], axis=1)
+                        own = d.argmin(axis=1)
+                        np.add.at(sums[r], own, x)
+                        sizes[r] += np.bincount(own, minlength=k)
+                        costs[r] += np.bincount(own, weights=d[np.arange(len(x)), own], minlength=k)
+            pieces = range(0, width, PIECE)
+            yield pd.DataFrame([{"r": r, "k": j, "at": a, "n": int(sizes[r, j]), "cost": costs[r, j], "s": sums[r, j, a : a + PIECE]} for r in range(len(c)) for j in range(k) if sizes[r, j] for a in pieces], columns=["r", "k", "at", "n", "cost", "s"])
+
+        parts = data.select("x").mapInPandas(run, "r int, k int, at int, n long, cost double, s array<double>")
+        total = parts.groupBy("r", "k", "at").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.collect_list("s").alias("s"))  # PIECE numbers a task
+        total = total.select("r", "k", "at", "n", "cost", F.aggregate(F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))), F.col("s")[0], lambda a, b: F.zip_with(a, b, lambda p, q: p + q)).alias("s"))
+        sums, sizes, costs = np.zeros(centres.shape), np.zeros(centres.shape[:2], np.int64), np.zeros(centres.shape[:2])
+        for row in total.toLocalIterator():
+            r, j, a = row["r"], row["k"], row["at"]
+            sums[r, j, a : a + PIECE], sizes[r, j], costs[r, j] = row["s"], row["n"], row["cost"]
+        shared.destroy()
+        return sums, sizes, costs
+
+    for a in range(0, restarts, together):
+        centres = _seeds(rows, k, min(together, restarts - a), seed + a)
+        for _ in range(rounds):
+            sums, sizes, costs = pass_(centres)
+            moved = np.where(sizes[..., None] > 0, sums / np.maximum(sizes, 1)[..., None], centres)
+            settled = np.abs(moved - centres).max() <= 1e-9 * max(1.0, np.abs(centres).max())
+            if settled:
+                break
+            centres = moved
+        # restarts with all clusters filled come first, then the least cost
+        order = sorted(range(len(centres)), key=lambda r: ((sizes[r] == 0).sum(), round(costs[r].sum(), 9), r))
+        key = ((sizes[order[0]] == 0).sum(), costs[order[0]].sum())
+        if best is None or key < best[0]:
+            best = (key, centres[order[0]].copy())
+    shared = spark.sparkContext.broadcast(best[1])
+
+    def assign(batches):
         for batch in batches:
-            out = []
-            for k in range(0, len(batch), 32):
-                part = batch.iloc[k : k + 32]
-                d = np.sqrt(((np.stack(part["x"].to_list())[:, None] - x[None]) ** 2).sum(axis=2)) @ member
-                mine = np.searchsorted(kinds, part["label"].to_numpy())
-                size, at = member.sum(axis=0), np.arange(len(part))
-                a = d[at, mine] / np.maximum(size[mine] - 1, 1)
-                means = d / size
-                means[at, mine] = np.inf
-                b = means.min(axis=1) if len(kinds) > 1 else np.zeros(len(part))
-                top = np.maximum(a, b)
-                out.append(np.where((size[mine] > 1) & (top > 0) & np.isfinite(b) & (len(kinds) > 1), (b - a) / np.where(top > 0, top, 1), 0.0))
-            yield pd.DataFrame({"s": np.concatenate(out) if out else np.zeros(0)})
-
-    return points.select("x", "label").mapInPandas(score, "s double").agg(F.avg("s").alias("silhouette"))
-
-
-def kmeans(points: DataFrame, k: int, seed: int = 7, restarts: int = 3) -> DataFrame:
-    """(id, x, label) of the restart with the least cost; labels are ordered by their smallest id."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    data = points.select("id", "x", array_to_vector(F.transform("x", lambda v: v.cast("double"))).alias("features"))
-    best = None
-    for r in range(restarts):
-        model = KMeans(k=k, seed=seed + r, initMode="k-means||").fit(data)
-        if best is None or model.summary.trainingCost < best[0]:
-            best = (model.summary.trainingCost, model)
-    found = best[1].transform(data).select("id", "x", "prediction")
-    first = found.groupBy("prediction").agg(F.min("id").alias("m"))
-    order = first.select("prediction", F.expr("cast(row_number() over (order by m) - 1 as int)").alias("label"))  # k rows
+            x = np.stack(batch["x"].to_list()) if len(batch) else np.zeros((0, width))
+            yield batch.assign(prediction=np.stack([((x - m) ** 2).sum(axis=1) for m in shared.value], axis=1).argmin(axis=1).astype("int32"))
+
+    found = data.mapInPandas(assign, f"id {data.schema['id'].dataType.simpleString()}, x array<double>, prediction int")
+    least = found.groupBy("prediction").agg(F.min("id").alias("m"))
+    order = least.select("prediction", F.expr("cast(row_number() over (order by m) - 1 as int)").alias("label"))  # k rows
     return found.join(F.broadcast(order), "prediction").select("id", "x", "label")
 
 
-def sweep(points: DataFrame, ks: Iterable[int], seed: int = 7, restarts: int = 3, sample: int | None = 2000) -> DataFrame:
+def sweep(points: DataFrame, ks: Iterable[int], seed: int = 7, restarts: int = 20, sample: int | None = None) -> DataFrame:
     """(k, scores...) for each number of clusters."""
     out = None
     for k in ks:
-        own = cluster_scores(kmeans(points, k, seed, restarts), sample, seed).withColumn("k", F.lit(k))
+        own = cluster_scores(stored(kmeans(points, k, seed, restarts), "labelled"), sample, seed).withColumn("k", F.lit(k))
         out = own if out is None else out.unionByName(own)
     return out
 

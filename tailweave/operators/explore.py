@@ -1,7 +1,8 @@
-"""Chains of d nodes: which chains of cells exceed together, station by station or region by region.
+"""Chains of d nodes: which cells exceed one after the other, station by station or region by region.
 
 All stations run in one plan, keyed by ``origin``.  For each d the sampled node lists are chained by equi-joins on
-the aligned step tau, so only steps at which the whole prefix exceeds go on; the last node is any cell.  Hits are
+the aligned step tau, so only steps at which the whole prefix exceeds go on; the last node is any cell.  Only tuples that
+meet are ever rows: how many there are in all is a product of list sizes, and the others have 0 hits.  Hits are
 integers until the very end, so images, thresholds and ties are exact.
 """
 
@@ -10,15 +11,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import check_lags, check_percent, window_length
-from ..storage import stored
+from ..storage import discard, stored
 from .graph import exceedances
 from .lags import offsets
 from .paths import image_selection
-from .selection import hash_prefix
 
 
 @dataclass
@@ -27,72 +27,102 @@ class Step:
 
     d: int
     n: int
-    combos: DataFrame  # origin, path, hits, chi
+    p: float
+    lists: list[DataFrame]  # (origin, cell) of each node but the last
+    cells: DataFrame
+    hits: DataFrame  # origin, path, hits: the tuples that meet
     image: DataFrame  # origin, cell, count, chi_mean, chi_var
     best: DataFrame  # origin, path, hits, chi
 
+    @property
+    def combos(self) -> DataFrame:
+        """(origin, path, hits, chi) of every tuple, those that never meet too: the product of the lists and all cells."""
+        every = tuples([*self.lists, None], self.cells)
+        out = every.join(self.hits, ["origin", "path"], "left").select("origin", "path", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
+        return out.withColumn("chi", chi_of(F.col("hits"), self.n, self.p))
+
 
 @dataclass
 class Exploration:
     steps: dict[int, Step] = field(default_factory=dict)
-    history: list[tuple[int, int, float]] = field(default_factory=list)  # d, iteration, error
+    history: list[tuple[int, int, list[float], float]] = field(default_factory=list)  # d, iteration, rates, error
+
+    def history_table(self, spark: SparkSession) -> DataFrame:
+        """(d, iteration, rates, error): one row a round; the first round of a d has no error."""
+        rows = [(d, k, rates, None if error == float("inf") else float(error)) for d, k, rates, error in self.history]
+        return spark.createDataFrame(rows, "d int, iteration int, rates array<double>, error double")
 
 
 def joint_steps(over: DataFrame, lists: Sequence[DataFrame], lags: Sequence[int], start: int, end: int) -> DataFrame:
-    """(origin, path, tau) at which all nodes of a prefix exceed.  lists: one (origin, cell) table for each node."""
+    """(origin, path, tau, old) at which all nodes of a prefix exceed.  lists: one (origin, cell, old) table for each node; a prefix is old if all its nodes are."""
     d = len(lists) + 1
     placed = offsets(lags, d)
     total = placed[-1][0]
     out = None
     for nodes, (o, _) in zip(lists, placed, strict=False):
         own = over.select((F.col("t") - o).alias("tau"), "cell").where((F.col("tau") >= start) & (F.col("tau") < end - total))
-        here = nodes.join(own, "cell")
+        here = nodes.join(own, "cell").select("origin", "cell", "tau", F.col("old").alias("too"))
         if out is None:
-            out = here.select("origin", F.array("cell").alias("path"), "tau")
+            out = here.select("origin", F.array("cell").alias("path"), "tau", F.col("too").alias("old"))
         else:
-            out = out.join(here, ["origin", "tau"]).select("origin", F.array_append("path", F.col("cell")).alias("path"), "tau")
+            out = out.join(here, ["origin", "tau"]).select("origin", F.array_append("path", F.col("cell")).alias("path"), "tau", (F.col("old") & F.col("too")).alias("old"))
     return out
 
 
-def tuples(lists: Sequence[DataFrame]) -> DataFrame:
-    """(origin, path): the product of the node lists of each origin."""
+def tuples(lists: Sequence[DataFrame | None], cells: DataFrame | None = None) -> DataFrame:
+    """(origin, path): the product of the node lists of each origin; None stands for all cells."""
     out = lists[0].select("origin", F.array("cell").alias("path"))
     for nodes in lists[1:]:
-        out = out.join(nodes, "origin").select("origin", F.array_append("path", F.col("cell")).alias("path"))
+        out = out.crossJoin(cells.select("cell")) if nodes is None else out.join(nodes.select("origin", "cell"), "origin")
+        out = out.select("origin", F.array_append("path", F.col("cell")).alias("path"))
     return out
 
 
+def prefix_counts(lists: Sequence[DataFrame]) -> DataFrame:
+    """(origin, count, first): the number of prefixes of each origin, and the first one; an origin without an entry in every list has none."""
+    out = None
+    for k, nodes in enumerate(lists):
+        own = nodes.groupBy("origin").agg(F.count(F.lit(1)).alias(f"n{k}"), F.min("cell").alias(f"c{k}"))
+        out = own if out is None else out.join(own, "origin")
+    n = F.col("n0")
+    for k in range(1, len(lists)):
+        n = n * F.col(f"n{k}")
+    return out.select("origin", n.alias("count"), F.array(*[f"c{k}" for k in range(len(lists))]).alias("first"))
+
+
 def chi_of(hits, n: int, p: float):
     return hits / F.lit(n) / (1 - p)
 
 
-def evaluate(over: DataFrame, prefixes: DataFrame, steps: DataFrame, cells: DataFrame, lags: Sequence[int], d: int, start: int, end: int, p: float) -> DataFrame:
-    """(origin, path of d nodes, hits, chi) for every prefix and every last cell; pairs that never meet have 0."""
-    o = offsets(lags, d)[-1][0]
-    n = window_length(start, end, o)
+def evaluate(over: DataFrame, lists: Sequence[DataFrame], lags: Sequence[int], start: int, end: int) -> DataFrame:
+    """(origin, path of d nodes, hits) of the tuples that meet, last nodes being all cells; prefixes that are old are passed over."""
+    o = offsets(lags, len(lists) + 1)[-1][0]
     last = over.select((F.col("t") - o).alias("tau"), F.col("cell").alias("last"))
+    steps = joint_steps(over, lists, lags, start, end).where(~F.col("old"))
     found = steps.join(last, "tau").groupBy("origin", "path", "last").agg(F.count(F.lit(1)).alias("hits"))
-    every = prefixes.crossJoin(cells.select(F.col("cell").alias("last")))  # the result itself has this size
-    hits = every.join(found, ["origin", "path", "last"], "left").select("origin", F.array_append("path", F.col("last")).alias("path"), F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
-    return hits.withColumn("chi", chi_of(F.col("hits"), n, p))
+    return found.select("origin", F.array_append("path", F.col("last")).alias("path"), "hits")
 
 
-def image_of(combos: DataFrame, n: int, p: float) -> DataFrame:
-    """Count, mean and population variance of chi by last cell, from integer sums."""
-    sums = combos.groupBy("origin", F.element_at("path", -1).alias("cell")).agg(F.count(F.lit(1)).alias("count"), F.sum("hits").alias("s"), F.sum(F.col("hits") * F.col("hits")).alias("q"))
-    return _moments(sums, n, p)
+def sums_of(hits: DataFrame) -> DataFrame:
+    """(origin, cell, s, q): sums of hits and of their squares by last cell."""
+    return hits.groupBy("origin", F.element_at("path", -1).alias("cell")).agg(F.sum("hits").alias("s"), F.sum(F.col("hits") * F.col("hits")).alias("q"))
 
 
-def _moments(sums: DataFrame, n: int, p: float) -> DataFrame:
+def image_of(sums: DataFrame, counts: DataFrame, cells: DataFrame, n: int, p: float) -> DataFrame:
+    """Count, mean and population variance of chi by origin and last cell, from integer sums; tuples that never meet count with 0."""
+    every = counts.select("origin", "count").crossJoin(cells.select("cell"))  # the image itself has this size
+    full = every.join(sums, ["origin", "cell"], "left").select("origin", "cell", "count", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("s", "q")])
     mean = F.col("s") / F.col("count") / F.lit(n) / (1 - p)
     var = (F.col("count") * F.col("q") - F.col("s") * F.col("s")) / (F.col("count") * F.col("count")) / F.pow(F.lit(n) * (1 - p), F.lit(2))
-    return sums.select("origin", "cell", "count", "s", "q", mean.alias("chi_mean"), var.alias("chi_var"))
+    return full.select("origin", "cell", "count", "s", "q", mean.alias("chi_mean"), var.alias("chi_var"))
 
 
-def best_of(combos: DataFrame) -> DataFrame:
-    """The tuple with the most hits of each origin; ties go to the first in product order."""
-    first = F.min(F.struct((-F.col("hits")).alias("h"), F.col("path"), F.col("hits"), F.col("chi"))).alias("b")
-    return combos.groupBy("origin").agg(first).select("origin", "b.path", "b.hits", "b.chi")
+def best_of(hits: DataFrame, counts: DataFrame, cells: DataFrame, n: int, p: float) -> DataFrame:
+    """The tuple with the most hits of each origin; ties, and origins whose tuples never meet, go to the first in product order."""
+    most = hits.groupBy("origin").agg(F.min(F.struct((-F.col("hits")).alias("h"), "path")).alias("b")).select("origin", "b.path", (-F.col("b.h")).alias("hits"))
+    none = counts.crossJoin(F.broadcast(cells.agg(F.min("cell").alias("cell"))))  # one row
+    out = none.join(most, "origin", "left").select("origin", F.coalesce("path", F.array_append("first", F.col("cell"))).alias("path"), F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
+    return out.withColumn("chi", chi_of(F.col("hits"), n, p))
 
 
 def peak_cells(image: DataFrame) -> DataFrame:
@@ -100,8 +130,17 @@ def peak_cells(image: DataFrame) -> DataFrame:
     return image.where("chi_mean is not null").groupBy("origin").agg(F.min(F.struct((-F.col("chi_mean")).alias("m"), F.col("cell"))).alias("b")).select("origin", F.col("b.cell").alias("cell"))
 
 
-def _sampled(nodes: DataFrame, rate: float, seed: int) -> DataFrame:
-    return hash_prefix(nodes, rate, ["cell"], ["origin"], seed)
+def _sampled(nodes: DataFrame, rate: float, seed: int, before: float = 0.0, order: Column | None = None) -> DataFrame:
+    """(origin, cell, old): the first floor(n * rate) nodes of each origin in a hashed order; old: among the first floor(n * before) too."""
+    if rate < 0:
+        raise ValueError("a sampling rate is not negative")
+    if rate >= 1 and (before <= 0 or before >= 1):
+        return nodes.select("origin", "cell", F.lit(before >= 1).alias("old"))
+    w = Window.partitionBy("origin")
+    first = order if order is not None else F.xxhash64("cell", F.lit(seed))
+    placed = nodes.select("origin", "cell", F.count(F.lit(1)).over(w).alias("__n"), F.row_number().over(w.orderBy(first, "cell")).alias("__k"))
+    among = lambda r: F.col("__k") <= F.floor(F.col("__n") * min(r, 1.0))
+    return placed.where(among(rate)).select("origin", "cell", among(before).alias("old"))
 
 
 def prepare(ecdf: DataFrame, p: float = 0.95, keep: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -131,19 +170,21 @@ def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_m
     for d in range(3, d_max + 1):
         n = window_length(start, end, sum(lags[: d - 1]))
         own = [_sampled(x, rates[k], seed) for k, x in enumerate(lists)]
-        combos = hold(evaluate(over, tuples(own), joint_steps(over, own, lags, start, end), cells, lags, d, start, end, p), f"combos-{d}")
-        image = hold(image_of(combos, n, p), f"image-{d}")
-        out.steps[d] = Step(d, n, combos, image, best_of(combos))
+        counts = hold(prefix_counts(own), f"prefixes-{d}")
+        hits = hold(evaluate(over, own, lags, start, end), f"hits-{d}")
+        image = hold(image_of(sums_of(hits), counts, cells, n, p), f"image-{d}")
+        out.steps[d] = Step(d, n, p, own, cells, hits, image, best_of(hits, counts, cells, n, p))
         lists.append(image_selection(image, percent, "chi_mean", ["origin"]).select("origin", "cell"))
     return out
 
 
-def explore_regions(ecdf: DataFrame, members: DataFrame, centroids: DataFrame, d_max: int, lags: Sequence[int], start: int, end: int, rates: Sequence[float], p: float = 0.95, percent: float = 50.0, tolerance: float = 0.01, delta: float = 0.01, max_iter: int = 100, seed: int = 7) -> Exploration:
+def explore_regions(ecdf: DataFrame, members: DataFrame, centroids: DataFrame, d_max: int, lags: Sequence[int], start: int, end: int, rates: Sequence[float], p: float = 0.95, percent: float = 50.0, tolerance: float = 0.01, delta: float = 0.01, max_iter: int = 100, seed: int = 7, order: Column | None = None) -> Exploration:
     """Chains of clusters with growing samples, until the mean image moves by at most ``tolerance``.
 
     members: origin (cluster), cell.  centroids: origin, cell, weight.  In each round of a d all lists are sampled with
-    rates that have grown by ``delta``; only tuples not seen before are evaluated and added to running integer sums.
-    A d ends with the tolerance met for every cluster, no new tuple, or ``max_iter`` rounds; rates go on growing over d.
+    rates that have grown by ``delta``, in one hashed order (or ``order``), so samples grow and only tuples with a node that is new
+    are joined; their hits are added to running integer sums.  A d ends with the tolerance met for every cluster, no
+    new tuple, or ``max_iter`` rounds; rates go on growing over d.
     """
     check_lags(list(lags), d_max)
     check_percent(percent)
@@ -154,33 +195,36 @@ def explore_regions(ecdf: DataFrame, members: DataFrame, centroids: DataFrame, d
     now, out = list(rates), Exploration()
     for d in range(3, d_max + 1):
         n = window_length(start, end, sum(lags[: d - 1]))
-        seen = sums = image = combos = None
+        before, had, image, sums, found, counts, own = [0.0] * len(lists), 0, None, None, [], None, []
         for k in range(max_iter):
-            prefixes = tuples([_sampled(x, now[m], seed) for m, x in enumerate(lists)])
-            fresh = prefixes if seen is None else prefixes.join(seen, ["origin", "path"], "left_anti")
-            fresh = stored(fresh, "fresh")
-            if not fresh.limit(1).count():
+            tried = [_sampled(x, now[m], seed, before[m], order) for m, x in enumerate(lists)]
+            fresh = stored(prefix_counts(tried), "prefixes")
+            have = fresh.agg(F.sum("count")).first()[0] or 0
+            if have == had:
                 break
-            steps = joint_steps(over, lists, lags, start, end).join(fresh, ["origin", "path"], "left_semi")
-            new = stored(evaluate(over, fresh, steps, cells, lags, d, start, end, p), "new")
-            added = new.groupBy("origin", F.element_at("path", -1).alias("cell")).agg(F.count(F.lit(1)).alias("count"), F.sum("hits").alias("s"), F.sum(F.col("hits") * F.col("hits")).alias("q"))
-            both = added if sums is None else sums.unionByName(added)
-            sums = stored(both.groupBy("origin", "cell").agg(*[F.sum(c).alias(c) for c in ("count", "s", "q")]), "sums")
-            seen = fresh if seen is None else stored(seen.unionByName(fresh), "seen")
-            combos = new if combos is None else combos.unionByName(new)
-            before, image = image, stored(_moments(sums, n, p), "image")
+            own, counts, had = tried, fresh, have
+            found.append(stored(evaluate(over, own, lags, start, end), "hits"))
+            added = sums_of(found[-1])
+            grown = stored((added if sums is None else sums.unionByName(added)).groupBy("origin", "cell").agg(*[F.sum(c).alias(c) for c in ("s", "q")]), "sums")
+            was, image = image, stored(image_of(grown, counts, cells, n, p), "image")
             error = float("inf")
-            if before is not None:
-                moved = image.join(before.select("origin", "cell", F.col("chi_mean").alias("was")), ["origin", "cell"])
+            if was is not None:
+                moved = image.join(was.select("origin", "cell", F.col("chi_mean").alias("was")), ["origin", "cell"])
                 error = moved.groupBy("origin").agg(F.avg(F.abs(F.col("chi_mean") - F.col("was"))).alias("e")).agg(F.max("e")).first()[0]
                 error = float("inf") if error is None else error
-            out.history.append((d, k, error))
+            discard(sums)
+            discard(was)
+            sums = grown
+            out.history.append((d, k, list(now[: len(lists)]), error))
             if error <= tolerance:
                 break
-            now = [r + delta for r in now]
+            before, now = now[: len(lists)], [r + delta for r in now]
         if image is None:
             break
-        out.steps[d] = Step(d, n, combos, image, best_of(combos))
+        hits = found[0]
+        for more in found[1:]:
+            hits = hits.unionByName(more)
+        out.steps[d] = Step(d, n, p, own, cells, hits, image, best_of(hits, counts, cells, n, p))
         lists.append(image_selection(image, percent, "chi_mean", ["origin"]).select("origin", "cell"))
     return out
 

@@ -55,15 +55,51 @@ def lag_graph(ecdf: DataFrame, cells: DataFrame, lag: int, start: int, end: int,
     return out.select("i", "j", hits_.cast("bigint").alias("hits"), F.lit(n).cast("bigint").alias("n"), chi.alias("chi"))
 
 
+#: Cells of a block of the dense graph: two blocks of series are compared in one task.
+BLOCK_CELLS = 128
+
+
 def madogram_graph(ecdf: DataFrame, lag: int, start: int, end: int, rows: DataFrame | None = None) -> DataFrame:
-    """(i, j, theta, chi = 2 - min(theta, 2)): the dense counterpart, over all aligned steps."""
+    """(i, j, theta, chi = 2 - min(theta, 2)): the dense counterpart, over all aligned steps known on both sides.
+
+    Series become arrays, dealt to blocks of BLOCK_CELLS cells; a task holds two blocks, and no row of a pair and step is ever made.
+    """
+    import numpy as np
+    import pandas as pd
+
     check_lag(lag)
-    window_length(start, end, lag)
-    late = ecdf.where((F.col("t") >= start + lag) & (F.col("t") < end)).select((F.col("t") - lag).alias("tau"), F.col("cell").alias("i"), F.col("u").alias("ui"))
+    n = window_length(start, end, lag)
+    late = ecdf.where((F.col("t") >= start + lag) & (F.col("t") < end)).select((F.col("t") - lag - start).alias("x"), "cell", "u")
     if rows is not None:
-        late = late.join(rows.select(F.col("cell").alias("i")), "i", "left_semi")
-    early = ecdf.where((F.col("t") >= start) & (F.col("t") < end - lag)).select(F.col("t").alias("tau"), F.col("cell").alias("j"), F.col("u").alias("uj"))
-    pairs = late.join(early, "tau").groupBy("i", "j").agg(F.avg(F.abs(F.col("ui") - F.col("uj"))).alias("m"))
+        late = late.join(rows.select("cell"), "cell", "left_semi")
+    early = ecdf.where((F.col("t") >= start) & (F.col("t") < end - lag)).select((F.col("t") - start).alias("x"), "cell", "u")
+
+    def series(part: DataFrame, own: str, other: str, blocks: int) -> DataFrame:
+        known = part.where("u is not null").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("x", "u"))).alias("s"))
+        dealt = known.select("cell", F.col("s.x").alias("x"), F.col("s.u").alias("u"), F.pmod(F.xxhash64("cell"), F.lit(blocks)).alias(own))
+        return dealt.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    cells = ecdf.select("cell").distinct().count()
+    blocks = -(-cells // BLOCK_CELLS) or 1
+
+    def matrix(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.full((len(pdf), n), np.nan)
+        for k, (x, u) in enumerate(zip(pdf["x"], pdf["u"], strict=True)):
+            out[k, np.asarray(x, np.int64)] = u
+        return out
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        left, right, out = matrix(a), matrix(b), [pd.DataFrame({"i": [], "j": [], "m": []})]
+        for k, i in enumerate(a["cell"]):
+            apart = np.abs(right - left[k])
+            there = np.isfinite(apart)
+            count = there.sum(axis=1)
+            out.append(pd.DataFrame({"i": i, "j": b["cell"].to_numpy(), "m": np.where(there, apart, 0).sum(axis=1) / np.maximum(count, 1)})[count > 0])
+        return pd.concat(out)
+
+    both = series(late, "p", "q", blocks).withColumn("side", F.lit(0)).unionByName(series(early, "q", "p", blocks).withColumn("side", F.lit(1)))
+    pairs = both.groupBy("p", "q").applyInPandas(compared, "i long, j long, m double")
     return pairs.select("i", "j", theta(F.col("m")).alias("theta")).withColumn("chi", 2 - F.least("theta", F.lit(2.0)))
 
 

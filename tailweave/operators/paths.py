@@ -26,11 +26,11 @@ def image_selection(image: DataFrame, percent: float, value: str = "chi_mean", b
     """
     check_percent(percent)
     known = image.where(F.col(value).isNotNull())
-    limit = F.percentile(value, F.lit(percent / 100)).alias("__limit")
+    limit = F.percentile(value, F.lit(percent / 100))
     if by:
-        limited = known.join(known.groupBy(*by).agg(limit), by)
+        limited = known.withColumn("__limit", limit.over(Window.partitionBy(*by)))  # one shuffle by image
     else:
-        limited = known.crossJoin(F.broadcast(known.agg(limit)))  # one row
+        limited = known.crossJoin(F.broadcast(known.agg(limit.alias("__limit"))))  # one row
     return limited.where(F.col(value) > F.col("__limit")).drop("__limit")
 
 

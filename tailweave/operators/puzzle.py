@@ -19,7 +19,7 @@ def feature_block(paths: DataFrame, cube: DataFrame, lags: Sequence[int], start:
     window_length(start, end, sum(lags))
     nodes = paths.where(F.size("path") == d).select(F.col("origin").alias("cell"), F.posexplode("path").alias("m", "node"))
     back = F.get(F.array(*[F.lit(sum(lags[:m])) for m in range(d)]), F.col("m"))
-    values = cube.select(F.col("cell").alias("node"), F.col("t").alias("at"), F.col(value).alias("x"))
+    values = cube.where((F.col("t") >= start) & (F.col("t") < end)).select(F.col("cell").alias("node"), F.col("t").alias("at"), F.col(value).alias("x"))
     out = nodes.join(values, "node").withColumn("t", F.col("at") + back)
     return out.where((F.col("t") >= start + sum(lags)) & (F.col("t") < end)).select("t", "cell", "m", "x")
 

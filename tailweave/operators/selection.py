@@ -43,6 +43,24 @@ def batched(df: DataFrame, size: int, order: str, by: Sequence[str] = ()) -> Dat
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
 
 
+def numbered(df: DataFrame, order: Column, key: Sequence[str], bits: int = 10) -> DataFrame:
+    """df with ``__row``: 0, 1, ... by ``order`` (bigint, spread over its ``bits`` high bits, as hashes are), then ``key``.
+
+    Rows are numbered within ranges of the order, whose totals (2 ** bits rows) carry the numbers before.
+    """
+    cut = df.withColumn("__order", order.cast("bigint")).withColumn("__range", F.shiftright("__order", 64 - bits))
+    totals = cut.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    base = totals.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__base"))  # 2 ** bits rows
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy("__order", *key)) - 1
+    return cut.withColumn("__k", inside).join(F.broadcast(base), "__range").withColumn("__row", F.col("__base") + F.col("__k")).drop("__order", "__range", "__k", "__base")
+
+
+def shuffled_batches(df: DataFrame, size: int, key: Sequence[str], seed: int = 7, order: Column | None = None) -> DataFrame:
+    """df with ``batch``: runs of ``size`` rows in a hashed order (or ``order``) that reruns keep."""
+    rows = numbered(df, order if order is not None else F.xxhash64(F.lit(seed), *key), key)
+    return rows.withColumn("batch", F.floor(F.col("__row") / size)).drop("__row")
+
+
 def dataset(df: DataFrame, training: bool, size: int = 32, seed: int = 7):
     """Iterator of row batches, shuffled by a hash for training; the driver holds two partitions at most."""
     rows = df.orderBy(F.xxhash64(F.lit(seed), *df.columns)) if training else df

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import ecdf_column
+from ..functions.ranks import ecdf_column, joint_ranks, percentiles
 from ..schema import check_share
 
 
@@ -40,7 +40,10 @@ def chi_of_raw(df: DataFrame, columns: Sequence[str], p: float, least: float | N
     if least is not None:
         for c in columns:
             kept = kept.where(F.col(c) >= least)
-    limits = kept.agg(*[F.percentile(c, F.lit(p)).alias(f"__{k}") for k, c in enumerate(columns)])
+    limits = None
+    for k, c in enumerate(columns):
+        own = percentiles(kept, c, [p]).select(F.col("p0").alias(f"__{k}"))
+        limits = own if limits is None else limits.crossJoin(own)  # single rows
     hit = F.lit(True)
     for k, c in enumerate(columns):
         hit = hit & (F.col(c) >= F.col(f"__{k}"))
@@ -56,11 +59,11 @@ def theta(mean_difference: Column) -> Column:
 
 
 def madogram(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """theta of two raw columns over the rows where both are known; ``by``: one for each group, ranked by itself.
-
-    Without groups all rows are ranked together, which is a sort of one partition: meant for single series.
-    """
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"), F.lit(0).alias("__g"))
-    keys = list(by) or ["__g"]
-    ranked = both.select(*keys, ecdf_column("x", keys).alias("fx"), ecdf_column("y", keys).alias("fy"))
+    """theta of two raw columns over the rows where both are known; ``by``: one for each group, ranked by itself."""
+    if not by:
+        pairs = joint_ranks(df, x, y)
+        apart = F.sum(F.abs(F.col("rx") - F.col("ry")) * F.col("n")) / F.max("total") / (F.max("total") + 1)
+        return pairs.agg(theta(apart).alias("theta"))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
+    ranked = both.select(*by, ecdf_column("x", by).alias("fx"), ecdf_column("y", by).alias("fy"))
     return ranked.groupBy(*by).agg(theta(F.avg(F.abs(F.col("fx") - F.col("fy")))).alias("theta"))

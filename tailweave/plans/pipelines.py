@@ -15,6 +15,7 @@ from ..functions.ranks import ecdf
 from ..operators import explore, graph, paths, puzzle
 from ..operators.lags import sequence_pairs
 from ..operators.selection import positional_split
+from ..schema import require
 from ..sources.cubes import read_cube, read_folder
 from ..sources.sinks import append_runs
 from ..storage import stored
@@ -31,6 +32,7 @@ class Model:
     flow: DataFrame
     found: explore.Exploration
     chains: DataFrame  # origin, path; the own cell repeated where nothing was found
+    settings: dict  # d, rates, p, q, percent, start, end
 
 
 def study_window(dates: DataFrame, first: str, last: str) -> tuple[int, int]:
@@ -47,8 +49,11 @@ def with_dates(table: DataFrame, dates: DataFrame) -> DataFrame:
     return table.join(dates.select("t", "date"), "t")
 
 
-def build_models(cube: DataFrame, width: int, lag_lists: Sequence[Sequence[int]], start: int, end: int, d: int = 3, p: float = 0.95, q: float = 0.9, percent: float = 50.0, rates: Sequence[float] | None = None, land: DataFrame | None = None, keep: bool = True) -> dict[str, Model]:
-    """One model a lag list; lag lists with one first lag share their graph, and all share the ranks."""
+def build_models(cube: DataFrame, width: int, lag_lists: Sequence[Sequence[int]], start: int, end: int, d: int = 3, p: float = 0.95, q: float = 0.9, percent: float = 50.0, rates: Sequence[float] | None = None, land: DataFrame | None = None, keep: bool = True, salt: int = 1) -> dict[str, Model]:
+    """One model a lag list; lag lists with one first lag share their graph, and all share the ranks.
+
+    salt: over so many tasks each step's pairs of exceedances are dealt, where storms make steps uneven.
+    """
     hold = stored if keep else (lambda df, _: df)
     ranks = hold(ecdf(cube), "ecdf")
     prepared = explore.prepare(ranks, p, keep)
@@ -57,26 +62,44 @@ def build_models(cube: DataFrame, width: int, lag_lists: Sequence[Sequence[int]]
     edges, out = {}, {}
     for lags in lag_lists:
         if lags[0] not in edges:
-            edges[lags[0]] = hold(graph.lag_graph(ranks, cells, lags[0], start, end, p, rows), "edges")
+            edges[lags[0]] = hold(graph.lag_graph(ranks, cells, lags[0], start, end, p, rows, salt=salt), "edges")
         own = edges[lags[0]]
         top = paths.top_neighbors(own, q)
         found = explore.explore_stations(ranks, own, rows, d, lags, start, end, p, percent, rates, keep=keep, prepared=prepared)
         best = explore.best_or_self(rows, found.steps[d].best, d)
-        out["_".join(map(str, lags))] = Model(list(lags), ranks, own, top, paths.flow_vectors(top, width), found, best)
+        settings = {"d": d, "rates": [float(x) for x in rates or [1.0] * (d - 1)], "p": p, "q": q, "percent": float(percent), "start": start, "end": end}
+        out["_".join(map(str, lags))] = Model(list(lags), ranks, own, top, paths.flow_vectors(top, width), found, best, settings)
     return out
 
 
-def save_models(models: dict[str, Model], folder: str) -> None:
-    """Relations of all models, partitioned by run; a run that is saved again replaces itself only."""
+#: Relations of a saved model; points only where a grid was given.
+SAVED = ("edges", "top", "flow", "best", "image", "chains", "runs")
+
+
+def save_models(models: dict[str, Model], folder: str, grid: DataFrame | None = None) -> None:
+    """Relations of all models, partitioned by run; a run that is saved again replaces itself only.
+
+    runs: the settings (lags, d, rates, p, q, percent, start, end); image: of every d; points, with a grid: the chains' coordinates.
+    """
     for key, m in models.items():
-        best, image = m.found.steps[max(m.found.steps)].best, m.found.steps[max(m.found.steps)].image
-        for name, df in {"edges": m.edges, "top": m.top, "flow": m.flow, "best": best, "image": image, "chains": m.chains}.items():
+        images = None
+        for d, step in sorted(m.found.steps.items()):
+            own = step.image.withColumn("d", F.lit(d))
+            images = own if images is None else images.unionByName(own)
+        kinds = "lags array<int>, d int, rates array<double>, p double, q double, percent double, start long, end long"
+        x = m.settings
+        runs = m.edges.sparkSession.createDataFrame([(m.lags, x["d"], x["rates"], x["p"], x["q"], x["percent"], x["start"], x["end"])], kinds)
+        relations = {"edges": m.edges, "top": m.top, "flow": m.flow, "best": m.found.steps[max(m.found.steps)].best, "image": images, "chains": m.chains, "runs": runs}
+        if grid is not None:
+            nodes = m.chains.select("origin", F.posexplode("path").alias("k", "cell"))
+            relations["points"] = nodes.join(grid.select("cell", "lat", "lon"), "cell").select("origin", "k", "cell", "lat", "lon")
+        for name, df in relations.items():
             append_runs(df.withColumn("run_name", F.lit(key)), f"{folder}/{name}")
 
 
 def load_relations(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The saved relations, each with its run_name."""
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("edges", "top", "flow", "best", "image", "chains")}
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in SAVED}
 
 
 def load_merged(spark: SparkSession, folders: Sequence[str], relation: str = "chains") -> DataFrame:
@@ -96,8 +119,9 @@ def load_merged(spark: SparkSession, folders: Sequence[str], relation: str = "ch
 
 
 def build_folder(spark: SparkSession, folder: str, width: int, lag_lists: Sequence[Sequence[int]], out: str, suffix: str = ".parquet", **options) -> list[str]:
-    """Models of every cube in a folder, each saved under its name; returns the names."""
-    files = sorted({r[0] for r in read_folder(spark, folder, suffix).select("source_file").distinct().collect()})  # one row a file
+    """Models of every cube in a folder, each saved under its name; returns the names.  A cube is a file, or a folder of files, with the suffix."""
+    found = read_folder(spark, folder, suffix).select("source_file").distinct().collect()  # one row a file
+    files = sorted({r[0].split(suffix + "/")[0] + (suffix if suffix + "/" in r[0] else "") for r in found})
     names = []
     for file in files:
         name = file.rsplit("/", 1)[-1].removesuffix(suffix)
@@ -132,7 +156,7 @@ def linear_baseline(table: DataFrame, share: float = 0.8) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import LinearRegression
 
-    data = positional_split(stored(table, "puzzle"), share, "t").withColumn("features", array_to_vector("x"))
+    data = positional_split(stored(require(table, "puzzle"), "puzzle"), share, "t").withColumn("features", array_to_vector("x"))
     model = LinearRegression(labelCol="y", predictionCol="y_pred").fit(data.where("part = 'train'"))
     return model.transform(data).select("cell", "t", "part", F.col("y").alias("y_true"), "y_pred")
 

@@ -26,14 +26,30 @@ def read_nested(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_hdf5_cube(spark: SparkSession, path: str, layout: str = "raw") -> DataFrame:
-    """Adapter for HDF5 cubes, where h5py is installed: one task a time block reads its own slice."""
+#: Places of the datasets in the two layouts of HDF5 cubes.
+HDF5_NAMES = {
+    "raw": {"data": "root/data", "lat": "root/lat", "lon": "root/lon", "time": "root/time"},
+    "real": {"data": "Data", "lat": "lat", "lon": "lon", "time": "date"},
+}
+
+
+def _h5py():
     try:
         import h5py
     except ImportError as e:
-        raise NotImplementedError("h5py is not installed; convert the cube to parquet (t, cell, value)") from e
-    with h5py.File(path) as f:
-        steps = (f["root/data"] if layout == "raw" else f["Data"]).shape[0]
+        raise NotImplementedError("h5py is not installed; convert the file to parquet (t, cell, value)") from e
+    return h5py
+
+
+def _as_text(x) -> str:
+    return x.decode() if isinstance(x, bytes) else str(x)
+
+
+def read_hdf5_cube(spark: SparkSession, path: str, layout: str = "raw") -> DataFrame:
+    """Adapter for HDF5 cubes, where h5py is installed: (t, cell, value, date); each task reads the steps it is given.  Non-finite values are NULL."""
+    names = HDF5_NAMES[layout]
+    with _h5py().File(path) as f:
+        steps = f[names["data"]].shape[0]
 
     def block(batches):
         import h5py
@@ -41,13 +57,47 @@ def read_hdf5_cube(spark: SparkSession, path: str, layout: str = "raw") -> DataF
         import pandas as pd
 
         with h5py.File(path) as f:
-            data = f["root/data"] if layout == "raw" else f["Data"]
+            data, time = f[names["data"]], f[names["time"]]
             for batch in batches:
                 for t in batch["id"]:
                     flat = np.asarray(data[t], float).ravel()
-                    yield pd.DataFrame({"t": t, "cell": np.arange(flat.size), "value": flat})
+                    yield pd.DataFrame({"t": t, "cell": np.arange(flat.size), "value": flat, "date": _as_text(time[t])})
+
+    return spark.range(steps).mapInPandas(block, "t long, cell long, value double, date string").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+
+
+def read_hdf5_grid(spark: SparkSession, path: str, layout: str = "raw") -> DataFrame:
+    """grid(cell, i, j, lat, lon, is_land) from the file's axes, which are as long as the grid is high and wide."""
+    names = HDF5_NAMES[layout]
+    with _h5py().File(path) as f:
+        lat, lon = ([float(x) for x in f[names[k]][:]] for k in ("lat", "lon"))
+    rows = spark.createDataFrame(list(enumerate(lat)), "i long, lat double").crossJoin(F.broadcast(spark.createDataFrame(list(enumerate(lon)), "j long, lon double")))  # axes
+    return rows.select((F.col("i") * len(lon) + F.col("j")).alias("cell"), "i", "j", "lat", "lon", F.lit(True).alias("is_land"))
+
+
+def read_hdf5_puzzle(spark: SparkSession, path: str) -> DataFrame:
+    """puzzle(date, cell, x, y) of a file with X (N, [1,] H, W, C), Y (N, [1,] H, W[, 1]) and date."""
+    with _h5py().File(path) as f:
+        n = f["X"].shape[0]
+
+    def block(batches):
+        import h5py
+        import numpy as np
+        import pandas as pd
+
+        with h5py.File(path) as f:
+            for batch in batches:
+                for k in batch["id"]:
+                    x, y = np.asarray(f["X"][k], float), np.asarray(f["Y"][k], float).ravel()
+                    x = x.reshape(y.size, -1)
+                    yield pd.DataFrame({"date": _as_text(f["date"][k]), "cell": np.arange(y.size), "x": list(x), "y": y})
+
+    return spark.range(n).mapInPandas(block, "date string, cell long, x array<double>, y double")
+
 
-    return spark.range(steps).mapInPandas(block, "t long, cell long, value double").withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
+def read_puzzle(spark: SparkSession, path: str) -> DataFrame:
+    """puzzle(t or date, cell, x, y) as the sink wrote it."""
+    return spark.read.parquet(path)
 
 
 def grid(spark: SparkSession, height: int, width: int, lat0: float = 10.0, lon0: float = 100.0, step: float = 1.0) -> DataFrame:
@@ -58,10 +108,10 @@ def grid(spark: SparkSession, height: int, width: int, lat0: float = 10.0, lon0:
 
 
 def dense(observed: DataFrame, steps: int, cells: int, value: str = "value") -> DataFrame:
-    """The full (t, cell) spine with absent values 0.  The spine is generated, not read."""
+    """The full (t, cell) spine with absent values 0, and whatever was observed outside it.  The spine is generated, not read."""
     spark = observed.sparkSession
     spine = spark.range(steps * cells).select(F.expr(f"id div {cells}").alias("t"), (F.col("id") % cells).alias("cell"))
-    return spine.join(observed, ["t", "cell"], "left").select("t", "cell", F.coalesce(value, F.lit(0)).alias(value))
+    return spine.join(observed, ["t", "cell"], "full").select("t", "cell", F.coalesce(value, F.lit(0)).alias(value))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,7 +137,7 @@ def weekly_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered quantity by week and supplier nation: rows are regions."""
     items = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity")
     suppliers = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    t = F.expr("cast(datediff(to_date(l_shipdate), date'1995-01-01') div 7 as bigint)")
+    t = F.expr("cast(floor(datediff(to_date(l_shipdate), date'1995-01-01') / 7) as bigint)")
     cell = F.expr("cast((s_nationkey % 5) * 5 + s_nationkey div 5 as bigint)")
     joined = items.join(suppliers, items["l_suppkey"] == suppliers["s_suppkey"])
     sums = joined.select(t.alias("t"), cell.alias("cell"), F.col("l_quantity").cast("bigint").alias("value")).groupBy("t", "cell").agg(F.sum("value").alias("value"))

@@ -491,3 +491,107 @@ def test_plan_filters_before_joining(spark, small):
     plan = catalog.queries()["lag_graph_weekly"](spark, small)._jdf.queryExecution().toString()
     scans = [line for line in plan.splitlines() if "ReadSchema" in line and "lineitem" in line]
     assert scans and all("l_comment" not in s and "l_extendedprice" not in s for s in scans)
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 1024])
+def test_long_series_are_ranked_by_ranges(spark, monkeypatch, ranges):
+    from tailweave.functions import ranks
+
+    monkeypatch.setattr(ranks, "RANGES", ranges)
+    rng = np.random.default_rng(ranges)
+    x = np.concatenate([np.zeros(300), rng.integers(0, 40, 200), rng.standard_normal(150) * 1e6])
+    y = np.round(x / 7) + rng.integers(0, 3, len(x))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0), (float("nan"), 2.0)], "x double, y double")
+    placed = {r["value"]: (r["n"], r["below"]) for r in ranks.placed_values(df, "x").collect()}
+    assert placed == {v: (int((x == v).sum()), int((x < v).sum())) for v in set(x.tolist())}
+    shares = [0, 0.02, 0.5, 0.95, 1]
+    assert list(ranks.percentiles(df, "x", shares).first()) == pytest.approx(np.quantile(x, shares).tolist())
+    assert ranks.percentiles(df.limit(0), "x", [0.5]).first()[0] is None
+
+    def average(v):
+        return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+
+    known = df.where("x is not null and not isnan(x)").withColumnRenamed("x", "y_true").withColumnRenamed("y", "y_pred")
+    assert metrics.spearman(known).first()[0] == pytest.approx(np.corrcoef(average(x), average(y))[0, 1])
+    apart = np.abs(average(x) - average(y)).mean() / (len(x) + 1)
+    assert tail.madogram(known, "y_true", "y_pred").first()[0] == pytest.approx((1 + apart) / (1 - apart))
+
+
+@pytest.mark.parametrize("block", [1, 2, 128])
+def test_madogram_graph_by_blocks(spark, rain, ranked, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK_CELLS", block)
+    u = ecdf(cube_of(spark, rain)).withColumn("u", F.when((F.col("t") % 17 != 3) | (F.col("cell") != 2), F.col("u")))
+    got = {(r["i"], r["j"]): r["theta"] for r in graph.madogram_graph(u, 2, 5, 140).collect()}
+    gaps = np.array(ranked, float)
+    for i in range(6):
+        for j in range(6):
+            d = [abs(gaps[t + 2, i] - gaps[t, j]) for t in range(5, 138) if not (i == 2 and (t + 2) % 17 == 3) and not (j == 2 and t % 17 == 3)]
+            nu = 0.5 * np.mean(d)
+            assert got[i, j] == pytest.approx((1 + 2 * nu) / (1 - 2 * nu))
+
+
+def test_kmeans_leaves_out_what_is_not_finite(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "BLOCK", 3)
+    monkeypatch.setattr(cluster, "PIECE", 2)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal((15, 5)) + 9 * k for k in range(3)])
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(90, [float("nan")] * 5), (91, [1.0, None, 1.0, 1.0, 1.0]), (92, [float("inf")] * 5)]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    found = cluster.kmeans(df, 3, restarts=5)
+    got = {r["id"]: r["label"] for r in found.collect()}
+    assert got == {k: k // 15 for k in range(45)}
+    again = {r["id"]: r["label"] for r in cluster.kmeans(df.repartition(7), 3, restarts=5).collect()}
+    assert again == got
+    label = np.arange(45) // 15
+    dist = np.linalg.norm(x[:, None] - x[None], axis=2)
+    sil = []
+    for k in range(45):
+        a = dist[k, (label == label[k]) & (np.arange(45) != k)].mean()
+        b = min(dist[k, label == c].mean() for c in range(3) if c != label[k])
+        sil.append((b - a) / max(a, b))
+    assert cluster.silhouette(found).first()[0] == pytest.approx(np.mean(sil))
+    assert cluster.silhouette(found, sample=30).first()[0] == pytest.approx(np.mean(sil), abs=0.1)
+    assert cluster.silhouette(found.withColumn("label", F.lit(0))).first()[0] == 0
+    with pytest.raises(ValueError):
+        cluster.kmeans(df, 46)
+
+
+def test_axes_of_hdf5_cubes(spark, monkeypatch):
+    import sys
+    import types
+
+    class File(dict):
+        def __init__(self, path):
+            super().__init__(lat=np.array([10.0, 9.0]), lon=np.array([100.0, 101.0, 102.0]))
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            pass
+
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=File))
+    got = [tuple(r) for r in cubes.read_hdf5_grid(spark, "x.h5", "real").orderBy("cell").collect()]
+    assert got == [(3 * i + j, i, j, 10.0 - i, 100.0 + j, True) for i in range(2) for j in range(3)]
+
+
+def test_observations_outside_the_spine_stay(spark):
+    seen = spark.createDataFrame([(0, 0, 5), (9, 1, 7)], "t long, cell long, value long")
+    assert sorted(map(tuple, cubes.dense(seen, 2, 2).collect())) == [(0, 0, 5), (0, 1, 0), (1, 0, 0), (1, 1, 0), (9, 1, 7)]
+
+
+def test_shuffled_batches_are_one_order(spark):
+    df = spark.range(500).withColumnRenamed("id", "k")
+    one, two = ({r["k"]: r["batch"] for r in selection.shuffled_batches(df.repartition(n), 32, ["k"]).collect()} for n in (1, 7))
+    assert one == two and sorted(one.values()) == [k // 32 for k in range(500)] and [one[k] for k in range(500)] != sorted(one.values())
+
+
+def test_linear_baseline_like_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 3))
+    y = x @ [2.0, -1.0, 0.5] + 3 + rng.standard_normal(40) * 0.1
+    df = spark.createDataFrame([(k, 0, x[k].tolist(), float(y[k])) for k in range(40)], "t long, cell long, x array<double>, y double")
+    got = {r["t"]: (r["part"], r["y_pred"]) for r in pipelines.linear_baseline(df).collect()}
+    a = np.column_stack([x, np.ones(40)])
+    w = np.linalg.lstsq(a[:32], y[:32], rcond=None)[0]
+    assert all(got[k] == ("train" if k < 32 else "validation", pytest.approx(float(a[k] @ w), abs=1e-6)) for k in range(40))

@@ -30,3 +30,15 @@ def test_nothing_else_imports_the_subpackage():
     for f in (REPO / "tailweave").rglob("*.py"):
         if "llm" not in f.parts:
             assert "llm" not in f.read_text()
+
+
+def test_a_broken_import_is_not_excused(tmp_path):
+    """Only missing files switch the training-text queries off; an error inside them is one."""
+    shutil.copytree(REPO / "tailweave", tmp_path / "tailweave", ignore=shutil.ignore_patterns("__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if not (REPO / name).exists() or not (tmp_path / "tailweave" / "llm").exists():
+            return
+        shutil.copy(REPO / name, tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import there_is_no_such_module\n")
+    done = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode and "there_is_no_such_module" in done.stderr

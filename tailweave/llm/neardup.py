@@ -34,7 +34,7 @@ WIDTH, BANDS, ROWS = 5, 24, 6
 PERMUTATIONS = BANDS * ROWS // 2
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-BLOCK, BLOCK_SHINGLES = 256, 250_000
+BLOCK, BLOCK_SHINGLES = 128, 250_000
 #: Pairs in crowded blocks are confirmed on full sets if their signatures agree in this share (5 deviations below PERCENT).
 LIKELY = 0.70
 

@@ -25,6 +25,7 @@ from .common import marked_ids, stored, unused
 CONTEXT, DISCLOSED, SUPPORT = 60, 0.9, 3
 #: Up to so many terms are broadcast; more are joined by key.
 BROADCAST_TERMS = 100_000
+HOT_TERMS = 50_000
 TERM = r"\p{L}{3,}+"
 SCAN, CUT_BITS = 128, 10
 CUT = 1 << CUT_BITS
@@ -175,14 +176,19 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     n_te = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     n_e = mentions.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     # documents that hold t near any entity: never more than n(t), so terms that fail with it fail with n(t) too
-    n_near = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    n_near = stored(near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near")), "pii-near-counts")
 
     def reveals(n_t: str) -> Column:
         """1 - log p(e|t) / log p(e) >= DISCLOSED; an entity of all documents says nothing."""
         more = F.when(F.col("n_te") < SUPPORT, 1).otherwise(0)
         return (F.col("n_e") < n_docs) & (F.log(F.col("n_te") / (F.greatest(n_t, "n_te") + more)) >= (1 - DISCLOSED) * F.log(F.col("n_e") / F.lit(float(n_docs))))
 
-    pairs = stored(n_te.join(n_e, "entity").join(n_near, "term").where(reveals("n_near")), "pii-pairs")
+    # terms near very many entities meet their count by a broadcast of at most HOT_TERMS rows
+    hot = F.col("n_near") > max(256, (n_near.agg(F.sum("n_near")).first()[0] or 0) // HOT_TERMS)
+    tagged = n_te.join(n_e, "entity").join(F.broadcast(n_near.where(hot)), "term", "left")
+    others = tagged.where("n_near is null").drop("n_near").join(n_near.where(~hot), "term")
+    both = tagged.where("n_near is not null").unionByName(others)
+    pairs = stored(both.where(reveals("n_near")), "pii-pairs")
 
     def counted(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
         """pairs with the number of docs that hold their term."""

@@ -38,9 +38,9 @@ SEGMENT_TOKENS = 250_000
 PARTITION_TOKENS = 2_000_000
 HOT_WORDS = 1_000_000
 #: Tokens whose pairs a task collects before it deals them out.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 #: Tokens of the texts that go through the parts of the filter together.
-HELD = 1_500_000
+HELD = 1_000_000
 END = mix(np.array([0xE0D], np.uint64))[0]
 _PAIR = U(0xA0761D6478BD642F)
 ADD = 0.1

@@ -100,7 +100,8 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     """Per row of df: id, lang_pred, score (posterior probability).
 
     Null texts, texts without a letter and, if nothing was learned, all texts are ``und`` with score 0.
-    Ties go to the language first in code point order.
+    Ties go to the language first in code point order.  Very long texts are read whole; ids, null ones too, only pass through;
+    repeated rows each get their row; an empty table gives none; other columns are not read, whatever their names.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -137,8 +138,10 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(df: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of df whose predicted language is not ``und`` and has probability ``least`` at least; all columns stay.
+    """The rows of df whose predicted language is not ``und`` and has probability ``least`` at least; all columns stay, whatever their names.
 
+    Null, empty and letterless texts are ``und``; very long ones are read whole; ties go to the first language by code point; null ids
+    and repeated rows are judged by their text.  An empty table stays empty, and a model that learned nothing keeps no row.
     Batches pass through whole and are filtered where they are scored, so nothing is joined or shuffled.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -106,15 +106,17 @@ def bradley_terry(better: np.ndarray, worse: np.ndarray, share_worse: float, pai
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> QualityModel:
     """Learn from the labelled documents; of each class the ``per_class`` labels first by a hash of the id.
 
-    The chosen ids (at most 2 x per_class) are broadcast; their features, of fixed width, come to the driver.
-    Labels other than 0 and 1, null ids and labels without a document are passed over.  If a class is
-    missing, all scores are LIMIT.
+    The chosen ids (at most 2 x per_class) are broadcast; their features, of fixed width, come to the driver, one row a chosen id: of
+    several texts under one id, the first by a hash of the text.  Labels other than 0 and 1, null ids and labels without a
+    document are passed over; an id with both labels counts in both classes.  If a class is missing, all scores are LIMIT.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     sizes = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     chosen = [marked.where(F.col("label") == k).orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(per_class) for k in (0, 1)]
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = feature_rows(texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), "id"), "label").toArrow()
+    labelled = texts.join(F.broadcast(chosen[0].unionAll(chosen[1])), "id").withColumn("text", F.coalesce("text", F.lit("")))
+    one = labelled.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")).select("id", "label", "first.text")
+    found = feature_rows(one, "label").toArrow()
     x = np.array(found["x"].to_pylist(), float).reshape(-1, WIDTH)
     label = found["label"].to_numpy().astype(int)
     order = np.lexsort((*x.T[::-1], label))  # the same rows in whatever order they came
@@ -123,7 +125,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def quality_scores(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, score (0 to 1), predicted (score >= LIMIT).  Null texts score as empty ones."""
+    """Per row of docs: id, score (0 to 1), predicted (score >= LIMIT).
+
+    Null texts score as empty ones and very long ones are read whole; equal texts score alike, so repeated rows do.  Ids,
+    null ones too, only pass through; an empty table gives no rows; other columns are not read, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

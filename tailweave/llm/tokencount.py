@@ -102,7 +102,8 @@ def token_counts(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
     """Per row of df: id, n_bytes, n_tokens, over_limit.
 
     Null texts are empty: 0 bytes, 0 tokens.  The definition (a file of fixed size) is read on the driver
-    and broadcast with the proven whole tokens, so executors need no file.  Repeated rows stay repeated.
+    and broadcast with the proven whole tokens, so executors need no file.  Repeated rows stay repeated, ids, null ones too, only
+    pass through, and very long texts are read whole.  An empty table gives no rows; other columns are not read, whatever their names.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
         definition = f.read()

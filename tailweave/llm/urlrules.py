@@ -60,7 +60,8 @@ def url_path(url: Column) -> Column:
 def judge_urls(df: DataFrame, rules: list[Rule], url_col: str = "url", otherwise: str = "allow", prefix: str = "") -> DataFrame:
     """df's columns plus host, path, rule, verdict and matched_pattern (names after ``prefix``; equal names are replaced).
 
-    Null URLs and those without ``://`` have empty host and path and meet no rule.  ``rule`` names the best rule of
+    Null URLs and those without ``://`` have empty host and path and meet no rule; very long ones are read whole.  Repeated rows and
+    null ids are judged each for itself; an empty table stays empty; ties go to the longest, then the first rule name.  ``rule`` names the best rule of
     rank 0, else null; without one the best pattern rule decides (named in matched_pattern), else ``otherwise``.
     """
     require_bound(len(rules), MOST_RULES, "URL rules")

@@ -58,3 +58,37 @@ def test_awkward_rows(spark, awkward, clashing, nothing):
     assert quality.quality_scores(nothing, model).count() == 0
     empty = quality.train(nothing, labels.where(F.lit(False)))
     assert quality.quality_scores(awkward, empty).select("score").distinct().count() == 1
+
+
+def plain_features(text):
+    """The same numbers, counted byte by byte and word by word."""
+    import math
+    import re
+
+    raw = (text or "").encode()
+    kinds = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r\x0b\x0c", b".", b",;:", b"!?", b"|", b"*#$%&", b"'\"()[]{}", b"<>/\\=_-+", b"@~^`"]
+    n = max(1, len(raw))
+    share = [sum(b in k for b in raw) / n for k in kinds]
+    high = sum(b >= 128 for b in raw) / n
+    share += [len(raw) / n - sum(share) - high, high]
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [w.lower() for w in words]
+    own = max(1, len(words))
+    varied = len(set(low)) / own
+    runs = [tuple(low[k : k + 3]) for k in range(max(1, len(low) - 2))] if low else []
+    length = sum(len(w) for w in words) / own
+    capital = sum(65 <= w[0] <= 90 for w in words) / own
+    rest = [math.log1p(len(raw)), math.log1p(len(words)), math.log1p(length), varied, varied * math.log1p(len(words)), len(set(runs)) / max(1, len(runs)), capital, math.sqrt(capital), float(len(words) < 5)]
+    return share + [math.sqrt(max(0, x)) for x in share] + rest
+
+
+def test_features_like_plain_counts(rng, awkward):
+    import pyarrow as pa
+
+    from tailweave.llm.textarrays import slices
+
+    pieces = ["Word", "word", "WORD", "é", "漢字", "😀", " ", "  ", "\n", "\t", ".", ",", "!", "|", "#", "(", "<", "@", "1", "99", "\x01", "a b a b a b"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(200)] + [r["text"] for r in awkward.select("text").collect()]
+    got = np.concatenate([quality.features(data, offsets) for _, _, data, offsets in slices(pa.array(texts, pa.string()))])
+    want = np.array([plain_features(t) for t in texts])
+    assert got.shape == want.shape and np.allclose(got, want, atol=1e-7)

@@ -12,7 +12,7 @@ from .functions import metrics, scalars
 from .functions.ranks import ecdf, zero_based_rank
 from .operators import cluster, explore, graph, paths, selection
 from .plans import pipelines
-from .sources import cubes, sinks
+from .sources import cubes, pictures, sinks
 from .storage import shared_folder, stored
 
 
@@ -168,6 +168,38 @@ def puzzle_store(spark, d):
     return cubes.read_puzzle(spark, path).select("date", "t", "cell", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), "y")
 
 
+def file_heads(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(head, bytes): the first n bytes of each file, in hexadecimal, and its length."""
+    return spark.read.format("binaryFile").load(path).select(F.hex(F.expr(f"substring(content, 1, {n})")).alias("head"), F.col("length").alias("bytes"))
+
+
+@query(f"WITH {F1} SELECT hex('GIF89a') AS head, CAST(801 + 46*count(DISTINCT t) AS BIGINT) AS bytes FROM hourly")
+def film_store(spark, d):
+    """The hourly cube as a GIF film: 800 bytes before the frames, 46 a frame of 20 pixels, one behind them."""
+    path = f"{scratch(spark)}/film.gif"
+    pictures.write_film(scalars.frames(hourly(spark, d)), path, 5, 4)
+    return file_heads(spark, path, 6)
+
+
+@query("SELECT '49492A00' AS head, CAST(194 + 64 + 72 + 32 + 2*25*4 AS BIGINT) AS bytes")
+def tiff_store(spark, d):
+    """Two bands as one GeoTIFF: header and directory, lists, scale and tie point, keys, pixels."""
+    path = f"{scratch(spark)}/bands.tif"
+    own = weekly_edges(spark, d).groupBy("i").agg(F.max("chi").alias("top"), F.count_if(F.col("hits") > 0).cast("double").alias("links"))
+    bands = own.select(F.col("i").alias("cell"), F.posexplode(F.array("top", "links")).alias("band", "value"))
+    pictures.write_tiff(bands, path, [10.0 - k for k in range(5)], [100.0 + k for k in range(5)])
+    return file_heads(spark, path, 4)
+
+
+@query("SELECT '89504E470D0A1A0A' AS head, CAST(6 AS BIGINT) AS files")
+def score_plots(spark, d):
+    """The scores of a sweep over numbers of clusters as PNG curves."""
+    folder = scratch(spark)
+    points = stored(cluster.dependence_rows(weekly_edges(spark, d)), "rows")
+    pictures.write_score_plots(stored(cluster.sweep(points, [2, 3, 4], restarts=3), "sweep"), folder)
+    return file_heads(spark, folder, 8).groupBy("head").agg(F.count(F.lit(1)).alias("files"))
+
+
 # ---------------------------------------------------------------- models and runs
 @query(f"WITH {ALL3}, s AS (SELECT range AS origin FROM range(25)) SELECT '1_2' AS run_name, s.origin, coalesce(b, s.origin) AS b, coalesce(c, s.origin) AS c FROM s LEFT JOIN best ON best.origin = s.origin")
 def model_store(spark, d):
@@ -263,6 +295,11 @@ def flat_coordinates(spark, d):
     return at.select("cell", "i", "j", "again", F.col("key.i").alias("key_i"), F.col("key.j").alias("key_j"))
 
 
+@query("SELECT range AS i, range*range AS square FROM range(25)")
+def squares(spark, d):
+    return cells_of(spark, 25).select(F.col("cell").alias("i"), (F.col("cell") * F.col("cell")).alias("square"))
+
+
 @query("SELECT 100.0::DOUBLE AS west, 104.0::DOUBLE AS east, 6.0::DOUBLE AS south, 10.0::DOUBLE AS north")
 def grid_extent(spark, d):
     return scalars.extent(cubes.grid(spark, 5, 5))

@@ -7,7 +7,7 @@ tokens; a segment is filled by one task, with BITS bits a key, so the filter gro
 depends on counts only.
 
 Up to MOST_BROADCAST bytes the filter is broadcast, in parts of at most MOST_BYTES; scoring probes it for every distinct
-n-gram of a slice of texts, or, if there are several parts, of HELD tokens, with one part in memory after the other.
+n-gram of HELD tokens, with one part in memory after the other.
 A larger filter stays where it is: the distinct n-grams of HELD tokens travel to the segments, are probed there, and their
 levels come back.  Both ways give the same levels.
 
@@ -32,7 +32,7 @@ from .textarrays import arrow_map, JOIN, mix, signed, slices, U, words
 
 PROBES, BITS = 5, 10
 #: Of a part of the filter, and of all parts that are broadcast.
-MOST_BYTES, MOST_BROADCAST = 64 << 20, 512 << 20
+MOST_BYTES, MOST_BROADCAST = 96 << 20, 512 << 20
 SEGMENT_TOKENS = 250_000
 #: Training tokens whose pairs a shuffle partition merges, one segment after the other.
 PARTITION_TOKENS = 2_000_000
@@ -256,14 +256,15 @@ def broadcast_parts(made: DataFrame, segments: int) -> list[Broadcast]:
 
 
 def levels_by_parts(parts: list[tuple[int, Broadcast]], grams: np.ndarray, segments: int) -> np.ndarray:
-    """Levels of grams from a filter in broadcast parts, each with its end segment; a worker holds one at a time."""
-    out, own = np.zeros(len(grams), np.int64), segment_of(grams, segments).astype(np.int64)
-    of = np.searchsorted([end for end, _ in parts], own, "right")
-    for k, (_, part) in enumerate(parts):
-        here = np.flatnonzero(of == k)
-        if len(here):
-            out[here] = part.value.levels(grams[here])
-            if len(parts) > 1 and getattr(part, "_path", None):  # read again from its file when next asked for
+    """Levels of sorted grams from a filter in broadcast parts, each with its end segment; a worker holds one at a time."""
+    if len(parts) == 1:
+        return parts[0][1].value.levels(grams)
+    out = np.empty(len(grams), np.int64)
+    cut = np.concatenate(([0], np.searchsorted(segment_of(grams, segments).astype(np.int64), [end for end, _ in parts], "left")))
+    for (_, part), a, b in zip(parts, cut[:-1], cut[1:], strict=True):
+        if b > a:
+            out[a:b] = part.value.levels(grams[a:b])
+            if getattr(part, "_path", None):  # read again from its file when next asked for
                 vars(part).pop("_value", None)
     return out
 
@@ -290,6 +291,27 @@ def probed(made: DataFrame, asked: DataFrame, segments: int, partitions: int) ->
     return rows.repartition(partitions, "segment").sortWithinPartitions("segment", "chunk").transform(arrow_map, run, "chunk long, segment long, levels binary")
 
 
+@dataclass(frozen=True)
+class Chunk:
+    """Texts that are scored together: their distinct words and pairs, sorted, and which of them stands at each token."""
+
+    bounds: np.ndarray
+    words: np.ndarray
+    word: np.ndarray
+    pairs: np.ndarray
+    pair: np.ndarray
+
+    @staticmethod
+    def of(tokens: list[np.ndarray], bounds: list[np.ndarray]) -> Chunk:
+        t = np.concatenate(tokens)
+        first = np.concatenate(([0], np.cumsum([len(x) for x in tokens])))
+        ends = np.concatenate([[0], *(b[1:] + a for a, b in zip(first[:-1], bounds, strict=True))]).astype(np.int64)
+        return Chunk(ends, *np.unique(t, return_inverse=True), *np.unique(pair_hashes(t, ends), return_inverse=True))
+
+    def grams(self) -> np.ndarray:
+        return np.unique(np.concatenate([self.words, self.pairs]))
+
+
 @dataclass(frozen=True)
 class LanguageScores:
     total: int
@@ -302,23 +324,17 @@ class LanguageScores:
     def base_log(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + ADD) / (self.total + ADD * (self.distinct + 1)))
 
-    def score(self, t: np.ndarray, bounds: np.ndarray, levels: Callable[[np.ndarray], np.ndarray], single: np.ndarray, back: np.ndarray) -> np.ndarray:
-        """log10 probability of each text: pair and word estimates, weighted.  levels: of grams; single, back: distinct tokens and where they stand."""
-        c = count_of(levels(single))[back]
-        pair, again = np.unique(pair_hashes(t, bounds), return_inverse=True)
-        both = count_of(levels(pair))[again]
+    def score(self, chunk: Chunk, levels: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """log10 probability of each text: pair and word estimates, weighted.  levels: of sorted grams."""
+        of_words = count_of(levels(chunk.words))
+        c, both = of_words[chunk.word], count_of(levels(chunk.pairs))[chunk.pair]
         before = np.empty_like(c)
         before[1:] = c[:-1]
-        before[bounds[:-1]] = count_of(levels(np.array([END])))[0]
+        before[chunk.bounds[:-1]] = of_words[np.searchsorted(chunk.words, END)]
         alone = (c + ADD) / (self.total + ADD * (self.distinct + 1))
         joint = np.minimum(both, before) / np.maximum(before, 1)
         p = np.where(before > 0, self.weight * joint + (1 - self.weight) * alone, alone)
-        return np.add.reduceat(np.log10(p), bounds[:-1])
-
-
-def chunk_grams(held: list[tuple]) -> np.ndarray:
-    """The distinct grams, sorted, that the scores of these texts ask for."""
-    return np.unique(np.concatenate([np.array([END]), *(x for *_, t, bounds in held for x in (np.unique(t), np.unique(pair_hashes(t, bounds))))]))
+        return np.add.reduceat(np.log10(p), chunk.bounds[:-1])
 
 
 def _chunk_scores(model: Broadcast, heads: DataFrame, answers: DataFrame, partitions: int) -> DataFrame:
@@ -329,9 +345,10 @@ def _chunk_scores(model: Broadcast, heads: DataFrame, answers: DataFrame, partit
 
         def ended() -> Iterator[pa.RecordBatch]:
             if held:
-                grams, known = chunk_grams(held), np.concatenate(levels).astype(np.int64)
-                for keys, t, bounds in held:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(model.value.score(t, bounds, lambda g: known[np.searchsorted(grams, g)], *np.unique(t, return_inverse=True)))], names=["key", "score"])
+                own, known = Chunk.of([t for _, t, _ in held], [b for _, _, b in held]), np.concatenate(levels).astype(np.int64)
+                grams = own.grams()
+                score = model.value.score(own, lambda g: known[np.searchsorted(grams, g)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _, _ in held])), pa.array(score)], names=["key", "score"])
 
         for batch in batches:
             for c, s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
@@ -392,43 +409,34 @@ def language_scores(df: DataFrame, training: DataFrame, id_col: str = "doc_id",
         return pa.RecordBatch.from_arrays([columns.get(f) if f in columns else pa.nulls(n, id_type if f == "id" else kinds[f]) for f in fields], names=fields)
 
     def scored_slices(held: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, together = shared.value, Chunk.of([t for *_, t, _ in held], [b for *_, b in held])
+        own, ids = np.concatenate([k for k, *_ in held]), pa.concat_arrays([i for _, i, *_ in held])
         if parts is None:
-            chunk = int(held[0][0][0])
-            for place, (own, ids, t, bounds) in enumerate(held):
-                blob = np.int64(len(own)).tobytes() + own.astype(np.int64).tobytes() + bounds.astype(np.int64).tobytes() + t.tobytes()
+            chunk = int(own[0])
+            for place, (keys, _, t, bounds) in enumerate(held):
+                blob = np.int64(len(keys)).tobytes() + keys.astype(np.int64).tobytes() + bounds.astype(np.int64).tobytes() + t.tobytes()
                 yield made_rows(1, ids.type, chunk=pa.array([chunk]), segment=pa.array([-1], pa.int64()), place=pa.array([place], pa.int64()), blob=pa.array([blob], pa.binary()))
-            grams = chunk_grams(held)
+            grams = together.grams()
             segment = segment_of(grams, segments).astype(np.int64)
             at = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
             n = len(at)
             asked = pa.array([grams[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(grams)), strict=True)], pa.binary())
-            yield made_rows(n, held[0][1].type, chunk=pa.array(np.full(n, chunk)), segment=pa.array(segment[at]), place=pa.array(np.zeros(n, np.int64)), blob=asked)
-        elif len(parts) == 1:
-            levels = parts[0][1].value.levels
-        else:
-            grams = chunk_grams(held)
-            known_levels = levels_by_parts(parts, grams, segments)
-            levels = lambda g: known_levels[np.searchsorted(grams, g)]
-        for own, ids, t, bounds in held:
-            single, back = np.unique(t, return_inverse=True)
-            at = np.minimum(np.searchsorted(m.hot, single), max(0, len(m.hot) - 1))
-            found = m.hot[at] == single if len(m.hot) else np.zeros(len(single), bool)
-            c = m.hot_n[at] if len(m.hot) else np.zeros(len(single))
-            base = np.add.reduceat(np.where(found, m.base_log(np.where(found, c, 0)), 0.0)[back], bounds[:-1])
-            found = found[back]
-            known = np.add.reduceat(found.astype(np.int64), bounds[:-1])
-            score = {} if parts is None else {"score": pa.array(m.score(t, bounds, levels, single, back))}
-            yield made_rows(len(own), ids.type, key=pa.array(own), id=ids, n_tokens=pa.array(np.diff(bounds)), known=pa.array(known), base=pa.array(base), **score)
-            rest = np.flatnonzero(~found)
-            if len(rest):
-                owner = np.repeat(own, np.diff(bounds))[rest]
-                w = t[rest]
-                order = np.lexsort((w, owner))
-                w, owner = w[order], owner[order]
-                heads = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (owner[1:] != owner[:-1]))))
-                times = np.diff(np.append(heads, len(w)))
-                yield made_rows(len(heads), ids.type, key=pa.array(owner[heads]), word=pa.array(signed(w[heads])), times=pa.array(times))
+            yield made_rows(n, ids.type, chunk=pa.array(np.full(n, chunk)), segment=pa.array(segment[at]), place=pa.array(np.zeros(n, np.int64)), blob=asked)
+        words, word, bounds = together.words, together.word, together.bounds
+        at = np.minimum(np.searchsorted(m.hot, words), max(0, len(m.hot) - 1))
+        found = m.hot[at] == words if len(m.hot) else np.zeros(len(words), bool)
+        c = m.hot_n[at] if len(m.hot) else np.zeros(len(words))
+        base = np.add.reduceat(np.where(found, m.base_log(np.where(found, c, 0)), 0.0)[word], bounds[:-1])
+        there = found[word]
+        known = np.add.reduceat(there.astype(np.int64), bounds[:-1])
+        score = {} if parts is None else {"score": pa.array(m.score(together, lambda g: levels_by_parts(parts, g, segments)))}
+        yield made_rows(len(own), ids.type, key=pa.array(own), id=ids, n_tokens=pa.array(np.diff(bounds)), known=pa.array(known), base=pa.array(base), **score)
+        rest = np.flatnonzero(~there)
+        if len(rest):
+            # a text's words of one kind are one row
+            text = np.searchsorted(bounds, rest, "right") - 1
+            kind, times = np.unique(text * len(words) + word[rest], return_counts=True)
+            yield made_rows(len(kind), ids.type, key=pa.array(own[kind // len(words)]), word=pa.array(signed(words[kind % len(words)])), times=pa.array(times))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = TaskContext.get().partitionId() << 34
@@ -440,7 +448,7 @@ def language_scores(df: DataFrame, training: DataFrame, id_col: str = "doc_id",
                 held.append((key + np.arange(n), batch.column(0).slice(first, n), t, bounds))
                 key += n
                 size += len(t)
-                if size > HELD or parts and len(parts) == 1:
+                if size > HELD:
                     yield from scored_slices(held)
                     held, size = [], 0
         if held:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import marked_ids, stored, unused
 
 CONTEXT, DISCLOSED, SUPPORT = 60, 0.9, 3
-#: Up to so many terms are broadcast; more are joined by key.
+#: Up to so many terms are broadcast; more are joined by key.  A term lies whole within CONTEXT characters, so this is some 24 MB.
 BROADCAST_TERMS = 100_000
 HOT_TERMS = 50_000
 TERM = r"\p{L}{3,}+"

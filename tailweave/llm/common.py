@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stored
 
-__all__ = ["MAP_BITS", "WORD", "marked_ids", "remainder", "require_bound", "stored", "table", "unused", "without_ids"]
+__all__ = ["LETTERS", "MAP_BITS", "WORD", "ascii_lower", "marked_ids", "met", "remainder", "require_bound", "stored", "table", "unused", "without_ids"]
 
 #: Characters that end a word: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Capital and small letters that fold: A to Z only.
+LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +24,11 @@ def remainder(column: str, by: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % by
 
 
+def ascii_lower(text: Column) -> Column:
+    """text with A-Z lower-cased and no other letter."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, *LETTERS))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """names, each with as many underscores after it as keep it from clashing with a column of df."""
     have = {c.lower() for c in df.columns}
@@ -66,3 +74,19 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
     marked = marked_ids(docs, ids, ids.count(), id_col, may)
     some = marked.where(F.col(may)).join(ids.select(F.col("id").alias(own)), F.col(f"`{id_col}`") == F.col(own), "left_anti")
     return marked.where(~F.col(may)).unionAll(some).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: A key is met by a broadcast if more than LEAST_HEAVY rows have it, and more than a MOST_HEAVY-th of all.
+LEAST_HEAVY, MOST_HEAVY = 256, 100_000
+
+
+def met(rows: DataFrame, facts: DataFrame, keys: list[str], n_col: str, total: int) -> DataFrame:
+    """rows with the columns of facts, an inner join on keys.  facts: one row a key, n_col saying how many of the ``total`` rows have it.
+
+    Keys of very many rows come by a broadcast of at most MOST_HEAVY facts, so their rows don't move; the others are shuffled.
+    """
+    heavy, k, others = F.col(n_col) > max(LEAST_HEAVY, total // MOST_HEAVY), unused(rows, "__heavy")[0], [c for c in facts.columns if c not in keys]
+    tagged = rows.join(F.broadcast(facts.where(heavy).select(*keys, F.struct(*others).alias(k))), keys, "left")  # at most MOST_HEAVY rows
+    told = tagged.where(F.col(k).isNotNull()).select(*rows.columns, *[F.col(f"{k}.{c}") for c in others])
+    rest = tagged.where(F.col(k).isNull()).select(*rows.columns).join(facts.where(~heavy), keys)
+    return told.unionByName(rest)

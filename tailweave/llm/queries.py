@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lmscore, media, mixing, neardup, pii, quality, tokencount, urlrules
+from . import decontam, importance, langid, linededup, lmscore, media, mixing, neardup, pii, quality, tokencount, urlrules
 from .common import remainder, table
 
 
@@ -62,8 +62,22 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.col("feature"), "tile_sha256")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_source_mix, op3_url_rules, op4_personal_data, op5_near_duplicates, op6_token_counts, op7_language, op8_benchmark_leaks, op9_language_model, op10_media)}
+    every = (
+        op1_quality, op2_source_mix, op3_url_rules, op4_personal_data, op5_near_duplicates, op6_token_counts, op7_language, op8_benchmark_leaks, op9_language_model, op10_media,
+        op11_importance, op12_line_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 OP3_SQL = r"""
@@ -123,5 +137,34 @@ SELECT g.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, g.doc_id = compon
 """
 
 
+#: The checksum is followed byte by byte, once for each distinct run of words; its 256 steps are made by rule.
+OP11_SQL = r"""
+WITH steps AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+w AS MATERIALIZED (
+  SELECT 0 AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 1, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS MATERIALIZED (SELECT side, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM w),
+n AS MATERIALIZED (SELECT side, doc_id, f, count(*) AS n FROM f GROUP BY ALL),
+v AS MATERIALIZED (SELECT f, list_transform(range(0, len(hex(encode(f))) // 2), lambda i: 16*(instr('0123456789ABCDEF', hex(encode(f))[2*i + 1]) - 1) + instr('0123456789ABCDEF', hex(encode(f))[2*i + 2]) - 1) AS bytes FROM (SELECT DISTINCT f FROM n)),
+b AS MATERIALIZED (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]))) % 10000 AS b FROM v CROSS JOIN steps),
+c AS (SELECT b, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t FROM n JOIN b USING (f) GROUP BY b),
+g AS (SELECT b, CAST(floor(1000*ln((t + 1)::DOUBLE*(sum(s) OVER () + 10000)::DOUBLE/((s + 1)::DOUBLE*(sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS g FROM c),
+d AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n*g) AS BIGINT) AS weight FROM n JOIN b USING (f) JOIN g USING (b) WHERE side = 0 GROUP BY doc_id),
+h AS (SELECT doc_id, len(w) AS words, ('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT AS h FROM w WHERE side = 0),
+z AS (SELECT h.doc_id, words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000*ln(-ln((h + 0.5)::DOUBLE/4294967296))) AS BIGINT) AS score FROM h LEFT JOIN d ON h.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (WHERE words >= 20) OVER () AS n FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND k <= 5*n // 100 THEN k END AS rank FROM r
+"""
+
+OP12_SQL = r"""
+WITH l AS MATERIALIZED (
+  SELECT doc_id, k, line[k] AS line, translate(trim(line[k], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, line, unnest(range(1, len(line) + 1)) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS line FROM documents))),
+r AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+x AS (SELECT l.*, r.first IS NOT NULL AND l.doc_id <> r.first AS lost FROM l LEFT JOIN r ON l.key = r.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT lost), '')) AS kept_sha256 FROM x GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mix": OP2_SQL, "op3_url_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL}
+    return {"op2_source_mix": OP2_SQL, "op3_url_rules": OP3_SQL, "op5_near_duplicates": OP5_SQL, "op11_importance": OP11_SQL, "op12_line_dedup": OP12_SQL}

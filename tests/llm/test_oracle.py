@@ -16,7 +16,7 @@ def alike(a, b):
 def test_same_rows(spark, name):
     d = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for table in ("pages", "documents"):
+    for table in ("pages", "documents", "benchmark"):
         con.execute(f"create view {table} as select * from read_parquet('{d}/{table}.parquet')")
     want = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in want.description]

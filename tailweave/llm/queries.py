@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, importance, langid, linededup, lmscore, media, mixing, neardup, pii, quality, tokencount, urlrules
+from . import align, decontam, importance, langid, linededup, lmscore, media, mixing, neardup, pii, quality, tokencount, urlrules
 from .common import remainder, table
 
 
@@ -72,10 +72,16 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     every = (
         op1_quality, op2_source_mix, op3_url_rules, op4_personal_data, op5_near_duplicates, op6_token_counts, op7_language, op8_benchmark_leaks, op9_language_model, op10_media,
-        op11_importance, op12_line_dedup,
+        op11_importance, op12_line_dedup, op13_alignment,
     )
     return {f.__name__: f for f in every}
 

@@ -456,20 +456,20 @@ hh AS MATERIALIZED (SELECT pf.origin, pf.a, pf.b, z.cell AS c, count(*) AS hits
 im AS MATERIALIZED (SELECT round, pf.origin, q.range AS cell, count(*) AS count, CAST(coalesce(sum(hits), 0) AS BIGINT) AS s, CAST(coalesce(sum(hits*hits), 0) AS BIGINT) AS q
   FROM pf CROSS JOIN range(25) q LEFT JOIN hh ON hh.origin = pf.origin AND hh.a = pf.a AND hh.b = pf.b AND hh.c = q.range GROUP BY 1, 2, 3),
 mi AS MATERIALIZED (SELECT *, s/count::DOUBLE/{W_END - 2}.0::DOUBLE/(1 - 0.95::DOUBLE) AS m FROM im),
-er AS (SELECT round, max(e) AS e FROM (SELECT x.round, x.origin, avg(abs(x.m - y.m)) AS e FROM mi x JOIN mi y ON y.round = x.round - 1 AND y.origin = x.origin AND y.cell = x.cell GROUP BY 1, 2) GROUP BY round),
-fin AS (SELECT coalesce(min(round) FILTER (WHERE e <= 0.01::DOUBLE), {len(RATES) - 1}) AS round FROM er)"""
+er AS (SELECT x.round, x.origin, avg(abs(x.m - y.m)) AS e FROM mi x JOIN mi y ON y.round = x.round - 1 AND y.origin = x.origin AND y.cell = x.cell GROUP BY 1, 2),
+fin AS (SELECT origin, coalesce(min(round) FILTER (WHERE e <= 0.01::DOUBLE), {len(RATES) - 1}) AS round FROM er GROUP BY origin)"""
 
 
-@query(f"WITH {REGIONS} SELECT origin, cell, count, m AS chi_mean, round((count*q - s*s)/(count*count)::DOUBLE/pow({W_END - 2}*(1 - 0.95::DOUBLE), 2), 9) AS chi_var FROM mi JOIN fin ON fin.round = mi.round")
+@query(f"WITH {REGIONS} SELECT origin, cell, count, m AS chi_mean, round((count*q - s*s)/(count*count)::DOUBLE/pow({W_END - 2}*(1 - 0.95::DOUBLE), 2), 9) AS chi_var FROM mi JOIN fin ON fin.round = mi.round AND fin.origin = mi.origin")
 def hyperdim_converge(spark, d):
-    """Regions by the cell's row of the grid, searched with growing samples until the mean image settles."""
+    """Regions by the cell's row of the grid, each searched with growing samples until its own mean image settles."""
     return _regions(spark, d).steps[3].image.select("origin", "cell", "count", "chi_mean", r("chi_var").alias("chi_var"))
 
 
-@query(f"WITH {REGIONS} SELECT 3 AS d, ro.round AS iteration, round(e, 9) AS error FROM ro LEFT JOIN er ON er.round = ro.round JOIN fin ON ro.round <= fin.round")
+@query(f"WITH {REGIONS} SELECT fin.origin, 3 AS d, ro.round AS iteration, round(ro.rate, 9) AS rate, round(e, 9) AS error FROM ro JOIN fin ON ro.round <= fin.round LEFT JOIN er ON er.round = ro.round AND er.origin = fin.origin")
 def hyperdim_history(spark, d):
-    """How far the mean image moved in each round."""
-    return _regions(spark, d).history_table(spark).select("d", "iteration", r("error").alias("error"))
+    """How far each region's mean image moved in each round that it took part in, and at which rate."""
+    return _regions(spark, d).history_table(spark).select("origin", "d", "iteration", r(F.col("rates")[0]).alias("rate"), r("error").alias("error"))
 
 
 # ---------------------------------------------------------------- training tables

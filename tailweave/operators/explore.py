@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import check_lags, check_percent, window_length
 from ..storage import discard, stored
+from . import storms
 from .graph import exceedances
 from .lags import offsets
 from .paths import image_selection
@@ -45,27 +47,33 @@ class Step:
 @dataclass
 class Exploration:
     steps: dict[int, Step] = field(default_factory=dict)
-    history: list[tuple[int, int, list[float], float]] = field(default_factory=list)  # d, iteration, rates, error
+    history: list[tuple[int, int, int, float]] = field(default_factory=list)  # d, iteration, clusters that took part, the largest error
+    rounds: list[DataFrame] = field(default_factory=list)  # origin, d, iteration, rates, error
 
     def history_table(self, spark: SparkSession) -> DataFrame:
-        """(d, iteration, rates, error): one row a round; the first round of a d has no error."""
-        rows = [(d, k, rates, None if error == float("inf") else float(error)) for d, k, rates, error in self.history]
-        return spark.createDataFrame(rows, "d int, iteration int, rates array<double>, error double")
+        """(origin, d, iteration, rates, error): one row for each round that a cluster took part in; its first round of a d has no error."""
+        if not self.rounds:
+            return spark.createDataFrame([], "origin long, d int, iteration int, rates array<double>, error double")
+        return reduce(DataFrame.unionByName, self.rounds)
 
 
-def joint_steps(over: DataFrame, lists: Sequence[DataFrame], lags: Sequence[int], start: int, end: int) -> DataFrame:
-    """(origin, path, tau, old) at which all nodes of a prefix exceed.  lists: one (origin, cell, old) table for each node; a prefix is old if all its nodes are."""
+def joint_steps(over: DataFrame, lists: Sequence[DataFrame], lags: Sequence[int], start: int, end: int, stormy: DataFrame | None = None) -> DataFrame:
+    """(origin, path, tau, old) at which all nodes of a prefix exceed.  lists: one (origin, cell, old) table for each node; a prefix is old if all its nodes are.
+
+    stormy: the steps that ``storms`` found.
+    """
     d = len(lists) + 1
     placed = offsets(lags, d)
     total = placed[-1][0]
     out = None
-    for nodes, (o, _) in zip(lists, placed, strict=False):
+    for k, (nodes, (o, _)) in enumerate(zip(lists, placed, strict=False)):
         own = over.select((F.col("t") - o).alias("tau"), "cell").where((F.col("tau") >= start) & (F.col("tau") < end - total))
         here = nodes.join(own, "cell").select("origin", "cell", "tau", F.col("old").alias("too"))
         if out is None:
             out = here.select("origin", F.array("cell").alias("path"), "tau", F.col("too").alias("old"))
         else:
-            out = out.join(here, ["origin", "tau"]).select("origin", F.array_append("path", F.col("cell")).alias("path"), "tau", (F.col("old") & F.col("too")).alias("old"))
+            sides = storms.placed(stormy, [x for x, _ in placed[:k]]), storms.placed(stormy, [o])
+            out = storms.joined(out, here, ["origin", "tau"], *sides, F.col("path"), F.col("cell")).select("origin", F.array_append("path", F.col("cell")).alias("path"), "tau", (F.col("old") & F.col("too")).alias("old"))
     return out
 
 
@@ -94,15 +102,20 @@ def chi_of(hits, n: int, p: float):
     return hits / F.lit(n) / (1 - p)
 
 
-def evaluate(over: DataFrame, lists: Sequence[DataFrame], lags: Sequence[int], start: int, end: int) -> DataFrame:
-    """(origin, path of d nodes, hits) of the tuples that meet, last nodes being all cells; prefixes that are old are passed over."""
-    o = offsets(lags, len(lists) + 1)[-1][0]
-    last = over.select((F.col("t") - o).alias("tau"), F.col("cell").alias("last"))
-    steps = joint_steps(over, lists, lags, start, end).where(~F.col("old"))
-    found = steps.join(last, "tau").groupBy("origin", "path", "last").agg(F.count(F.lit(1)).alias("hits"))
+def met(steps: DataFrame, over: DataFrame, lags: Sequence[int], d: int, stormy: DataFrame | None = None) -> DataFrame:
+    """(origin, path of d nodes, hits): prefixes at their joint steps with every cell that exceeds as the last node."""
+    placed = [x for x, _ in offsets(lags, d)]
+    last = over.select((F.col("t") - placed[-1]).alias("tau"), F.col("cell").alias("last"))
+    sides = storms.placed(stormy, placed[:-1]), storms.placed(stormy, placed[-1:])
+    found = storms.joined(steps, last, ["tau"], *sides, F.struct("origin", "path"), F.col("last")).groupBy("origin", "path", "last").agg(F.count(F.lit(1)).alias("hits"))
     return found.select("origin", F.array_append("path", F.col("last")).alias("path"), "hits")
 
 
+def evaluate(over: DataFrame, lists: Sequence[DataFrame], lags: Sequence[int], start: int, end: int, stormy: DataFrame | None = None) -> DataFrame:
+    """(origin, path of d nodes, hits) of the tuples that meet, last nodes being all cells; prefixes that are old are passed over."""
+    return met(joint_steps(over, lists, lags, start, end, stormy).where(~F.col("old")), over, lags, len(lists) + 1, stormy)
+
+
 def sums_of(hits: DataFrame) -> DataFrame:
     """(origin, cell, s, q): sums of hits and of their squares by last cell."""
     return hits.groupBy("origin", F.element_at("path", -1).alias("cell")).agg(F.sum("hits").alias("s"), F.sum(F.col("hits") * F.col("hits")).alias("q"))
@@ -143,6 +156,17 @@ def _sampled(nodes: DataFrame, rate: float, seed: int, before: float = 0.0, orde
     return placed.where(among(rate)).select("origin", "cell", among(before).alias("old"))
 
 
+def _sampled_by(nodes: DataFrame, rounds: DataFrame, k: int, rates: Sequence[Sequence[float]], seed: int, order: Column | None = None) -> DataFrame:
+    """(origin, cell, old) as ``_sampled``, at each origin's own rate.  rounds: origin, now, before (numbers of rows of ``rates``, before null: nothing is old)."""
+    own = F.array(*[F.lit(float(x[k])) for x in rates])
+    told = nodes.join(rounds.select("origin", F.get(own, F.col("now")).alias("__rate"), F.coalesce(F.get(own, F.col("before")), F.lit(0.0)).alias("__had")), "origin")
+    w = Window.partitionBy("origin")
+    first = order if order is not None else F.xxhash64("cell", F.lit(seed))
+    placed = told.select("origin", "cell", "__rate", "__had", F.count(F.lit(1)).over(w).alias("__n"), F.row_number().over(w.orderBy(first, "cell")).alias("__k"))
+    among = lambda r: F.col("__k") <= F.floor(F.col("__n") * F.least(F.col(r), F.lit(1.0)))
+    return placed.where(among("__rate")).select("origin", "cell", among("__had").alias("old"))
+
+
 def prepare(ecdf: DataFrame, p: float = 0.95, keep: bool = True) -> tuple[DataFrame, DataFrame]:
     """(exceedances, cells), stored once for several explorations of one set of ranks."""
     hold = stored if keep else (lambda df, _: df)
@@ -163,6 +187,7 @@ def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_m
         raise ValueError(f"{d_max} nodes need {d_max - 1} sampling rates")
     hold = stored if keep else (lambda df, _: df)
     over, cells = prepared or prepare(ecdf, p, keep)
+    stormy = storms.storms(over)
     origin = stations.select(F.col("cell").alias("origin"), "cell")
     first = edges.join(stations.select(F.col("cell").alias("i")), "i", "left_semi").select(F.col("i").alias("origin"), F.col("j").alias("cell"), "chi")
     lists = [origin, image_selection(first, percent, "chi", ["origin"]).select("origin", "cell")]
@@ -171,7 +196,7 @@ def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_m
         n = window_length(start, end, sum(lags[: d - 1]))
         own = [_sampled(x, rates[k], seed) for k, x in enumerate(lists)]
         counts = hold(prefix_counts(own), f"prefixes-{d}")
-        hits = hold(evaluate(over, own, lags, start, end), f"hits-{d}")
+        hits = hold(evaluate(over, own, lags, start, end, stormy), f"hits-{d}")
         image = hold(image_of(sums_of(hits), counts, cells, n, p), f"image-{d}")
         out.steps[d] = Step(d, n, p, own, cells, hits, image, best_of(hits, counts, cells, n, p))
         lists.append(image_selection(image, percent, "chi_mean", ["origin"]).select("origin", "cell"))
@@ -179,53 +204,75 @@ def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_m
 
 
 def explore_regions(ecdf: DataFrame, members: DataFrame, centroids: DataFrame, d_max: int, lags: Sequence[int], start: int, end: int, rates: Sequence[float], p: float = 0.95, percent: float = 50.0, tolerance: float = 0.01, delta: float = 0.01, max_iter: int = 100, seed: int = 7, order: Column | None = None) -> Exploration:
-    """Chains of clusters with growing samples, until the mean image moves by at most ``tolerance``.
+    """Chains of clusters with growing samples; each cluster stops by itself once its mean image moves by at most ``tolerance``.
 
-    members: origin (cluster), cell.  centroids: origin, cell, weight.  In each round of a d all lists are sampled with
-    rates that have grown by ``delta``, in one hashed order (or ``order``), so samples grow and only tuples with a node that is new
-    are joined; their hits are added to running integer sums.  A d ends with the tolerance met for every cluster, no
-    new tuple, or ``max_iter`` rounds; rates go on growing over d.
+    members: origin (cluster), cell.  centroids: origin, cell, weight.  In each round of a d the lists of a cluster are sampled with
+    rates that have grown by ``delta`` for each round it has taken part in, over all d, in one hashed order (or ``order``), so its samples grow and only
+    tuples with a node that is new are joined; their hits are added to running integer sums.  A cluster leaves a d with its
+    tolerance met, without a new tuple, with an empty list, or after ``max_iter`` rounds; those that have left are in no join of the later rounds.
     """
     check_lags(list(lags), d_max)
     check_percent(percent)
     if len(rates) < d_max - 1:
         raise ValueError(f"{d_max} nodes need {d_max - 1} sampling rates")
     over, cells = prepare(ecdf, p)
+    stormy = storms.storms(over)
     lists = [members.select("origin", "cell"), image_selection(centroids, percent, "weight", ["origin"]).select("origin", "cell")]
-    now, out = list(rates), Exploration()
+    grown, out = [list(rates)], Exploration()  # rates after 0, 1, ... rounds
+    taken = stored(members.select("origin").distinct().select("origin", F.lit(0).alias("taken")), "taken")
     for d in range(3, d_max + 1):
         n = window_length(start, end, sum(lags[: d - 1]))
-        before, had, image, sums, found, counts, own = [0.0] * len(lists), 0, None, None, [], None, []
+        images, counts, found, kept = [], [], [], []
+        active = taken.select("origin", F.col("taken").alias("now"), F.lit(None).cast("int").alias("before"), F.lit(0).cast("long").alias("had"))
+        image = sums = went = None
         for k in range(max_iter):
-            tried = [_sampled(x, now[m], seed, before[m], order) for m, x in enumerate(lists)]
-            fresh = stored(prefix_counts(tried), "prefixes")
-            have = fresh.agg(F.sum("count")).first()[0] or 0
-            if have == had:
+            own = [_sampled_by(x, active, m, grown, seed, order) for m, x in enumerate(lists)]
+            fresh = prefix_counts(own).join(active, "origin").where(F.col("count") > F.col("had"))
+            fresh = stored(fresh.select("origin", "now", "before", "count", "first"), "prefixes")
+            if image is not None:  # what is no longer new keeps its last image
+                images.append(image.join(fresh, "origin", "left_anti"))
+                counts.append(went.join(fresh, "origin", "left_anti"))
+            if not fresh.take(1):
+                image = None
                 break
-            own, counts, had = tried, fresh, have
-            found.append(stored(evaluate(over, own, lags, start, end), "hits"))
+            own = [x.join(fresh.select("origin"), "origin", "left_semi") for x in own]
+            found.append(stored(evaluate(over, own, lags, start, end, stormy), "hits"))
             added = sums_of(found[-1])
-            grown = stored((added if sums is None else sums.unionByName(added)).groupBy("origin", "cell").agg(*[F.sum(c).alias(c) for c in ("s", "q")]), "sums")
-            was, image = image, stored(image_of(grown, counts, cells, n, p), "image")
-            error = float("inf")
-            if was is not None:
+            both = added if sums is None else sums.join(fresh.select("origin"), "origin", "left_semi").unionByName(added)
+            sums = stored(both.groupBy("origin", "cell").agg(*[F.sum(c).alias(c) for c in ("s", "q")]), "sums")
+            was, image = image, stored(image_of(sums, fresh.select("origin", "count"), cells, n, p), "image")
+            told = fresh.select("origin", "now", "count", "first")
+            if was is None:
+                told = told.withColumn("error", F.lit(None).cast("double"))
+            else:
                 moved = image.join(was.select("origin", "cell", F.col("chi_mean").alias("was")), ["origin", "cell"])
-                error = moved.groupBy("origin").agg(F.avg(F.abs(F.col("chi_mean") - F.col("was"))).alias("e")).agg(F.max("e")).first()[0]
-                error = float("inf") if error is None else error
-            discard(sums)
-            discard(was)
-            sums = grown
-            out.history.append((d, k, list(now[: len(lists)]), error))
-            if error <= tolerance:
-                break
-            before, now = now[: len(lists)], [r + delta for r in now]
-        if image is None:
+                told = told.join(moved.groupBy("origin").agg(F.avg(F.abs(F.col("chi_mean") - F.col("was"))).alias("error")), "origin", "left")
+            went = stored(told, "rounds")
+            kept += [image, sums, fresh]
+            ran, worst = went.agg(F.count(F.lit(1)), F.max("error")).first()
+            each = F.array(*[F.array(*[F.lit(float(r)) for r in x[: d - 1]]) for x in grown])
+            out.rounds.append(went.select("origin", F.lit(d).alias("d"), F.lit(k).alias("iteration"), F.get(each, F.col("now")).alias("rates"), "error"))
+            out.history.append((d, k, ran, float("inf") if worst is None else worst))
+            grown.append([r + delta for r in grown[-1]])
+            settled = F.coalesce(F.col("error") <= tolerance, F.lit(False))
+            ended = went.where(settled).select("origin") if k + 1 < max_iter else went.select("origin")
+            images.append(image.join(ended, "origin", "left_semi"))
+            counts.append(went.join(ended, "origin", "left_semi"))
+            going = went.join(ended, "origin", "left_anti")
+            image, went = image.join(ended, "origin", "left_anti"), going
+            active = going.select("origin", (F.col("now") + 1).alias("now"), F.col("now").alias("before"), F.col("count").alias("had"))
+        if not found:
             break
-        hits = found[0]
-        for more in found[1:]:
-            hits = hits.unionByName(more)
-        out.steps[d] = Step(d, n, p, own, cells, hits, image, best_of(hits, counts, cells, n, p))
+        image = stored(reduce(DataFrame.unionByName, images), f"image-{d}")
+        last = stored(reduce(DataFrame.unionByName, counts), f"counts-{d}")  # origin, now (rows of ``grown`` that its last round used), count, first
+        ran = last.select("origin", "now", F.lit(None).cast("int").alias("before"))
+        own = [_sampled_by(x, ran, m, grown, seed, order) for m, x in enumerate(lists)]
+        hits = reduce(DataFrame.unionByName, found)
+        out.steps[d] = Step(d, n, p, own, cells, hits, image, best_of(hits, last.select("origin", "count", "first"), cells, n, p))
         lists.append(image_selection(image, percent, "chi_mean", ["origin"]).select("origin", "cell"))
+        before, taken = taken, stored(taken.join(last.select("origin", F.col("now").alias("__now")), "origin", "left").select("origin", F.coalesce(F.col("__now") + 1, "taken").alias("taken")), "taken")
+        for df in [*kept, before]:
+            discard(df)
     return out
 
 

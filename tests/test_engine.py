@@ -595,3 +595,94 @@ def test_linear_baseline_like_least_squares(spark):
     a = np.column_stack([x, np.ones(40)])
     w = np.linalg.lstsq(a[:32], y[:32], rcond=None)[0]
     assert all(got[k] == ("train" if k < 32 else "validation", pytest.approx(float(a[k] @ w), abs=1e-6)) for k in range(40))
+
+
+def brute_regions(u, members, weights, d_max, lags, s, e, rates, percent, tolerance, delta, max_iter):
+    """Cluster by cluster, as one would write it down: own samples, own rates, own stop."""
+    history, images = [], {}
+    for o in sorted(members):
+        w = np.array([weights[o, c] for c in range(u.shape[1])])
+        lists, now = [sorted(members[o]), [c for c in range(u.shape[1]) if w[c] > np.percentile(w, percent)]], list(rates)
+        for d in range(3, d_max + 1):
+            seen, was = {}, None
+            for k in range(max_iter):
+                own = [x[: int(math.floor(len(x) * min(r, 1.0)))] for x, r in zip(lists, now, strict=False)]
+                new = [t for t in itertools.product(*own) if t not in seen]
+                if not new:
+                    break
+                for t in new:
+                    seen[t] = [chi(u, (*t, c), lags, s, e, P)[0] for c in range(u.shape[1])]
+                sums = [sum(h[c] for h in seen.values()) for c in range(u.shape[1])]
+                mean = np.array(sums) / len(seen) / (e - s - sum(lags[: d - 1])) / (1 - P)
+                error = None if was is None else float(np.abs(mean - was).mean())
+                history.append((o, d, k, [pytest.approx(r) for r in now[: d - 1]], None if error is None else pytest.approx(error)))
+                was, now = mean, [r + delta for r in now]
+                images[o, d] = (len(seen), sums)
+                if error is not None and error <= tolerance:
+                    break
+            if (o, d) not in images:
+                break
+            lists.append([c for c in range(u.shape[1]) if was[c] > np.percentile(was, percent)])
+    return history, images
+
+
+def test_each_region_stops_by_itself(spark, rain, ranked):
+    u = ecdf(cube_of(spark, rain)).cache()
+    members = {0: [0, 1, 2, 3, 4, 5], 1: [3, 4], 2: [5]}
+    weights = {(o, c): float((c * (o + 2)) % 7) for o in members for c in range(6)}
+    frames = spark.createDataFrame([(o, c) for o, x in members.items() for c in x], "origin long, cell long"), spark.createDataFrame([(*k, v) for k, v in weights.items()], "origin long, cell long, weight double")
+    settings = ([0.4, 0.5, 0.6], 30, 0.05, 0.2, 6)
+    found = explore.explore_regions(u, *frames, 4, [1, 1, 1], 0, 149, settings[0], P, *settings[1:], order=F.col("cell"))
+    history, images = brute_regions(ranked, members, weights, 4, [1, 1, 1], 0, 149, *settings)
+    assert [tuple(r) for r in found.history_table(spark).orderBy("origin", "d", "iteration").collect()] == history
+    rounds = [sum(h[:2] == (o, 3) for h in history) for o in members]
+    assert len(set(rounds)) > 1  # they do stop apart
+    for d in (3, 4):
+        got = {(r["origin"], r["cell"]): (r["count"], r["s"]) for r in found.steps[d].image.collect()}
+        assert got == {(o, c): (n, sums[c]) for (o, x), (n, sums) in images.items() if x == d for c in range(6)}
+        best = {r["origin"]: r["hits"] for r in found.steps[d].best.collect()}
+        every = {}
+        for r in found.steps[d].hits.collect():
+            every[r["origin"]] = max(every.get(r["origin"], 0), r["hits"])
+        assert all(best[o] == every.get(o, 0) for o in best)
+
+
+def test_storms_are_dealt_out(spark, monkeypatch):
+    """One step holds half of all exceedances: no task of the step's join meets more than its share, and the rows stay the same."""
+    from tailweave.operators import storms
+
+    rng = np.random.default_rng(4)
+    rows = [(50, c) for c in range(120)] + [(51, c) for c in range(0, 120, 2)] + [(int(t), int(c)) for t, c in zip(rng.integers(0, 100, 180), rng.integers(0, 120, 180), strict=True)]
+    over = spark.createDataFrame(sorted(set(rows)), "t long, cell long")
+    lists = [spark.createDataFrame([(o, c, False) for o in range(3) for c in range(o, 120, 3 + k)], "origin long, cell long, old boolean") for k in range(2)]
+    plain = {(r["origin"], tuple(r["path"])): r["hits"] for r in explore.evaluate(over, lists, [1, 1], 0, 99).collect()}
+    monkeypatch.setattr(storms, "TOGETHER", 20)
+    stormy = storms.storms(over)
+    assert {r["t"]: r["parts"] for r in stormy.collect()}[50] >= 6
+    dealt = {(r["origin"], tuple(r["path"])): r["hits"] for r in explore.evaluate(over, lists, [1, 1], 0, 99, stormy).collect()}
+    assert plain and dealt == plain
+    seen = []
+    left = over.select(F.col("t").alias("tau"), F.col("cell").alias("i"))
+    right = over.select(F.col("t").alias("tau"), F.col("cell").alias("j"))
+    parts = storms.placed(stormy, [0])
+    real = DataFrame_join(seen)
+    monkeypatch.setattr(type(left), "join", real)
+    out = storms.joined(left, right, ["tau"], parts, parts, F.col("i"), F.col("j"))
+    monkeypatch.undo()
+    assert out.count() == left.join(right, "tau").count()
+    a, b, keys = seen[-1]
+    most = max(r["l"] * r["r"] for r in a.groupBy(*keys).agg(F.count(F.lit(1)).alias("l")).join(b.groupBy(*keys).agg(F.count(F.lit(1)).alias("r")), keys).collect())
+    assert most <= left.join(right, "tau").count() / 10  # half of all pairs without the grid
+
+
+def DataFrame_join(seen):
+    """DataFrame.join that notes what it joins."""
+    from pyspark.sql.classic.dataframe import DataFrame as Own
+
+    real = Own.join
+
+    def join(self, other, on=None, how=None):
+        seen.append((self, other, on))
+        return real(self, other, on, how)
+
+    return join

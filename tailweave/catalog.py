@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, scalars
-from .functions.ranks import ecdf
+from .functions.ranks import ecdf, ecdf_by_ranges
 from .operators import cluster, explore, graph, paths, pooling, puzzle, selection, tail
 from .operators.lags import lag_pairs, sequence_pairs
 from .plans import pipelines
@@ -435,6 +435,22 @@ def station_d4(spark, d):
     return found.steps[4].best.select("origin", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "hits", "chi")
 
 
+@query(_sql["all_chains"])
+def all_chains_by_bound(spark, d):
+    """The same chains without evaluating every tuple: a prefix's joint steps bound what begins with it."""
+    every, ranks = cells_of(spark, 25), stored(ecdf(weekly(spark, d)), "ecdf")
+    best = explore.best_chains(ranks, graph.lag_graph(ranks, every, 1, 0, W_END, P), every, 3, [1, 2], 0, W_END, P, PERCENT)
+    return explore.best_or_self(every, best, 3).select("origin", F.col("path")[1].alias("b"), F.col("path")[2].alias("c"))
+
+
+@query(_sql["station_d4"])
+def station_d4_by_bound(spark, d):
+    """Four nodes deep, from every cell, by bounds."""
+    every, ranks = cells_of(spark, 25), stored(ecdf(weekly(spark, d)), "ecdf")
+    best = explore.best_chains(ranks, graph.lag_graph(ranks, every, 1, 0, W_END, P), every, 4, [1, 1, 1], 0, W_END, P, 80.0)
+    return best.select("origin", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), "hits", "chi")
+
+
 def _regions(spark: SparkSession, d: str) -> explore.Exploration:
     ranks = stored(ecdf(weekly(spark, d)), "ecdf")
     edges = graph.lag_graph(ranks, cells_of(spark, 25), 1, 0, W_END, P)
@@ -460,7 +476,7 @@ er AS (SELECT x.round, x.origin, avg(abs(x.m - y.m)) AS e FROM mi x JOIN mi y ON
 fin AS (SELECT origin, coalesce(min(round) FILTER (WHERE e <= 0.01::DOUBLE), {len(RATES) - 1}) AS round FROM er GROUP BY origin)"""
 
 
-@query(f"WITH {REGIONS} SELECT origin, cell, count, m AS chi_mean, round((count*q - s*s)/(count*count)::DOUBLE/pow({W_END - 2}*(1 - 0.95::DOUBLE), 2), 9) AS chi_var FROM mi JOIN fin ON fin.round = mi.round AND fin.origin = mi.origin")
+@query(f"WITH {REGIONS} SELECT mi.origin, cell, count, m AS chi_mean, round((count*q - s*s)/(count*count)::DOUBLE/pow({W_END - 2}*(1 - 0.95::DOUBLE), 2), 9) AS chi_var FROM mi JOIN fin ON fin.round = mi.round AND fin.origin = mi.origin")
 def hyperdim_converge(spark, d):
     """Regions by the cell's row of the grid, each searched with growing samples until its own mean image settles."""
     return _regions(spark, d).steps[3].image.select("origin", "cell", "count", "chi_mean", r("chi_var").alias("chi_var"))
@@ -512,13 +528,13 @@ def puzzle_xy(spark, d):
 
 
 @query(f"""WITH {PUZZLE}, m AS (SELECT a.t, a.cell, a.y, a.x1 AS x0, a.x2 AS x1, b.x1 AS x2, b.x2 AS x3 FROM f_1_1 a JOIN f_1_2 b ON a.t = b.t AND a.cell = b.cell
-  WHERE a.cell IN (SELECT origin FROM best_1_1 WHERE hits >= 3) AND a.cell IN (SELECT origin FROM best_1_2 WHERE hits >= 3))
+  WHERE a.cell IN (SELECT origin FROM best_1_1 WHERE hits >= 2) AND a.cell IN (SELECT origin FROM best_1_2 WHERE hits >= 2))
 SELECT strftime(DATE '1995-01-01' + CAST(7*d.t AS INTEGER), '%Y-%m-%d') AS date, c.range AS cell, coalesce(y, 0) AS y, coalesce(x0, 0) AS x0, coalesce(x1, 0) AS x1, coalesce(x2, 0) AS x2, coalesce(x3, 0) AS x3
 FROM (SELECT DISTINCT t FROM m) d CROSS JOIN range(25) c LEFT JOIN m ON m.t = d.t AND m.cell = c.range""")
 def puzzle_dated_dense(spark, d):
-    """Two lag lists, chains that meet in three steps at least: cells without one in both are zeros; steps carry their dates."""
+    """Two lag lists, chains that meet in two steps at least: cells without one in both are zeros; steps carry their dates."""
     lists = {k: LAGS[k] for k in ("1_1", "1_2")}
-    own = {k: v.where("hits >= 3") for k, v in _best_chains(spark, d, lists).items()}
+    own = {k: v.where("hits >= 2") for k, v in _best_chains(spark, d, lists).items()}
     cube = weekly(spark, d).withColumn("value", F.col("value").cast("double"))
     table = puzzle.puzzle(puzzle.joint_blocks(own, cube, lists, 0, W_END), lists, cells_of(spark, 25))
     dates = spark.range(cubes.WEEKLY_STEPS).select(F.col("id").alias("t"), F.expr("cast(date_add(date'1995-01-01', cast(7 * id as int)) as string)").alias("date"))
@@ -758,6 +774,23 @@ def model_compare(spark, d):
     return found.select("metric", r("lag1", 6).alias("lag1"), r("lag2", 6).alias("lag2"))
 
 
+@query(f"""WITH {F5}, b AS (SELECT * FROM orderpair WHERE y_pred IS NOT NULL), k AS (SELECT sum(CASE WHEN (a.y_true - b.y_true)*(a.y_pred - b.y_pred) > 0 THEN 1 ELSE 0 END) AS c,
+ sum(CASE WHEN (a.y_true - b.y_true)*(a.y_pred - b.y_pred) < 0 THEN 1 ELSE 0 END) AS d, sum(CASE WHEN a.y_true = b.y_true THEN 1 ELSE 0 END) AS ty, sum(CASE WHEN a.y_pred = b.y_pred THEN 1 ELSE 0 END) AS tp, count(*) AS n
+ FROM b a JOIN b ON a.k < b.k) SELECT round((c - d)/nullif(sqrt((n - ty)::DOUBLE*(n - tp)), 0), 9) AS kendall FROM k""")
+def kendall_orders(spark, d):
+    """One long series, by ranges of both columns."""
+    return metrics.kendall_by_ranges(cubes.order_pair(spark, d)).select(r("kendall").alias("kendall"))
+
+
+@query(f"""WITH {F5}, g AS (SELECT k, k % 3 AS cell, y_true AS value FROM orderpair UNION ALL SELECT k, 3, y_pred FROM orderpair)
+SELECT k AS t, cell, CASE WHEN value IS NOT NULL THEN (rank() OVER (PARTITION BY cell ORDER BY value NULLS LAST) + (count(*) OVER (PARTITION BY cell, value) - 1)/2.0::DOUBLE)/(count(value) OVER (PARTITION BY cell) + 1) END AS u FROM g""")
+def ecdf_long_series(spark, d):
+    """Series of uneven length, one of as many rows as the others together, ranked by ranges of their values."""
+    pair = cubes.order_pair(spark, d)
+    short = pair.select(F.col("k").alias("t"), (F.col("k") % 3).alias("cell"), F.col("y_true").alias("value"))
+    return ecdf_by_ranges(short.unionByName(pair.select(F.col("k").alias("t"), F.lit(3).cast("long").alias("cell"), F.col("y_pred").alias("value"))))
+
+
 # ---------------------------------------------------------------- missing values
 @query(f"WITH {F5} SELECT count(*) AS n, count(y_pred) AS known, round(sqrt(avg(pow(y_pred - y_true, 2))), 4) AS rmse FROM orderpair WHERE y_pred IS NOT NULL OR y_pred IS NULL")
 def masked_pairs(spark, d):

@@ -11,9 +11,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .ranks import average_rank, joint_ranks, percentiles
 from .scalars import finite_pairs
 
+
 def _y() -> Column:
     return F.col("y_true")
 
@@ -198,6 +200,91 @@ def kendall(df: DataFrame, by: Sequence[str] = ("cell",)) -> DataFrame:
     return own.groupBy(*by).applyInPandas(tau, f"{kinds}, kendall double")
 
 
+#: Ranges of either column that one long series is cut into: one for each RANGE_PAIRS distinct pairs, MOST_RANGES at most.
+RANGE_PAIRS, MOST_RANGES = 500_000, 1024
+
+
+def ordered_pairs(x, y, n) -> int:
+    """Sum of n_a * n_b over the pairs of rows that x and y order alike, minus those they order against each other.
+
+    x, y: numpy arrays of distinct pairs, n their weights.  Runs of 64 rows are compared at once, longer ones merged.
+    """
+    import numpy as np
+
+    order = np.lexsort((y, x))
+    x, y = x[order], np.unique(y[order], return_inverse=True)[1]
+    wide = int(n.sum()) >= 1 << 31
+    n = n[order].astype(object if wide else np.int64)
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    sums, squares = np.add.reduceat(n, first), np.add.reduceat(n * n, first)
+    total = -int(((sums * sums - squares) // 2).sum())  # rows of one x, counted below as if ordered alike
+    width, rows = 64, len(x)
+    for a in range(0, rows, width):
+        v, w = y[a : a + width], n[a : a + width]
+        total += int((np.triu(np.sign(v[None, :] - v[:, None]), 1) * w[:, None] * w[None, :]).sum())
+        inside = np.argsort(v, kind="stable")
+        y[a : a + width], n[a : a + width] = v[inside], w[inside]
+    while width < rows:
+        for a in range(0, rows - width, 2 * width):
+            left, right = slice(a, a + width), slice(a + width, a + 2 * width)
+            below = np.concatenate(([0], np.cumsum(n[left])))
+            less, more = below[np.searchsorted(y[left], y[right], "left")], below[-1] - below[np.searchsorted(y[left], y[right], "right")]
+            total += int((n[right] * (less - more)).sum())
+            both = slice(a, a + 2 * width)
+            inside = np.argsort(y[both], kind="stable")
+            y[both], n[both] = y[both][inside], n[both][inside]
+        width *= 2
+    return total
+
+
+def kendall_by_ranges(df: DataFrame) -> DataFrame:
+    """One row (kendall): tau-b of one series of any length; NULL if a side is constant.
+
+    Both columns are cut into ranges.  Pairs apart in both are counted from the totals of a grid of ranges (MOST_RANGES ** 2 numbers at most);
+    pairs within a range of the one, of the other, and of both (taken off again) are counted by tasks that hold one
+    range each.  A value of very many rows is a range of its own and needs no counting: its pairs are tied.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.feature import Bucketizer
+
+    own = finite_pairs(df).groupBy(F.col("y_true").cast("double").alias("x"), F.col("y_pred").cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    own = stored(own, "pairs")
+    parts = min(MOST_RANGES, 1 + own.count() // RANGE_PAIRS)
+    shares = [k / parts for k in range(1, parts)] or [0.5]
+    cuts = own.agg(*[F.percentile_approx(c, shares, 16 * parts) for c in "xy"]).first()
+    for c, found in zip("xy", cuts, strict=True):
+        often = {v for v in found or [] if found.count(v) > 1}
+        splits = sorted({*(found or [0.0]), *(float(np.nextafter(v, np.inf)) for v in often)})
+        own = Bucketizer(splits=[-np.inf, *splits, np.inf], inputCol=c, outputCol=f"r{c}").transform(own)
+    own = stored(own, "ranges")
+    grid = own.groupBy("rx", "ry").agg(F.sum("n").alias("n")).collect()  # at most MOST_RANGES ** 2 rows, by the number of ranges
+    counts = np.zeros((1 + max((int(r["rx"]) for r in grid), default=0), 1 + max((int(r["ry"]) for r in grid), default=0)), object)
+    for r in grid:
+        counts[int(r["rx"]), int(r["ry"])] = r["n"]
+    before = np.cumsum(counts, axis=0) - counts  # of smaller x
+    upto = np.cumsum(before, axis=1)
+    total = int((counts * ((upto - before) - (upto[:, -1:] - upto))).sum())
+
+    def within(*ranges: str) -> int:
+        spans = own.groupBy(*ranges).agg(*[f(c).alias(f"{k}{c}") for c in "xy" for k, f in (("a", F.min), ("b", F.max))]).where("ax < bx and ay < by").select(*ranges)
+        some = own.join(F.broadcast(spans), list(ranges), "left_semi")  # as many rows as ranges
+
+        def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"s": [str(ordered_pairs(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["n"].to_numpy()))]})
+
+        return int(some.groupBy(*ranges).applyInPandas(counted, "s string").agg(F.coalesce(F.sum(F.col("s").cast("decimal(38,0)")), F.lit(0))).first()[0])
+
+    total += within("rx") + within("ry") - within("rx", "ry")
+    weight = F.sum("n").cast("decimal(18,0)")
+    pairs = lambda rows: int(rows.agg(F.coalesce(F.sum(F.col("w") * (F.col("w") - 1)), F.lit(0))).first()[0]) // 2
+    every = int(own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    both, tx, ty = every * (every - 1) // 2, *(pairs(own.groupBy(c).agg(weight.alias("w"))) for c in "xy")
+    tau = total / ((both - tx) * (both - ty)) ** 0.5 if both > tx and both > ty else None
+    return own.sparkSession.createDataFrame([(tau,)], "kendall double")
+
+
+
 def psnr(df: DataFrame, by: Sequence[str] = ("t",), peak: float | None = None) -> DataFrame:
     """20 log10(peak) - 10 log10(MSE) of each image; peak: largest |y_true| of the image plus 1e-6."""
     top = F.lit(peak) if peak is not None else F.max(F.abs(_y())) + 1e-6

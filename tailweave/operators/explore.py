@@ -173,6 +173,12 @@ def prepare(ecdf: DataFrame, p: float = 0.95, keep: bool = True) -> tuple[DataFr
     return hold(exceedances(ecdf, p), "exceedances"), hold(ecdf.select("cell").distinct(), "cells")
 
 
+def first_lists(edges: DataFrame, stations: DataFrame, percent: float) -> list[DataFrame]:
+    """(origin, cell) of the first two nodes: the station, and the cells whose chi with it lies above the percentile of its row."""
+    first = edges.join(stations.select(F.col("cell").alias("i")), "i", "left_semi").select(F.col("i").alias("origin"), F.col("j").alias("cell"), "chi")
+    return [stations.select(F.col("cell").alias("origin"), "cell"), image_selection(first, percent, "chi", ["origin"]).select("origin", "cell")]
+
+
 def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_max: int, lags: Sequence[int], start: int, end: int, p: float = 0.95, percent: float = 50.0, rates: Sequence[float] | None = None, seed: int = 7, keep: bool = True, prepared: tuple[DataFrame, DataFrame] | None = None) -> Exploration:
     """Chains from every station at once.  stations: cell.  edges: i, j, chi of the lagged graph, with all cells as j.
 
@@ -188,10 +194,7 @@ def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_m
     hold = stored if keep else (lambda df, _: df)
     over, cells = prepared or prepare(ecdf, p, keep)
     stormy = storms.storms(over)
-    origin = stations.select(F.col("cell").alias("origin"), "cell")
-    first = edges.join(stations.select(F.col("cell").alias("i")), "i", "left_semi").select(F.col("i").alias("origin"), F.col("j").alias("cell"), "chi")
-    lists = [origin, image_selection(first, percent, "chi", ["origin"]).select("origin", "cell")]
-    out = Exploration()
+    lists, out = first_lists(edges, stations, percent), Exploration()
     for d in range(3, d_max + 1):
         n = window_length(start, end, sum(lags[: d - 1]))
         own = [_sampled(x, rates[k], seed) for k, x in enumerate(lists)]
@@ -203,6 +206,60 @@ def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_m
     return out
 
 
+def best_by_bound(over: DataFrame, lists: Sequence[DataFrame], cells: DataFrame, lags: Sequence[int], start: int, end: int, p: float, stormy: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(best, steps): ``best_of`` all tuples without evaluating them all, and the rows (origin, path, tau) that met the last nodes.
+
+    A prefix's joint steps bound the hits of every tuple that begins with it.  The prefix with the most steps of each origin, grown node by
+    node, gives hits that the best tuple has at least; then, at every level, only prefixes with as many steps go on.
+    """
+    d = len(lists) + 1
+    n, placed = window_length(start, end, sum(lags[: d - 1])), [x for x, _ in offsets(lags, d)]
+
+    def extended(steps: DataFrame | None, k: int) -> DataFrame:
+        own = over.select((F.col("t") - placed[k]).alias("tau"), "cell").where((F.col("tau") >= start) & (F.col("tau") < end - placed[-1]))
+        here = lists[k].select("origin", "cell").join(own, "cell")
+        if steps is None:
+            return here.select("origin", F.array("cell").alias("path"), "tau")
+        sides = storms.placed(stormy, placed[:k]), storms.placed(stormy, placed[k : k + 1])
+        return storms.joined(steps, here, ["origin", "tau"], *sides, F.col("path"), F.col("cell")).select("origin", F.array_append("path", F.col("cell")).alias("path"), "tau")
+
+    def counted(steps: DataFrame) -> DataFrame:
+        return steps.groupBy("origin", "path").agg(F.count(F.lit(1)).alias("n"))
+
+    steps = None
+    for k in range(len(lists)):
+        before, grown = steps, stored(extended(steps, k), "beam")
+        first = counted(grown).groupBy("origin").agg(F.min(F.struct((-F.col("n")).alias("n"), "path")).alias("b")).select("origin", "b.path")
+        steps = stored(grown.join(first, ["origin", "path"], "left_semi"), "beam")
+        discard(before)
+        discard(grown)
+    bound = stored(met(steps, over, lags, d, stormy).groupBy("origin").agg(F.max("hits").alias("bound")), "bound")
+    discard(steps)
+    steps = None
+    for k in range(len(lists)):
+        before, grown = steps, stored(extended(steps, k), "steps")
+        may = counted(grown).join(bound, "origin", "left").where(F.col("n") >= F.coalesce("bound", F.lit(0))).select("origin", "path")
+        steps = stored(grown.join(may, ["origin", "path"], "left_semi"), "steps")
+        discard(before)
+        discard(grown)
+    return best_of(met(steps, over, lags, d, stormy), prefix_counts(lists), cells, n, p), steps
+
+
+def best_chains(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_max: int, lags: Sequence[int], start: int, end: int, p: float = 0.95, percent: float = 50.0, rates: Sequence[float] | None = None, seed: int = 7) -> DataFrame:
+    """(origin, path, hits, chi) as the best tuples of ``explore_stations`` at d_max, where its image is not needed: that d is searched by bounds."""
+    prepared = prepare(ecdf, p)
+    check_lags(list(lags), d_max)
+    rates = list(rates or [1.0] * (d_max - 1))
+    if d_max > 3:
+        found = explore_stations(ecdf, edges, stations, d_max - 1, lags, start, end, p, percent, rates, seed, prepared=prepared)
+        last = image_selection(found.steps[d_max - 1].image, percent, "chi_mean", ["origin"]).select("origin", "cell")
+        lists = [*first_lists(edges, stations, percent), *(image_selection(s.image, percent, "chi_mean", ["origin"]).select("origin", "cell") for d, s in sorted(found.steps.items()) if d < d_max - 1), last]
+    else:
+        lists = first_lists(edges, stations, percent)
+    own = [stored(_sampled(x, rates[k], seed), "nodes") for k, x in enumerate(lists)]
+    return best_by_bound(prepared[0], own, prepared[1], lags, start, end, p, storms.storms(prepared[0]))[0]
+
+
 def explore_regions(ecdf: DataFrame, members: DataFrame, centroids: DataFrame, d_max: int, lags: Sequence[int], start: int, end: int, rates: Sequence[float], p: float = 0.95, percent: float = 50.0, tolerance: float = 0.01, delta: float = 0.01, max_iter: int = 100, seed: int = 7, order: Column | None = None) -> Exploration:
     """Chains of clusters with growing samples; each cluster stops by itself once its mean image moves by at most ``tolerance``.
 

@@ -1,7 +1,7 @@
 """Lagged dependence graphs: sparse joint exceedance counts for every ordered pair of cells.
 
 Only rows at or above the threshold reach the join, so its size follows (cells * (1 - p))^2 per step instead of
-cells^2.  Steps with many simultaneous extremes can be dealt out over ``salt`` copies of the earlier side.
+cells^2.  Steps with very many simultaneous extremes are dealt out as a grid (``storms``); ``salt`` deals all steps over copies of the earlier side instead.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import check_lag, check_share, window_length
+from . import storms
 from .tail import exceeds, theta
 
 
@@ -31,7 +32,9 @@ def joint_hits(ecdf: DataFrame, lag: int, start: int, end: int, p: float, rows:
         late = late.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(salt)))
         early = early.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)).cast("array<bigint>")))
         keys.append("salt")
-    return late.join(early, keys).groupBy("i", "j").agg(F.count(F.lit(1)).alias("hits"))
+    stormy = storms.storms(over) if salt == 1 else None
+    sides = storms.placed(stormy, [lag]), storms.placed(stormy, [0])
+    return storms.joined(late, early, keys, *sides, F.col("i"), F.col("j")).groupBy("i", "j").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def pair_domain(cells: DataFrame, rows: DataFrame | None = None) -> DataFrame:

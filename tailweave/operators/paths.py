@@ -5,27 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.heavy import met
+from ..functions.ranks import group_percentiles
 from ..schema import check_percent, check_share
+from ..storage import stored
 
 
-def top_neighbors(edges: DataFrame, q: float = 0.99, strict: bool = False, value: str = "chi") -> DataFrame:
+def limited_by_ranges(rows: DataFrame, value: str, by: list[str], share: float) -> DataFrame:
+    """rows with __limit, their group's percentile, where a group may be too long for one task."""
+    limits = stored(group_percentiles(rows, value, by, share), "limits")
+    total = limits.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return met(rows, limits.withColumnRenamed("n", "__n").withColumnRenamed("limit", "__limit"), by, "__n", total).drop("__n")
+
+
+def top_neighbors(edges: DataFrame, q: float = 0.99, strict: bool = False, value: str = "chi", by_ranges: bool = False) -> DataFrame:
     """(i, j, chi) with chi >= the row's q-percentile (linear interpolation); strict: above it.
 
-    One shuffle by i: threshold and selection share it.  A zero threshold keeps the whole row unless strict.
+    One shuffle by i: threshold and selection share it; by_ranges: no task holds a whole row of the graph.  A zero threshold keeps the
+    whole row unless strict.
     """
     check_share(q)
+    if by_ranges:
+        limited = limited_by_ranges(edges, value, ["i"], q)
+        return limited.where(F.col(value) > F.col("__limit") if strict else F.col(value) >= F.col("__limit")).select("i", "j", F.col(value).alias("chi"))
     limit = F.percentile(value, F.lit(q)).over(Window.partitionBy("i"))
     keep = F.col(value) > F.col("__limit") if strict else F.col(value) >= F.col("__limit")
     return edges.withColumn("__limit", limit).where(keep).select("i", "j", F.col(value).alias("chi"))
 
 
-def image_selection(image: DataFrame, percent: float, value: str = "chi_mean", by: list[str] | None = None) -> DataFrame:
+def image_selection(image: DataFrame, percent: float, value: str = "chi_mean", by: list[str] | None = None, by_ranges: bool = False) -> DataFrame:
     """Rows whose value lies above the image's percentile (0-100 scale: 0.99 is the 0.99th, not the 99th).
 
-    ``by``: one image for each value of these columns.  NULL values neither count nor stay.
+    ``by``: one image for each value of these columns; by_ranges: no task holds a whole image.  NULL values neither count nor stay.
     """
     check_percent(percent)
     known = image.where(F.col(value).isNotNull())
+    if by and by_ranges:
+        return limited_by_ranges(known, value, by, percent / 100).where(F.col(value) > F.col("__limit")).drop("__limit")
     limit = F.percentile(value, F.lit(percent / 100))
     if by:
         limited = known.withColumn("__limit", limit.over(Window.partitionBy(*by)))  # one shuffle by image

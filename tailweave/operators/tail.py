@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import ecdf_column, joint_ranks, percentiles
+from ..functions.ranks import ecdf_column, joint_ranks, known, percentiles
 from ..schema import check_share
 
 
@@ -59,11 +59,11 @@ def theta(mean_difference: Column) -> Column:
 
 
 def madogram(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """theta of two raw columns over the rows where both are known; ``by``: one for each group, ranked by itself."""
+    """theta of two raw columns over the rows where both are known (neither NULL nor NaN), which alone are ranked; ``by``: one for each group, ranked by itself."""
     if not by:
         pairs = joint_ranks(df, x, y)
         apart = F.sum(F.abs(F.col("rx") - F.col("ry")) * F.col("n")) / F.max("total") / (F.max("total") + 1)
         return pairs.agg(theta(apart).alias("theta"))
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
+    both = df.where(known(x).isNotNull() & known(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
     ranked = both.select(*by, ecdf_column("x", by).alias("fx"), ecdf_column("y", by).alias("fy"))
     return ranked.groupBy(*by).agg(theta(F.avg(F.abs(F.col("fx") - F.col("fy")))).alias("theta"))

@@ -686,3 +686,91 @@ def DataFrame_join(seen):
         return real(self, other, on, how)
 
     return join
+
+
+def test_nan_is_null_in_ranks_and_madogram(spark):
+    from tailweave.functions import ranks
+
+    rng = np.random.default_rng(8)
+    clean = [(k % 2, float(x), float(y)) for k, (x, y) in enumerate(rng.random((200, 2)))]
+    for hole in (math.nan, None):
+        dirty = [*clean, *[(k % 2, float(x), hole) for k, x in enumerate(rng.random(50))], *[(k % 2, hole, 0.5) for k in range(9)]]
+        a, b = (spark.createDataFrame(x, "g long, x double, y double") for x in (clean, dirty))
+        assert tail.madogram(a, "x", "y").first()[0] == pytest.approx(tail.madogram(b, "x", "y").first()[0])
+        by = [{r["g"]: pytest.approx(r["theta"]) for r in tail.madogram(df, "x", "y", ["g"]).collect()} for df in (a, b)]
+        assert by[0] == by[1]
+        u = ecdf(spark.createDataFrame([(k, 0, v) for k, v in enumerate([1.0, 2.0, hole, None])], "t long, cell long, value double"))
+        assert [r["u"] for r in u.orderBy("t").collect()] == [pytest.approx(1 / 3), pytest.approx(2 / 3), None, None]
+        u = ranks.ecdf_by_ranges(spark.createDataFrame([(k, 0, v) for k, v in enumerate([1.0, 2.0, hole, None])], "t long, cell long, value double"))
+        assert [r["u"] for r in u.orderBy("t").collect()] == [pytest.approx(1 / 3), pytest.approx(2 / 3), None, None]
+
+
+def test_long_series_among_many(spark, monkeypatch):
+    """One series has most rows, and most of those one value; places and percentiles come from ranges."""
+    from tailweave.functions import heavy, ranks
+
+    monkeypatch.setattr(ranks, "LONG", 50)
+    monkeypatch.setattr(ranks, "SERIES_RANGES", 8)
+    monkeypatch.setattr(heavy, "LEAST_HEAVY", 10)
+    rng = np.random.default_rng(2)
+    rows = [(0, float(v)) for v in rng.integers(0, 400, 900)] + [(0, 7.0)] * 900 + [(c, float(v)) for c in range(1, 6) for v in rng.integers(0, 9, 30)] + [(3, None), (0, math.nan)]
+    cube = spark.createDataFrame([(t, *r) for t, r in enumerate(rows)], "t long, cell long, value double")
+    want = {(r["t"], r["cell"]): r["u"] and pytest.approx(r["u"]) for r in ecdf(cube).collect()}
+    assert {(r["t"], r["cell"]): r["u"] for r in ranks.ecdf_by_ranges(cube).collect()} == want
+    cut = ranks.placed_by_series(cube, "value", ["cell"])
+    assert cut.where("cell = 0").count() > 50 and cut.count() == cube.where("value is not null and not isnan(value)").select("cell", "value").distinct().count()
+    got = {r["cell"]: (r["n"], r["limit"]) for r in ranks.group_percentiles(cube, "value", ["cell"], 0.83).collect()}
+    for c in range(6):
+        own = [v for k, v in rows if k == c and v is not None and not math.isnan(v)]
+        assert got[c] == (len(own), pytest.approx(np.quantile(own, 0.83)))
+    edges = cube.where("value is not null and not isnan(value)").select(F.col("cell").alias("i"), F.col("t").alias("j"), F.col("value").alias("chi"))
+    for strict in (False, True):
+        one, two = ({tuple(r) for r in paths.top_neighbors(edges, 0.9, strict, by_ranges=x).collect()} for x in (False, True))
+        assert one == two
+    image = edges.withColumnRenamed("i", "origin")
+    assert {tuple(r) for r in paths.image_selection(image, 40, "chi", ["origin"]).collect()} == {tuple(r) for r in paths.image_selection(image, 40, "chi", ["origin"], by_ranges=True).collect()}
+
+
+@pytest.mark.parametrize("pairs", [10, 100_000])
+def test_kendall_of_one_long_series(spark, monkeypatch, pairs):
+    monkeypatch.setattr(metrics, "RANGE_PAIRS", pairs)
+    rng = np.random.default_rng(pairs)
+    x, y = rng.integers(0, 40, 400).astype(float), rng.normal(size=400).round(1)
+    y[::3] += x[::3] / 10
+    x[:130], y[100:220] = 5.0, 0.3  # one value of either column in a third of all rows
+    con = dis = ty = tp = 0
+    for i in range(400):
+        for j in range(i):
+            a, b = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
+            con, dis, ty, tp = con + (a * b > 0), dis + (a * b < 0), ty + (a == 0), tp + (b == 0)
+    n = 400 * 399 // 2
+    frame = pair_frame(spark, [*x, math.nan, None], [*y, 1.0, 2.0])
+    assert metrics.kendall_by_ranges(frame).first()[0] == pytest.approx((con - dis) / math.sqrt((n - ty) * (n - tp)))
+    assert metrics.kendall_by_ranges(pair_frame(spark, [1, 1], [1, 2])).first()[0] is None
+    assert metrics.kendall_by_ranges(pair_frame(spark, [], [])).first()[0] is None
+
+
+def test_ordered_pairs_of_large_weights():
+    rng = np.random.default_rng(1)
+    rows = sorted({(int(a), int(b)) for a, b in rng.integers(0, 30, (300, 2))})
+    x, y = (np.array(c, float) for c in zip(*rows, strict=True))
+    for scale in (1, 10**9):
+        n = rng.integers(1, 5, len(rows)) * scale
+        want = sum(int(n[i]) * int(n[j]) * int(np.sign((x[i] - x[j]) * (y[i] - y[j]))) for i in range(len(rows)) for j in range(i))
+        assert metrics.ordered_pairs(x, y, n) == want
+
+
+def test_best_tuples_by_bound(spark, rain, ranked):
+    """Same best tuples, fewer rows that meet the last node."""
+    cube = cube_of(spark, rain)
+    u = ecdf(cube).cache()
+    cells = cube.select("cell").distinct()
+    edges = graph.lag_graph(u, cells, 1, 0, 149, 0.8)
+    for d, lags in ((3, [1, 2]), (4, [1, 2, 1])):
+        found = explore.explore_stations(u, edges, cells, d, lags, 0, 149, 0.8, 30)
+        want = {r["origin"]: (r["path"], r["hits"]) for r in found.steps[d].best.collect()}
+        assert {r["origin"]: (r["path"], r["hits"]) for r in explore.best_chains(u, edges, cells, d, lags, 0, 149, 0.8, 30).collect()} == want
+        over, every = explore.prepare(u, 0.8)
+        best, steps = explore.best_by_bound(over, found.steps[d].lists, every, lags, 0, 149, 0.8)
+        assert {r["origin"]: (r["path"], r["hits"]) for r in best.collect()} == want
+        assert 0 < steps.count() < explore.joint_steps(over, found.steps[d].lists, lags, 0, 149).count()

@@ -36,7 +36,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, name: str) -> None:
+def remove(spark: SparkSession, name: str) -> None:
+    """Delete a file or folder of any file system that Spark knows."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -46,10 +47,10 @@ def discard(df: DataFrame | None) -> None:
     path = getattr(df, "stored_at", None)
     if path in _written:
         _written.remove(path)
-        _delete(df.sparkSession, path)
+        remove(df.sparkSession, path)
 
 
 def clear_stored(spark: SparkSession) -> None:
     """Delete all that this process has stored, once its results are written and no DataFrame needs it any more."""
     while _written:
-        _delete(spark, _written.pop())
+        remove(spark, _written.pop())

@@ -248,6 +248,15 @@ def folder_models(spark, d):
     return found
 
 
+@query(f"WITH {ALL3}, s AS (SELECT range AS origin FROM range(25)) SELECT '1_2' AS run_name, s.origin, coalesce(b, s.origin) AS b, coalesce(c, s.origin) AS c FROM s LEFT JOIN best ON best.origin = s.origin")
+def resumed_models(spark, d):
+    """A model stored part by part, and once more: the second call finds every part in the ledger."""
+    folder = scratch(spark)
+    for _ in range(2):
+        pipelines.build_resumable(weekly(spark, d), 5, [[1, 2]], 0, W_END, folder, parts=2)
+    return pipelines.load_relations(spark, folder)["chains"].select("run_name", "origin", F.col("path")[1].alias("b"), F.col("path")[2].alias("c"))
+
+
 @query(f"WITH {F2} SELECT 'year=' || (1995 + t // 52) AS part, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM weekly GROUP BY 1")
 def folder_scan(spark, d):
     """All files below a folder, each row with the file it came from; another kind of file is passed over."""

@@ -23,23 +23,54 @@ from .lags import offsets
 from .paths import image_selection
 
 
+@dataclass
+class Cubes:
+    """Several cubes in one plan: cube k has the cells from k * cells_each on, its steps are moved by k * steps_each, and its window is [0, ends[k])."""
+
+    cells_each: int
+    steps_each: int
+    ends: list[int]
+
+    def of(self, cell: str) -> Column:
+        return F.expr(f"{cell} div {self.cells_each}").cast("int")
+
+    def windowed(self, table: DataFrame) -> DataFrame:
+        """The rows (t, cell) of each cube's own window: what starts and ends in it needs no other limits."""
+        end = F.element_at(F.array(*map(F.lit, self.ends)), self.of("cell") + 1)
+        return table.where(F.col("t") - self.of("cell") * F.lit(self.steps_each) < end)
+
+    def steps(self, cell: str, total: int) -> Column:
+        """Aligned steps of a cell's cube."""
+        for end in self.ends:
+            window_length(0, end, total)
+        return F.element_at(F.array(*[F.lit(end - total) for end in self.ends]), self.of(cell) + 1)
+
+
+def beside(rows: DataFrame, cells: DataFrame, cubes: Cubes | None = None) -> DataFrame:
+    """Every row with every cell (of its own cube): dense results have this size by definition."""
+    if cubes is None:
+        return rows.crossJoin(cells.select("cell"))
+    return rows.withColumn("__cube", cubes.of("origin")).join(cells.select("cell", cubes.of("cell").alias("__cube")), "__cube").drop("__cube")
+
+
 @dataclass
 class Step:
     """What one d found."""
 
     d: int
-    n: int
+    n: int | Column
     p: float
     lists: list[DataFrame]  # (origin, cell) of each node but the last
     cells: DataFrame
     hits: DataFrame  # origin, path, hits: the tuples that meet
     image: DataFrame  # origin, cell, count, chi_mean, chi_var
     best: DataFrame  # origin, path, hits, chi
+    cubes: Cubes | None = None
 
     @property
     def combos(self) -> DataFrame:
         """(origin, path, hits, chi) of every tuple, those that never meet too: the product of the lists and all cells."""
-        every = tuples([*self.lists, None], self.cells)
+        every = beside(tuples(self.lists), self.cells, self.cubes).select("origin", F.array_append("path", F.col("cell")).alias("path"))
         out = every.join(self.hits, ["origin", "path"], "left").select("origin", "path", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
         return out.withColumn("chi", chi_of(F.col("hits"), self.n, self.p))
 
@@ -77,12 +108,11 @@ def joint_steps(over: DataFrame, lists: Sequence[DataFrame], lags: Sequence[int]
     return out
 
 
-def tuples(lists: Sequence[DataFrame | None], cells: DataFrame | None = None) -> DataFrame:
-    """(origin, path): the product of the node lists of each origin; None stands for all cells."""
+def tuples(lists: Sequence[DataFrame]) -> DataFrame:
+    """(origin, path): the product of the node lists of each origin."""
     out = lists[0].select("origin", F.array("cell").alias("path"))
     for nodes in lists[1:]:
-        out = out.crossJoin(cells.select("cell")) if nodes is None else out.join(nodes.select("origin", "cell"), "origin")
-        out = out.select("origin", F.array_append("path", F.col("cell")).alias("path"))
+        out = out.join(nodes.select("origin", "cell"), "origin").select("origin", F.array_append("path", F.col("cell")).alias("path"))
     return out
 
 
@@ -121,19 +151,20 @@ def sums_of(hits: DataFrame) -> DataFrame:
     return hits.groupBy("origin", F.element_at("path", -1).alias("cell")).agg(F.sum("hits").alias("s"), F.sum(F.col("hits") * F.col("hits")).alias("q"))
 
 
-def image_of(sums: DataFrame, counts: DataFrame, cells: DataFrame, n: int, p: float) -> DataFrame:
+def image_of(sums: DataFrame, counts: DataFrame, cells: DataFrame, n: int | Column, p: float, cubes: Cubes | None = None) -> DataFrame:
     """Count, mean and population variance of chi by origin and last cell, from integer sums; tuples that never meet count with 0."""
-    every = counts.select("origin", "count").crossJoin(cells.select("cell"))  # the image itself has this size
+    every = beside(counts.select("origin", "count"), cells, cubes)  # the image itself has this size
     full = every.join(sums, ["origin", "cell"], "left").select("origin", "cell", "count", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("s", "q")])
     mean = F.col("s") / F.col("count") / F.lit(n) / (1 - p)
     var = (F.col("count") * F.col("q") - F.col("s") * F.col("s")) / (F.col("count") * F.col("count")) / F.pow(F.lit(n) * (1 - p), F.lit(2))
     return full.select("origin", "cell", "count", "s", "q", mean.alias("chi_mean"), var.alias("chi_var"))
 
 
-def best_of(hits: DataFrame, counts: DataFrame, cells: DataFrame, n: int, p: float) -> DataFrame:
+def best_of(hits: DataFrame, counts: DataFrame, cells: DataFrame, n: int | Column, p: float, cubes: Cubes | None = None) -> DataFrame:
     """The tuple with the most hits of each origin; ties, and origins whose tuples never meet, go to the first in product order."""
     most = hits.groupBy("origin").agg(F.min(F.struct((-F.col("hits")).alias("h"), "path")).alias("b")).select("origin", "b.path", (-F.col("b.h")).alias("hits"))
-    none = counts.crossJoin(F.broadcast(cells.agg(F.min("cell").alias("cell"))))  # one row
+    first = cells.groupBy(*([cubes.of("cell").alias("c")] if cubes else [])).agg(F.min("cell").alias("cell")).select("cell")  # one row a cube
+    none = beside(counts, F.broadcast(first), cubes)
     out = none.join(most, "origin", "left").select("origin", F.coalesce("path", F.array_append("first", F.col("cell"))).alias("path"), F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
     return out.withColumn("chi", chi_of(F.col("hits"), n, p))
 
@@ -179,12 +210,12 @@ def first_lists(edges: DataFrame, stations: DataFrame, percent: float) -> list[D
     return [stations.select(F.col("cell").alias("origin"), "cell"), image_selection(first, percent, "chi", ["origin"]).select("origin", "cell")]
 
 
-def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_max: int, lags: Sequence[int], start: int, end: int, p: float = 0.95, percent: float = 50.0, rates: Sequence[float] | None = None, seed: int = 7, keep: bool = True, prepared: tuple[DataFrame, DataFrame] | None = None) -> Exploration:
+def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_max: int, lags: Sequence[int], start: int, end: int, p: float = 0.95, percent: float = 50.0, rates: Sequence[float] | None = None, seed: int = 7, keep: bool = True, prepared: tuple[DataFrame, DataFrame] | None = None, cubes: Cubes | None = None) -> Exploration:
     """Chains from every station at once.  stations: cell.  edges: i, j, chi of the lagged graph, with all cells as j.
 
     Node lists: the station; cells whose chi with it lies above the percentile (0-100 scale) of its row; for
     larger d the cells above the percentile of the image before.  ``rates[k]``: share of list k that is sampled (default 1).
-    A list that comes out empty ends a station's search there.
+    A list that comes out empty ends a station's search there.  cubes: ecdf holds several, each of which is searched by itself.
     """
     check_lags(list(lags), d_max)
     check_percent(percent)
@@ -196,12 +227,12 @@ def explore_stations(ecdf: DataFrame, edges: DataFrame, stations: DataFrame, d_m
     stormy = storms.storms(over)
     lists, out = first_lists(edges, stations, percent), Exploration()
     for d in range(3, d_max + 1):
-        n = window_length(start, end, sum(lags[: d - 1]))
+        n = cubes.steps("origin", sum(lags[: d - 1])) if cubes else window_length(start, end, sum(lags[: d - 1]))
         own = [_sampled(x, rates[k], seed) for k, x in enumerate(lists)]
         counts = hold(prefix_counts(own), f"prefixes-{d}")
         hits = hold(evaluate(over, own, lags, start, end, stormy), f"hits-{d}")
-        image = hold(image_of(sums_of(hits), counts, cells, n, p), f"image-{d}")
-        out.steps[d] = Step(d, n, p, own, cells, hits, image, best_of(hits, counts, cells, n, p))
+        image = hold(image_of(sums_of(hits), counts, cells, n, p, cubes), f"image-{d}")
+        out.steps[d] = Step(d, n, p, own, cells, hits, image, best_of(hits, counts, cells, n, p, cubes), cubes)
         lists.append(image_selection(image, percent, "chi_mean", ["origin"]).select("origin", "cell"))
     return out
 

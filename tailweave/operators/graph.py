@@ -6,7 +6,7 @@ cells^2.  Steps with very many simultaneous extremes are dealt out as a grid (``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import check_lag, check_share, window_length
@@ -43,14 +43,14 @@ def pair_domain(cells: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     return rows.select(F.col("cell").alias("i")).crossJoin(cells.select(F.col("cell").alias("j")))
 
 
-def lag_graph(ecdf: DataFrame, cells: DataFrame, lag: int, start: int, end: int, p: float = 0.95, rows: DataFrame | None = None, prune_below: float | None = None, full: bool = True, salt: int = 1) -> DataFrame:
-    """edge(i, j, hits, n, chi).  rows: the land cells (default all).  full=False leaves out pairs without a hit.
+def lag_graph(ecdf: DataFrame, cells: DataFrame, lag: int, start: int, end: int, p: float = 0.95, rows: DataFrame | None = None, prune_below: float | None = None, full: bool = True, salt: int = 1, domain: DataFrame | None = None, steps: Column | None = None) -> DataFrame:
+    """edge(i, j, hits, n, chi).  domain: the pairs of the dense graph, where they are not all; steps: n by i, where it differs.  rows: the land cells (default all).  full=False leaves out pairs without a hit.
 
     prune_below sets smaller chi to 0.  Non-land rows are not part of the result (they are zero by definition).
     """
-    n = window_length(start, end, lag)
+    n = window_length(start, end, lag) if steps is None else steps
     hits = joint_hits(ecdf, lag, start, end, p, rows, salt)
-    out = pair_domain(cells, rows).join(hits, ["i", "j"], "left") if full else hits
+    out = (pair_domain(cells, rows) if domain is None else domain).join(hits, ["i", "j"], "left") if full else hits
     hits_ = F.coalesce("hits", F.lit(0))
     chi = hits_ / F.lit(n) / (1 - p)
     if prune_below is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,20 +61,20 @@ def _grid_of(edges: DataFrame, width: int) -> tuple[Column, Column, Column, Colu
     return F.expr(f"i div {width}"), F.col("i") % width, F.expr(f"j div {width}"), F.col("j") % width
 
 
-def flow_vectors(selected: DataFrame, width: int) -> DataFrame:
+def flow_vectors(selected: DataFrame, width: int, by: Sequence[str] = ()) -> DataFrame:
     """path(i, i_c, j_c, u, v, max_chi) over the selected links of each cell.
 
     The centre is the mean position weighted by chi; the vector points from it to the cell, rows counted
-    upwards.  A row whose weights sum to 0 has NULL everywhere.
+    upwards.  A row whose weights sum to 0 has NULL everywhere.  ``by`` keeps graphs apart.
     """
     _, _, row, col = _grid_of(selected, width)
-    agg = selected.withColumn("r", row).withColumn("c", col).groupBy("i").agg(
+    agg = selected.withColumn("r", row).withColumn("c", col).groupBy(*by, "i").agg(
         F.nullif(F.sum("chi"), F.lit(0.0)).alias("w"), F.sum(F.col("r") * F.col("chi")).alias("wr"), F.sum(F.col("c") * F.col("chi")).alias("wc"), F.avg("chi").alias("m"), F.max("chi").alias("x")
     )
     i_c, j_c = F.col("wr") / F.col("w"), F.col("wc") / F.col("w")
     known = F.col("w").isNotNull()
     return agg.select(
-        "i", i_c.alias("i_c"), j_c.alias("j_c"), ((F.col("i") % width - j_c) * F.col("m")).alias("u"),
+        *by, "i", i_c.alias("i_c"), j_c.alias("j_c"), ((F.col("i") % width - j_c) * F.col("m")).alias("u"),
         ((i_c - F.expr(f"i div {width}")) * F.col("m")).alias("v"), F.when(known, F.col("x")).alias("max_chi"),
     )
 

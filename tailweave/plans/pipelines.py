@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -16,9 +19,9 @@ from ..operators import explore, graph, paths, puzzle
 from ..operators.lags import sequence_pairs
 from ..operators.selection import positional_split
 from ..schema import require
-from ..sources.cubes import read_cube, read_folder
+from ..sources.cubes import read_folder
 from ..sources.sinks import append_runs
-from ..storage import stored
+from ..storage import move, remove, stored
 
 
 @dataclass
@@ -72,6 +75,7 @@ def build_models(cube: DataFrame, width: int, lag_lists: Sequence[Sequence[int]]
     return out
 
 
+RUN_COLUMNS = "lags array<int>, d int, rates array<double>, p double, q double, percent double, start long, end long"
 #: Relations of a saved model; points only where a grid was given.
 SAVED = ("edges", "top", "flow", "best", "image", "chains", "runs")
 
@@ -86,9 +90,8 @@ def save_models(models: dict[str, Model], folder: str, grid: DataFrame | None =
         for d, step in sorted(m.found.steps.items()):
             own = step.image.withColumn("d", F.lit(d))
             images = own if images is None else images.unionByName(own)
-        kinds = "lags array<int>, d int, rates array<double>, p double, q double, percent double, start long, end long"
         x = m.settings
-        runs = m.edges.sparkSession.createDataFrame([(m.lags, x["d"], x["rates"], x["p"], x["q"], x["percent"], x["start"], x["end"])], kinds)
+        runs = m.edges.sparkSession.createDataFrame([(m.lags, x["d"], x["rates"], x["p"], x["q"], x["percent"], x["start"], x["end"])], RUN_COLUMNS)
         relations = {"edges": m.edges, "top": m.top, "flow": m.flow, "best": m.found.steps[max(m.found.steps)].best, "image": images, "chains": m.chains, "runs": runs}
         if grid is not None:
             nodes = m.chains.select("origin", F.posexplode("path").alias("k", "cell"))
@@ -118,20 +121,111 @@ def load_merged(spark: SparkSession, folders: Sequence[str], relation: str = "ch
     return both.join(newest, ["run_name", "__source"]).drop("__source")
 
 
-def build_folder(spark: SparkSession, folder: str, width: int, lag_lists: Sequence[Sequence[int]], out: str, suffix: str = ".parquet", **options) -> list[str]:
-    """Models of every cube in a folder, each saved under its name; returns the names.  A cube is a file, or a folder of files, with the suffix."""
-    found = read_folder(spark, folder, suffix).select("source_file").distinct().collect()  # one row a file
-    files = sorted({r[0].split(suffix + "/")[0] + (suffix if suffix + "/" in r[0] else "") for r in found})
-    names = []
-    for file in files:
-        name = file.rsplit("/", 1)[-1].removesuffix(suffix)
-        cube = stored(read_cube(spark, file), "cube")
-        last = cube.agg(F.max("t")).first()[0]
-        save_models(build_models(cube, width, lag_lists, 0, last, **options), f"{out}/{name}")
-        names.append(name)
+def build_folder(spark: SparkSession, folder: str, width: int, lag_lists: Sequence[Sequence[int]], out: str, suffix: str = ".parquet", d: int = 3, p: float = 0.95, q: float = 0.9, percent: float = 50.0, rates: Sequence[float] | None = None) -> list[str]:
+    """Models of every cube below a folder, all in one plan; returns their names.  A cube is a file, or a folder of files, with the suffix.
+
+    A cube's name is its path below the folder, so equal names in two sub-folders stay apart.  Each cube's window is [0, its last step).  Each has
+    a folder of the relations of ``save_models`` under its name; the number of jobs does not depend on the number of cubes.
+    """
+    base = folder.rstrip("/").split("://")[-1].removeprefix("file:")
+    rows = read_folder(spark, folder, suffix)
+    rows = rows.withColumn("cube", F.regexp_extract("source_file", rf"{re.escape(base)}/(.+?){re.escape(suffix)}(/|$)", 1))
+    value = F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double"))
+    rows = stored(rows.select("cube", F.col("t").cast("bigint").alias("t"), F.col("cell").cast("bigint").alias("cell"), value.alias("value")), "cubes")
+    each = sorted(tuple(r) for r in rows.groupBy("cube").agg(F.max("t"), F.max("cell")).collect())  # one row a cube
+    names = [name for name, _, _ in each]
+    cubes = explore.Cubes(width * -(-(1 + max(c for _, _, c in each)) // width), 1 + max(t for _, t, _ in each) + max(map(sum, lag_lists)), [t for _, t, _ in each])
+    number = F.broadcast(spark.createDataFrame(list(enumerate(names)), "__k long, cube string"))  # one row a cube
+    moved = rows.join(number, "cube").select((F.col("t") + F.col("__k") * cubes.steps_each).alias("t"), (F.col("cell") + F.col("__k") * cubes.cells_each).alias("cell"), "value")
+    ranks = stored(ecdf(moved), "ecdf")
+    over, cells = explore.prepare(ranks, p)
+    over, end = stored(cubes.windowed(over), "exceedances"), len(names) * cubes.steps_each
+    pairs = explore.beside(cells.select(F.col("cell").alias("origin")), cells, cubes).select(F.col("origin").alias("i"), F.col("cell").alias("j"))
+    settings = {"d": d, "rates": [float(x) for x in rates or [1.0] * (d - 1)], "p": p, "q": q, "percent": float(percent)}
+    back = lambda c: F.col(c) % cubes.cells_each
+    edges = {}
+    for lags in lag_lists:
+        if lags[0] not in edges:
+            seen = cubes.windowed(ranks)
+            edges[lags[0]] = stored(graph.lag_graph(seen, cells, lags[0], 0, end, p, domain=pairs, steps=cubes.steps("i", lags[0])), "edges")
+        own = edges[lags[0]]
+        found = explore.explore_stations(ranks, own, cells, d, lags, 0, end, p, percent, rates, prepared=(over, cells), cubes=cubes)
+        last = found.steps[d].best
+
+        def told(df: DataFrame, key: str, *ids: str, path: bool = False) -> DataFrame:
+            """df with its cube's name, and the ids that its own cube gave."""
+            out = df.withColumn("__k", F.expr(f"{key} div {cubes.cells_each}")).withColumns({c: back(c) for c in ids})
+            out = out.withColumn("path", F.transform("path", lambda x: x % cubes.cells_each)) if path else out
+            return out.join(number, "__k").drop("__k")
+
+        top = told(paths.top_neighbors(own, q), "i", "i", "j")
+        images = reduce(DataFrame.unionByName, [step.image.withColumn("d", F.lit(k)) for k, step in sorted(found.steps.items())])
+        runs = spark.createDataFrame([(name, list(lags), settings["d"], settings["rates"], p, q, settings["percent"], 0, last_) for name, last_ in zip(names, cubes.ends, strict=True)], f"cube string, {RUN_COLUMNS}")
+        relations = {
+            "edges": told(own, "i", "i", "j"), "top": top, "flow": paths.flow_vectors(top, width, ["cube"]), "best": told(last, "origin", "origin", path=True),
+            "image": told(images, "origin", "origin", "cell"), "chains": told(explore.best_or_self(cells, last, d), "origin", "origin", path=True), "runs": runs,
+        }
+        key, staged = "_".join(map(str, lags)), f"{out.rstrip('/')}/_building-{uuid.uuid4().hex}"
+        for name, df in relations.items():
+            df.join(number, "cube").drop("cube").write.partitionBy("__k").parquet(f"{staged}/{name}")
+        for k, cube in enumerate(names):  # no jobs, renames only
+            for name in relations:
+                move(spark, f"{staged}/{name}/__k={k}", f"{out}/{cube}/{name}/run_name={key}")
+        remove(spark, staged)
     return names
 
 
+def build_resumable(cube: DataFrame, width: int, lag_lists: Sequence[Sequence[int]], start: int, end: int, folder: str, parts: int = 8, d: int = 3, p: float = 0.95, q: float = 0.9, percent: float = 50.0, rates: Sequence[float] | None = None, land: DataFrame | None = None) -> list[tuple[str, int]]:
+    """The models of ``build_models``, stored part by part with a ledger; returns the (run, part) pairs that this call built.
+
+    A part is a range of hashed origins.  Its relations replace what an earlier try left of it, and then one row in the ledger says that it is whole;
+    a call after a broken one leaves out what the ledger has with the same settings.  Read it with ``load_relations``.
+    """
+    spark = cube.sparkSession
+    ranks = stored(ecdf(cube), "ecdf")
+    prepared = explore.prepare(ranks, p)
+    rows = land if land is not None else prepared[1]
+    settings = {"d": d, "rates": [float(x) for x in rates or [1.0] * (d - 1)], "p": p, "q": q, "percent": float(percent), "start": start, "end": end, "parts": parts}
+    wanted = [("_".join(map(str, lags)), list(lags), part) for lags in lag_lists for part in range(parts)]
+    done, built = finished(spark, folder, json.dumps(settings, sort_keys=True)), []
+    part_of = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    edges = {}
+    for key, lags, part in wanted:
+        if (key, part) in done:
+            continue
+        if lags[0] not in edges:
+            edges[lags[0]] = stored(graph.lag_graph(ranks, prepared[1], lags[0], start, end, p, rows), "edges")
+        stations = rows.where(part_of("cell") == part).select("cell")
+        own = edges[lags[0]].where(part_of("i") == part)
+        found = explore.explore_stations(ranks, own, stations, d, lags, start, end, p, percent, rates, prepared=prepared)
+        top = paths.top_neighbors(own, q)
+        x = settings
+        relations = {
+            "edges": own, "top": top, "flow": paths.flow_vectors(top, width), "best": found.steps[d].best, "chains": explore.best_or_self(stations, found.steps[d].best, d),
+            "image": reduce(DataFrame.unionByName, [step.image.withColumn("d", F.lit(k)) for k, step in sorted(found.steps.items())]),
+            "runs": spark.createDataFrame([(lags, x["d"], x["rates"], x["p"], x["q"], x["percent"], x["start"], x["end"])], RUN_COLUMNS),
+        }
+        for name, df in relations.items():
+            df.write.mode("overwrite").parquet(f"{folder}/{name}/run_name={key}/part={part}")
+        spark.createDataFrame([(key, part, json.dumps(settings, sort_keys=True))], LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{folder}/ledger/{key}-{part}")
+        built.append((key, part))
+    return built
+
+
+LEDGER = "run string, number int, settings string"
+
+
+def finished(spark: SparkSession, folder: str, settings: str) -> set[tuple[str, int]]:
+    """The (run, part) pairs that a folder's ledger calls whole under these settings: one row each."""
+    try:
+        rows = spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(f"{folder}/ledger").where(F.col("settings") == settings).collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return set()
+    return {(r["run"], r["number"]) for r in rows}
+
+
 def predict(chains: DataFrame, cube: DataFrame, lag: int, first: int, last: int, every: int = 1, value: str = "value") -> DataFrame:
     """Persistence forecast for steps first to last (both included), as means over ``every`` steps if more than 1."""
     own = puzzle.persistence(chains, cube, lag, value).where(F.col("t").between(first, last))

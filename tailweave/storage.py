@@ -42,6 +42,17 @@ def remove(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def move(spark: SparkSession, name: str, to: str) -> None:
+    """Rename a folder; one that has the new name is replaced.  Nothing happens if it is not there."""
+    source, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (name, to))
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(source):
+        files.delete(target, True)
+        files.mkdirs(target.getParent())
+        if not files.rename(source, target):
+            raise OSError(f"{name} can't be renamed to {to}")
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete what ``stored`` wrote for df, once no plan reads it any more: the rounds of a loop leave only their last table."""
     path = getattr(df, "stored_at", None)

@@ -774,3 +774,63 @@ def test_best_tuples_by_bound(spark, rain, ranked):
         best, steps = explore.best_by_bound(over, found.steps[d].lists, every, lags, 0, 149, 0.8)
         assert {r["origin"]: (r["path"], r["hits"]) for r in best.collect()} == want
         assert 0 < steps.count() < explore.joint_steps(over, found.steps[d].lists, lags, 0, 149).count()
+
+
+def jobs_of(spark, run) -> int:
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    spark.sparkContext.setJobGroup("counted", "")
+    run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+
+
+def test_folders_are_built_in_one_plan(spark, rain, tmp_path):
+    """Cubes of different lengths and of one file name in two sub-folders: each as if it were alone, and no more jobs for more of them."""
+    options = {"p": 0.8, "percent": 40}
+    cubes_ = {"a": cube_of(spark, rain), "sub/a": cube_of(spark, rain[:120, ::-1].copy()), "b": cube_of(spark, rain[20:])}
+    for folder, own in (("one", ["a"]), ("all", list(cubes_))):
+        for name in own:
+            cubes_[name].repartition(2).write.parquet(str(tmp_path / folder / f"{name}.parquet"))
+    counts = {}
+    for folder in ("one", "all"):
+        counts[folder] = jobs_of(spark, lambda f=folder: pipelines.build_folder(spark, str(tmp_path / f), 3, [[1, 2]], str(tmp_path / f"{f}-out"), **options))
+    assert abs(counts["all"] - counts["one"]) <= 6  # adaptive plans differ by a few
+    for name, cube in cubes_.items():
+        last = cube.agg(F.max("t")).first()[0]
+        alone = pipelines.build_models(cube, 3, [[1, 2]], 0, last, **options)["1_2"]
+        saved = pipelines.load_relations(spark, str(tmp_path / "all-out" / name))
+        image = alone.found.steps[3].image.withColumn("d", F.lit(3))
+        for relation, df in {"edges": alone.edges, "top": alone.top, "flow": alone.flow, "chains": alone.chains, "best": alone.found.steps[3].best, "image": image}.items():
+            rows = lambda x, df=df: sorted((tuple(r) for r in x.select(*df.columns).collect()), key=str)
+            assert rows(saved[relation]) == rows(df), (name, relation)
+        assert saved["runs"].first()["end"] == last
+
+
+def test_a_broken_build_is_resumed(spark, rain, tmp_path, monkeypatch):
+    cube, options = cube_of(spark, rain), {"parts": 3, "p": 0.8, "percent": 40}
+    build = lambda folder: pipelines.build_resumable(cube, 3, [[1, 1], [1, 2]], 0, 149, str(tmp_path / folder), **options)
+    assert len(build("whole")) == 6
+    real, calls = explore.explore_stations, []
+
+    def breaks(*a, **b):
+        calls.append(1)
+        if len(calls) == 4:
+            raise RuntimeError("lost")
+        return real(*a, **b)
+
+    monkeypatch.setattr(explore, "explore_stations", breaks)
+    with pytest.raises(RuntimeError):
+        build("broken")
+    whole = sorted((tmp_path / "broken" / "chains").rglob("*.parquet"))
+    times = [f.stat().st_mtime_ns for f in whole]
+    assert build("broken") == [("1_2", 0), ("1_2", 1), ("1_2", 2)] and len(calls) == 7
+    assert [f.stat().st_mtime_ns for f in whole] == times  # finished parts are left alone
+    for relation in pipelines.SAVED:
+        one, two = (spark.read.parquet(str(tmp_path / f / relation)) for f in ("whole", "broken"))
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.select(*one.columns).collect()))
+    assert build("broken") == []
+    options["p"] = 0.9
+    assert len(build("broken")) == 6  # other settings are another model
+    models = pipelines.build_models(cube, 3, [[1, 2]], 0, 149, p=0.9, percent=40)
+    chains = pipelines.load_relations(spark, str(tmp_path / "broken"))["chains"].where("run_name = '1_2'")
+    assert {r["origin"]: r["path"] for r in chains.collect()} == {r["origin"]: r["path"] for r in models["1_2"].chains.collect()}

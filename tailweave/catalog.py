@@ -98,9 +98,18 @@ def weekly_edges(spark: SparkSession, d: str, lag: int = 1) -> DataFrame:
     return graph.lag_graph(ecdf(weekly(spark, d)), cells_of(spark, 25), lag, 0, W_END, P)
 
 
-@query("SELECT range AS cell, range // 5 AS i, range % 5 AS j, 10.0::DOUBLE - range // 5 AS lat, 100.0::DOUBLE + range % 5 AS lon FROM range(25)")
+def met_cells(cube: DataFrame) -> DataFrame:
+    """Cells of a cube that ever have a value above 0."""
+    return cube.where("value > 0").select("cell").distinct()
+
+
+CELLS = F2 + ", seen AS (SELECT DISTINCT cell FROM weekly WHERE value > 0)"
+
+
+@query(f"WITH {CELLS} SELECT cell, cell // 5 AS i, cell % 5 AS j, 10.0::DOUBLE - cell // 5 AS lat, 100.0::DOUBLE + cell % 5 AS lon FROM seen")
 def grid_cells(spark, d):
-    return cubes.grid(spark, 5, 5).drop("is_land")
+    """The grid's cells that the weekly cube has values of."""
+    return cubes.grid(spark, 5, 5).join(met_cells(weekly(spark, d)), "cell", "left_semi").drop("is_land")
 
 
 @query(f"WITH {F1} SELECT t, cell, value FROM hourly")
@@ -118,9 +127,9 @@ def cube_image(spark, d):
     return cubes.image_cube(spark, d)
 
 
-@query("SELECT 'lags_1_2_cell_' || range AS name, '[' || range // 5 || ' ' || range % 5 || ']' AS key FROM range(25)")
+@query(f"WITH {CELLS} SELECT 'lags_1_2_cell_' || cell AS name, '[' || cell // 5 || ' ' || cell % 5 || ']' AS key FROM seen")
 def run_names(spark, d):
-    g = cubes.grid(spark, 5, 5)
+    g = cubes.grid(spark, 5, 5).join(met_cells(weekly(spark, d)), "cell", "left_semi")
     return g.select(scalars.run_name([1, 2], F.col("cell")).alias("name"), scalars.key_text(F.col("i"), F.col("j")).alias("key"))
 
 

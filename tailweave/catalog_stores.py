@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import ALL3, E1, E2, E22, F1, F2, F3, F4, F5, METRICS, P, U2, W_END, cells_of, d3_sql, graph_sql, hourly, query, r, u_sql, weekly, weekly_edges
+from .catalog import ALL3, CELLS, E1, E2, E22, F1, F2, F3, F4, F5, METRICS, P, U2, W_END, cells_of, d3_sql, graph_sql, hourly, met_cells, query, r, u_sql, weekly, weekly_edges
 from .functions import metrics, scalars
 from .functions.ranks import ecdf, zero_based_rank
 from .operators import cluster, explore, graph, paths, selection
@@ -133,10 +133,14 @@ def raster_store(spark, d):
     return spark.read.parquet(f"{path}/pixels").select("band", "cell", "value")
 
 
-@query("SELECT 'EPSG:4326' AS crs, 99.5::DOUBLE AS west, 10.5::DOUBLE AS north, 1.0::DOUBLE AS pixel_x, 1.0::DOUBLE AS pixel_y, CAST(5 AS BIGINT) AS height, CAST(5 AS BIGINT) AS width")
+@query(f"""WITH {CELLS}, a AS (SELECT 10.0::DOUBLE - cell // 5 AS lat, 100.0::DOUBLE + cell % 5 AS lon FROM seen)
+SELECT 'EPSG:4326' AS crs, min(lon) - 0.5::DOUBLE AS west, max(lat) + 0.5::DOUBLE AS north, 1.0::DOUBLE AS pixel_x, 1.0::DOUBLE AS pixel_y, count(DISTINCT lat) AS height, count(DISTINCT lon) AS width FROM a""")
 def raster_metadata(spark, d):
-    path = scratch(spark)
-    sinks.write_raster(cells_of(spark, 25).select(F.lit(1).alias("band"), "cell", F.lit(0.0).alias("value")), path, [10.0 - k for k in range(5)], [100.0 + k for k in range(5)])
+    """The metadata of a raster over the rows and columns that the weekly cube has values of."""
+    path, cube = scratch(spark), weekly(spark, d)
+    own = cubes.grid(spark, 5, 5).join(met_cells(cube), "cell", "left_semi")
+    lat, lon = (sorted((r[0] for r in own.select(c).distinct().collect()), reverse=c == "lat") for c in ("lat", "lon"))  # the axes
+    sinks.write_raster(cube.groupBy("cell").agg(F.sum("value").alias("value")).withColumn("band", F.lit(1)), path, lat, lon)
     kinds = "crs string, west double, north double, pixel_x double, pixel_y double, height long, width long"
     return spark.read.json(f"{path}/metadata").select(F.from_json("metadata", kinds).alias("m")).select("m.*")
 
@@ -150,9 +154,10 @@ def score_store(spark, d):
     return spark.read.schema("cell long, rmse double, mae double").option("header", True).csv(path)
 
 
-@query("SELECT range AS origin, k, 'POINT(' || (100 + c % 5) || '.0 ' || (10 - c // 5) || '.0)' AS wkt FROM (SELECT range, 0 AS k, range AS c FROM range(25) UNION ALL SELECT range, 1 AS k, (range + 6) % 25 AS c FROM range(25))")
+@query(f"WITH {E2}, n AS (SELECT i AS origin, 0 AS k, i AS c FROM edge WHERE hits > 0 UNION SELECT i, 1, min(j) FROM edge WHERE hits > 0 GROUP BY i) SELECT origin, k, 'POINT(' || (100 + c % 5) || '.0 ' || (10 - c // 5) || '.0)' AS wkt FROM n")
 def points_wkt(spark, d):
-    nodes = cells_of(spark, 25).select(F.col("cell").alias("origin"), F.array("cell", (F.col("cell") + 6) % 25).alias("nodes"))
+    """Each cell that has links, and the first cell it is linked with."""
+    nodes = weekly_edges(spark, d).where("hits > 0").groupBy(F.col("i").alias("origin")).agg(F.min("j").alias("j")).select("origin", F.array("origin", "j").alias("nodes"))
     return explore.wkt_points(nodes, cubes.grid(spark, 5, 5))
 
 
@@ -173,22 +178,22 @@ def file_heads(spark: SparkSession, path: str, n: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.hex(F.expr(f"substring(content, 1, {n})")).alias("head"), F.col("length").alias("bytes"))
 
 
-@query(f"WITH {F1} SELECT hex('GIF89a') AS head, CAST(801 + 46*count(DISTINCT t) AS BIGINT) AS bytes FROM hourly")
+@query(f"WITH {F1}, l AS (SELECT min(value) AS a, max(value) AS b FROM hourly) SELECT t, cell, CAST(floor((value - a)/(b - a)::DOUBLE*255) AS INTEGER) AS pixel FROM hourly CROSS JOIN l")
 def film_store(spark, d):
-    """The hourly cube as a GIF film: 800 bytes before the frames, 46 a frame of 20 pixels, one behind them."""
-    path = f"{scratch(spark)}/film.gif"
-    pictures.write_film(scalars.frames(hourly(spark, d)), path, 5, 4)
-    return file_heads(spark, path, 6)
+    """The hourly cube as a film: frames encoded by the tasks that hold them, stored, and decoded to every pixel."""
+    path = scratch(spark)
+    pictures.film_frames(scalars.frames(hourly(spark, d)), 5, 4).write.parquet(path)
+    return pictures.read_frames(spark.read.parquet(path))
 
 
-@query("SELECT '49492A00' AS head, CAST(194 + 64 + 72 + 32 + 2*25*4 AS BIGINT) AS bytes")
+@query(f"WITH {E2}, x AS (SELECT i, max(chi) AS top, count(*) FILTER (WHERE hits > 0) AS links FROM edge GROUP BY i) SELECT 0 AS band, i AS cell, CAST(top AS FLOAT) AS value FROM x UNION ALL SELECT 1 AS band, i AS cell, CAST(links AS FLOAT) AS value FROM x")
 def tiff_store(spark, d):
-    """Two bands as one GeoTIFF: header and directory, lists, scale and tie point, keys, pixels."""
-    path = f"{scratch(spark)}/bands.tif"
+    """Two bands as GeoTIFFs, each encoded by one task, stored, and decoded to every pixel."""
+    path = scratch(spark)
     own = weekly_edges(spark, d).groupBy("i").agg(F.max("chi").alias("top"), F.count_if(F.col("hits") > 0).cast("double").alias("links"))
     bands = own.select(F.col("i").alias("cell"), F.posexplode(F.array("top", "links")).alias("band", "value"))
-    pictures.write_tiff(bands, path, [10.0 - k for k in range(5)], [100.0 + k for k in range(5)])
-    return file_heads(spark, path, 4)
+    pictures.tiff_bands(bands, [10.0 - k for k in range(5)], [100.0 + k for k in range(5)]).write.parquet(path)
+    return pictures.read_tiffs(spark.read.parquet(path))
 
 
 @query("SELECT '89504E470D0A1A0A' AS head, CAST(6 AS BIGINT) AS files")
@@ -223,13 +228,13 @@ def model_points(spark, d):
     return spark.read.parquet(f"{folder}/points").join(F.broadcast(runs), "run_name").select("run_name", "lags", "d", "steps", "origin", "k", "lat", "lon")  # one row a run
 
 
-@query("""SELECT '1_1' AS run_name, range AS origin, range AS node FROM range(25) UNION ALL SELECT '1_2' AS run_name, range AS origin, range + 2 AS node FROM range(25)
-UNION ALL SELECT '2_1' AS run_name, range AS origin, range + 2 AS node FROM range(25)""")
+@query(f"""WITH {CELLS} SELECT '1_1' AS run_name, cell AS origin, cell AS node FROM seen UNION ALL SELECT '1_2' AS run_name, cell AS origin, cell + 2 AS node FROM seen
+UNION ALL SELECT '2_1' AS run_name, cell AS origin, cell + 2 AS node FROM seen""")
 def model_merge(spark, d):
     """Two stores and a missing one: of runs with one name the later store's wins."""
     one, two = scratch(spark), scratch(spark)
     for folder, runs, more in ((one, ("1_1", "1_2"), 0), (two, ("1_2", "2_1"), 2)):
-        rows = cells_of(spark, 25).select(F.explode(F.array(*map(F.lit, runs))).alias("run_name"), F.col("cell").alias("origin"), F.array("cell", F.col("cell") + more).alias("path"))
+        rows = met_cells(weekly(spark, d)).select(F.explode(F.array(*map(F.lit, runs))).alias("run_name"), F.col("cell").alias("origin"), F.array("cell", F.col("cell") + more).alias("path"))
         sinks.append_runs(rows, f"{folder}/chains")
     found = pipelines.load_merged(spark, [one, f"{one}-none", two])
     return found.select("run_name", "origin", F.col("path")[1].alias("node"))
@@ -295,28 +300,31 @@ def linear_baseline_one(spark, d):
 
 
 # ---------------------------------------------------------------- scalars
-@query("SELECT range AS cell, range // 4 AS i, range % 4 AS j, CAST(range AS BIGINT) AS again, range // 4 AS key_i, range % 4 AS key_j FROM range(20)")
+@query(f"WITH {F1} SELECT DISTINCT cell, cell // 4 AS i, cell % 4 AS j, CAST(cell AS BIGINT) AS again, cell // 4 AS key_i, cell % 4 AS key_j FROM hourly WHERE value > 0")
 def flat_coordinates(spark, d):
-    """Flat ids to coordinates, back, and to keys."""
-    cells = cells_of(spark, 20)
+    """Flat ids of cells with values to coordinates, back, and to keys."""
+    cells = met_cells(hourly(spark, d))
     at = cells.select("cell", scalars.to_row(F.col("cell"), 4).alias("i"), scalars.to_column(F.col("cell"), 4).alias("j"))
     at = at.withColumn("again", scalars.to_flat(F.col("i"), F.col("j"), 4)).withColumn("key", scalars.coordinate_key(F.col("i"), F.col("j")))
     return at.select("cell", "i", "j", "again", F.col("key.i").alias("key_i"), F.col("key.j").alias("key_j"))
 
 
-@query("SELECT range AS i, range*range AS square FROM range(25)")
+@query(f"WITH {F2} SELECT t, cell, value*value AS square FROM weekly")
 def squares(spark, d):
-    return cells_of(spark, 25).select(F.col("cell").alias("i"), (F.col("cell") * F.col("cell")).alias("square"))
+    return weekly(spark, d).select("t", "cell", (F.col("value") * F.col("value")).alias("square"))
 
 
-@query("SELECT 100.0::DOUBLE AS west, 104.0::DOUBLE AS east, 6.0::DOUBLE AS south, 10.0::DOUBLE AS north")
+@query(f"WITH {CELLS} SELECT min(100.0::DOUBLE + cell % 5) AS west, max(100.0::DOUBLE + cell % 5) AS east, min(10.0::DOUBLE - cell // 5) AS south, max(10.0::DOUBLE - cell // 5) AS north FROM seen")
 def grid_extent(spark, d):
-    return scalars.extent(cubes.grid(spark, 5, 5))
+    """The extent of the cells that the weekly cube has values of."""
+    return scalars.extent(cubes.grid(spark, 5, 5).join(met_cells(weekly(spark, d)), "cell", "left_semi"))
 
 
-@query(f"WITH {DATES} SELECT t, 'rain t=' || t AS plain, 'rain ' || date AS dated FROM dates")
+@query(f"WITH {F2}, {DATES} SELECT dates.t, 'rain t=' || dates.t AS plain, 'rain ' || date AS dated FROM dates JOIN (SELECT DISTINCT t FROM weekly WHERE value > 0) w ON w.t = dates.t")
 def frame_titles(spark, d):
-    return dates_of(spark).select("t", scalars.frame_title(F.col("t"), prefix="rain ").alias("plain"), scalars.frame_title(F.col("t"), F.col("date"), "rain ").alias("dated"))
+    """Titles of the weeks with rain."""
+    dates = pipelines.with_dates(weekly(spark, d).where("value > 0").select("t").distinct(), dates_of(spark))
+    return dates.select("t", scalars.frame_title(F.col("t"), prefix="rain ").alias("plain"), scalars.frame_title(F.col("t"), F.col("date"), "rain ").alias("dated"))
 
 
 @query("SELECT o_orderkey AS k, TRY_CAST(CASE WHEN o_orderstatus = 'O' THEN o_orderpriority WHEN o_orderstatus = 'F' THEN ' ' || o_totalprice ELSE '' END AS DOUBLE) AS number FROM orders")

@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import placed_values
+from ..storage import stored
+
 
 def hash_prefix(df: DataFrame, rate: float, key: Sequence[str] = ("cell",), by: Sequence[str] = (), seed: int = 0, order: Column | None = None) -> DataFrame:
     """The first floor(n * rate) rows of each group in a hashed order: larger rates keep what smaller ones took.
@@ -38,11 +41,37 @@ def positional_split(df: DataFrame, share: float, order: str) -> DataFrame:
 
 
 def batched(df: DataFrame, size: int, order: str, by: Sequence[str] = ()) -> DataFrame:
-    """df with ``batch``: consecutive runs of ``size`` rows in order."""
-    w = Window.partitionBy(*([F.col(c) for c in by] or [F.lit(0)])).orderBy(order)
+    """df with ``batch``: consecutive runs of ``size`` rows in order (a number); without ``by`` rows are numbered within ranges of it, null last.
+
+    Rows of equal order come in any order.
+    """
+    if not by:
+        return in_batches(df, size, order)
+    w = Window.partitionBy(*by).orderBy(order)
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
 
 
+def in_batches(df: DataFrame, size: int, order: str) -> DataFrame:
+    """``batched`` of one long series: a value's rows are numbered among themselves, on from the rows below it."""
+    placed = stored(placed_values(df, order), "placed")
+    total, ranges = df.count(), Window.partitionBy("__part").orderBy("__value")
+    known = df.withColumn("__value", F.col(order).cast("double"))
+    least, most = placed.agg(F.min("value"), F.max("value")).first()
+    shares = [k / 256 for k in range(1, 256)]
+    cuts = placed.agg(F.percentile_approx("value", shares, 4096)).first()[0] if least is not None and least < most else None  # 255 numbers
+    part = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts or []))]).cast("array<double>"), lambda c: c < F.col("__value")))
+    there = known.where("__value is not null and not isnan(__value)").withColumn("__part", part)
+    sizes = placed.select("n", F.col("value").alias("__value")).withColumn("__part", part).groupBy("__part").agg(F.sum("n").alias("__n"))
+    base = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))  # at most 256 rows
+    rows = there.join(F.broadcast(base), "__part").withColumn("__row", F.col("__base") + F.row_number().over(ranges) - 1)
+    unknown = known.where("__value is null or isnan(__value)")
+    if unknown.take(1):
+        n = total - (placed.agg(F.sum("n")).first()[0] or 0)
+        rest = numbered(unknown, F.xxhash64(*df.columns), [])
+        rows = rows.select(*df.columns, "__row").unionByName(rest.select(*df.columns, (F.col("__row") + (total - n)).alias("__row")))
+    return rows.select(*df.columns, F.floor(F.col("__row") / size).alias("batch"))
+
+
 def numbered(df: DataFrame, order: Column, key: Sequence[str], bits: int = 10) -> DataFrame:
     """df with ``__row``: 0, 1, ... by ``order`` (bigint, spread over its ``bits`` high bits, as hashes are), then ``key``.
 

@@ -1,6 +1,7 @@
 """Files of one picture or film, written without further libraries: GeoTIFF rasters, GIF films, PNG plots of scores.
 
-Pixels are prepared by Spark; a file goes through the driver band by band or frame by frame, to any file system Spark can write.
+Tables of pictures (``film_frames``, ``tiff_bands``) are encoded by the tasks that hold a frame or band, and scale with the rows.  A single file, as
+``write_film`` and ``write_tiff`` make it, goes through the driver frame by frame or band by band, to any file system Spark can write.
 """
 
 from __future__ import annotations
@@ -107,6 +108,78 @@ def write_film(frames: DataFrame, path: str, height: int, width: int, fps: int =
     write_bytes(frames.sparkSession, path, gif_pieces((p for _, p in planes(frames, "t", "pixel", "int")), width, height, fps))
 
 
+def film_frames(frames: DataFrame, height: int, width: int, fps: int = 10) -> DataFrame:
+    """(t, frame): each frame of frames(t, cell, pixel) as the bytes it has in a GIF film, encoded where it lies; a film is its header, these in order, and 0x3B."""
+    import pandas as pd
+
+    def encoded(pdf: pd.DataFrame) -> pd.DataFrame:
+        flat = np.zeros(width * height, np.uint8)
+        flat[pdf["cell"].to_numpy()] = pdf["pixel"].fillna(0).to_numpy()
+        return pd.DataFrame({"t": pdf["t"].iloc[:1], "frame": [gif_frame(flat, width, height, max(1, round(100 / fps)))]})
+
+    return frames.select("t", "cell", "pixel").groupBy("t").applyInPandas(encoded, f"t {frames.schema['t'].dataType.simpleString()}, frame binary")
+
+
+def frame_pixels(frame: bytes) -> np.ndarray:
+    """The pixels of a frame that ``gif_frame`` made."""
+    at, raw = 8 + 10 + 1, b""
+    while frame[at]:
+        raw += frame[at + 1 : at + 1 + frame[at]]
+        at += frame[at] + 1
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")
+    codes = bits[: len(bits) // 9 * 9].reshape(-1, 9).astype(np.int64) @ (1 << np.arange(9))
+    return codes[: np.flatnonzero(codes == 257)[0]][codes[: np.flatnonzero(codes == 257)[0]] < 256]
+
+
+def read_frames(table: DataFrame) -> DataFrame:
+    """(t, cell, pixel) of a stored table of frames."""
+    import pandas as pd
+
+    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for t, frame in zip(batch["t"], batch["frame"], strict=True):
+                pixels = frame_pixels(frame)
+                yield pd.DataFrame({"t": t, "cell": np.arange(len(pixels)), "pixel": pixels})
+
+    return table.select("t", "frame").mapInPandas(decoded, f"t {table.schema['t'].dataType.simpleString()}, cell long, pixel int")
+
+
+def tiff_bands(bands: DataFrame, lat: list[float], lon: list[float]) -> DataFrame:
+    """(band, tiff): each band of bands(band, cell, value) as a GeoTIFF of its own, encoded where it lies; absent and NULL values are NaN."""
+    import pandas as pd
+
+    def encoded(pdf: pd.DataFrame) -> pd.DataFrame:
+        flat = np.full(len(lat) * len(lon), np.nan)
+        flat[pdf["cell"].to_numpy()] = pdf["value"].to_numpy(float, na_value=np.nan)
+        return pd.DataFrame({"band": pdf["band"].iloc[:1], "tiff": [geotiff_bytes([flat], lat, lon)]})
+
+    return bands.select("band", "cell", "value").groupBy("band").applyInPandas(encoded, f"band {bands.schema['band'].dataType.simpleString()}, tiff binary")
+
+
+def tiff_pixels(raw: bytes) -> np.ndarray:
+    """The float32 pixels of a GeoTIFF of one band in one strip."""
+    at = struct.unpack_from("<I", raw, 4)[0]
+    tags = {}
+    for k in range(struct.unpack_from("<H", raw, at)[0]):
+        tag, kind, _, value = struct.unpack_from("<HHI4s", raw, at + 2 + 12 * k)
+        tags[tag] = struct.unpack("<I" if kind == 4 else "<Hxx", value)[0]
+    return np.frombuffer(raw, "<f4", tags[256] * tags[257], tags[273])
+
+
+def read_tiffs(table: DataFrame) -> DataFrame:
+    """(band, cell, value) of a stored table of GeoTIFFs; NaN is NULL."""
+    import pandas as pd
+
+    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for band, raw in zip(batch["band"], batch["tiff"], strict=True):
+                pixels = tiff_pixels(raw)
+                yield pd.DataFrame({"band": band, "cell": np.arange(len(pixels)), "value": pixels})
+
+    kind = table.schema["band"].dataType.simpleString()
+    return table.select("band", "tiff").mapInPandas(decoded, f"band {kind}, cell long, value float").withColumn("value", F.nanvl("value", F.lit(None).cast("float")))
+
+
 def png_bytes(image: np.ndarray) -> bytes:
     """An 8-bit picture: height x width grey, or height x width x 3."""
     height, width = image.shape[:2]

@@ -45,10 +45,10 @@ def test_like_brute_force(spark, texts, least):
 
 
 def test_heavy_lines_are_met_by_broadcast(spark, texts, monkeypatch):
-    from tailweave.llm import common
+    from tailweave.functions import heavy
 
-    monkeypatch.setattr(common, "LEAST_HEAVY", 3)
-    monkeypatch.setattr(common, "MOST_HEAVY", 50)
+    monkeypatch.setattr(heavy, "LEAST_HEAVY", 3)
+    monkeypatch.setattr(heavy, "MOST_HEAVY", 50)
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     assert got(linededup.without_repeated_lines(docs)) == brute(texts)
 

@@ -298,6 +298,12 @@ def pool2d_avg(spark, d):
     return pooling.pool_2d(cubes.image_cube(spark, d), 8, 8, 3, 2, lambda c: r(F.avg(c)))
 
 
+@query(f"WITH {F3} " + POOL.format(f="round(avg(value), 6)", n=2, s=2, p=6))
+def pool2d_means(spark, d):
+    """Large windows by integral images."""
+    return pooling.pool_means(cubes.image_cube(spark, d), 8, 8, 6, 2).select("t", "oi", "oj", r("value", 6).alias("value"))
+
+
 @query(f"WITH {F1} SELECT cell, o, max(value) AS value FROM hourly JOIN range(118) x(o) ON t BETWEEN o*6 AND o*6 + 17 GROUP BY cell, o")
 def pool1d(spark, d):
     return pooling.pool_1d(hourly(spark, d), 720, 18, 6)

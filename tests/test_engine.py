@@ -834,3 +834,40 @@ def test_a_broken_build_is_resumed(spark, rain, tmp_path, monkeypatch):
     models = pipelines.build_models(cube, 3, [[1, 2]], 0, 149, p=0.9, percent=40)
     chains = pipelines.load_relations(spark, str(tmp_path / "broken"))["chains"].where("run_name = '1_2'")
     assert {r["origin"]: r["path"] for r in chains.collect()} == {r["origin"]: r["path"] for r in models["1_2"].chains.collect()}
+
+
+@pytest.mark.parametrize("pool,stride", [(2, 2), (17, 3), (24, 1), (1, 1), (30, 5)])
+def test_large_pools(spark, pool, stride):
+    """Rows then columns for maxima, integral images for means: the rows that are grouped don't grow with the square of the pool."""
+    x = np.random.default_rng(pool).integers(0, 50, (30, 30))
+    df = spark.createDataFrame([(0, i * 30 + j, float(x[i, j])) for i in range(30) for j in range(30) if (i + j) % 7] + [(1, 0, None), (2, 899, 5.0)], "t long, cell long, value double")
+    known = np.array([[bool((i + j) % 7) for j in range(30)] for i in range(30)])
+    n = (30 - pool) // stride + 1
+    windows_ = {(i, j): x[i * stride : i * stride + pool, j * stride : j * stride + pool][known[i * stride : i * stride + pool, j * stride : j * stride + pool]] for i in range(n) for j in range(n)}
+    windows_ = {k: w for k, w in windows_.items() if len(w)}
+    for func, np_func in ((F.max, np.max), (F.min, np.min), (F.sum, np.sum)):
+        got = {(r["oi"], r["oj"]): r["value"] for r in pooling.pool_2d(df.where("t = 0"), 30, 30, pool, stride, func).collect()}
+        assert got == {k: np_func(w) for k, w in windows_.items()}
+    rows = pooling.pool_means(df, 30, 30, pool, stride).collect()
+    assert {(r["oi"], r["oj"]): r["value"] for r in rows if r["t"] == 0} == {k: pytest.approx(w.mean()) for k, w in windows_.items()}
+    assert {r["value"] for r in rows if r["t"] == 2} <= {5.0} and not [r for r in rows if r["t"] == 1]
+
+
+def test_batches_of_one_long_series(spark):
+    rows = [(k, float(v)) for k, v in enumerate([*range(300), *[7] * 200])] + [(999, None), (998, math.nan)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    got = selection.batched(df, 32, "v").collect()
+    assert len(got) == len(rows) and sorted({r["k"] for r in got}) == sorted(k for k, _ in rows)
+    placed = sorted(got, key=lambda r: (r["v"] is None or math.isnan(r["v"]), r["v"] or 0))
+    assert [r["batch"] for r in placed] == [k // 32 for k in range(len(rows))]
+
+
+def test_pictures_by_tasks_hold_every_pixel(spark):
+    from tailweave.sources import pictures
+
+    rng = np.random.default_rng(3)
+    frames = spark.createDataFrame([(t, c, int(v)) for t in range(3) for c, v in enumerate(rng.integers(0, 256, 35 * 20))], "t long, cell long, pixel int")
+    assert sorted(map(tuple, pictures.read_frames(pictures.film_frames(frames, 35, 20)).collect())) == sorted(map(tuple, frames.collect()))
+    bands = spark.createDataFrame([(b, c, None if c == 3 else float(np.float32(rng.random()))) for b in range(2) for c in range(12)], "band int, cell long, value double")
+    got = pictures.read_tiffs(pictures.tiff_bands(bands, [3.0, 2.0, 1.0], [1.0, 2.0, 3.0, 4.0])).collect()
+    assert sorted(((r["band"], r["cell"], r["value"]) for r in got), key=str) == sorted((tuple(r) for r in bands.collect()), key=str)

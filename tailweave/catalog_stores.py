@@ -173,6 +173,24 @@ def puzzle_store(spark, d):
     return cubes.read_puzzle(spark, path).select("date", "t", "cell", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), "y")
 
 
+@query(f"""WITH {F2}, w AS (SELECT t, cell, list(value) OVER (PARTITION BY cell ORDER BY t ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS x FROM weekly)
+SELECT w.t, w.cell, x[1] AS x0, x[2] AS x1, value AS y FROM w JOIN weekly ON weekly.t = w.t AND weekly.cell = w.cell WHERE len(x) = 2""")
+def bucketed_stores(spark, d):
+    """A cube and a training table stored in buckets by step and cell, and combined without an exchange."""
+    one, two = stored_in_buckets(spark, d)
+    return two.join(one, ["t", "cell"]).select("t", "cell", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), F.col("value").alias("y"))
+
+
+def stored_in_buckets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from .operators.lags import sequence_pairs
+
+    names = [f"bucketed_{uuid.uuid4().hex}" for _ in range(2)]
+    cube = weekly(spark, d)
+    for name, df in zip(names, (cube, sequence_pairs(cube, 2).select("t", "cell", "x")), strict=True):
+        sinks.write_bucketed(df, name, scratch(spark), buckets=8)
+    return spark.table(names[0]), spark.table(names[1])
+
+
 def file_heads(spark: SparkSession, path: str, n: int) -> DataFrame:
     """(head, bytes): the first n bytes of each file, in hexadecimal, and its length."""
     return spark.read.format("binaryFile").load(path).select(F.hex(F.expr(f"substring(content, 1, {n})")).alias("head"), F.col("length").alias("bytes"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,5 +65,10 @@ def append_runs(df: DataFrame, folder: str, name: str = "run_name") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(folder)
 
 
+def write_bucketed(df: DataFrame, table: str, folder: str, keys: Sequence[str] = ("t", "cell"), buckets: int = 64) -> None:
+    """df as a table of the session's catalog, its files in folder, dealt to buckets by keys: joins and groups by these keys of tables with as many buckets need no exchange."""
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).option("path", folder).saveAsTable(table)
+
+
 def write_puzzle(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("date" if "date" in df.columns else "t").parquet(path)

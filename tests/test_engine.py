@@ -871,3 +871,26 @@ def test_pictures_by_tasks_hold_every_pixel(spark):
     bands = spark.createDataFrame([(b, c, None if c == 3 else float(np.float32(rng.random()))) for b in range(2) for c in range(12)], "band int, cell long, value double")
     got = pictures.read_tiffs(pictures.tiff_bands(bands, [3.0, 2.0, 1.0], [1.0, 2.0, 3.0, 4.0])).collect()
     assert sorted(((r["band"], r["cell"], r["value"]) for r in got), key=str) == sorted((tuple(r) for r in bands.collect()), key=str)
+
+
+def test_bucketed_stores_meet_without_exchange(spark, small):
+    from tailweave import catalog_stores
+
+    one, two = catalog_stores.stored_in_buckets(spark, small)
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for stores of any size
+    try:
+        joined = one.join(two, ["t", "cell"])
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == two.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
+def test_dated_training_table_has_rows(spark):
+    """Zero cells and cells with chains, at a scale where chains meet more than once."""
+    from tailweave import catalog
+
+    rows = catalog.queries()["puzzle_dated_dense"](spark, "/root/testdata/sf0.01")
+    every, with_values = rows.agg(F.count(F.lit(1)), F.count_if(F.expr("x0 > 0 or y > 0"))).first()
+    assert every > with_values > 0

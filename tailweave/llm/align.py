@@ -1,42 +1,67 @@
 """Alignment of two tokenizers' tokens over the same text.
 
 Texts are cut where neither tokenizer can join what stands on both sides (before a blank or newline after a character that is no white
-space; the vocabularies are checked for it), and every distinct piece is aligned once, relationally: posexplode of its
-tokens, a windowed sum of their lengths for the place where each begins (the end of the one before), a full equi-join of both sides on
+space; the vocabularies are checked for it), so each distinct piece of a block of texts is encoded and aligned once, relationally:
+posexplode of its tokens, a windowed sum of their lengths for the place where each begins (the end of the one before), both sides matched on
 piece and place, running counts of the places that both have as group ids, and the tokens that run through each stretch
-between two places as links.  Texts meet the aligned pieces block by block: a block holds its own short dictionary.
+between two places as links.  Blocks are the buckets of one stored table, so no token and no text is ever shuffled.
+
+The match on piece and place is made by windows in the order of the equi-join's keys: the join would have to be a full one, whose
+result has no partitioning in Spark, and all tokens would be shuffled again.
 """
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import met, stored
-from .textarrays import arrow_map, text_array, trimmed
-from .tokencount import byte_letters, check_definition
+from ..storage import discard, remove, shared_folder
+from .common import stored
+from .textarrays import arrow_map, text_array
+from .tokencount import PATTERN, byte_letters, check_definition
 
 #: Fixed: characters with the White_Space property.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _OTHER = r"\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces begin at a blank or newline that follows something else than white space.
 PIECES = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+(?:[{_OTHER}][{_SPACE}]*[^{_SPACE}]+)*(?:[{_OTHER}][{_SPACE}]*)?|[{_SPACE}]+")
-#: Bytes of text in a block, about; one long text is a block of its own.
-BLOCK = 4 << 20
-#: Pieces encoded together.
-TOGETHER = 4096
+#: The same where blanks and newlines are all the white space there is.
+PLAIN, RARE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(rf"[{_OTHER}]")
+RUNS = re.compile(r"[ \n][ \n]")
+SPACE_END = re.compile(rf"[{_SPACE}]\Z")
+#: Characters of text in a block, about; one long text is a block of its own.
+BLOCK = 6 << 20
+#: Pieces encoded together, and pieces of one string.
+TOGETHER, RUN = 4096, 64
+
+
+def pieces_of(text: str) -> list[str]:
+    """The pieces of a blank and the text."""
+    return (PIECES if RARE.search(text) else PLAIN).findall(" " + text)
+
+
+def words_of(text: str) -> list:
+    """The pieces as keys that are quick to make: without the blank they begin with; those that begin with a newline as they are; a blank before a newline as a tuple."""
+    if RUNS.search(text) or RARE.search(text) or text[0] in " \n":
+        return [p if p[0] != " " else (p,) if p[1:2] == "\n" else p[1:] for p in pieces_of(text)]
+    return text.replace("\n", " \n").split(" ")
+
+
+def piece_of(word) -> str:
+    return word[0] if isinstance(word, tuple) else word if word[:1] == "\n" else " " + word
 
 
 class Sides:
-    """Both tokenizers of a worker."""
+    """Both tokenizers of a worker.  The byte-level one goes by the ranks of its vocabulary, which ``check`` holds against the library."""
 
     def __init__(self, byte_definition: str, piece_model: bytes):
         import os
@@ -49,9 +74,14 @@ class Sides:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         letters = byte_letters()
-        self.a_bytes = {k: bytes(letters[c] for c in t) for t, k in self.a.get_vocab(with_added_tokens=False).items()}
-        for k in range(self.a.get_vocab_size()):
-            self.a_bytes.setdefault(k, self.a.id_to_token(k).encode() if self.a.id_to_token(k) else b"")
+        own = {k: bytes(letters[c] for c in t) for t, k in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in t)}
+        self.a_bytes = {k: own.get(k) or (self.a.id_to_token(k) or "").encode() for k in range(self.a.get_vocab_size())}
+        self.a_bytes = [self.a_bytes[k] for k in range(len(self.a_bytes))]
+        import tiktoken
+
+        ranks = {t: k for k, t in enumerate(self.a_bytes) if k in own}
+        self.encode_bytes = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.a_lengths = np.array(list(map(len, self.a_bytes)))
         self.b_bytes = [self._piece(k) for k in range(self.b.vocab_size())]
         self.blank = self.b.piece_to_id("▁")
 
@@ -61,21 +91,29 @@ class Sides:
         return self.b.id_to_piece(k).replace("▁", " ").encode()
 
     def check(self) -> None:
-        """Fails if a piece of the second vocabulary runs over a place where texts are cut, or a lone blank is no piece."""
+        """Fails if a piece of the second vocabulary runs over a place where texts are cut, if a lone blank is no piece, or if the ranks don't give the first library's ids."""
+        texts = [t for t in (x.decode(errors="ignore") for x in self.a_bytes) if t]
+        if [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)] != list(map(self.encode_bytes, texts)):
+            raise ValueError("the byte-level vocabulary's order is not that of its merges")
         across = [p for k in range(self.b.vocab_size()) if not (self.b.is_byte(k) or self.b.is_control(k) or self.b.is_unknown(k)) for p in [self.b.id_to_piece(k)] if re.search("[^▁]▁|\n", p)]
         if across or self.b.is_unknown(self.blank):
             raise ValueError("the piece vocabulary joins what stands on both sides of a blank or newline")
 
-    def encoded(self, pieces: list[str]) -> list[tuple[bool, list[int], list[int], list[int], list[int]]]:
-        """(whole, ids and byte lengths of each side) of pieces; whole: both sides' bytes are the piece."""
-        first = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+    def encoded(self, pieces: list[str]) -> tuple[list[list[int] | None], list[list[int] | None]]:
+        """The ids of both sides for each piece; None where their bytes are not the piece."""
+        first = list(map(self.encode_bytes, pieces))
         # the library adds the blank itself; before a newline it is taken off again
         second = self.b.encode([p[1:] if p[0] == " " else p for p in pieces], num_threads=1)
-        out = []
+        out, u, v = ([], []), self.a_bytes.__getitem__, self.b_bytes.__getitem__
         for piece, x, y in zip(pieces, first, second, strict=True):
-            y = [self.blank] if piece == " " else y if piece[0] == " " else y[1:] if y[:1] == [self.blank] else []
-            raw, u, v = piece.encode(), [self.a_bytes[k] for k in x], [self.b_bytes[k] for k in y]
-            out.append((b"".join(u) == raw and b"".join(v) == raw, x, list(map(len, u)), y, list(map(len, v))))
+            if piece[0] != " ":
+                y = y[1:] if y[:1] == [self.blank] else []
+            elif piece == " ":
+                y = [self.blank]
+            raw = piece.encode()
+            whole = b"".join(map(v, y)) == raw and b"".join(map(u, x)) == raw
+            out[0].append(x if whole else None)
+            out[1].append(y if whole else None)
         return out
 
 
@@ -84,35 +122,45 @@ def _sides(key: str, shared) -> Sides:
     return Sides(*shared.value)
 
 
-@contextlib.contextmanager
-def _setting(spark, key: str, value: str):
-    """A setting of the session while a table is written, and as it was after that."""
-    had = spark.conf.get(key)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, had)
+def by_block(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a stored table whose buckets hold whole blocks, and what drops it: groups, windows and cogroups by block need no exchange."""
+    spark, name = df.sparkSession, f"align_{uuid.uuid4().hex}"
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # most tasks hold one block
+    path = f"{shared_folder(spark)}/tailweave/{name}"
+    df.write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE {name}")
+        remove(spark, path)
+
+    return spark.table(name), drop
 
 
-_CUT = "block long, row long, id {kind}, words array<int>, at int, piece string"
+_CUT = "block long, row long, id {kind}, words array<int>, at int, a array<int>, b array<int>"
 
 
-def cut_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of texts (block, row, id, words: places in the block's dictionary, null without text), and rows of dictionaries (block, at, piece)."""
+def cut_texts(df: DataFrame, sides, key: str, id_col: str, text_col: str) -> DataFrame:
+    """Rows of texts (block, row, id, words: places in the block's dictionary, null without text), and of dictionaries (block, at, a, b: ids, null if a side does not spell the piece).
+
+    sides: a broadcast of both definitions.
+    """
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, row, seen, weight = TaskContext.get().partitionId() << 32, 0, {}, 0
+        both, longs, numbers = _sides(key, sides), pa.int64(), pa.list_(pa.int32())
+        block, row, seen, weight, id_type = TaskContext.get().partitionId() << 32, 0, {}, 0, None
+        names = ["block", "row", "id", "words", "at", "a", "b"]
 
-        def dictionary() -> pa.RecordBatch:
-            n = len(seen)
-            columns = [pa.array(np.full(n, block)), pa.nulls(n, pa.int64()), pa.nulls(n, id_type), pa.nulls(n, pa.list_(pa.int32())), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(seen), pa.string())]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "row", "id", "words", "at", "piece"])
+        def dictionary() -> Iterator[pa.RecordBatch]:
+            pieces = list(map(piece_of, seen))
+            for first in range(0, len(pieces), TOGETHER):
+                own = pieces[first : first + TOGETHER]
+                n, (x, y) = len(own), both.encoded(own)
+                columns = [pa.array(np.full(n, block)), pa.nulls(n, longs), pa.nulls(n, id_type), pa.nulls(n, numbers), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(x, numbers), pa.array(y, numbers)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        id_type = None
         for batch in batches:
             id_type, texts = batch.column(0).type, text_array(batch.column(1))
             first = 0
@@ -121,143 +169,126 @@ def cut_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 while end < len(texts) and weight < BLOCK:
                     text = texts[end].as_py()
                     weight += len(text)
-                    words.append([seen.setdefault(p, len(seen)) for p in PIECES.findall(" " + text)] if text else None)
+                    words.append([seen.setdefault(w, len(seen)) for w in words_of(text)] if text else None)
                     end += 1
                 n = end - first
-                columns = [pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), batch.column(0).slice(first, n), pa.array(words, pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["block", "row", "id", "words", "at", "piece"])
+                columns = [pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), batch.column(0).slice(first, n), pa.array(words, numbers), pa.nulls(n, pa.int32()), pa.nulls(n, numbers), pa.nulls(n, numbers)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 row, first = row + n, end
                 if weight >= BLOCK:
-                    yield dictionary()
+                    yield from dictionary()
                     block, seen, weight = block + 1, {}, 0
         if seen:
-            yield dictionary()
+            yield from dictionary()
 
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).transform(arrow_map, run, _CUT.format(kind=kind))
 
 
-def encode_pieces(pieces: DataFrame, byte_file: str, piece_file: str) -> DataFrame:
-    """(piece, whole, a, a_length, b, b_length) of distinct pieces.  The files, of fixed size, are read on the driver and broadcast."""
-    with open(byte_file, encoding="utf-8") as f:
-        definition = f.read()
-    with open(piece_file, "rb") as f:
-        model = f.read()
-    check_definition(definition)
-    Sides(definition, model).check()
-    shared, key = pieces.sparkSession.sparkContext.broadcast((definition, model)), hashlib.md5(definition.encode() + model).hexdigest()
+KEY = ["block", "at"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sides, numbers = _sides(key, shared), pa.list_(pa.int32())
-        for batch in batches:
-            for first in range(0, batch.num_rows, TOGETHER):
-                own = batch.column(0).slice(first, TOGETHER)
-                whole, *lists = zip(*sides.encoded(own.to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([own, pa.array(whole), *[pa.array(x, numbers) for x in lists]], names=["piece", "whole", "a", "a_length", "b", "b_length"])
 
-    return pieces.mapInArrow(trimmed(run), "piece string, whole boolean, a array<int>, a_length array<int>, b array<int>, b_length array<int>")
+def _lengths(lengths: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>")  # folded to one literal
+
 
+def token_places(tokens: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
+    """(block, at, second, id, begin): each token of a piece, whether it is the second side's, and the place where it begins.
 
-def token_places(tokens: DataFrame, side: str) -> DataFrame:
-    """(key, begin, id): tokens of one side with the end of the token before, 0 for the first."""
-    rows = tokens.select("key", F.posexplode(F.arrays_zip(side, f"{side}_length")).alias("at", "x")).select("key", "at", F.col(f"x.{side}").alias("id"), F.col(f"x.{side}_length").alias("length"))
-    before = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("key", (F.sum("length").over(before) - F.col("length")).alias("begin"), "id")
+    tokens: block, at, a, b.  lengths: bytes of each id.  A place is the end of the token before, 0 for the first.
+    """
+    rows = tokens.select(*KEY, F.size("a").alias("n"), F.posexplode(F.concat("a", "b")).alias("k", "id")).select(*KEY, (F.col("k") >= F.col("n")).alias("second"), "k", "id")
+    length = F.when(F.col("second"), F.element_at(_lengths(lengths["b"]), F.col("id") + 1)).otherwise(F.element_at(_lengths(lengths["a"]), F.col("id") + 1))
+    before = Window.partitionBy(*KEY, "second").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("length", length).select(*KEY, "second", "id", (F.sum("length").over(before) - F.col("length")).cast("int").alias("begin"))
 
 
-def stretches(tokens: DataFrame) -> DataFrame:
-    """(key, begin, part, a, b, a_id, b_id) for each place where a token begins.
+def stretches(tokens: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
+    """(block, at, part, a, b, a_id, b_id) for each place of a piece where a token begins, in order.
 
-    tokens: key, a, a_length, b, b_length.  a, b: the token that begins there, or null; part: the group's number, from 1; a_id,
-    b_id: the tokens that run through the stretch from there on.  Two tokens overlap in exactly one stretch, so each row is one link.
+    a, b: the token that begins there, or null; part: the group's number, from 1; a_id, b_id: the tokens that run through
+    the stretch from there on.  Two tokens overlap in exactly one stretch, so each row is one link.
     """
-    a, b = (token_places(tokens, side).withColumnRenamed("id", side) for side in "ab")
-    both = a.join(b, ["key", "begin"], "full")
-    along = Window.partitionBy("key").orderBy("begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.select(
-        "key", "begin", F.sum(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1).otherwise(0)).over(along).alias("part"), "a", "b",
-        F.last("a", True).over(along).alias("a_id"), F.last("b", True).over(along).alias("b_id"),
+    order = Window.partitionBy(*KEY).orderBy("begin", "second")
+    along = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    a, b = F.when(~F.col("second"), F.col("id")), F.when(F.col("second"), F.col("id"))
+    cut = F.coalesce(F.lag("begin").over(order) == F.col("begin"), F.lit(False))  # two tokens at one place: the second side's row has both
+    rows = token_places(tokens, lengths).select(
+        *KEY, "begin", "second", cut.alias("cut"), a.alias("a"), b.alias("b"), F.coalesce(F.lead("begin").over(order) == F.col("begin"), F.lit(False)).alias("half"),
+        F.last(a, True).over(along).alias("a_id"), F.last(b, True).over(along).alias("b_id"),
     )
+    parts = rows.withColumn("part", F.sum(F.col("cut").cast("int")).over(along).cast("int")).where("not half")
+    return parts.select(*KEY, "part", F.when(F.col("cut"), F.col("a_id")).otherwise(F.col("a")).alias("a"), "b", "a_id", "b_id")
 
 
-def in_order(column: str) -> Column:
-    """The values of a group by begin, joined by commas."""
-    found = F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct("begin", column))))
-    return F.array_join(F.transform(found, lambda x: x[column].cast("string")), ",")
-
+def _told(id_kind: str) -> str:
+    return f"block long, row long, id {id_kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pair int, link long, n long, sizes array<int>, pairs array<int>"
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """(key, n_a, n_b, n_groups, groups, links): groups as text, links as an array of a_id * 2^32 + b_id, one for each link."""
-    parts = stretches(tokens).groupBy("key", "part").agg(
-        F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.concat_ws("|", in_order("a"), in_order("b")).alias("text"),
-        F.collect_list(F.shiftleft(F.col("a_id").cast("long"), 32).bitwiseOR(F.col("b_id").cast("long"))).alias("links"),
-    )
-    texts = F.array_sort(F.collect_list(F.struct("part", "text")))
-    return parts.groupBy("key").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"),
-        F.array_join(F.transform(texts, lambda x: x["text"]), ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"),
-    )
 
+def _texts_of_block(texts: pa.Table, found: pa.Table) -> pa.Table:
+    """A row for each text of a block; one for each pair of ids that its pieces link, with the number of texts that hold it; and one with the pairs of each piece.
 
-def _told(id_kind: str) -> str:
-    return f"block long, row long, id {id_kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, link long, n long"
-
-
-def _texts_of_block(texts: pa.Table, pieces: pa.Table) -> pa.Table:
-    """A row for each text of a block, and one for each pair that its texts hold linked, with the number of those."""
-    n = pieces.num_rows
-    place = pieces["at"].to_numpy()
-    whole = np.zeros(n, bool)
-    whole[place] = pieces["whole"].to_numpy(zero_copy_only=False)
-    sums = np.zeros((3, n), np.int64)
-    for k, c in enumerate(("n_a", "n_b", "n_groups")):
-        sums[k, place] = pieces[c].fill_null(0).to_numpy()
-    groups = [""] * n
-    for k, g in zip(place.tolist(), pieces["groups"].to_pylist(), strict=True):
-        groups[k] = g or ""
-    links = pieces["links"].combine_chunks() if n else pa.array([], pa.list_(pa.int64()))
-    sizes = np.zeros(n, np.int64)
-    lengths = links.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    starts = np.zeros(n, np.int64)
-    sizes[place], starts[place] = lengths, np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    pairs, own = np.unique(links.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    held = np.zeros(len(pairs), np.int64)
-    rows = []
-    words, first = texts["words"].combine_chunks(), 0
-    flat, many = words.flatten().to_numpy(zero_copy_only=False), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    for size in many.tolist():
+    found: the stretches of the block's pieces, in order.
+    """
+    flat = pc.list_flatten(texts["words"]).to_numpy()
+    place, part = found["at"].to_numpy(), found["part"].to_numpy()
+    n = 1 + max(int(place.max(initial=-1)), int(flat.max(initial=-1)))
+    begins = {c: pc.is_valid(found[c]).to_numpy() for c in "ab"}
+    fresh = np.ones(len(place), bool)
+    fresh[1:] = (place[1:] != place[:-1]) | (part[1:] != part[:-1])
+    group = np.cumsum(fresh) - 1
+    own_group = place[fresh]  # the piece of each group
+    sums = np.stack([np.bincount(x, minlength=n) for x in (place[begins["a"]], place[begins["b"]], own_group)])
+    whole = sums[2] > 0
+
+    def joined(values: pa.Array, counts: np.ndarray, by: str) -> pa.Array:
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values), by)
+
+    sides = [joined(found[c].drop_null().cast(pa.string()).combine_chunks(), np.bincount(group[begins[c]], minlength=len(own_group)), ",") for c in "ab"]
+    groups = joined(pc.binary_join_element_wise(*sides, "|"), sums[2], ";").to_pylist()
+    sizes = np.bincount(place, minlength=n)
+    starts = np.cumsum(sizes) - sizes
+    links, own = np.unique((found["a_id"].to_numpy().astype(np.int64) << 32) | found["b_id"].to_numpy(), return_inverse=True)
+
+    def pairs_of(some: np.ndarray) -> np.ndarray:
+        count = sizes[some]
+        return own[np.arange(count.sum()) + np.repeat(starts[some] - (np.cumsum(count) - count), count)]
+
+    held, rows, first = np.zeros(len(links), np.int64), [], 0
+    for size in pc.fill_null(pc.list_value_length(texts["words"]), 0).to_pylist():
         w, first = flat[first : first + size], first + size
         if not size or not whole[w].all():
             rows.append((0, 0, 0, 0, ""))
             continue
         told = hashlib.sha256(";".join([groups[k] for k in w.tolist()]).encode()).hexdigest()
         rows.append((*sums[:, w].sum(axis=1).tolist(), int(sizes[w].sum()), told))
-        once = np.unique(w)
-        count = sizes[once]
-        at = np.arange(count.sum()) + np.repeat(starts[once] - (np.cumsum(count) - count), count)
-        held[np.unique(own[at])] += 1
-    some = np.flatnonzero(held)
-    t, p, longs = len(rows), len(some), pa.int64()
+        held[np.unique(pairs_of(np.unique(w)))] += 1
+    t, p, longs, numbers = len(rows), len(links), pa.int64(), pa.list_(pa.int32())
     n_a, n_b, n_groups, n_links, told = zip(*rows, strict=True) if rows else ((),) * 5
-    columns = [pa.concat_arrays([pa.array(x, longs), pa.nulls(p, longs)]) for x in (n_a, n_b, n_groups, n_links)]
-    block = texts["block"][0].as_py() if t else 0
+    block = (texts if t else found)["block"][0].as_py()
+
+    def column(kind: pa.DataType, text=None, pair=None, one=None) -> pa.ChunkedArray:
+        return pa.chunked_array([pa.nulls(k, kind) if x is None else x.combine_chunks() if isinstance(x, pa.ChunkedArray) else pa.array(x, kind) for x, k in ((text, t), (pair, p), (one, 1))], kind)
+
     return pa.table({
-        "block": pa.array(np.full(t + p, block)), "row": pa.concat_arrays([texts["row"].combine_chunks(), pa.nulls(p, longs)]),
-        "id": pa.concat_arrays([texts["id"].combine_chunks(), pa.nulls(p, texts["id"].type)]), "n_a": columns[0], "n_b": columns[1], "n_groups": columns[2], "n_links": columns[3],
-        "groups_sha256": pa.concat_arrays([pa.array(told, pa.string()), pa.nulls(p, pa.string())]),
-        "link": pa.concat_arrays([pa.nulls(t, longs), pa.array(pairs[some])]), "n": pa.concat_arrays([pa.nulls(t, longs), pa.array(held[some])]),
+        "block": pa.array(np.full(t + p + 1, block)), "row": column(longs, texts["row"]), "id": column(texts["id"].type, texts["id"]),
+        "n_a": column(longs, n_a), "n_b": column(longs, n_b), "n_groups": column(longs, n_groups), "n_links": column(longs, n_links), "groups_sha256": column(pa.string(), told),
+        "pair": column(pa.int32(), None, np.arange(p, dtype=np.int32)), "link": column(longs, None, links), "n": column(longs, None, held),
+        "sizes": column(numbers, None, None, [sizes]), "pairs": column(numbers, None, None, [own]),
     })
 
 
-def _sums_of_block(texts: pa.Table, pieces: pa.Table) -> pa.Table:
-    """(block, row, n_best, count_sum) of each text that has tokens."""
-    n = pieces.num_rows
-    sums = np.zeros((2, n), np.int64)
-    for k, c in enumerate(("n_best", "count_sum")):
-        sums[k, pieces["at"].to_numpy()] = pieces[c].fill_null(0).to_numpy()
-    words = texts["words"].combine_chunks()
-    flat, ends = words.flatten().to_numpy(zero_copy_only=False), np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    along = np.concatenate((np.zeros((2, 1), np.int64), np.cumsum(sums[:, flat], axis=1)), axis=1)
-    got = along[:, ends] - along[:, np.concatenate(([0], ends[:-1]))]
+def _sums_of_block(texts: pa.Table, facts: pa.Table) -> pa.Table:
+    """(block, row, n_best, count_sum) of each text.  facts: what the corpus says of each pair, and one row with the pairs of each piece."""
+    of_pieces, pairs = facts.filter(pc.is_valid(facts["sizes"])), facts.filter(pc.is_null(facts["sizes"]))
+    sizes, own = (pc.list_flatten(of_pieces[c]).to_numpy() for c in ("sizes", "pairs"))
+    known, along = np.zeros((2, 1 + int(own.max(initial=-1))), np.int64), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    for k, c in enumerate(("best", "count")):
+        known[k, pairs["pair"].to_numpy()] = pairs[c].to_numpy()
+    run = np.concatenate((np.zeros((2, 1), np.int64), np.cumsum(known[:, own], axis=1)), axis=1)
+    each = run[:, along[1:]] - run[:, along[:-1]]
+    flat, ends = pc.list_flatten(texts["words"]).to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(texts["words"]), 0).to_numpy())
+    run = np.concatenate((np.zeros((2, 1), np.int64), np.cumsum(each[:, flat], axis=1)), axis=1)
+    got = run[:, ends] - run[:, np.concatenate(([0], ends))[:-1].astype(np.int64)]
     return pa.table({"block": texts["block"], "row": texts["row"], "n_best": pa.array(got[0]), "count_sum": pa.array(got[1])})
 
 
@@ -268,29 +299,33 @@ def align(df: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_id"
     links are the pairs of tokens whose bytes overlap; a pair's count is the number of rows that hold it linked, and a link is best
     if its count is the highest of its A id.  Null and empty texts, and those that a side's tokens do not spell, have no tokens: zeros, and an
     empty groups_sha256.  Repeated rows count as rows of their own; ids, null ones too, only pass through; very long texts are read whole.
-    An empty table gives no rows; other columns are not read, whatever their names.
+    An empty table gives no rows; other columns are not read, whatever their names.  The files, of fixed size, are read on the driver and broadcast.
     """
-    cut = stored(cut_texts(df, id_col, text_col), "align-texts")
-    texts, entries = cut.where("piece is null").select("block", "row", "id", "words"), cut.where("piece is not null").select("block", "at", "piece")
-    pieces = stored(encode_pieces(entries.select("piece").distinct(), byte_file, piece_file).withColumn("key", F.monotonically_increasing_id()), "align-pieces")
-    with _setting(df.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # the join on key and place keeps the partitioning by key
-        known = stored(aligned(pieces.where("whole").drop("piece", "whole").repartition("key")), "align-known")
-    named = pieces.select("piece", "whole", "key").join(known, "key", "left")
-    entries = stored(entries.join(named, "piece").select("block", "at", "key", "whole", "n_a", "n_b", "n_groups", "groups", "links"), "align-entries")
-    told = texts.groupBy("block").cogroup(entries.drop("key").groupBy("block")).applyInArrow(_texts_of_block, _told(df.schema[id_col].dataType.simpleString()))
-    told = stored(told, "align-told")
-    counts = told.where("link is not null").groupBy("link").agg(F.sum("n").alias("count"))
-    links = known.select("key", F.explode("links").alias("link")).groupBy("key", "link").agg(F.count(F.lit(1)).alias("m"))
-    uses = links.groupBy("link").agg(F.count(F.lit(1)).alias("uses"))
-    counts = stored(counts.join(uses, "link"), "align-counts")  # a link of no row's text that has tokens has no count
-    most = counts.groupBy(F.shiftright("link", 32).alias("a")).agg(F.max("count").alias("most"))
-    best = counts.withColumn("a", F.shiftright("link", 32)).join(F.broadcast(most), "a")  # at most a row for each id of the vocabulary
-    facts = stored(best.select("link", "uses", "count", (F.col("count") == F.col("most")).alias("best")), "align-facts")
-    total = facts.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
-    weighed = met(links, facts, ["link"], "uses", total).groupBy("key").agg(F.sum(F.col("m") * F.col("best").cast("long")).alias("n_best"), F.sum(F.col("m") * F.col("count")).alias("count_sum"))
-    entries = entries.select("block", "at", "key").join(weighed, "key", "left").select("block", "at", "n_best", "count_sum")
-    sums = texts.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(_sums_of_block, "block long, row long, n_best long, count_sum long")
-    rows = told.where("link is null")
-    out = rows.join(sums, ["block", "row"])
+    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    with open(byte_file, encoding="utf-8") as f:
+        definition = f.read()
+    with open(piece_file, "rb") as f:
+        model = f.read()
+    check_definition(definition)
+    sides = Sides(definition, model)
+    sides.check()
+    lengths = {"a": sides.a_lengths.tolist(), "b": list(map(len, sides.b_bytes))}
+    key = hashlib.md5(definition.encode() + model).hexdigest()
+    cut, drop = by_block(cut_texts(df, spark.sparkContext.broadcast((definition, model)), key, id_col, text_col))
+    texts = cut.where("at is null").select("block", "row", "id", "words")
+    found = stretches(cut.where("at is not null and a is not null").select("block", "at", "a", "b"), lengths)
+    told = stored(texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_texts_of_block, _told(kind)), "align-told")
+    held = told.where("link is not null").select("block", "pair", "link", "n", F.shiftright("link", 32).alias("a"))
+    counts = stored(held.groupBy("a", "link").agg(F.sum("n").alias("count")), "align-counts")
+    most = counts.groupBy("a").agg(F.max("count").alias("most"))
+    facts = counts.join(F.broadcast(most), "a").select("link", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))  # most: a row for each id of the vocabulary
+    none = F.lit(None)
+    facts = held.join(facts, "link").select("block", "pair", "best", "count", none.cast("array<int>").alias("sizes"), none.cast("array<int>").alias("pairs"))
+    facts = facts.unionByName(told.where("sizes is not null").select("block", none.cast("int").alias("pair"), none.cast("long").alias("best"), none.cast("long").alias("count"), "sizes", "pairs"))
+    sums = texts.select("block", "row", "words").groupBy("block").cogroup(facts.groupBy("block")).applyInArrow(_sums_of_block, "block long, row long, n_best long, count_sum long")
+    sums = stored(sums, "align-sums")
+    drop()
+    discard(counts)
+    out = told.where("row is not null").select("block", "row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256").join(sums, ["block", "row"])
     has = F.col("groups_sha256") != ""
     return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", *[F.when(has, F.col(c)).otherwise(0).alias(c) for c in ("n_best", "count_sum")], "groups_sha256")

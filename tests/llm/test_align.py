@@ -77,10 +77,7 @@ def test_documents_like_brute_force(spark, libraries, small):
 
 
 def test_random_texts_in_small_blocks(spark, libraries, rng, monkeypatch):
-    from tailweave.llm import common
-
-    monkeypatch.setattr(common, "LEAST_HEAVY", 3)
-    monkeypatch.setattr(common, "MOST_HEAVY", 50)
+    monkeypatch.setattr(align, "BLOCK", 300)
     pool = [chr(k) for k in (*range(1, 0x250, 7), 0x2000, 0x3000, 0x200B, 0xFEFF, 0x4E2D, 0x1F600, 0xB2, 0x660, 0x2028, 0x301, 0x5D0, 0x926, 0xA0, 0x85)]
     pool += [" ", " ", " ", "\n", "\n", "\t", "\r\n", "  ", "▁", "<|endoftext|>", "<s>", "</s>", "<0x0A>", "the", " house", "'ll", "ing", "tion", "123", "...", "--", "\x00"]
     rows = [(k, "".join(rng.choice(pool) for _ in range(rng.randint(0, 40)))) for k in range(500)]
@@ -101,17 +98,21 @@ def test_pieces_encode_by_themselves(libraries, rng):
     sides = align.Sides(open(A, encoding="utf-8").read(), open(B, "rb").read())
     sides.check()
     pool = [" ", "\n", "  ", "\t", "\r", "\xa0", " ", "a", "b.", "'s", "é", "漢", "!", "the", "0", "\x1c", "\x85"]
+    kept = set()
     for _ in range(2000):
         text = "".join(rng.choice(pool) for _ in range(rng.randint(1, 25)))
-        pieces = align.PIECES.findall(" " + text)
-        assert "".join(pieces) == " " + text
-        found = sides.encoded(pieces)
+        pieces = align.pieces_of(text)
+        assert "".join(pieces) == " " + text and pieces == align.PIECES.findall(" " + text)
+        assert pieces == list(map(align.piece_of, align.words_of(text)))
         x, _, y, _ = tokens(libraries, text)
-        assert [k for f in found for k in f[1]] == x and [k for f in found for k in f[3]] == y
+        assert tuple([k for ids in side for k in ids] for side in sides.encoded(pieces)) == (x, y)
+        kept.update(pieces)
+    alone = [p for p in kept if "▁" not in p]
+    assert sides.encoded(alone)[0] == [e.ids for e in libraries[0].encode_batch(alone, add_special_tokens=False)]
 
 
-def test_setting_is_put_back(spark, small):
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    had = spark.conf.get(key)
-    align.align(spark.read.parquet(f"{small}/documents.parquet").limit(3), A, B)
-    assert spark.conf.get(key) == had
+def test_tokens_and_texts_are_not_shuffled(spark):
+    cut, drop = align.by_block(spark.createDataFrame([(1, 0, [1, 2], [3])], "block long, at int, a array<int>, b array<int>"))
+    plan = align.stretches(cut, {"a": [1] * 9, "b": [2] * 9})._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    drop()

@@ -39,7 +39,7 @@ PLAIN, RARE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(rf"[{_OTHER}]")
 RUNS = re.compile(r"[ \n][ \n]")
 SPACE_END = re.compile(rf"[{_SPACE}]\Z")
 #: Characters of text in a block, about; one long text is a block of its own.
-BLOCK = 6 << 20
+BLOCK = 3 << 20
 #: Pieces encoded together, and pieces of one string.
 TOGETHER, RUN = 4096, 64
 
@@ -125,7 +125,7 @@ def _sides(key: str, shared) -> Sides:
 def by_block(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """df as a stored table whose buckets hold whole blocks, and what drops it: groups, windows and cogroups by block need no exchange."""
     spark, name = df.sparkSession, f"align_{uuid.uuid4().hex}"
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # most tasks hold one block
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # most tasks hold one block or two
     path = f"{shared_folder(spark)}/tailweave/{name}"
     df.write.bucketBy(buckets, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
 

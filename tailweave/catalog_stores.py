@@ -404,11 +404,7 @@ si AS (SELECT k, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a)/nullif(greatest(a,
 
 def _silhouettes(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), "label")
-    out = None
-    for k in (2, 5, 10):
-        own = cluster.silhouette(e.withColumn("label", F.col("label") % k)).select(F.lit(k).alias("k"), "silhouette")
-        out = own if out is None else out.unionAll(own)
-    return out
+    return cluster.silhouettes(e, {k: F.col("label") % k for k in (2, 5, 10)})
 
 
 @query(SILHOUETTES + " SELECT k, round(silhouette, 6) AS silhouette FROM si ORDER BY silhouette DESC, k LIMIT 1")

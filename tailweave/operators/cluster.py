@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Mapping
+from functools import reduce
+from operator import and_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +15,10 @@ from ..functions.scalars import finite_vectors
 from ..storage import stored
 from .selection import hash_prefix
 
-#: Vectors of a block (fewer, if they are long): two blocks are compared in one task.
-BLOCK, BLOCK_NUMBERS = 512, 8_000_000
+#: Vectors of a block (fewer, if they are long or clusters many): two blocks are compared in one task, tile by tile.
+BLOCK, BLOCK_NUMBERS, TILE = 16_384, 8_000_000, 512
+#: Squares below this share of the vectors' own have lost too many digits; rows of sums given out at once; tasks that pairs of blocks are dealt to.
+CANCELLED, ROWS, MOST_TASKS = 1e-6, 200_000, 4096
 #: Numbers of all centres that are broadcast to the tasks of a step; beyond, restarts go one after the other.
 MOST_NUMBERS = 16_000_000
 PIECE = 1024
@@ -60,40 +66,112 @@ def cluster_scores(points: DataFrame, sample: int | None = None, seed: int = 7)
 def silhouette(points: DataFrame, sample: int | None = None, seed: int = 7) -> DataFrame:
     """One row: mean of (b - a) / max(a, b) over points; points alone in their cluster count 0, and so do all if there is one cluster.
 
-    Points are dealt to blocks; each task holds two blocks and gives one row for a point and cluster, so neither a matrix of all
-    pairs nor all points ever come together.  ``sample``: only so many points, against each other.
+    ``sample``: only so many points, against each other.
+    """
+    return silhouettes(points, {0: F.col("label")}, sample, seed).agg(F.max("silhouette").alias("silhouette"))  # one row
+
+
+def silhouettes(points: DataFrame, labels: Mapping[int, Column], sample: int | None = None, seed: int = 7) -> DataFrame:
+    """(k, silhouette) for each of several clusterings of the same points(id, x, ...), whose distances are measured once.
+
+    Points are dealt to blocks; each task holds two blocks, compares them tile by tile for both sides at once and gives one row for a point and cluster,
+    so neither a matrix of all pairs nor all points ever come together.  The work is that of all pairs, by its nature; what
+    is shuffled is each point once for each block.
     """
     import numpy as np
-    import pandas as pd
 
     n, width = points.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     if sample is not None and n > sample:
         points, n = stored(hash_prefix(points, sample / n, ["id"], seed=seed), "sample"), sample
-    blocks = max(1, -(-n // max(1, min(BLOCK, BLOCK_NUMBERS // max(1, width or 1)))))
-    dealt = points.select("id", "x", "label", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
-    everywhere = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    kinds = {c: points.schema[c].dataType.simpleString() for c in ("id", "label")}
-
-    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "label": [], "by": [], "d": [], "n": []})
-        y, own = np.stack(b["x"].to_list()).astype(float), b["label"].to_numpy()
-        labels, at = np.unique(own, return_inverse=True)
-        member, out = np.eye(len(labels))[at], []
-        same_id = b["id"].to_numpy()
-        for k, (i, x, label) in enumerate(zip(a["id"], a["x"], a["label"], strict=True)):
-            d = np.sqrt(((y - np.asarray(x, float)) ** 2).sum(axis=1))
-            there = (same_id != i).astype(float)
-            out.append(pd.DataFrame({"id": i, "label": label, "by": labels, "d": (d * there) @ member, "n": (there @ member).astype(np.int64)}))
-        return pd.concat(out)
-
-    turned = everywhere.select("id", "x", "label", F.col("other").alias("own"), F.col("own").alias("other"), F.lit(1).alias("side"))
-    sums = everywhere.withColumn("side", F.lit(0)).unionByName(turned).groupBy("own", "other").applyInPandas(compared, f"id {kinds['id']}, label {kinds['label']}, by {kinds['label']}, d double, n long")
-    means = sums.groupBy("id", "label", "by").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
-    per = means.groupBy("id", "label").agg(F.max(F.when(F.col("by") == F.col("label"), F.col("m"))).alias("a"), F.min(F.when(F.col("by") != F.col("label"), F.col("m"))).alias("b"))
-    s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
-    return per.agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette"))
+    own, by = [f"l{m}" for m in range(len(labels))], [f"o{m}" for m in range(len(labels))]
+    labelled = points.select("id", "x", *[c.alias(o) for c, o in zip(labels.values(), own, strict=True)])
+    codes = stored(labelled.select(*own).distinct().select(F.expr(f"row_number() over (order by {', '.join(own)})").alias("code"), *own), "labels")  # a row for each cluster
+    same = reduce(and_, [F.col(f"p.{o}").eqNullSafe(F.col(f"c.{o}")) for o in own])
+    coded = labelled.alias("p").join(F.broadcast(codes.alias("c")), same).select("id", "x", "code")
+    blocks = max(1, -(-n // max(1, min(BLOCK, BLOCK_NUMBERS // max(1, width or 1, codes.count())))))
+    dealt = coded.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    met = met.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "x", "code")
+    kind = points.schema["id"].dataType.simpleString()
+
+    def compared(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        rows = rows.take(pc.sort_indices(rows, [("own", "ascending"), ("code", "ascending")]))
+        x = pc.list_flatten(rows["x"]).to_numpy().astype(float).reshape(len(rows), -1)
+        code, first = rows["code"].to_numpy(), np.searchsorted(rows["own"].to_numpy(), key[1].as_py())
+        a, b = (slice(0, None),) * 2 if key[0] == key[1] else (slice(0, first), slice(first, None))
+        if not (len(code[a]) and len(code[b])):
+            return
+        sides = [(rows["id"][s.start : s.stop].combine_chunks(), code[s], *np.unique(code[s], return_counts=True)) for s in (a, b)]
+        sums = distance_sums(x[a], x[b], sides[0][1], sides[1][1])
+        counts = [np.tile(sides[1 - k][3], (len(sides[k][1]), 1)) for k in (0, 1)]
+        if key[0] == key[1]:  # pairs within a block come from one side; those of one id don't count
+            sides, sums, ids = sides[:1], sums[:1], sides[0][0].dictionary_encode().indices.fill_null(-1).to_numpy()
+            place, order = np.searchsorted(sides[0][2], sides[0][1]), np.argsort(ids, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(ids[order])) + 1):
+                for i in group:
+                    np.subtract.at(counts[0][i], place[group], 1)
+                    if len(group) > 1:
+                        np.subtract.at(sums[0][i], place[group], np.sqrt(((x[group] - x[i]) ** 2).sum(axis=1)))
+        for k, (ids, codes_, *_) in enumerate(sides):
+            others = (sides[1 - k] if len(sides) > 1 else sides[0])[2]
+            step = max(1, ROWS // len(others))
+            for at in range(0, len(codes_), step):
+                d, c = sums[k][at : at + step], counts[k][at : at + step]
+                each = np.repeat(np.arange(at, at + len(d)), len(others))
+                columns = [ids.take(pa.array(each)), pa.array(codes_[each]), pa.array(np.tile(others, len(d))), pa.array(d.ravel()), pa.array(c.ravel().astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "code", "by", "d", "n"])
+
+    tasks = min(MOST_TASKS, blocks * (blocks + 1) // 2)  # by number: little data, much work
+    parts = met.repartition(tasks, "p", "q").groupBy("p", "q").applyInArrow(compared, f"id {kind}, code int, by int, d double, n long")
+    sums = parts.groupBy("id", "code", "by").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    if len(labels) > 1:
+        sums = stored(sums, "distances")
+    told = sums.join(F.broadcast(codes), "code").join(F.broadcast(codes.select(F.col("code").alias("by"), *[F.col(o).alias(b) for o, b in zip(own, by, strict=True)])), "by")
+    out = None
+    for k, label, other in zip(labels, own, by, strict=True):
+        means = told.groupBy("id", label, other).agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
+        per = means.groupBy("id", label).agg(F.max(F.when(F.col(other) == F.col(label), F.col("m"))).alias("a"), F.min(F.when(F.col(other) != F.col(label), F.col("m"))).alias("b"))
+        s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
+        one = per.agg(F.avg(F.coalesce(s, F.lit(0.0))).alias("silhouette")).select(F.lit(k).alias("k"), "silhouette")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def distance_sums(x, y, own, other) -> tuple:
+    """Sums of the distances of each row of x to the rows of y with one code, and of each row of y to those of x; own and other are sorted codes.
+
+    Squares come from products, for two tiles at a time; where they cancel, and where a number is not finite, the pair is measured by itself.
+    """
+    import numpy as np
+
+    middle = x.mean(axis=0)
+    middle = np.where(np.isfinite(middle), middle, 0)
+    x, y = x - middle, y - middle
+    labels = [np.unique(c, return_inverse=True) for c in (own, other)]
+    out = np.zeros((len(x), len(labels[1][0]))), np.zeros((len(y), len(labels[0][0])))
+    places = [c[1] for c in labels]
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for i in range(0, len(x), TILE):
+            u, at = x[i : i + TILE], places[0][i : i + TILE]
+            rows = np.flatnonzero(np.diff(at, prepend=-1))
+            for j in range(0, len(y), TILE):
+                v, to = y[j : j + TILE], places[1][j : j + TILE]
+                scale = xx[i : i + TILE, None] + yy[None, j : j + TILE]
+                d = u @ v.T
+                d *= -2
+                d += scale
+                scale *= CANCELLED
+                near = np.nonzero(~(d > scale))
+                for k in range(0, len(near[0]), TILE * TILE // 8):
+                    r, c = (z[k : k + TILE * TILE // 8] for z in near)
+                    d[r, c] = ((u[r] - v[c]) ** 2).sum(axis=1)
+                np.sqrt(d, out=d)
+                columns = np.flatnonzero(np.diff(to, prepend=-1))
+                out[0][i : i + TILE, to[columns]] += np.add.reduceat(d, columns, axis=1)
+                out[1][j : j + TILE, at[rows]] += np.add.reduceat(d, rows, axis=0).T
+    return out
 
 
 def _seeds(sample, k: int, restarts: int, seed: int):

@@ -556,6 +556,34 @@ def test_kmeans_leaves_out_what_is_not_finite(spark, monkeypatch):
         cluster.kmeans(df, 46)
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_silhouettes_of_several_clusterings(spark, monkeypatch, block):
+    """Off the origin, with copies, near copies and an id that stands for two rows: distances are measured once, each point in every pair of blocks."""
+    monkeypatch.setattr(cluster, "BLOCK", block)
+    monkeypatch.setattr(cluster, "TILE", 5)
+    monkeypatch.setattr(cluster, "ROWS", 4)
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((40, 4)) + 1e6
+    x[20:25], x[30] = x[0], x[1] + 1e-7
+    ids, label = [*range(39), 38], [k % 6 for k in range(40)]
+    df = spark.createDataFrame(list(zip(ids, x.tolist(), label, strict=True)), "id long, x array<double>, label int")
+    dist = np.linalg.norm(x[:, None] - x[None], axis=2)
+    ids = np.array(ids)
+    want = {}
+    for m in (2, 3, 6):
+        own, all_ = np.array(label) % m, []
+        for i, c in sorted(set(zip(ids.tolist(), own.tolist(), strict=True))):
+            d = dist[(ids == i) & (own == c)][:, ids != i]
+            by = own[ids != i]
+            a, b = d[:, by == c].mean(), min(d[:, by == o].mean() for o in range(m) if o != c)
+            all_.append((b - a) / max(a, b))
+        want[m] = np.mean(all_)
+    got = {r["k"]: r["silhouette"] for r in cluster.silhouettes(df, {m: F.col("label") % m for m in (2, 3, 6)}).collect()}
+    assert got == {m: pytest.approx(v, rel=1e-9, abs=1e-9) for m, v in want.items()}
+    assert cluster.silhouette(df).first()[0] == pytest.approx(want[6], rel=1e-9, abs=1e-9)
+    assert cluster.silhouette(df.limit(0)).first()[0] is None
+
+
 def test_axes_of_hdf5_cubes(spark, monkeypatch):
     import sys
     import types

@@ -584,6 +584,23 @@ def test_silhouettes_of_several_clusterings(spark, monkeypatch, block):
     assert cluster.silhouette(df.limit(0)).first()[0] is None
 
 
+def test_scores_of_a_thousand_vectors_meet_in_one_block(spark):
+    """Vectors are not copied to every 512 others, and pairs whose squares cancel or are not finite are measured by themselves."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1100, 3))
+    df = spark.createDataFrame([(k, v.tolist(), k % 3) for k, v in enumerate(x)], "id long, x array<double>, label int")
+    plan = cluster.cluster_scores(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition, REPARTITION_BY_NUM" in plan  # one pair of blocks
+    x[5], x[6], x[9] = x[4], x[4] + 1e-9, [np.inf, 0, 0]
+    label = np.arange(1100) // 400
+    with np.errstate(invalid="ignore"):
+        dist = np.linalg.norm(x[:, None] - x[None, :50], axis=2)
+    got = cluster.distance_sums(x, x[:50], label, label[:50] + np.arange(50) // 20)
+    want = np.stack([dist[:, :20].sum(axis=1), dist[:, 20:40].sum(axis=1), dist[:, 40:].sum(axis=1)], axis=1)
+    assert np.allclose(got[0], want, rtol=1e-9, atol=0, equal_nan=True) and got[1].shape == (50, 3)
+    assert np.allclose(got[1][:, 1], dist[400:800].sum(axis=0), rtol=1e-9, atol=0, equal_nan=True)
+
+
 def test_axes_of_hdf5_cubes(spark, monkeypatch):
     import sys
     import types

@@ -601,6 +601,25 @@ def test_scores_of_a_thousand_vectors_meet_in_one_block(spark):
     assert np.allclose(got[1][:, 1], dist[400:800].sum(axis=0), rtol=1e-9, atol=0, equal_nan=True)
 
 
+@pytest.mark.parametrize(("cells", "steps"), [(2, 1000), (3, 40), (1000, 7)])
+def test_joint_hits_by_blocks(spark, rain, ranked, monkeypatch, cells, steps):
+    """Pairs are counted where two blocks meet: with one span of steps, no row of a pair is shuffled; repeated rows count."""
+    monkeypatch.setattr(graph, "HIT_CELLS", cells)
+    monkeypatch.setattr(graph, "HIT_STEPS", steps)
+    monkeypatch.setattr(graph, "SLAB", 2)
+    u = ecdf(cube_of(spark, rain))
+    u = u.unionAll(u.where("cell = 1 and t < 30"))
+    rows = spark.createDataFrame([(0,), (1,), (4,)], "cell long")
+    out = graph.joint_hits(u, 2, 5, 140, P, rows)
+    got = {(r["i"], r["j"]): r["hits"] for r in out.collect()}
+    often = lambda c, t: 2 if c == 1 and t < 30 else 1
+    over = {(r["cell"], r["t"]) for r in u.where(F.col("u") >= P).collect()}
+    want = {(i, j): sum(often(i, t + 2) * often(j, t) for t in range(5, 138) if (i, t + 2) in over and (j, t) in over) for i in (0, 1, 4) for j in range(6)}
+    assert got == {k: n for k, n in want.items() if n}
+    after = out._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString() and ("Exchange" in after) == (steps < 135)
+
+
 def test_axes_of_hdf5_cubes(spark, monkeypatch):
     import sys
     import types

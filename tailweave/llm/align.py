@@ -2,8 +2,8 @@
 
 Texts are cut where neither tokenizer can join what stands on both sides (before a blank or newline after a character that is no white
 space; the vocabularies are checked for it), so each distinct piece of a block of texts is encoded and aligned once, relationally:
-posexplode of its tokens, a windowed sum of their lengths for the place where each begins (the end of the one before), both sides matched on
-piece and place, running counts of the places that both have as group ids, and the tokens that run through each stretch
+posexplode of its tokens with the place where each begins (the end of the one before), both sides matched on
+piece and place, the places that both have as the groups' beginnings, and the tokens that run through each stretch
 between two places as links.  Blocks are the buckets of one stored table, so no token and no text is ever shuffled.
 
 The match on piece and place is made by windows in the order of the equi-join's keys: the join would have to be a full one, whose
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,7 +38,6 @@ PIECES = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+(?:[{_OTHER}][{_SPACE}]*[^{_SPACE}
 #: The same where blanks and newlines are all the white space there is.
 PLAIN, RARE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(rf"[{_OTHER}]")
 RUNS = re.compile(r"[ \n][ \n]")
-SPACE_END = re.compile(rf"[{_SPACE}]\Z")
 #: Characters of text in a block, about; one long text is a block of its own.
 BLOCK = 3 << 20
 #: Pieces encoded together, and pieces of one string.
@@ -83,6 +83,7 @@ class Sides:
         self.encode_bytes = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.a_lengths = np.array(list(map(len, self.a_bytes)))
         self.b_bytes = [self._piece(k) for k in range(self.b.vocab_size())]
+        self.b_lengths = np.array(list(map(len, self.b_bytes)))
         self.blank = self.b.piece_to_id("▁")
 
     def _piece(self, k: int) -> bytes:
@@ -116,6 +117,44 @@ class Sides:
             out[1].append(y if whole else None)
         return out
 
+    def flat(self, pieces: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Which pieces both sides spell, and for each side the number of its ids in each piece and all ids in a row.
+
+        Pieces of a blank and then no white space are encoded RUN at a time as one text, which is then cut at its blanks; the others, and all of a text that a side does
+        not spell, go one by one.
+        """
+        plain = [k for k, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not p[-1].isspace() and p.count(" ") == 1]
+        runs = [plain[k : k + RUN] for k in range(0, len(plain), RUN)]
+        texts = ["".join([pieces[k] for k in run]) for run in runs]
+        found = list(map(self.encode_bytes, texts)), self.b.encode([t[1:] for t in texts], num_threads=1)
+        u, v, good, raw = self.a_bytes.__getitem__, self.b_bytes.__getitem__, [], [t.encode() for t in texts]
+        for k, (x, y) in enumerate(zip(*found, strict=True)):
+            if b"".join(map(u, x)) == raw[k] == b"".join(map(v, y)):
+                good.append(k)
+        fast = np.array([k for r in good for k in runs[r]], np.int64)
+        starts = np.flatnonzero(np.frombuffer(b"".join([raw[r] for r in good]), np.uint8) == 32)
+        ids = [np.fromiter(itertools.chain.from_iterable([side[r] for r in good]), np.int32) for side in found]
+        firsts = []
+        for own, length in zip(ids, (self.a_lengths, self.b_lengths), strict=True):
+            begins = np.cumsum(length[own]) - length[own]
+            firsts.append(np.searchsorted(begins, starts))
+            if len(starts) != len(fast) or len(starts) and not np.array_equal(begins[firsts[-1]], starts):
+                raise ValueError("a token runs over a place where texts are cut")
+        slow = np.setdiff1d(np.arange(len(pieces)), fast)
+        known, out = np.ones(len(pieces), bool), []
+        rest = self.encoded([pieces[k] for k in slow]) if len(slow) else ([], [])
+        for own, first, others in zip(ids, firsts, rest, strict=True):
+            counts = np.zeros(len(pieces), np.int64)
+            counts[fast] = np.diff(first, append=len(own))
+            counts[slow] = [len(x or ()) for x in others]
+            is_fast = np.zeros(len(pieces), bool)
+            is_fast[fast] = True
+            every, where = np.empty(counts.sum(), np.int32), np.repeat(is_fast, counts)
+            every[where], every[~where] = own, [k for x in others for k in x or ()]
+            out.append((counts, every))
+        known[slow] = [x is not None for x in rest[0]]
+        return known, out
+
 
 @functools.lru_cache(2)
 def _sides(key: str, shared) -> Sides:
@@ -136,11 +175,11 @@ def by_block(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.table(name), drop
 
 
-_CUT = "block long, row long, id {kind}, words array<int>, at int, a array<int>, b array<int>"
+_CUT = "block long, row long, id {kind}, words array<int>, at int, a array<int>, b array<int>, a_at array<int>, b_at array<int>"
 
 
 def cut_texts(df: DataFrame, sides, key: str, id_col: str, text_col: str) -> DataFrame:
-    """Rows of texts (block, row, id, words: places in the block's dictionary, null without text), and of dictionaries (block, at, a, b: ids, null if a side does not spell the piece).
+    """Rows of texts (block, row, id, words: places in the block's dictionary, null without text), and of dictionaries (block, at, a, b: ids, null if a side does not spell the piece; a_at, b_at: the place of each).
 
     sides: a broadcast of both definitions.
     """
@@ -151,14 +190,19 @@ def cut_texts(df: DataFrame, sides, key: str, id_col: str, text_col: str) -> Dat
 
         both, longs, numbers = _sides(key, sides), pa.int64(), pa.list_(pa.int32())
         block, row, seen, weight, id_type = TaskContext.get().partitionId() << 32, 0, {}, 0, None
-        names = ["block", "row", "id", "words", "at", "a", "b"]
+        names = ["block", "row", "id", "words", "at", "a", "b", "a_at", "b_at"]
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             pieces = list(map(piece_of, seen))
             for first in range(0, len(pieces), TOGETHER):
                 own = pieces[first : first + TOGETHER]
-                n, (x, y) = len(own), both.encoded(own)
-                columns = [pa.array(np.full(n, block)), pa.nulls(n, longs), pa.nulls(n, id_type), pa.nulls(n, numbers), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(x, numbers), pa.array(y, numbers)]
+                n, (known, found) = len(own), both.flat(own)
+                columns = [pa.array(np.full(n, block)), pa.nulls(n, longs), pa.nulls(n, id_type), pa.nulls(n, numbers), pa.array(np.arange(first, first + n, dtype=np.int32))]
+                lists = [(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), ids) for counts, ids in found]
+                columns += [pa.ListArray.from_arrays(ends, ids, mask=pa.array(~known)) for ends, ids in lists]
+                for (ends, ids), length in zip(lists, (both.a_lengths, both.b_lengths), strict=True):
+                    run = np.concatenate(([0], np.cumsum(length[ids])))
+                    columns.append(pa.ListArray.from_arrays(ends, (run[:-1] - np.repeat(run[ends[:-1]], np.diff(ends))).astype(np.int32), mask=pa.array(~known)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
@@ -172,7 +216,7 @@ def cut_texts(df: DataFrame, sides, key: str, id_col: str, text_col: str) -> Dat
                     words.append([seen.setdefault(w, len(seen)) for w in words_of(text)] if text else None)
                     end += 1
                 n = end - first
-                columns = [pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), batch.column(0).slice(first, n), pa.array(words, numbers), pa.nulls(n, pa.int32()), pa.nulls(n, numbers), pa.nulls(n, numbers)]
+                columns = [pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), batch.column(0).slice(first, n), pa.array(words, numbers), pa.nulls(n, pa.int32()), *[pa.nulls(n, numbers)] * 4]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 row, first = row + n, end
                 if weight >= BLOCK:
@@ -191,21 +235,26 @@ def _lengths(lengths: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>")  # folded to one literal
 
 
+def _places(ids: Column, lengths: list[int]) -> Column:
+    """The bytes before each id."""
+    return F.transform(ids, lambda _, k: F.aggregate(F.slice(ids, 1, k), F.lit(0), lambda n, x: n + F.element_at(_lengths(lengths), x + 1)))
+
+
 def token_places(tokens: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
     """(block, at, second, id, begin): each token of a piece, whether it is the second side's, and the place where it begins.
 
-    tokens: block, at, a, b.  lengths: bytes of each id.  A place is the end of the token before, 0 for the first.
+    tokens: block, at, a, b; a_at, b_at where the places are known.  lengths: bytes of each id.  A place is the end of the token before, 0 for the first.
     """
-    rows = tokens.select(*KEY, F.size("a").alias("n"), F.posexplode(F.concat("a", "b")).alias("k", "id")).select(*KEY, (F.col("k") >= F.col("n")).alias("second"), "k", "id")
-    length = F.when(F.col("second"), F.element_at(_lengths(lengths["b"]), F.col("id") + 1)).otherwise(F.element_at(_lengths(lengths["a"]), F.col("id") + 1))
-    before = Window.partitionBy(*KEY, "second").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("length", length).select(*KEY, "second", "id", (F.sum("length").over(before) - F.col("length")).cast("int").alias("begin"))
+    places = [F.col(f"{c}_at") if f"{c}_at" in tokens.columns else _places(F.col(c), lengths[c]) for c in "ab"]
+    rows = tokens.select(*KEY, F.size("a").alias("n"), F.concat("a", "b").alias("ids"), F.concat(*places).alias("begins"))
+    rows = rows.select(*KEY, "n", "begins", F.posexplode("ids").alias("k", "id"))
+    return rows.select(*KEY, (F.col("k") >= F.col("n")).alias("second"), "id", F.element_at("begins", F.col("k") + 1).alias("begin"))
 
 
 def stretches(tokens: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
-    """(block, at, part, a, b, a_id, b_id) for each place of a piece where a token begins, in order.
+    """(block, at, cut, a, b, a_id, b_id) for each place of a piece where a token begins, in order.
 
-    a, b: the token that begins there, or null; part: the group's number, from 1; a_id, b_id: the tokens that run through
+    a, b: the token that begins there, or null; cut: whether both do, so that a group begins; a_id, b_id: the tokens that run through
     the stretch from there on.  Two tokens overlap in exactly one stretch, so each row is one link.
     """
     order = Window.partitionBy(*KEY).orderBy("begin", "second")
@@ -213,11 +262,10 @@ def stretches(tokens: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
     a, b = F.when(~F.col("second"), F.col("id")), F.when(F.col("second"), F.col("id"))
     cut = F.coalesce(F.lag("begin").over(order) == F.col("begin"), F.lit(False))  # two tokens at one place: the second side's row has both
     rows = token_places(tokens, lengths).select(
-        *KEY, "begin", "second", cut.alias("cut"), a.alias("a"), b.alias("b"), F.coalesce(F.lead("begin").over(order) == F.col("begin"), F.lit(False)).alias("half"),
+        *KEY, cut.alias("cut"), a.alias("a"), b.alias("b"), F.coalesce(F.lead("begin").over(order) == F.col("begin"), F.lit(False)).alias("half"),
         F.last(a, True).over(along).alias("a_id"), F.last(b, True).over(along).alias("b_id"),
-    )
-    parts = rows.withColumn("part", F.sum(F.col("cut").cast("int")).over(along).cast("int")).where("not half")
-    return parts.select(*KEY, "part", F.when(F.col("cut"), F.col("a_id")).otherwise(F.col("a")).alias("a"), "b", "a_id", "b_id")
+    ).where("not half")
+    return rows.select(*KEY, "cut", F.when(F.col("cut"), F.col("a_id")).otherwise(F.col("a")).alias("a"), "b", "a_id", "b_id")
 
 
 def _told(id_kind: str) -> str:
@@ -230,11 +278,9 @@ def _texts_of_block(texts: pa.Table, found: pa.Table) -> pa.Table:
     found: the stretches of the block's pieces, in order.
     """
     flat = pc.list_flatten(texts["words"]).to_numpy()
-    place, part = found["at"].to_numpy(), found["part"].to_numpy()
+    place, fresh = found["at"].to_numpy(), found["cut"].to_numpy()  # each piece begins with a group
     n = 1 + max(int(place.max(initial=-1)), int(flat.max(initial=-1)))
     begins = {c: pc.is_valid(found[c]).to_numpy() for c in "ab"}
-    fresh = np.ones(len(place), bool)
-    fresh[1:] = (place[1:] != place[:-1]) | (part[1:] != part[:-1])
     group = np.cumsum(fresh) - 1
     own_group = place[fresh]  # the piece of each group
     sums = np.stack([np.bincount(x, minlength=n) for x in (place[begins["a"]], place[begins["b"]], own_group)])
@@ -313,7 +359,7 @@ def align(df: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_id"
     key = hashlib.md5(definition.encode() + model).hexdigest()
     cut, drop = by_block(cut_texts(df, spark.sparkContext.broadcast((definition, model)), key, id_col, text_col))
     texts = cut.where("at is null").select("block", "row", "id", "words")
-    found = stretches(cut.where("at is not null and a is not null").select("block", "at", "a", "b"), lengths)
+    found = stretches(cut.where("at is not null and a is not null").select("block", "at", "a", "b", "a_at", "b_at"), lengths)
     told = stored(texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_texts_of_block, _told(kind)), "align-told")
     held = told.where("link is not null").select("block", "pair", "link", "n", F.shiftright("link", 32).alias("a"))
     counts = stored(held.groupBy("a", "link").agg(F.sum("n").alias("count")), "align-counts")

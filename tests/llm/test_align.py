@@ -116,3 +116,24 @@ def test_tokens_and_texts_are_not_shuffled(spark):
     plan = align.stretches(cut, {"a": [1] * 9, "b": [2] * 9})._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     drop()
+
+
+def test_pieces_encoded_together(libraries, rng):
+    """Runs of pieces give each piece's own tokens; what a side does not spell is marked, and does not touch its neighbours."""
+    sides = align.Sides(open(A, encoding="utf-8").read(), open(B, "rb").read())
+    pool = ["a", "b.", "'s", "\u00e9", "\u6f22", "!", "the", "0", "\x1c", "ing", "\u0301", "\U0001f600"]
+    pieces = list(dict.fromkeys(" " + "".join(rng.choice(pool) for _ in range(rng.randint(1, 6))) for _ in range(900)))
+    pieces += [" ", "\n", "\na", "  b", " c ", " d\t e", " x\u2581y", " \ufb01", " <s>", " </s>", " <|endoftext|>"]
+    rng.shuffle(pieces)
+    want = sides.encoded(pieces)
+    known, found = sides.flat(pieces)
+    assert known.tolist() == [x is not None for x in want[0]]
+    for (counts, ids), own in zip(found, want, strict=True):
+        assert counts.tolist() == [len(x or []) for x in own] and ids.tolist() == [k for x in own for k in x or []]
+    assert sides.flat([])[0].tolist() == []
+
+
+def test_places_by_lengths(spark):
+    tokens = spark.createDataFrame([(1, 0, [1, 2], [3]), (1, 1, [0, 0], [4, 4])], "block long, at int, a array<int>, b array<int>")
+    got = align.stretches(tokens, {"a": [3, 1, 4], "b": [0, 0, 0, 5, 3]}).orderBy("at", "a_id", "b_id").select("at", "cut", "a", "b", "a_id", "b_id").collect()
+    assert [tuple(r) for r in got] == [(0, True, 1, 3, 1, 3), (0, False, 2, None, 2, 3), (1, True, 0, 4, 0, 4), (1, True, 0, 4, 0, 4)]

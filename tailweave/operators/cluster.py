@@ -16,7 +16,7 @@ from ..storage import stored
 from .selection import hash_prefix
 
 #: Vectors of a block (fewer, if they are long or clusters many): two blocks are compared in one task, tile by tile.
-BLOCK, BLOCK_NUMBERS, TILE = 16_384, 8_000_000, 512
+BLOCK, BLOCK_NUMBERS, TILE = 8_192, 8_000_000, 384
 #: Squares below this share of the vectors' own have lost too many digits; rows of sums given out at once; tasks that pairs of blocks are dealt to.
 CANCELLED, ROWS, MOST_TASKS = 1e-6, 200_000, 4096
 #: Numbers of all centres that are broadcast to the tasks of a step; beyond, restarts go one after the other.
@@ -45,8 +45,8 @@ def cluster_scores(points: DataFrame, sample: int | None = None, seed: int = 7)
     All distances are Euclidean.  The silhouette compares all pairs of points, or with ``sample`` all pairs of so many
     points chosen by a hash of the id.  Centroids, one a cluster, are broadcast.
     """
-    points = points.select("id", F.transform("x", lambda v: v.cast("double")).alias("x"), "label")
-    centres = centroids(points)
+    given, points = points, points.select("id", F.transform("x", lambda v: v.cast("double")).alias("x"), "label")
+    centres = stored(centroids(points), "centres")  # four steps read them
     whole = centroids(points.withColumn("label", F.lit(0))).select(F.col("centre").alias("middle"))
     own = points.join(F.broadcast(centres), "label").select("label", "size", squares(F.col("x"), F.col("centre")).alias("d2"))
     within = own.agg(F.sum("d2").alias("inertia"), F.sum(F.sqrt("d2")).alias("sdw"), F.count(F.lit(1)).alias("n"))
@@ -58,7 +58,7 @@ def cluster_scores(points: DataFrame, sample: int | None = None, seed: int = 7)
         F.max((F.col("a.s") + F.col("b.s")) / F.nullif(F.sqrt(squares(F.col("a.centre"), F.col("b.centre"))), F.lit(0.0))).alias("r")
     )
     davies = worst.agg(F.avg("r").alias("davies"))
-    out = within.crossJoin(between).crossJoin(davies).crossJoin(silhouette(points, sample, seed))  # single rows
+    out = within.crossJoin(between).crossJoin(davies).crossJoin(silhouette(given, sample, seed))  # single rows
     calinski = (F.col("between") / F.nullif(F.col("k") - 1, F.lit(0))) / F.nullif(F.col("inertia") / F.nullif(F.col("n") - F.col("k"), F.lit(0)), F.lit(0.0))
     return out.select("inertia", "sdw", "sdb", calinski.alias("calinski"), "davies", "silhouette")
 
@@ -103,7 +103,7 @@ def silhouettes(points: DataFrame, labels: Mapping[int, Column], sample: int | N
         if not (len(code[a]) and len(code[b])):
             return
         sides = [(rows["id"][s.start : s.stop].combine_chunks(), code[s], *np.unique(code[s], return_counts=True)) for s in (a, b)]
-        sums = distance_sums(x[a], x[b], sides[0][1], sides[1][1])
+        sums = distance_sums(x[a], x[b] if key[0] != key[1] else None, sides[0][1], sides[1][1])
         counts = [np.tile(sides[1 - k][3], (len(sides[k][1]), 1)) for k in (0, 1)]
         if key[0] == key[1]:  # pairs within a block come from one side; those of one id don't count
             sides, sums, ids = sides[:1], sums[:1], sides[0][0].dictionary_encode().indices.fill_null(-1).to_numpy()
@@ -124,7 +124,7 @@ def silhouettes(points: DataFrame, labels: Mapping[int, Column], sample: int | N
 
     tasks = min(MOST_TASKS, blocks * (blocks + 1) // 2)  # by number: little data, much work
     parts = met.repartition(tasks, "p", "q").groupBy("p", "q").applyInArrow(compared, f"id {kind}, code int, by int, d double, n long")
-    sums = parts.groupBy("id", "code", "by").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+    sums = parts.repartition("id").groupBy("id", "code", "by").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     if len(labels) > 1:
         sums = stored(sums, "distances")
     told = sums.join(F.broadcast(codes), "code").join(F.broadcast(codes.select(F.col("code").alias("by"), *[F.col(o).alias(b) for o, b in zip(own, by, strict=True)])), "by")
@@ -141,37 +141,41 @@ def silhouettes(points: DataFrame, labels: Mapping[int, Column], sample: int | N
 def distance_sums(x, y, own, other) -> tuple:
     """Sums of the distances of each row of x to the rows of y with one code, and of each row of y to those of x; own and other are sorted codes.
 
-    Squares come from products, for two tiles at a time; where they cancel, and where a number is not finite, the pair is measured by itself.
+    Without y each pair of rows of x is measured once, and both sums are those of x.  Squares come from one product of two tiles, which adds the
+    rows' own squares too; where they cancel, and where a number is not finite, the pair is measured by itself.
     """
     import numpy as np
 
-    middle = x.mean(axis=0)
+    same, middle = y is None, x.mean(axis=0)
     middle = np.where(np.isfinite(middle), middle, 0)
-    x, y = x - middle, y - middle
+    x = x - middle
+    y = x if same else y - middle
     labels = [np.unique(c, return_inverse=True) for c in (own, other)]
     out = np.zeros((len(x), len(labels[1][0]))), np.zeros((len(y), len(labels[0][0])))
     places = [c[1] for c in labels]
-    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
     with np.errstate(invalid="ignore", over="ignore"):
+        xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        left = np.column_stack((-2 * x, xx, np.ones(len(x))))
+        right = np.ascontiguousarray(np.column_stack((y, np.ones(len(y)), yy)).T)
+        room = np.empty((TILE, TILE))
         for i in range(0, len(x), TILE):
             u, at = x[i : i + TILE], places[0][i : i + TILE]
             rows = np.flatnonzero(np.diff(at, prepend=-1))
-            for j in range(0, len(y), TILE):
+            for j in range(i if same else 0, len(y), TILE):
                 v, to = y[j : j + TILE], places[1][j : j + TILE]
-                scale = xx[i : i + TILE, None] + yy[None, j : j + TILE]
-                d = u @ v.T
-                d *= -2
-                d += scale
-                scale *= CANCELLED
-                near = np.nonzero(~(d > scale))
-                for k in range(0, len(near[0]), TILE * TILE // 8):
-                    r, c = (z[k : k + TILE * TILE // 8] for z in near)
-                    d[r, c] = ((u[r] - v[c]) ** 2).sum(axis=1)
-                np.sqrt(d, out=d)
                 columns = np.flatnonzero(np.diff(to, prepend=-1))
+                d = np.matmul(left[i : i + TILE], right[:, j : j + TILE], out=room[: len(u), : len(v)])
+                if not d.min() > CANCELLED * (xx[i : i + TILE].max() + yy[j : j + TILE].max()):
+                    near = np.nonzero(~(d > CANCELLED * (xx[i : i + TILE, None] + yy[None, j : j + TILE])))
+                    for k in range(0, len(near[0]), TILE * TILE // 8):
+                        r, c = (z[k : k + TILE * TILE // 8] for z in near)
+                        d[r, c] = ((u[r] - v[c]) ** 2).sum(axis=1)
+                np.sqrt(d, out=d)
                 out[0][i : i + TILE, to[columns]] += np.add.reduceat(d, columns, axis=1)
-                out[1][j : j + TILE, at[rows]] += np.add.reduceat(d, rows, axis=0).T
-    return out
+                if not same or i != j:
+                    for first, end in zip(rows, [*rows[1:], len(u)], strict=True):  # np.add.reduceat is slow along columns
+                        out[1][j : j + TILE, at[first]] += d[first:end].sum(axis=0)
+    return (out[0] + out[1],) * 2 if same else out
 
 
 def _seeds(sample, k: int, restarts: int, seed: int):

@@ -958,3 +958,23 @@ def test_dated_training_table_has_rows(spark):
     rows = catalog.queries()["puzzle_dated_dense"](spark, "/root/testdata/sf0.01")
     every, with_values = rows.agg(F.count(F.lit(1)), F.count_if(F.expr("x0 > 0 or y > 0"))).first()
     assert every > with_values > 0
+
+
+def test_cluster_scores_make_their_centres_once(spark):
+    df = spark.createDataFrame([(k, [float(k % 7), float(k % 5)], k % 3) for k in range(60)], "id long, x array<double>, label int")
+    plan = cluster.cluster_scores(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") <= 1  # the middle of all; the centres of labels are stored
+
+
+@pytest.mark.parametrize("n", [1, 383, 800])
+def test_pairs_of_one_block_are_measured_once(n):
+    """Both sums of a block with itself come from half of the pairs; copies and far points are exact."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 5)) + 1e4
+    x[n // 2 :: 3] = x[0]
+    label = np.sort(rng.integers(0, 4, n))
+    each = np.unique(label)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = np.stack([d[:, label == c].sum(axis=1) for c in each], axis=1)
+    for got in cluster.distance_sums(x, None, label, label):
+        np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-9)

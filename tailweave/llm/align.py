@@ -2,12 +2,12 @@
 
 Texts are cut where neither tokenizer can join what stands on both sides (before a blank or newline after a character that is no white
 space; the vocabularies are checked for it), so each distinct piece of a block of texts is encoded and aligned once, relationally:
-posexplode of its tokens with the place where each begins (the end of the one before), both sides matched on
-piece and place, the places that both have as the groups' beginnings, and the tokens that run through each stretch
+posexplode of its tokens with the place where each begins (the end of the one before; tokens are stored by place, so that sorting them costs
+little), both sides matched on piece and place, the places that both have as the groups' beginnings, and the tokens that run through each stretch
 between two places as links.  Blocks are the buckets of one stored table, so no token and no text is ever shuffled.
 
 The match on piece and place is made by windows in the order of the equi-join's keys: the join would have to be a full one, whose
-result has no partitioning in Spark, and all tokens would be shuffled again.
+result has no partitioning in Spark, and all tokens would be shuffled again.  A window holds a shelf of pieces; each begins with tokens of both sides.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import hashlib
 import itertools
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,10 +39,12 @@ PIECES = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+(?:[{_OTHER}][{_SPACE}]*[^{_SPACE}
 #: The same where blanks and newlines are all the white space there is.
 PLAIN, RARE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(rf"[{_OTHER}]")
 RUNS = re.compile(r"[ \n][ \n]")
+#: Pieces that can be encoded in a row and cut at their blanks.
+ALONE = re.compile(r" [^ ]*[^ \s]")
 #: Characters of text in a block, about; one long text is a block of its own.
 BLOCK = 3 << 20
-#: Pieces encoded together, and pieces of one string.
-TOGETHER, RUN = 4096, 64
+#: Pieces encoded together, pieces of one string, pieces of a window.
+TOGETHER, RUN, SHELF = 4096, 64, 256
 
 
 def pieces_of(text: str) -> list[str]:
@@ -84,6 +87,7 @@ class Sides:
         self.a_lengths = np.array(list(map(len, self.a_bytes)))
         self.b_bytes = [self._piece(k) for k in range(self.b.vocab_size())]
         self.b_lengths = np.array(list(map(len, self.b_bytes)))
+        self.buffers = [np.frombuffer(b"".join(x), np.uint8) for x in (self.a_bytes, self.b_bytes)]
         self.blank = self.b.piece_to_id("▁")
 
     def _piece(self, k: int) -> bytes:
@@ -117,23 +121,40 @@ class Sides:
             out[1].append(y if whole else None)
         return out
 
+    def spelled(self, raw: list[bytes], found: tuple[list[list[int]], list[list[int]]]) -> np.ndarray:
+        """Whether both sides' ids spell each of the strings."""
+        sizes, good = np.array(list(map(len, raw)), np.int64), np.ones(len(raw), bool)
+        want, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes)
+        for side, buffer, own in zip(found, self.buffers, (self.a_lengths, self.b_lengths), strict=True):
+            ids = np.fromiter(itertools.chain.from_iterable(side), np.int64)
+            run = np.concatenate(([0], np.cumsum(own[ids])))
+            at = run[np.cumsum([0, *map(len, side)])]
+            if np.array_equal(at[1:], ends):  # as nearly always: all at once
+                spelled = buffer[np.repeat((np.cumsum(own) - own)[ids] - run[:-1], own[ids]) + np.arange(run[-1])]
+                wrong = np.flatnonzero(spelled != want)
+                good[np.searchsorted(ends, wrong, side="right")] = False
+            else:
+                parts = self.a_bytes if own is self.a_lengths else self.b_bytes
+                good &= [b"".join(map(parts.__getitem__, x)) == r for x, r in zip(side, raw, strict=True)]
+        return good
+
     def flat(self, pieces: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Which pieces both sides spell, and for each side the number of its ids in each piece and all ids in a row.
 
         Pieces of a blank and then no white space are encoded RUN at a time as one text, which is then cut at its blanks; the others, and all of a text that a side does
         not spell, go one by one.
         """
-        plain = [k for k, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not p[-1].isspace() and p.count(" ") == 1]
+        plain = [k for k, p in enumerate(pieces) if ALONE.fullmatch(p)]
         runs = [plain[k : k + RUN] for k in range(0, len(plain), RUN)]
         texts = ["".join([pieces[k] for k in run]) for run in runs]
         found = list(map(self.encode_bytes, texts)), self.b.encode([t[1:] for t in texts], num_threads=1)
-        u, v, good, raw = self.a_bytes.__getitem__, self.b_bytes.__getitem__, [], [t.encode() for t in texts]
-        for k, (x, y) in enumerate(zip(*found, strict=True)):
-            if b"".join(map(u, x)) == raw[k] == b"".join(map(v, y)):
-                good.append(k)
-        fast = np.array([k for r in good for k in runs[r]], np.int64)
-        starts = np.flatnonzero(np.frombuffer(b"".join([raw[r] for r in good]), np.uint8) == 32)
-        ids = [np.fromiter(itertools.chain.from_iterable([side[r] for r in good]), np.int32) for side in found]
+        raw = [t.encode() for t in texts]
+        good = np.flatnonzero(self.spelled(raw, found))
+        if len(good) < len(runs):
+            runs, raw, found = [runs[r] for r in good], [raw[r] for r in good], [[side[r] for r in good] for side in found]
+        fast = np.fromiter(itertools.chain.from_iterable(runs), np.int64)
+        starts = np.flatnonzero(np.frombuffer(b"".join(raw), np.uint8) == 32)
+        ids = [np.fromiter(itertools.chain.from_iterable(side), np.int32) for side in found]
         firsts = []
         for own, length in zip(ids, (self.a_lengths, self.b_lengths), strict=True):
             begins = np.cumsum(length[own]) - length[own]
@@ -158,7 +179,26 @@ class Sides:
 
 @functools.lru_cache(2)
 def _sides(key: str, shared) -> Sides:
-    return Sides(*shared.value)
+    sides = Sides(*shared.value)
+    del sides.a  # a worker goes by the ranks alone, and need not hold the library's tables too
+    return sides
+
+
+def by_place(at: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], lengths: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of pieces by piece and place: the ends of each piece's tokens, their ids, and twice the place where each begins, plus 1 on the second side.
+
+    at: rising numbers of the pieces; sides: how many tokens each piece has, and all ids in a row.
+    """
+    keys = []
+    for k, ((counts, ids), length) in enumerate(zip(sides, lengths, strict=True)):
+        run, firsts = np.concatenate(([0], np.cumsum(length[ids]))), np.cumsum(counts) - counts
+        keys.append(np.repeat(at.astype(np.int64) << 32, counts) + 2 * (run[:-1] - np.repeat(run[firsts], counts)) + k)
+    to = [np.arange(len(own)) + np.searchsorted(other, own) for own, other in (keys, keys[::-1])]
+    both, ids = np.empty(sum(map(len, keys)), np.int64), np.empty(sum(map(len, keys)), np.int32)
+    for where, key, (_, own) in zip(to, keys, sides, strict=True):
+        both[where], ids[where] = key, own
+    ends = np.concatenate(([0], np.cumsum(sides[0][0] + sides[1][0])))
+    return ends.astype(np.int32), ids, (both & 0xFFFFFFFF).astype(np.int32)
 
 
 def by_block(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
@@ -175,11 +215,18 @@ def by_block(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.table(name), drop
 
 
-_CUT = "block long, row long, id {kind}, words array<int>, at int, a array<int>, b array<int>, a_at array<int>, b_at array<int>"
+def _numbers() -> defaultdict:
+    """Keys are numbered as they come."""
+    found = defaultdict()
+    found.default_factory = found.__len__
+    return found
+
+
+_CUT = "block long, row long, id {kind}, words array<int>, at int, ids array<int>, places array<int>"
 
 
 def cut_texts(df: DataFrame, sides, key: str, id_col: str, text_col: str) -> DataFrame:
-    """Rows of texts (block, row, id, words: places in the block's dictionary, null without text), and of dictionaries (block, at, a, b: ids, null if a side does not spell the piece; a_at, b_at: the place of each).
+    """Rows of texts (block, row, id, words: places in the block's dictionary, null without text), and of dictionaries (block, at, ids, places: the tokens of both sides as ``by_place`` has them, null if a side does not spell the piece).
 
     sides: a broadcast of both definitions.
     """
@@ -189,20 +236,18 @@ def cut_texts(df: DataFrame, sides, key: str, id_col: str, text_col: str) -> Dat
         from pyspark import TaskContext
 
         both, longs, numbers = _sides(key, sides), pa.int64(), pa.list_(pa.int32())
-        block, row, seen, weight, id_type = TaskContext.get().partitionId() << 32, 0, {}, 0, None
-        names = ["block", "row", "id", "words", "at", "a", "b", "a_at", "b_at"]
+        block, row, seen, weight, id_type = TaskContext.get().partitionId() << 32, 0, _numbers(), 0, None
+        names = ["block", "row", "id", "words", "at", "ids", "places"]
 
         def dictionary() -> Iterator[pa.RecordBatch]:
-            pieces = list(map(piece_of, seen))
-            for first in range(0, len(pieces), TOGETHER):
-                own = pieces[first : first + TOGETHER]
+            left = iter(seen)
+            for first in range(0, len(seen), TOGETHER):
+                own = list(map(piece_of, itertools.islice(left, TOGETHER)))
                 n, (known, found) = len(own), both.flat(own)
-                columns = [pa.array(np.full(n, block)), pa.nulls(n, longs), pa.nulls(n, id_type), pa.nulls(n, numbers), pa.array(np.arange(first, first + n, dtype=np.int32))]
-                lists = [(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), ids) for counts, ids in found]
-                columns += [pa.ListArray.from_arrays(ends, ids, mask=pa.array(~known)) for ends, ids in lists]
-                for (ends, ids), length in zip(lists, (both.a_lengths, both.b_lengths), strict=True):
-                    run = np.concatenate(([0], np.cumsum(length[ids])))
-                    columns.append(pa.ListArray.from_arrays(ends, (run[:-1] - np.repeat(run[ends[:-1]], np.diff(ends))).astype(np.int32), mask=pa.array(~known)))
+                at = np.arange(first, first + n, dtype=np.int32)
+                ends, *lists = by_place(at, found, (both.a_lengths, both.b_lengths))
+                columns = [pa.array(np.full(n, block)), pa.nulls(n, longs), pa.nulls(n, id_type), pa.nulls(n, numbers), pa.array(at)]
+                columns += [pa.ListArray.from_arrays(ends, x, mask=pa.array(~known)) for x in lists]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
@@ -213,15 +258,15 @@ def cut_texts(df: DataFrame, sides, key: str, id_col: str, text_col: str) -> Dat
                 while end < len(texts) and weight < BLOCK:
                     text = texts[end].as_py()
                     weight += len(text)
-                    words.append([seen.setdefault(w, len(seen)) for w in words_of(text)] if text else None)
+                    words.append(list(map(seen.__getitem__, words_of(text))) if text else None)
                     end += 1
                 n = end - first
-                columns = [pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), batch.column(0).slice(first, n), pa.array(words, numbers), pa.nulls(n, pa.int32()), *[pa.nulls(n, numbers)] * 4]
+                columns = [pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), batch.column(0).slice(first, n), pa.array(words, numbers), pa.nulls(n, pa.int32()), *[pa.nulls(n, numbers)] * 2]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 row, first = row + n, end
                 if weight >= BLOCK:
                     yield from dictionary()
-                    block, seen, weight = block + 1, {}, 0
+                    block, seen, weight = block + 1, _numbers(), 0
         if seen:
             yield from dictionary()
 
@@ -241,14 +286,15 @@ def _places(ids: Column, lengths: list[int]) -> Column:
 
 
 def token_places(tokens: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
-    """(block, at, second, id, begin): each token of a piece, whether it is the second side's, and the place where it begins.
+    """(block, at, place, id): each token of a piece; place: twice where it begins in the piece, plus 1 on the second side.
 
-    tokens: block, at, a, b; a_at, b_at where the places are known.  lengths: bytes of each id.  A place is the end of the token before, 0 for the first.
+    tokens: block, at, ids, places; or block, at, a, b.  lengths: bytes of each id.  A token begins at the end of the one before, the first one at 0.
     """
-    places = [F.col(f"{c}_at") if f"{c}_at" in tokens.columns else _places(F.col(c), lengths[c]) for c in "ab"]
-    rows = tokens.select(*KEY, F.size("a").alias("n"), F.concat("a", "b").alias("ids"), F.concat(*places).alias("begins"))
-    rows = rows.select(*KEY, "n", "begins", F.posexplode("ids").alias("k", "id"))
-    return rows.select(*KEY, (F.col("k") >= F.col("n")).alias("second"), "id", F.element_at("begins", F.col("k") + 1).alias("begin"))
+    if "ids" not in tokens.columns:
+        a, b = (F.transform(_places(F.col(c), lengths[c]), lambda x: 2 * x) for c in "ab")
+        tokens = tokens.select(*KEY, F.concat("a", "b").alias("ids"), F.concat(a, F.transform(b, lambda x: x + 1)).alias("places"))
+    rows = tokens.select(*KEY, "places", F.posexplode("ids").alias("k", "id"))
+    return rows.select(*KEY, F.element_at("places", F.col("k") + 1).alias("place"), "id")
 
 
 def stretches(tokens: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
@@ -257,15 +303,18 @@ def stretches(tokens: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
     a, b: the token that begins there, or null; cut: whether both do, so that a group begins; a_id, b_id: the tokens that run through
     the stretch from there on.  Two tokens overlap in exactly one stretch, so each row is one link.
     """
-    order = Window.partitionBy(*KEY).orderBy("begin", "second")
+    rows = token_places(tokens, lengths)
+    rows = rows.select("block", F.expr(f"at div {SHELF}").alias("shelf"), (F.shiftleft(F.col("at").cast("long"), 32) + F.col("place")).alias("place"), "id")
+    order = Window.partitionBy("block", "shelf").orderBy("place")  # by piece, place in it, and side
     along = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    a, b = F.when(~F.col("second"), F.col("id")), F.when(F.col("second"), F.col("id"))
-    cut = F.coalesce(F.lag("begin").over(order) == F.col("begin"), F.lit(False))  # two tokens at one place: the second side's row has both
-    rows = token_places(tokens, lengths).select(
-        *KEY, cut.alias("cut"), a.alias("a"), b.alias("b"), F.coalesce(F.lead("begin").over(order) == F.col("begin"), F.lit(False)).alias("half"),
-        F.last(a, True).over(along).alias("a_id"), F.last(b, True).over(along).alias("b_id"),
-    ).where("not half")
-    return rows.select(*KEY, "cut", F.when(F.col("cut"), F.col("a_id")).otherwise(F.col("a")).alias("a"), "b", "a_id", "b_id")
+    second = F.col("place").bitwiseAND(1) == 1
+    # two tokens at one place: the second side's row has both
+    cut = second & F.coalesce(F.lag("place").over(order) == F.col("place") - 1, F.lit(False))
+    half = ~second & F.coalesce(F.lead("place").over(order) == F.col("place") + 1, F.lit(False))
+    a, b = F.when(~second, F.col("id")), F.when(second, F.col("id"))
+    rows = rows.select("block", "place", second.alias("second"), cut.alias("cut"), half.alias("half"), F.last(a, True).over(along).alias("a_id"), F.last(b, True).over(along).alias("b_id"))
+    at = F.shiftright("place", 32).cast("int")
+    return rows.where("not half").select("block", at.alias("at"), "cut", F.when(F.col("cut") | ~F.col("second"), F.col("a_id")).alias("a"), F.when(F.col("second"), F.col("b_id")).alias("b"), "a_id", "b_id")
 
 
 def _told(id_kind: str) -> str:
@@ -275,12 +324,12 @@ def _told(id_kind: str) -> str:
 def _texts_of_block(texts: pa.Table, found: pa.Table) -> pa.Table:
     """A row for each text of a block; one for each pair of ids that its pieces link, with the number of texts that hold it; and one with the pairs of each piece.
 
-    found: the stretches of the block's pieces, in order.
+    found: the stretches of the block's pieces, in order: at, cut, whether a token of each side begins there (a, b), and the pair of ids that run through it (link).
     """
     flat = pc.list_flatten(texts["words"]).to_numpy()
     place, fresh = found["at"].to_numpy(), found["cut"].to_numpy()  # each piece begins with a group
     n = 1 + max(int(place.max(initial=-1)), int(flat.max(initial=-1)))
-    begins = {c: pc.is_valid(found[c]).to_numpy() for c in "ab"}
+    begins, link = {c: found[c].to_numpy() for c in "ab"}, found["link"].to_numpy()
     group = np.cumsum(fresh) - 1
     own_group = place[fresh]  # the piece of each group
     sums = np.stack([np.bincount(x, minlength=n) for x in (place[begins["a"]], place[begins["b"]], own_group)])
@@ -289,25 +338,37 @@ def _texts_of_block(texts: pa.Table, found: pa.Table) -> pa.Table:
     def joined(values: pa.Array, counts: np.ndarray, by: str) -> pa.Array:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values), by)
 
-    sides = [joined(found[c].drop_null().cast(pa.string()).combine_chunks(), np.bincount(group[begins[c]], minlength=len(own_group)), ",") for c in "ab"]
+    ids = {"a": link >> 32, "b": link & 0xFFFFFFFF}
+    sides = [joined(pa.array(ids[c][begins[c]]).cast(pa.string()), np.bincount(group[begins[c]], minlength=len(own_group)), ",") for c in "ab"]
     groups = joined(pc.binary_join_element_wise(*sides, "|"), sums[2], ";").to_pylist()
     sizes = np.bincount(place, minlength=n)
     starts = np.cumsum(sizes) - sizes
-    links, own = np.unique((found["a_id"].to_numpy().astype(np.int64) << 32) | found["b_id"].to_numpy(), return_inverse=True)
-
-    def pairs_of(some: np.ndarray) -> np.ndarray:
-        count = sizes[some]
-        return own[np.arange(count.sum()) + np.repeat(starts[some] - (np.cumsum(count) - count), count)]
-
-    held, rows, first = np.zeros(len(links), np.int64), [], 0
-    for size in pc.fill_null(pc.list_value_length(texts["words"]), 0).to_pylist():
-        w, first = flat[first : first + size], first + size
-        if not size or not whole[w].all():
+    numbered = pa.array(link).dictionary_encode()
+    links, own = numbered.dictionary.to_numpy(), numbered.indices.to_numpy()
+    del link, ids, numbered
+
+    def once(some: np.ndarray, room: np.ndarray) -> np.ndarray:
+        along = np.arange(len(some), dtype=np.int32)
+        room[some] = along
+        return some[room[some] == along]
+
+    lengths = pc.fill_null(pc.list_value_length(texts["words"]), 0).to_numpy()
+    ends = np.cumsum(lengths)
+    del place, fresh, begins, group, own_group, sides  # memory bounds the size of a block
+    totals, run = np.empty((5, len(ends)), np.int64), np.zeros(len(flat) + 1, np.int64)
+    for k, x in enumerate((*sums, sizes, ~whole)):
+        np.cumsum(x[flat], out=run[1:])
+        totals[k] = run[ends] - run[ends - lengths]
+    held, rows, rooms = np.zeros(len(links), np.int64), [], (np.empty(n, np.int32), np.empty(len(links), np.int32))
+    for first, end, (*counts, unknown) in zip((ends - lengths).tolist(), ends.tolist(), totals.T.tolist(), strict=True):
+        if first == end or unknown:
             rows.append((0, 0, 0, 0, ""))
             continue
-        told = hashlib.sha256(";".join([groups[k] for k in w.tolist()]).encode()).hexdigest()
-        rows.append((*sums[:, w].sum(axis=1).tolist(), int(sizes[w].sum()), told))
-        held[np.unique(pairs_of(np.unique(w)))] += 1
+        w = flat[first:end]
+        rows.append((*counts, hashlib.sha256(";".join(map(groups.__getitem__, w.tolist())).encode()).hexdigest()))
+        w = once(w, rooms[0])
+        count = sizes[w]
+        held[once(own[np.arange(count.sum()) + np.repeat(starts[w] - (np.cumsum(count) - count), count)], rooms[1])] += 1
     t, p, longs, numbers = len(rows), len(links), pa.int64(), pa.list_(pa.int32())
     n_a, n_b, n_groups, n_links, told = zip(*rows, strict=True) if rows else ((),) * 5
     block = (texts if t else found)["block"][0].as_py()
@@ -359,7 +420,9 @@ def align(df: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_id"
     key = hashlib.md5(definition.encode() + model).hexdigest()
     cut, drop = by_block(cut_texts(df, spark.sparkContext.broadcast((definition, model)), key, id_col, text_col))
     texts = cut.where("at is null").select("block", "row", "id", "words")
-    found = stretches(cut.where("at is not null and a is not null").select("block", "at", "a", "b", "a_at", "b_at"), lengths)
+    found = stretches(cut.where("at is not null and ids is not null").select(*KEY, "ids", "places"), lengths)
+    link = F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")
+    found = found.select(*KEY, "cut", F.col("a").isNotNull().alias("a"), F.col("b").isNotNull().alias("b"), link.alias("link"))
     told = stored(texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_texts_of_block, _told(kind)), "align-told")
     held = told.where("link is not null").select("block", "pair", "link", "n", F.shiftright("link", 32).alias("a"))
     counts = stored(held.groupBy("a", "link").agg(F.sum("n").alias("count")), "align-counts")

@@ -2,6 +2,7 @@ import hashlib
 from bisect import bisect_right
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -137,3 +138,32 @@ def test_places_by_lengths(spark):
     tokens = spark.createDataFrame([(1, 0, [1, 2], [3]), (1, 1, [0, 0], [4, 4])], "block long, at int, a array<int>, b array<int>")
     got = align.stretches(tokens, {"a": [3, 1, 4], "b": [0, 0, 0, 5, 3]}).orderBy("at", "a_id", "b_id").select("at", "cut", "a", "b", "a_id", "b_id").collect()
     assert [tuple(r) for r in got] == [(0, True, 1, 3, 1, 3), (0, False, 2, None, 2, 3), (1, True, 0, 4, 0, 4), (1, True, 0, 4, 0, 4)]
+
+
+def test_tokens_are_stored_by_place(rng):
+    """Tokens of both sides in the order of the windows' key, so that their sort finds them sorted."""
+    lengths = np.array([1, 2, 3]), np.array([1, 3, 6])
+    rows = [([0, 1, 2], [2]), ([], []), ([2], [0, 0, 0]), ([1, 0], [1])]
+    sides = [(np.array([len(r[k]) for r in rows]), np.array([x for r in rows for x in r[k]], np.int32)) for k in (0, 1)]
+    ends, ids, places = align.by_place(np.arange(4, dtype=np.int32) + 7, sides, lengths)
+    got = [list(zip(ids[a:b].tolist(), places[a:b].tolist(), strict=True)) for a, b in zip(ends, ends[1:], strict=False)]
+    assert got == [[(0, 0), (2, 1), (1, 2), (2, 6)], [], [(2, 0), (0, 1), (0, 3), (0, 5)], [(1, 0), (1, 1), (0, 4)]]
+
+
+def test_spelled_strings(libraries):
+    """What a side changes is found, whether the bytes are as many or not, and only there."""
+    sides = align.Sides(open(A, encoding="utf-8").read(), open(B, "rb").read())
+    for texts in ([" one two", " x\u2581y z", " three"], [" one two", " \ufb01", " three"], [" one", " \ufb03x", ""], []):
+        found = [sides.encode_bytes(t) for t in texts], [sides.b.encode(t[1:]) if t else [] for t in texts]
+        want = [b"".join(sides.a_bytes[k] for k in x) == t.encode() == b"".join(sides.b_bytes[k] for k in y) for t, x, y in zip(texts, *found, strict=True)]
+        assert sides.spelled([t.encode() for t in texts], found).tolist() == want
+
+
+def test_a_window_holds_many_pieces(spark):
+    """No window for each piece: a shelf of them is one, and links never run from piece to piece."""
+    rows = [(1, k, [k % 3, 1], [2]) for k in range(600)]
+    cut = spark.createDataFrame(rows, "block long, at int, a array<int>, b array<int>")
+    out = align.stretches(cut, {"a": [1, 2, 3], "b": [1, 1, 3]})
+    assert "windowspecdefinition(block" in out._jdf.queryExecution().optimizedPlan().toString() and "shelf" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r["at"], r["a_id"], r["b_id"]) for r in out.collect())
+    assert got == sorted([(k, x, 2) for k in range(600) for x in (k % 3, 1)])

@@ -2,12 +2,13 @@
 
 Texts are cut where neither tokenizer can join what stands on both sides (before a blank or newline after a character that is no white
 space; the vocabularies are checked for it), so each distinct piece of a block of texts is encoded and aligned once, relationally:
-posexplode of its tokens with the place where each begins (the end of the one before; tokens are stored by place, so that sorting them costs
-little), both sides matched on piece and place, the places that both have as the groups' beginnings, and the tokens that run through each stretch
-between two places as links.  Blocks are the buckets of one stored table, so no token and no text is ever shuffled.
+posexplode of its tokens with the place where each begins (the end of the one before), both sides matched on piece and place, the places that both
+have as the groups' beginnings, and the tokens that run through each stretch between two places as links.  Blocks are the buckets of one stored table,
+so no token and no text is ever shuffled.
 
-The match on piece and place is made by windows in the order of the equi-join's keys: the join would have to be a full one, whose
-result has no partitioning in Spark, and all tokens would be shuffled again.  A window holds a shelf of pieces; each begins with tokens of both sides.
+A row of that table holds a shelf of pieces, its tokens in the order of the equi-join's keys (piece, place, side).  Two tokens that match are then
+neighbours, and become one row as they are exploded; only those rows are sorted, for the windows that tell which tokens run through them.  A
+join would have to be a full one, whose result has no partitioning in Spark, and all tokens would be shuffled again.  Each piece begins with tokens of both sides.
 """
 
 from __future__ import annotations
@@ -42,9 +43,11 @@ RUNS = re.compile(r"[ \n][ \n]")
 #: Pieces that can be encoded in a row and cut at their blanks.
 ALONE = re.compile(r" [^ ]*[^ \s]")
 #: Characters of text in a block, about; one long text is a block of its own.
-BLOCK = 3 << 20
-#: Pieces encoded together, pieces of one string, pieces of a window.
-TOGETHER, RUN, SHELF = 4096, 64, 256
+BLOCK = 9 << 20
+#: Pieces encoded together, pieces of one string, pieces of a stored row and a window (readers hold 4,096 such rows).
+TOGETHER, RUN, SHELF = 4096, 64, 64
+#: Texts times links of a block that are looked at together; eighths of it are pieces.
+ROOM = 1 << 20
 
 
 def pieces_of(text: str) -> list[str]:
@@ -201,6 +204,17 @@ def by_place(at: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], lengths
     return ends.astype(np.int32), ids, (both & 0xFFFFFFFF).astype(np.int32)
 
 
+def shelves(sides: list[tuple[np.ndarray, np.ndarray]], lengths: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of pieces by shelf, piece and place: the ends of each shelf's tokens, their ids, and which of the shelf's pieces each is in, times 2^32, plus its place as ``by_place`` has it.
+
+    Pieces are counted from the shelf's first, so that there are few different numbers to store.
+    """
+    n = len(sides[0][0])
+    own = np.arange(n, dtype=np.int32)
+    ends, ids, places = by_place(own, sides, lengths)
+    return ends[[*range(0, n, SHELF), n]], ids, (np.repeat(own.astype(np.int64) % SHELF, np.diff(ends)) << 32) + places
+
+
 def by_block(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """df as a stored table whose buckets hold whole blocks, and what drops it: groups, windows and cogroups by block need no exchange."""
     spark, name = df.sparkSession, f"align_{uuid.uuid4().hex}"
@@ -222,11 +236,11 @@ def _numbers() -> defaultdict:
     return found
 
 
-_CUT = "block long, row long, id {kind}, words array<int>, at int, ids array<int>, places array<int>"
+_CUT = "block long, row long, id {kind}, words array<int>, shelf int, ids array<int>, places array<long>"
 
 
 def cut_texts(df: DataFrame, sides, key: str, id_col: str, text_col: str) -> DataFrame:
-    """Rows of texts (block, row, id, words: places in the block's dictionary, null without text), and of dictionaries (block, at, ids, places: the tokens of both sides as ``by_place`` has them, null if a side does not spell the piece).
+    """Rows of texts (block, row, id, words: places in the block's dictionary, null without text), and of dictionaries (block, shelf, ids, places: the tokens of SHELF pieces as ``shelves`` has them).
 
     sides: a broadcast of both definitions.
     """
@@ -237,18 +251,17 @@ def cut_texts(df: DataFrame, sides, key: str, id_col: str, text_col: str) -> Dat
 
         both, longs, numbers = _sides(key, sides), pa.int64(), pa.list_(pa.int32())
         block, row, seen, weight, id_type = TaskContext.get().partitionId() << 32, 0, _numbers(), 0, None
-        names = ["block", "row", "id", "words", "at", "ids", "places"]
+        names = ["block", "row", "id", "words", "shelf", "ids", "places"]
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             left = iter(seen)
             for first in range(0, len(seen), TOGETHER):
                 own = list(map(piece_of, itertools.islice(left, TOGETHER)))
-                n, (known, found) = len(own), both.flat(own)
-                at = np.arange(first, first + n, dtype=np.int32)
-                ends, *lists = by_place(at, found, (both.a_lengths, both.b_lengths))
-                columns = [pa.array(np.full(n, block)), pa.nulls(n, longs), pa.nulls(n, id_type), pa.nulls(n, numbers), pa.array(at)]
-                columns += [pa.ListArray.from_arrays(ends, x, mask=pa.array(~known)) for x in lists]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                _, found = both.flat(own)  # pieces that a side does not spell have no tokens
+                ends, *lists = shelves(found, (both.a_lengths, both.b_lengths))
+                n = len(ends) - 1
+                columns = [pa.array(np.full(n, block)), pa.nulls(n, longs), pa.nulls(n, id_type), pa.nulls(n, numbers), pa.array(np.arange(n, dtype=np.int32) + first // SHELF)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.ListArray.from_arrays(ends, x) for x in lists], names=names)
 
         for batch in batches:
             id_type, texts = batch.column(0).type, text_array(batch.column(1))
@@ -261,7 +274,7 @@ def cut_texts(df: DataFrame, sides, key: str, id_col: str, text_col: str) -> Dat
                     words.append(list(map(seen.__getitem__, words_of(text))) if text else None)
                     end += 1
                 n = end - first
-                columns = [pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), batch.column(0).slice(first, n), pa.array(words, numbers), pa.nulls(n, pa.int32()), *[pa.nulls(n, numbers)] * 2]
+                columns = [pa.array(np.full(n, block)), pa.array(np.arange(row, row + n)), batch.column(0).slice(first, n), pa.array(words, numbers), pa.nulls(n, pa.int32()), pa.nulls(n, numbers), pa.nulls(n, pa.list_(longs))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 row, first = row + n, end
                 if weight >= BLOCK:
@@ -273,9 +286,6 @@ def cut_texts(df: DataFrame, sides, key: str, id_col: str, text_col: str) -> Dat
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).transform(arrow_map, run, _CUT.format(kind=kind))
 
 
-KEY = ["block", "at"]
-
-
 def _lengths(lengths: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>")  # folded to one literal
 
@@ -285,16 +295,29 @@ def _places(ids: Column, lengths: list[int]) -> Column:
     return F.transform(ids, lambda _, k: F.aggregate(F.slice(ids, 1, k), F.lit(0), lambda n, x: n + F.element_at(_lengths(lengths), x + 1)))
 
 
+def _shelved(tokens: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
+    """(block, shelf, ids, places) as the stored table has them, of (block, at, a, b): a row for each piece."""
+    a, b = (F.transform(_places(F.col(c), lengths[c]), lambda x: 2 * x) for c in "ab")
+    places = F.transform(F.concat(a, F.transform(b, lambda x: x + 1)), lambda x: F.shiftleft((F.col("at") % SHELF).cast("long"), 32) + x)
+    own = F.array_sort(F.arrays_zip(places.alias("place"), F.concat("a", "b").alias("id")))
+    return tokens.select("block", F.expr(f"at div {SHELF}").cast("int").alias("shelf"), own.alias("own")).select("block", "shelf", F.col("own.id").alias("ids"), F.col("own.place").alias("places"))
+
+
 def token_places(tokens: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
-    """(block, at, place, id): each token of a piece; place: twice where it begins in the piece, plus 1 on the second side.
+    """(block, shelf, place, a, b): each place of a piece where a token begins, and the tokens that begin there, or null.
 
-    tokens: block, at, ids, places; or block, at, a, b.  lengths: bytes of each id.  A token begins at the end of the one before, the first one at 0.
+    place: the piece, times 2^32, plus twice where it is in the piece, plus 1 if one of the second side begins there.
+    tokens: block, shelf, ids, places, sorted by place; or block, at, a, b.  lengths: bytes of each id.  A token begins at the end of the one before, the first one at 0.
     """
     if "ids" not in tokens.columns:
-        a, b = (F.transform(_places(F.col(c), lengths[c]), lambda x: 2 * x) for c in "ab")
-        tokens = tokens.select(*KEY, F.concat("a", "b").alias("ids"), F.concat(a, F.transform(b, lambda x: x + 1)).alias("places"))
-    rows = tokens.select(*KEY, "places", F.posexplode("ids").alias("k", "id"))
-    return rows.select(*KEY, F.element_at("places", F.col("k") + 1).alias("place"), "id")
+        tokens = _shelved(tokens, lengths)
+    rows = tokens.select("block", "shelf", "ids", "places", F.posexplode("ids").alias("k", "id"))
+    rows = rows.select("block", "shelf", "id", *[F.get(c, F.col("k") + by).alias(name) for c, by, name in (("places", 0, "place"), ("places", -1, "before"), ("places", 1, "after"), ("ids", -1, "other"))])
+    second = F.col("place").bitwiseAND(1) == 1
+    # two tokens at one place: the second side's row has both
+    rows = rows.where(second | F.col("after").isNull() | (F.col("after") != F.col("place") + 1))
+    a = F.when(~second, F.col("id")).when(F.col("before") == F.col("place") - 1, F.col("other"))
+    return rows.select("block", "shelf", (F.shiftleft((F.col("shelf") * SHELF).cast("long"), 32) + F.col("place")).alias("place"), a.alias("a"), F.when(second, F.col("id")).alias("b"))
 
 
 def stretches(tokens: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
@@ -304,17 +327,10 @@ def stretches(tokens: DataFrame, lengths: dict[str, list[int]]) -> DataFrame:
     the stretch from there on.  Two tokens overlap in exactly one stretch, so each row is one link.
     """
     rows = token_places(tokens, lengths)
-    rows = rows.select("block", F.expr(f"at div {SHELF}").alias("shelf"), (F.shiftleft(F.col("at").cast("long"), 32) + F.col("place")).alias("place"), "id")
-    order = Window.partitionBy("block", "shelf").orderBy("place")  # by piece, place in it, and side
-    along = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    second = F.col("place").bitwiseAND(1) == 1
-    # two tokens at one place: the second side's row has both
-    cut = second & F.coalesce(F.lag("place").over(order) == F.col("place") - 1, F.lit(False))
-    half = ~second & F.coalesce(F.lead("place").over(order) == F.col("place") + 1, F.lit(False))
-    a, b = F.when(~second, F.col("id")), F.when(second, F.col("id"))
-    rows = rows.select("block", "place", second.alias("second"), cut.alias("cut"), half.alias("half"), F.last(a, True).over(along).alias("a_id"), F.last(b, True).over(along).alias("b_id"))
-    at = F.shiftright("place", 32).cast("int")
-    return rows.where("not half").select("block", at.alias("at"), "cut", F.when(F.col("cut") | ~F.col("second"), F.col("a_id")).alias("a"), F.when(F.col("second"), F.col("b_id")).alias("b"), "a_id", "b_id")
+    along = Window.partitionBy("block", "shelf").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("block", "place", "a", "b", *[F.last(c, True).over(along).alias(f"{c}_id") for c in "ab"])
+    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return rows.select("block", F.shiftright("place", 32).cast("int").alias("at"), cut.alias("cut"), "a", "b", "a_id", "b_id")
 
 
 def _told(id_kind: str) -> str:
@@ -340,18 +356,12 @@ def _texts_of_block(texts: pa.Table, found: pa.Table) -> pa.Table:
 
     ids = {"a": link >> 32, "b": link & 0xFFFFFFFF}
     sides = [joined(pa.array(ids[c][begins[c]]).cast(pa.string()), np.bincount(group[begins[c]], minlength=len(own_group)), ",") for c in "ab"]
-    groups = joined(pc.binary_join_element_wise(*sides, "|"), sums[2], ";").to_pylist()
+    groups = pc.binary_join_element_wise(joined(pc.binary_join_element_wise(*sides, "|"), sums[2], ";"), "", ";").cast(pa.large_string())
     sizes = np.bincount(place, minlength=n)
     starts = np.cumsum(sizes) - sizes
     numbered = pa.array(link).dictionary_encode()
     links, own = numbered.dictionary.to_numpy(), numbered.indices.to_numpy()
     del link, ids, numbered
-
-    def once(some: np.ndarray, room: np.ndarray) -> np.ndarray:
-        along = np.arange(len(some), dtype=np.int32)
-        room[some] = along
-        return some[room[some] == along]
-
     lengths = pc.fill_null(pc.list_value_length(texts["words"]), 0).to_numpy()
     ends = np.cumsum(lengths)
     del place, fresh, begins, group, own_group, sides  # memory bounds the size of a block
@@ -359,16 +369,28 @@ def _texts_of_block(texts: pa.Table, found: pa.Table) -> pa.Table:
     for k, x in enumerate((*sums, sizes, ~whole)):
         np.cumsum(x[flat], out=run[1:])
         totals[k] = run[ends] - run[ends - lengths]
-    held, rows, rooms = np.zeros(len(links), np.int64), [], (np.empty(n, np.int32), np.empty(len(links), np.int32))
-    for first, end, (*counts, unknown) in zip((ends - lengths).tolist(), ends.tolist(), totals.T.tolist(), strict=True):
-        if first == end or unknown:
-            rows.append((0, 0, 0, 0, ""))
-            continue
-        w = flat[first:end]
-        rows.append((*counts, hashlib.sha256(";".join(map(groups.__getitem__, w.tolist())).encode()).hexdigest()))
-        w = once(w, rooms[0])
+    held, rows = np.zeros(len(links), np.int64), []
+    most = max(1, ROOM // max(1, len(links)))
+    room, first = np.empty(min(most, len(ends)) * len(links), np.int32), 0
+    while first < len(ends):  # some texts at a time, whole ones
+        begin = ends[first] - lengths[first]
+        end = max(first + 1, min(first + most, int(np.searchsorted(ends, begin + ROOM // 8, side="right"))))
+        w, own_ends = flat[begin : ends[end - 1]], (ends[first:end] - begin).tolist()
+        told = groups.take(pa.array(w))
+        _, cuts, letters = told.buffers()
+        cuts, letters = (np.frombuffer(cuts, np.int64)[[0, *own_ends]].tolist(), memoryview(letters)) if len(w) else ([0] * (end - first + 1), b"")
+        for a, b, size, (*counts, unknown) in zip(cuts, cuts[1:], lengths[first:end].tolist(), totals[:, first:end].T.tolist(), strict=False):
+            rows.append((*counts, hashlib.sha256(letters[a : b - 1]).hexdigest()) if size and not unknown else (0, 0, 0, 0, ""))
+        good = np.repeat(totals[4, first:end] == 0, lengths[first:end])
+        text = np.repeat(np.arange(end - first), lengths[first:end])[good]
+        w = w[good]
         count = sizes[w]
-        held[once(own[np.arange(count.sum()) + np.repeat(starts[w] - (np.cumsum(count) - count), count)], rooms[1])] += 1
+        found_links = own[np.arange(count.sum()) + np.repeat(starts[w] - (np.cumsum(count) - count), count)]
+        # of the same link in the same text the last one is kept: the one whose number is still there
+        spot, along = np.repeat(text * len(links), count) + found_links, np.arange(len(found_links), dtype=np.int32)
+        room[spot] = along
+        np.add.at(held, found_links[room[spot] == along], 1)
+        first = end
     t, p, longs, numbers = len(rows), len(links), pa.int64(), pa.list_(pa.int32())
     n_a, n_b, n_groups, n_links, told = zip(*rows, strict=True) if rows else ((),) * 5
     block = (texts if t else found)["block"][0].as_py()
@@ -419,10 +441,10 @@ def align(df: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_id"
     lengths = {"a": sides.a_lengths.tolist(), "b": list(map(len, sides.b_bytes))}
     key = hashlib.md5(definition.encode() + model).hexdigest()
     cut, drop = by_block(cut_texts(df, spark.sparkContext.broadcast((definition, model)), key, id_col, text_col))
-    texts = cut.where("at is null").select("block", "row", "id", "words")
-    found = stretches(cut.where("at is not null and ids is not null").select(*KEY, "ids", "places"), lengths)
+    texts = cut.where("shelf is null").select("block", "row", "id", "words")
+    found = stretches(cut.where("shelf is not null").select("block", "shelf", "ids", "places"), lengths)
     link = F.shiftleft(F.col("a_id").cast("long"), 32) + F.col("b_id")
-    found = found.select(*KEY, "cut", F.col("a").isNotNull().alias("a"), F.col("b").isNotNull().alias("b"), link.alias("link"))
+    found = found.select("block", "at", "cut", F.col("a").isNotNull().alias("a"), F.col("b").isNotNull().alias("b"), link.alias("link"))
     told = stored(texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_texts_of_block, _told(kind)), "align-told")
     held = told.where("link is not null").select("block", "pair", "link", "n", F.shiftright("link", 32).alias("a"))
     counts = stored(held.groupBy("a", "link").agg(F.sum("n").alias("count")), "align-counts")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -167,3 +168,50 @@ def test_a_window_holds_many_pieces(spark):
     assert "windowspecdefinition(block" in out._jdf.queryExecution().optimizedPlan().toString() and "shelf" in out._jdf.queryExecution().optimizedPlan().toString()
     got = sorted((r["at"], r["a_id"], r["b_id"]) for r in out.collect())
     assert got == sorted([(k, x, 2) for k in range(600) for x in (k % 3, 1)])
+
+
+def test_a_stored_row_holds_a_shelf_of_pieces(spark, libraries):
+    """Not one piece: its tokens are all there, in order, and pieces that a side does not spell have none."""
+    words = [f"word{k}" if k % 50 else f"x▁{k}" for k in range(3 * align.SHELF + 9)]
+    definition, model = open(A, encoding="utf-8").read(), open(B, "rb").read()
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").coalesce(1)
+    cut = align.cut_texts(docs, spark.sparkContext.broadcast((definition, model)), "shelf of pieces", "doc_id", "text")
+    rows = cut.where("shelf is not null").orderBy("shelf").collect()
+    assert [r["shelf"] for r in rows] == [0, 1, 2, 3]
+    got = [[] for _ in words], [[] for _ in words]
+    for r in rows:
+        assert r["places"] == sorted(r["places"]) and len(r["ids"]) == len(r["places"])
+        for k, place in zip(r["ids"], r["places"], strict=True):
+            got[place & 1][r["shelf"] * align.SHELF + (place >> 32)].append(k)
+    want = align.Sides(definition, model).encoded([" " + w for w in words])
+    assert [x is None for x in want[0]] == [k % 50 == 0 for k in range(len(words))]
+    assert got == tuple([x or [] for x in side] for side in want)
+
+
+def test_tokens_that_match_are_one_row_before_the_sort(spark):
+    """Neighbours of a shelf are matched as they are exploded: the windows only carry tokens on, and sort a row for each place."""
+    cut = spark.createDataFrame([(1, align.SHELF, [1, 2], [3]), (1, align.SHELF + 1, [0, 0], [2, 4])], "block long, at int, a array<int>, b array<int>")
+    lengths = {"a": [3, 1, 4], "b": [0, 0, 1, 5, 5]}
+    got = [tuple(r) for r in align.token_places(cut, lengths).orderBy("shelf", "place").select("shelf", "place", "a", "b").collect()]
+    first = align.SHELF << 32
+    assert got == [(1, first + 1, 1, 3), (1, first + 2, 2, None), (1, first + (1 << 32) + 1, 0, 2), (1, first + (1 << 32) + 3, None, 4), (1, first + (1 << 32) + 6, 0, None)]
+    plan = align.stretches(cut, lengths)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(" not in plan and "lead(" not in plan
+
+
+@pytest.mark.parametrize("room", [1, 9, 1 << 20])
+def test_texts_of_a_block_together(monkeypatch, room):
+    """Some texts at a time give what each gives alone; texts without words or with a piece that is not spelled have nothing."""
+    monkeypatch.setattr(align, "ROOM", room)
+    one, two, three = (7 << 32) + 8, (9 << 32) + 8, (5 << 32) + 6
+    found = [(0, True, True, True, one), (1, True, True, True, one), (1, False, True, False, two), (3, True, True, True, three)]
+    found = pa.table({"block": [4] * 4} | {n: pa.array(x, kind) for n, x, kind in zip(("at", "cut", "a", "b", "link"), zip(*found, strict=True), (pa.int32(), *[pa.bool_()] * 3, pa.int64()), strict=True)})
+    words = [[], [0, 1, 1], None, [0, 2], [3, 0], []]
+    texts = pa.table({"block": [4] * 6, "row": [*range(6)], "id": [*range(6)], "words": pa.array(words, pa.list_(pa.int32()))})
+    out = align._texts_of_block(texts, found).to_pylist()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    nothing = (0, 0, 0, 0, "")
+    assert [tuple(r[c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")) for r in out[:6]] == [nothing, (5, 3, 3, 5, sha("7|8;7,9|8;7,9|8")), nothing, nothing, (2, 2, 2, 2, sha("5|6;7|8")), nothing]
+    assert {r["link"]: r["n"] for r in out[6:-1]} == {one: 2, two: 1, three: 1}
+    bare = align._texts_of_block(texts.slice(2, 1), found.slice(0, 0)).to_pylist()
+    assert [r["groups_sha256"] for r in bare] == ["", None]

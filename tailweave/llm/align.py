@@ -43,7 +43,7 @@ RUNS = re.compile(r"[ \n][ \n]")
 #: Pieces that can be encoded in a row and cut at their blanks.
 ALONE = re.compile(r" [^ ]*[^ \s]")
 #: Characters of text in a block, about; one long text is a block of its own.
-BLOCK = 9 << 20
+BLOCK = 6 << 20
 #: Pieces encoded together, pieces of one string, pieces of a stored row and a window (readers hold 4,096 such rows).
 TOGETHER, RUN, SHELF = 4096, 64, 64
 #: Texts times links of a block that are looked at together; eighths of it are pieces.

@@ -620,6 +620,46 @@ def test_joint_hits_by_blocks(spark, rain, ranked, monkeypatch, cells, steps):
     assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString() and ("Exchange" in after) == (steps < 135)
 
 
+def test_joint_hits_shuffle_lists_once(spark, rain, monkeypatch):
+    """Lists of exceedances are not copied for the blocks they meet: as many rows are shuffled for one block as for six."""
+
+    def written(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            return written(node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(written(node.children().apply(k)) for k in range(node.children().size()))
+
+    u = ecdf(cube_of(spark, rain))
+    seen = []
+    for cells in (1000, 1):
+        monkeypatch.setattr(graph, "HIT_CELLS", cells)
+        monkeypatch.setattr(graph, "LATE_CELLS", cells, raising=False)
+        out = graph.joint_hits(u, 2, 5, 140, P)
+        seen.append((sorted(tuple(r) for r in out.collect()), written(out._jdf.queryExecution().executedPlan())))
+    assert seen[0] == seen[1] and len(seen[0][0]) > 6 and seen[0][1] > 0
+
+
+@pytest.mark.parametrize("slab", [2, 100, 262_144])
+def test_hits_of_two_blocks(monkeypatch, slab):
+    """Parts of a block give the hits of the whole, repeated exceedances count, and rows of as many hits stand together."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(graph, "SLAB", slab)
+    rng = np.random.default_rng(3)
+    sides = []
+    for cells, highest in ((range(100, 140), 30), (range(9), 20)):
+        x = {c: sorted(rng.integers(0, highest, rng.integers(1, 9)).tolist()) for c in cells}
+        rows = pa.RecordBatch.from_pydict({"span": [0] * len(x), "cell": list(x), "x": list(x.values()), "like": rng.integers(0, 3, len(x))})
+        sides.append((x, next(iter(graph._block(iter([rows]))))))
+    names = [f"{side}_{c}" for side in ("late", "early") for c in ("span", "cells", "sizes", "x")]
+    found = list(graph._hits_of_blocks(iter([pa.RecordBatch.from_arrays([c for _, b in sides for c in b.columns], names=names)])))
+    want = {(i, j): sum(a.count(t) * b.count(t) for t in set(a)) for i, a in sides[0][0].items() for j, b in sides[1][0].items()}
+    got = [tuple(r.values()) for batch in found for r in batch.to_pylist()]
+    assert len(got) == len({r[:2] for r in got}) and {r[:2]: r[2] for r in got} == {k: n for k, n in want.items() if n}
+    assert all(b["hits"].to_pylist() == sorted(b["hits"].to_pylist()) for b in found) and (len(found) == 1) == (slab > 100)
+
+
 def test_axes_of_hdf5_cubes(spark, monkeypatch):
     import sys
     import types
